@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from . import op7_url_filter, op8_sharding, op9_pii
+from . import op2_decontamination, op4_bpe, op7_url_filter, op8_sharding, op9_pii
 from .common import table
 
 
+def vocabulary_path() -> str:
+    """The installed byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_decontamination_query(spark, sf_dir):
+    return op2_decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_bpe_query(spark, sf_dir):
+    return op4_bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_url_filter_query(spark, sf_dir):
     return op7_url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -19,6 +34,8 @@ def op9_pii_query(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination_query,
+    "op4_bpe": op4_bpe_query,
     "op7_url_filter": op7_url_filter_query,
     "op8_sharding": op8_sharding_query,
     "op9_pii": op9_pii_query,
