@@ -35,3 +35,13 @@ def durable(df: DataFrame) -> DataFrame:
 def text_of(column: str = "text"):
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that none of df's columns has, in upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out

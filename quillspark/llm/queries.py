@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op2_decontamination, op4_bpe, op7_url_filter, op8_sharding, op9_pii
+from . import op1_html_extraction, op2_decontamination, op4_bpe, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join
 from .common import table
 
 
@@ -13,6 +13,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction_query(spark, sf_dir):
+    return op1_html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination_query(spark, sf_dir):
     return op2_decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,6 +25,10 @@ def op4_bpe_query(spark, sf_dir):
     return op4_bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_exact_dedup_query(spark, sf_dir):
+    return op6_exact_dedup.classify(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter_query(spark, sf_dir):
     return op7_url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -33,15 +41,23 @@ def op9_pii_query(spark, sf_dir):
     return op9_pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join_query(spark, sf_dir):
+    return op10_jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction_query,
     "op2_decontamination": op2_decontamination_query,
     "op4_bpe": op4_bpe_query,
+    "op6_exact_dedup": op6_exact_dedup_query,
     "op7_url_filter": op7_url_filter_query,
     "op8_sharding": op8_sharding_query,
     "op9_pii": op9_pii_query,
+    "op10_jaccard_join": op10_jaccard_join_query,
 }
 
 #: op8's crc32 has no counterpart in DuckDB, so its SQL leaves text_crc32 out and is used by the tests alone.
 ORACLE_SQL = {
+    "op6_exact_dedup": op6_exact_dedup.ORACLE,
     "op7_url_filter": op7_url_filter.oracle(),
 }
