@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_html_extraction, op2_decontamination, op4_bpe, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join
+from . import op1_html_extraction, op2_decontamination, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_bpe_query(spark, sf_dir):
     return op4_bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_quality_query(spark, sf_dir):
+    return op5_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup_query(spark, sf_dir):
     return op6_exact_dedup.classify(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction_query,
     "op2_decontamination": op2_decontamination_query,
     "op4_bpe": op4_bpe_query,
+    "op5_quality": op5_quality_query,
     "op6_exact_dedup": op6_exact_dedup_query,
     "op7_url_filter": op7_url_filter_query,
     "op8_sharding": op8_sharding_query,
