@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 SHARD_WORDS = 4_000_000
@@ -187,8 +189,8 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str
 CARRIED = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.list_(pa.int64()))])
 
 
-def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with `found`: words, starts and ends of the windows found, items and their longest verbatim matches."""
+def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "found") -> DataFrame:
+    """docs with a column of the given name: words, starts and ends of the windows found, items and their longest verbatim matches."""
     out = docs
     for k, block in enumerate(blocks_of(benchmark, block_bytes)):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -196,7 +198,7 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
         def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, window)
             for batch in batches:
-                before = batch.column("found").to_pylist() if k else repeat(None)
+                before = batch.column(name).to_pylist() if k else repeat(None)
                 rows = []
                 for (n, spans, longest), b in zip(hits_of(batch.column("text").to_pylist(), items), before):
                     flat, best = spans.ravel().tolist(), dict(longest)
@@ -205,11 +207,11 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
                         for i, size in zip(b["items"], b["longest"]):
                             best[i] = max(size, best.get(i, 0))
                     rows.append({"n": n, "spans": flat, "items": list(best), "longest": list(best.values())})
-                keep = [x for x in batch.schema.names if x != "found"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(rows, CARRIED)], names=[*keep, "found"])
+                keep = [x for x in batch.schema.names if x != name]
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(rows, CARRIED)], names=[*keep, name])
 
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "found")
-        out = out.mapInArrow(run, f"{kept}, found struct<n: bigint, spans: array<bigint>, items: array<string>, longest: array<bigint>>")
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != name)
+        out = out.mapInArrow(run, f"{kept}, `{name}` struct<n: bigint, spans: array<bigint>, items: array<string>, longest: array<bigint>>")
     return out
 
 
@@ -234,4 +236,5 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 def filter_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no window stands, with all their columns."""
-    return locate(docs, benchmark, window, block_bytes).where(F.size("found.spans") == 0).drop("found")
+    (name,) = fresh(docs, "found")
+    return locate(docs, benchmark, window, block_bytes, name).where(F.size(f"{name}.spans") == 0).drop(name)

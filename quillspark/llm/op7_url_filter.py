@@ -28,6 +28,8 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 #: Public suffixes of two labels that the registered domain has to respect.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz", "co.in", "com.cn")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Highest correlation within a unit that the few units of a level may suggest, so that a prior weighs three pages at least.
+MOST_ALIKE = 0.25
 LEVELS = ("host", "domain", "suffix")
 
 
@@ -63,7 +65,7 @@ def strength(units: DataFrame, rate: float) -> float:
     v = rate * (1 - rate)
     room = m - m2 / m - (count - 1) if count > 1 else 0
     rho = (q - v * (count - 1)) / (v * room) if room > 0 else 0.5
-    return 1 / min(max(rho, 0.01), 0.99) - 1
+    return 1 / min(max(rho, 0.01), MOST_ALIKE) - 1
 
 
 def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -114,7 +116,7 @@ def oracle(rules=RULES, threshold: float = 0.5, z: float = 1.645) -> str:
     levels = "".join(
         f""", v_{x} AS (SELECT CASE WHEN sum(n) - sum(n * n) / sum(n) - (count(*) - 1) > 0 AND count(*) > 1 THEN
           (sum(n * (k / n - p) ** 2) - max(p * (1 - p)) * (count(*) - 1)) / (max(p * (1 - p)) * (sum(n) - sum(n * n) / sum(n) - (count(*) - 1))) ELSE 0.5 END AS rho FROM u_{x}, rate WHERE n > 0),
-        s_{x} AS (SELECT 1 / least(greatest(rho, 0.01), 0.99) - 1 AS s FROM v_{x})"""
+        s_{x} AS (SELECT 1 / least(greatest(rho, 0.01), {MOST_ALIKE}) - 1 AS s FROM v_{x})"""
         for x in LEVELS
     )
     return f"""
