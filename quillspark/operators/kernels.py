@@ -5,6 +5,8 @@ They follow the definitions of the operations, not a particular library's roundi
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,26 +244,110 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
 
 
-def row_profiles(pages: DataFrame, threshold: int = 128) -> DataFrame:
-    """page, height, y, row_ink, x_min, x_max for each row with ink."""
+def _pixels(row) -> np.ndarray:
+    """A page's BGR pixels: those it carries, or its marks drawn."""
+    if "bgr" in row._fields:
+        return np.frombuffer(bytes(row.bgr), np.uint8).reshape(row.height, row.width, 3)
+    return _draw(row.height, row.width, row.marks)
+
+
+def _by_page(pages: DataFrame, per_page, schema: str, *more: str) -> DataFrame:
+    """per_page(row) -> rows after the page's key, for each page. Pages reach a task a few at a time: set
+    spark.sql.execution.arrow.maxRecordsPerBatch low where pages are large."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    take = [*PAGE, "height", "width", *(c for c in ("bgr", "marks") if c in pages.columns), *more]
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*PAGE).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, page, height, width, marks in batch[[*PAGE, "height", "width", "marks"]].itertuples(index=False):
-                ink = gray(_draw(height, width, marks)) < threshold
-                rows = np.flatnonzero(ink.any(axis=1))
-                yield pd.DataFrame({"document_id": doc, "page_number": page, "height": height, "y": rows, "row_ink": ink[rows].sum(1), "x_min": ink[rows].argmax(1), "x_max": width - 1 - ink[rows, ::-1].argmax(1)})
+            for row in batch.itertuples(index=False):
+                yield pd.DataFrame([(*row[:2], *x) for x in per_page(row)], columns=[*PAGE, *names])
+
+    return spread(pages.select(*take)).mapInPandas(run, f"{key}, {schema}")
+
+
+def ink_of(page: np.ndarray, threshold: int | None = None) -> np.ndarray:
+    """A page's ink: by a fixed threshold for clean drawings, else by the whole preprocessing."""
+    return gray(page) < threshold if threshold is not None else ink_mask(page)[0]
+
+
+def row_profiles(pages: DataFrame, threshold: int | None = 128, rule: Segment | None = None) -> DataFrame:
+    """page, height, y, row_ink, x_min, x_max for each row with ink; with a rule, of the ink without ruled and margin lines."""
+
+    def per_page(row):
+        ink = ink_of(_pixels(row), threshold)
+        ink = without_rules(ink, rule) if rule else ink
+        rows = np.flatnonzero(ink.any(axis=1))
+        width = ink.shape[1]
+        return zip([row.height] * len(rows), rows.tolist(), ink[rows].sum(1).tolist(), ink[rows].argmax(1).tolist(), (width - 1 - ink[rows, ::-1].argmax(1)).tolist())
+
+    return _by_page(pages, per_page, "height int, y int, row_ink int, x_min int, x_max int")
+
+
+def rule_rows(pages: DataFrame, threshold: int | None = 128, rule: Segment = CONFIG.segment) -> DataFrame:
+    """page, start, end of the runs of rows that a ruled line crosses; broken lines are merged by merge_bands()."""
+
+    def per_page(row):
+        edges = np.flatnonzero(np.diff(np.r_[False, ruled_rows(ink_of(_pixels(row), threshold), rule), False].astype(np.int8)))
+        return zip(edges[::2].tolist(), (edges[1::2] - 1).tolist())
+
+    return _by_page(pages, per_page, "start int, end int")
+
 
-    return spread(pages).mapInPandas(run, "document_id long, page_number int, height int, y int, row_ink int, x_min int, x_max int")
+def line_columns(pages: DataFrame, lines: DataFrame, threshold: int | None = 128) -> DataFrame:
+    """page, ln, x (from the line's left edge), col_ink, y_min, y_max, width, density for each column of each line, of the raw ink.
+
+    lines: page, ln, x, y, w, h. A page's lines travel with it, so its pixels are read once.
+    """
+    boxes_ = lines.groupBy(*PAGE).agg(F.collect_list(F.struct("ln", "x", "y", "w", "h")).alias("lines"))
+
+    def per_page(row):
+        ink = ink_of(_pixels(row), threshold)
+        for m in row.lines:
+            ln, x, y, w, h = (m[k] for k in ("ln", "x", "y", "w", "h"))
+            band = ink[max(0, y) : y + h, max(0, x) : x + w]
+            inked = density(ink, x, y, w, h)
+            for c in np.flatnonzero(band.any(axis=0)).tolist():
+                at = np.flatnonzero(band[:, c])
+                yield ln, c, len(at), max(0, y) + int(at[0]), max(0, y) + int(at[-1]), band.shape[1], inked
+
+    return _by_page(pages.join(boxes_, PAGE), per_page, "ln int, x int, col_ink int, y_min int, y_max int, width int, density double", "lines")
+
+
+def density(ink: np.ndarray, x: int, y: int, w: int, h: int) -> float:
+    """Ink in a box, cut to the page, by the box's area."""
+    part = ink[max(0, y) : max(0, y + h), max(0, x) : max(0, x + w)]
+    return float(part.sum()) / max(1, part.size)
 
 
 def highlights(pages: DataFrame, rule: HighlightRule = CONFIG.highlight) -> DataFrame:
     """page, id, x, y, w, h, area of the highlights; numbered from top to bottom."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, page, height, width, marks in batch[[*PAGE, "height", "width", "marks"]].itertuples(index=False):
-                found = boxes(highlight_mask(_draw(height, width, marks), rule), rule.min_area)
-                yield pd.DataFrame([(doc, page, f"highlight_{i:03d}", x, y, w, h, n) for i, (y, x, w, h, n) in enumerate(found, 1)], columns=["document_id", "page_number", "id", "x", "y", "w", "h", "area"])
+    def per_page(row):
+        found = boxes(highlight_mask(_pixels(row), rule), rule.min_area)
+        return ((f"highlight_{i:03d}", x, y, w, h, n) for i, (y, x, w, h, n) in enumerate(found, 1))
+
+    return _by_page(pages, per_page, "id string, x int, y int, w int, h int, area int")
+
+
+def png(page: np.ndarray) -> bytes:
+    """A PNG of BGR pixels."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    h, w = page.shape[:2]
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), page[..., ::-1].reshape(h, -1)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
+def crop_images(pages: DataFrame, crops: DataFrame) -> DataFrame:
+    """page, type, id, x, y, w, h, image (PNG) of crops, cut to the page; empty ones are left out. crops: page, type, id, x, y, w, h."""
+    wanted = crops.groupBy(*PAGE).agg(F.collect_list(F.struct("type", "id", "x", "y", "w", "h")).alias("crops"))
+
+    def per_page(row):
+        page = _pixels(row)
+        for m in row.crops:
+            x0, y0 = max(0, m["x"]), max(0, m["y"])
+            part = page[y0 : max(0, m["y"] + m["h"]), x0 : max(0, m["x"] + m["w"])]
+            if part.size:
+                yield m["type"], m["id"], x0, y0, part.shape[1], part.shape[0], png(part)
 
-    return spread(pages).mapInPandas(run, "document_id long, page_number int, id string, x int, y int, w int, h int, area int")
+    return _by_page(pages.join(wanted, PAGE), per_page, "type string, id string, x int, y int, w int, h int, image binary", "crops")
