@@ -31,7 +31,7 @@ from .common import durable, fresh, text_of
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-TILE = 400
+TILE = 200
 REMEMBERED = 300_000
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
