@@ -125,4 +125,12 @@ def from_mapping(values: dict) -> Config:
     return Config(**{**vars(base), **parts})
 
 
+def from_yaml(path: str) -> Config:
+    """A configuration from a YAML file over the defaults."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return from_mapping(yaml.safe_load(f) or {})
+
+
 CONFIG = Config()

@@ -49,19 +49,28 @@ def hierarchy(crops: DataFrame) -> DataFrame:
     return crops.join(up, [*PAGE, "parent_id"], "left").join(top, [*PAGE, "grandparent_id"], "left")
 
 
-def not_yet(crops: DataFrame, existing: DataFrame) -> DataFrame:
-    """Crops that are not written yet: the table only ever grows."""
-    return crops.join(existing.select(*KEY), KEY, "left_anti")
+def with_paths(crops: DataFrame) -> DataFrame:
+    """Crops with their place under the document's folder."""
+    folder = F.concat(F.lit("crops/"), F.col("type"), F.lit("s/"), ordinal_id(F.lit("page_"), F.col("page_number")), F.lit("/"))
+    return crops.withColumn("path", F.concat(folder, F.col("id"), F.lit(".png")))
 
 
-def append_new(crops: DataFrame, path: str) -> int:
-    """Append the crops that the table at path lacks; a second call with the same crops appends nothing. Returns how many were new."""
+def not_yet(crops: DataFrame, existing: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Rows that are not written yet: the table only ever grows."""
+    return crops.join(existing.select(*keys), keys, "left_anti")
+
+
+def append_new(crops: DataFrame, path: str, keys: list[str] = KEY) -> int:
+    """Append the rows whose keys the table at path lacks, for crops, results and responses alike.
+
+    A second call with the same rows appends nothing. Returns how many were new.
+    """
     spark = crops.sparkSession
     known = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = known.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fresh = crops.dropDuplicates(KEY)
+    fresh = crops.dropDuplicates(keys)
     if fs.exists(known):
-        fresh = not_yet(fresh, spark.read.parquet(path))
+        fresh = not_yet(fresh, spark.read.parquet(path), keys)
     # count and write see the same rows: the new ones are computed once
     fresh = fresh.persist()
     n = fresh.count()

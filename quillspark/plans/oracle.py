@@ -121,6 +121,8 @@ ORACLE: dict[str, str] = {
         crops AS (SELECT document_id, 'paragraph' AS type, id, NULL AS parent_id FROM paragraphs UNION ALL SELECT document_id, 'line', id, parent_id FROM inpara
           UNION ALL SELECT document_id, 'word', i.id || '_word' || printf('%02d', word_no), i.id FROM words JOIN inpara i USING (document_id, ln))""",
         "SELECT c.document_id, c.type, c.id, c.parent_id, p.type AS parent_type, p.parent_id AS grandparent_id, g.type AS grandparent_type FROM crops c LEFT JOIN crops p ON p.document_id = c.document_id AND p.id = c.parent_id LEFT JOIN crops g ON g.document_id = c.document_id AND g.id = p.parent_id"),
+    "crop_paths": q(LINES, PARAGRAPHS, INPARA, WORDS, "named AS (SELECT w.document_id, i.id AS line_id, i.id || '_word' || printf('%02d', word_no) AS id FROM words w JOIN inpara i USING (document_id, ln))",
+        "SELECT document_id, id, 'crops/words/page_001/' || id || '.png' AS path, 'crops/lines/page_001/' || line_id || '.png' AS line_path FROM named"),
     "new_crops": q(LINES, "SELECT document_id, 'line' AS type, 'l' || printf('%03d', ln) AS id FROM lines WHERE ln % 3 <> 0"),
     "clamped_crops": q(LINES, "b AS (SELECT document_id, ln, greatest(0, x - 8) AS x, greatest(0, y - 10) AS y, least(300, x - 8 + w) AS x1, least(200, y - 10 + h) AS y1 FROM lines)",
         "SELECT document_id, ln, x, y, greatest(0, x1 - x) AS w, greatest(0, y1 - y) AS h FROM b"),

@@ -102,6 +102,13 @@ def crop_hierarchy(spark, d):
     return crops.hierarchy(_crops(spark, d)).select("document_id", "type", "id", "parent_id", "parent_type", "grandparent_id", "grandparent_type")
 
 
+def crop_paths(spark, d):
+    """Words with the paths of their own crop and of their line's, looked up by the whole key."""
+    placed = crops.with_paths(_crops(spark, d))
+    lines = placed.where("type = 'line'").select(*PAGE, F.col("id").alias("parent_id"), F.col("path").alias("line_path"))
+    return placed.where("type = 'word'").join(lines, [*PAGE, "parent_id"], "left").select("document_id", "id", "path", "line_path")
+
+
 def new_crops(spark, d):
     lines = proxy.line_regions(spark, d)
     all_ = lines.select(*PAGE, F.lit("line").alias("type"), F.format_string("l%03d", "ln").alias("id"), "ln")
@@ -317,7 +324,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_paragraphs, paragraph_scores, question_groups_spatial, question_groups_text, answer_region, answer_lines, row_islands, row_islands_tail, band_merge,
-        word_islands, line_to_paragraph, line_to_question, enclosing_band, crop_hierarchy, new_crops, clamped_crops, cache_keys, cache_hits, cache_misses, call_cap,
+        word_islands, line_to_paragraph, line_to_question, enclosing_band, crop_hierarchy, crop_paths, new_crops, clamped_crops, cache_keys, cache_hits, cache_misses, call_cap,
         uncertainty_repair, validate_response, confidence_class, review_flags, ocr_line_join, question_orphans, paragraph_text, answer_text, question_text,
         review_export, overlay_layers, nested_documents, state_violations, current_state, stage_reached, states_seen, ocr_progress, format_scan, redacted_log,
         stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes,

@@ -213,6 +213,14 @@ def test_config():
     assert from_mapping({"preprocess": {"block_size": 30}}).preprocess.odd() == 31
 
 
+def test_config_from_yaml(tmp_path):
+    from quillspark.config import from_yaml
+
+    (tmp_path / "c.yaml").write_text("segment:\n  line_gap: 4\nhighlight:\n  hue: [20, 30]\nrender_dpi: 200\n")
+    c = from_yaml(str(tmp_path / "c.yaml"))
+    assert (c.segment.line_gap, c.highlight.hue, c.render_dpi, c.paragraph) == (4, (20, 30), 200, CONFIG.paragraph)
+
+
 def test_strip_suffix_redaction(spark):
     df = spark.createDataFrame([("  x \n", "a/b.PDF", "y" * 301), ("z", "a/.png", "y" * 300)], "t string, p string, l string")
     got = df.select(X.strip(F.col("t")).alias("t"), X.input_kind(F.col("p")).alias("k"), X.redacted(F.col("l")).alias("l"), X.basename(F.col("p")).alias("b")).collect()
