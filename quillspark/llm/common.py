@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             pass
         out.append(name)
     return out
+
+
+def split_words(folded: bytes, most: int = 4 << 20) -> Iterator[list[bytes]]:
+    """Words of a text whose other bytes are spaces, in lists from slices of about `most` bytes, so that a very long text makes few objects at once."""
+    at = 0
+    while len(folded) - at > most:
+        end = folded.rfind(b" ", at, at + most) + 1 or folded.find(b" ", at + most) + 1 or len(folded)
+        yield folded[at:end].split()
+        at = end
+    yield folded[at:].split()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, text_of
+from .common import durable, fresh, split_words, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -69,8 +69,8 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
     """The sorted set of 64-bit hashes of the text's word n-grams."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
-    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    folded = (text or "").lower().encode("utf-8", "surrogatepass").translate(FOLD)
+    w = np.concatenate([np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)) for words in split_words(folded)])
     n = min(n, len(w))
     if not n:
         return w

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, split_words
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -157,12 +157,13 @@ def hits_of(texts: list[str | None], items: Items) -> list[tuple[int, np.ndarray
             found.append((n, np.stack([first, first + items.need[query[mine]]], axis=1), longest))
 
     for text in texts:
-        w = words_of(text)
-        if held + len(w) > SHARD_WORDS and batch:
+        folded = (text or "").encode().translate(FOLD)
+        numbers = np.concatenate([np.fromiter(map(get, w, repeat(0)), dtype=np.int32, count=len(w)) for w in split_words(folded)])
+        if held + len(numbers) > SHARD_WORDS and batch:
             shard()
             batch, held = [], 0
-        batch.append(np.fromiter(map(get, w, repeat(0)), dtype=np.int32, count=len(w)))
-        held += len(w)
+        batch.append(numbers)
+        held += len(numbers)
     if batch:
         shard()
     return found

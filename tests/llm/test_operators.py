@@ -97,6 +97,13 @@ def test_page_of_many_blocks_is_read_in_time():
     assert op1.main_text('<a "' * 2000) == ""
 
 
+def test_stray_blocks_do_not_widen_the_article():
+    text = "".join(f"<p>Sentence {i}, with some text, long enough. It goes on, and on.</p>" for i in range(12))
+    page = f"<body><div><p>Read, this too. It is short, but dense, with marks, many.</p></div><div><h1>T</h1>{text}</div><div><p>Stray, again, a line. More, of it.</p></div></body>"
+    got = op1.main_text(page).split("\n")
+    assert got[0] == "T" and len(got) == 13
+
+
 # 2
 
 
@@ -187,6 +194,16 @@ def test_trusted_documents_are_bounded(spark):
     assert op5.trusted_ids(twice, 100).tolist() == [2]
 
 
+def test_long_texts_are_cut_without_a_trace():
+    texts = [b"abc", b"x" * 50, bytes(range(1, 200))]
+    whole, cut = ([op5.grams_of(p, 4) for p in op5.parts_of(texts, 4, most)] for most in (1 << 20, 7))
+    assert np.concatenate([c[r] for c, r, _ in whole]).tolist() == np.concatenate([c[r] for c, r, _ in cut]).tolist()
+    from quillspark.llm.common import split_words
+
+    folded = b"ab  cde f" * 40 + b"g" * 60
+    assert [w for part in split_words(folded, 16) for w in part] == folded.split()
+
+
 # 6
 
 
