@@ -46,43 +46,66 @@ def paragraphs(lines: DataFrame, rule: ParagraphRule = CONFIG.paragraph) -> Data
     return found.withColumn("id", ordinal_id(F.lit("p"), F.col("paragraph")))
 
 
-def question_lines(lines: DataFrame, rule: QuestionRule = CONFIG.question, text: str | None = None) -> DataFrame:
-    """Lines of question groups with the number of their group. Without a text column only the page's first content line starts one."""
-    content = lines.withColumn("median_h", upper_median(F.col("h"))).where((F.col("median_h") > 0) & (F.col("h") <= rule.header_factor * F.col("median_h")))
-    content = content.withColumns({"full_w": upper_median(F.col("w")), "gap": F.col("y") - F.lag(F.col("y") + F.col("h")).over(down()), "at": F.row_number().over(down())})
+def mark_questions(lines: DataFrame, rule: QuestionRule = CONFIG.question, text: str | None = None) -> DataFrame:
+    """All lines, with the number of their question group (null for others) and whether they open it.
+
+    Without a text column only the page's first content line starts a question. A line with a question mark inside a
+    running group belongs to it; tall header lines belong to none.
+    """
+    content = lines.withColumn("median_h", upper_median(F.col("h"))).withColumn("content", (F.col("median_h") > 0) & (F.col("h") <= rule.header_factor * F.col("median_h")))
+    before = F.last(F.when(F.col("content"), F.col("y") + F.col("h")), ignorenulls=True).over(down().rowsBetween(Window.unboundedPreceding, -1))
+    content = content.withColumns({"full_w": upper_median(F.when(F.col("content"), F.col("w"))), "before": before})
     said = F.coalesce(F.col(text), F.lit("")) if text else F.lit("")
     starts = said.rlike(QUESTION_PREFIX)
-    goes_on = (F.col("gap") <= rule.max_gap) & (F.col("w") < rule.short_ratio * F.col("full_w")) & ~starts
-    hit = ((F.col("at") == 1) | starts | said.contains("?")).cast("int")
-    marked = content.withColumn("hit", hit).withColumn("stretch", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(running()))
-    within = Window.partitionBy(*PAGE, "stretch").orderBy("y", "x", "ln")
-    members = marked.withColumn("hits", F.sum("hit").over(within.rowsBetween(Window.unboundedPreceding, 0))).where("hits > 0")
-    return members.withColumn("question", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("stretch"))).drop("median_h", "full_w", "gap", "at", "hit", "hits", "stretch")
+    goes_on = (F.col("y") - F.col("before") <= rule.max_gap) & (F.col("w") < rule.short_ratio * F.col("full_w")) & ~starts
+    hit = F.col("content") & (F.col("before").isNull() | starts | said.contains("?"))
+    breaks = F.col("content") & ~F.coalesce(goes_on, F.lit(False))
+    marked = content.withColumn("hit", hit.cast("int")).withColumn("stretch", F.sum(breaks.cast("int")).over(running()))
+    within = Window.partitionBy(*PAGE, "stretch").orderBy("y", "x", "ln").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("hits", F.sum("hit").over(within)).withColumn("opens", (F.col("hit") == 1) & (F.col("hits") == 1))
+    number = F.sum(F.col("opens").cast("int")).over(running())
+    return marked.withColumn("question", F.when(F.col("content") & (F.col("hits") > 0), number)).drop("median_h", "content", "full_w", "before", "hit", "hits", "stretch")
 
 
-def questions(lines: DataFrame, rule: QuestionRule = CONFIG.question, text: str | None = None) -> DataFrame:
-    """page, question, id, x, y, w, h, n_lines"""
-    found = question_lines(lines, rule, text).groupBy(*PAGE, "question").agg(*union_box(), F.count("*").alias("n_lines"))
+def question_lines(lines: DataFrame, rule: QuestionRule = CONFIG.question, text: str | None = None) -> DataFrame:
+    """The lines of question groups."""
+    return mark_questions(lines, rule, text).where("question is not null").drop("opens")
+
+
+def question_boxes(marked: DataFrame) -> DataFrame:
+    """page, question, id, x, y, w, h, n_lines of marked lines."""
+    found = marked.where("question is not null").groupBy(*PAGE, "question").agg(*union_box(), F.count("*").alias("n_lines"))
     return found.withColumn("id", ordinal_id(F.lit("q"), F.col("question")))
 
 
-def answer_candidates(lines: DataFrame, found: DataFrame, rule: AnswerRule = CONFIG.answer) -> DataFrame:
-    """The lines below the page's topmost question, without specks and scribbles in the margin, in that order."""
-    top = Window.partitionBy(*PAGE).orderBy("y", "question")
-    bounds = found.withColumns({"bottom": F.first(F.col("y") + F.col("h")).over(top)})
-    bounds = bounds.groupBy(*PAGE).agg(F.first("bottom").alias("bottom"), F.min(F.when(F.col("y") > F.col("bottom"), F.col("y"))).alias("cap"))
-    below = lines.join(bounds, PAGE).where((F.col("y") > F.col("bottom")) & (F.col("cap").isNull() | (F.col("y") < F.col("cap"))))
-    dense = below.withColumn("median_d", upper_median(F.col("density"))).where((F.col("median_d") <= 0) | (F.col("density") >= rule.density_ratio * F.col("median_d")))
-    kept = dense.withColumn("median_x", upper_median(F.col("x"))).where(~((F.col("x") < F.col("median_x") - rule.scribble_px) & (F.col("ink_area") < rule.min_ink)))
-    return kept.drop("bottom", "cap", "median_d", "median_x")
+def questions(lines: DataFrame, rule: QuestionRule = CONFIG.question, text: str | None = None) -> DataFrame:
+    return question_boxes(mark_questions(lines, rule, text))
+
+
+def mark_answers(marked: DataFrame, rule: AnswerRule = CONFIG.answer) -> DataFrame:
+    """Lines marked with questions, with `answers`: whether they bound the answer below the page's topmost question.
+
+    Specks go first, by the density of the candidates, then scribbles in the margin, by the left edge of those that are left.
+    """
+    page = Window.partitionBy(*PAGE)
+    bottom = F.max(F.when(F.col("question") == 1, F.col("y") + F.col("h"))).over(page)
+    bounded = marked.withColumn("bottom", bottom).withColumn("cap", F.min(F.when(F.col("opens") & (F.col("y") > F.col("bottom")), F.col("y"))).over(page))
+    below = (F.col("y") > F.col("bottom")) & (F.col("cap").isNull() | (F.col("y") < F.col("cap")))
+    bounded = bounded.withColumn("below", F.coalesce(below, F.lit(False))).withColumn("median_d", upper_median(F.when(F.col("below"), F.col("density"))))
+    dense = F.col("below") & ((F.col("median_d") <= 0) | (F.col("density") >= rule.density_ratio * F.col("median_d")))
+    bounded = bounded.withColumn("dense", dense).withColumn("median_x", upper_median(F.when(F.col("dense"), F.col("x"))))
+    kept = F.col("dense") & ~((F.col("x") < F.col("median_x") - rule.scribble_px) & (F.col("ink_area") < rule.min_ink))
+    return bounded.withColumn("answers", F.coalesce(kept, F.lit(False))).drop("bottom", "cap", "below", "median_d", "dense", "median_x")
 
 
-def answers(lines: DataFrame, found: DataFrame, rule: AnswerRule = CONFIG.answer) -> DataFrame:
-    """page, id, x, y, w, h: the box around the answer's lines."""
-    return answer_candidates(lines, found, rule).groupBy(*PAGE).agg(*union_box()).withColumn("id", ordinal_id(F.lit("answer_"), F.col("page_number")))
+def answers(marked: DataFrame, rule: AnswerRule = CONFIG.answer) -> DataFrame:
+    """page, id, x, y, w, h: the box around the answer's lines, from lines marked with questions."""
+    found = mark_answers(marked, rule).where("answers").groupBy(*PAGE).agg(*union_box())
+    return found.withColumn("id", ordinal_id(F.lit("answer_"), F.col("page_number")))
 
 
-def answer_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
+def answer_lines(marked: DataFrame, rule: AnswerRule = CONFIG.answer) -> DataFrame:
     """All lines that begin inside the answer's box, edges included."""
-    a = found.select(*PAGE, F.col("y").alias("ay"), (F.col("y") + F.col("h")).alias("ae"))
-    return lines.join(a, PAGE).where("y between ay and ae").drop("ay", "ae")
+    page, own = Window.partitionBy(*PAGE), F.when(F.col("answers"), F.col("y"))
+    bound = mark_answers(marked, rule).withColumns({"top": F.min(own).over(page), "end": F.max(own + F.col("h")).over(page)})
+    return bound.where("y between top and end").drop("top", "end", "answers", "question", "opens")

@@ -47,10 +47,9 @@ def word_boxes(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, thre
 
 def find_layout(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, threshold: int | None = None, page_height: int = 1 << 30) -> Layout:
     """Questions, answers, paragraphs, highlights and all crops of pages, from their lines."""
-    questions = layout.questions(lines, config.question)
-    questions = questions.where("question = 1")  # without text there is one at most
-    answers = layout.answers(lines, questions, config.answer)
-    inside = layout.answer_lines(lines, answers)
+    marked = layout.mark_questions(lines, config.question)  # without text, one question for a page at most
+    questions, answers = layout.question_boxes(marked), layout.answers(marked, config.answer)
+    inside = layout.answer_lines(marked, config.answer)
     paragraphs = layout.paragraphs(inside, config.paragraph)
     bands = segment.merge_bands(kernels.rule_rows(pages, threshold, config.segment), config.segment.rule_merge_gap)
     grown = crops.to_bands(lines, bands, page_height).select(*PAGE, "ln", *(F.col(c).alias(f"c{c}") for c in "xywh"))

@@ -34,13 +34,11 @@ def question_groups_text(spark, d):
 
 
 def answer_region(spark, d):
-    lines = _asked(spark, d)
-    return layout.answers(lines, layout.questions(lines, text="said")).select("document_id", "id", "x", "y", "w", "h")
+    return layout.answers(layout.mark_questions(_asked(spark, d), text="said")).select("document_id", "id", "x", "y", "w", "h")
 
 
 def answer_lines(spark, d):
-    lines = proxy.line_regions(spark, d)
-    return layout.answer_lines(lines, layout.answers(lines, layout.questions(lines))).select("document_id", "ln", "y")
+    return layout.answer_lines(layout.mark_questions(proxy.line_regions(spark, d))).select("document_id", "ln", "y")
 
 
 EVENT_GAP = 240
@@ -210,8 +208,7 @@ def paragraph_text(spark, d):
 
 
 def answer_text(spark, d):
-    lines = proxy.line_regions(spark, d)
-    inside = layout.answer_lines(lines, layout.answers(lines, layout.questions(lines)))
+    inside = layout.answer_lines(layout.mark_questions(proxy.line_regions(spark, d)))
     return assemble.answer_text(assemble.paragraph_text(layout.paragraph_lines(inside)))
 
 
@@ -224,15 +221,14 @@ def _names(spark, d):
 
 
 def review_export(spark, d):
-    lines = proxy.line_regions(spark, d)
-    inside = layout.answer_lines(lines, layout.answers(lines, layout.questions(lines)))
+    inside = layout.answer_lines(layout.mark_questions(proxy.line_regions(spark, d)))
     return assemble.review_export(question_text(spark, d), assemble.paragraph_text(layout.paragraph_lines(inside)), _names(spark, d))
 
 
 def overlay_layers(spark, d):
     lines = proxy.line_regions(spark, d)
-    found = layout.questions(lines)
-    layers = {"question": found, "answer": layout.answers(lines, found), "paragraph": layout.paragraphs(lines), "line": lines.withColumn("id", F.format_string("l%03d", "ln"))}
+    marked = layout.mark_questions(lines)
+    layers = {"question": layout.question_boxes(marked), "answer": layout.answers(marked), "paragraph": layout.paragraphs(lines), "line": lines.withColumn("id", F.format_string("l%03d", "ln"))}
     return review.overlay(layers, ("question", "answer", "line")).select("document_id", "layer", "id", "x", "y", "w", "h")
 
 

@@ -100,7 +100,9 @@ def test_header_is_no_question(spark):
 def test_answer_drops_specks_then_scribbles(spark):
     page = [(100, 0, 100, 12, 900, 0.5, "q")] + [(100, 100 + 20 * i, 100, 12, 900, 0.5, "a") for i in range(4)] + [(0, 200, 50, 12, 100, 0.5, "scribble"), (100, 220, 10, 2, 900, 0.01, "speck")]
     lines = lines_frame(spark, [page])
-    assert sorted(r.ln for r in layout.answer_candidates(lines, layout.questions(lines)).collect()) == [1, 2, 3, 4]
+    marked = layout.mark_questions(lines)
+    assert sorted(r.ln for r in layout.mark_answers(marked).where("answers").collect()) == [1, 2, 3, 4]
+    assert sorted(r.ln for r in layout.answer_lines(marked).collect()) == [1, 2, 3, 4]
 
 
 def test_upper_median(spark):
