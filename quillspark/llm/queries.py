@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_html_extraction, op2_decontamination, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join
+from . import op1_html_extraction, op2_decontamination, op3_language_id, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_decontamination_query(spark, sf_dir):
     return op2_decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id_query(spark, sf_dir):
+    return op3_language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_query(spark, sf_dir):
     return op4_bpe.roundtrip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -52,6 +56,7 @@ def op10_jaccard_join_query(spark, sf_dir):
 QUERIES = {
     "op1_html_extraction": op1_html_extraction_query,
     "op2_decontamination": op2_decontamination_query,
+    "op3_language_id": op3_language_id_query,
     "op4_bpe": op4_bpe_query,
     "op5_quality": op5_quality_query,
     "op6_exact_dedup": op6_exact_dedup_query,
