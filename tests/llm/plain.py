@@ -130,3 +130,57 @@ def judgements(docs, labels, fold_of, quantile, slack, prior):
         for i, t in own:
             out[i] = (score.get(i), bool(t) and (limit is None or evidence[i] <= limit))
     return out
+
+
+def bucket(a, b, c):
+    return ((a << 16 | b << 8 | c) * 2_654_435_761 % (1 << 32)) >> 16
+
+
+def grams(text):
+    b = text.lower().encode()
+    return [bucket(*b[i : i + 3]) for i in range(len(b) - 2)]
+
+
+def language_posteriors(pages, docs, main_text, most=100, host_weight=5.0, domain_weight=20.0, even=1.0):
+    """page_id -> language -> probability. pages: (page_id, url, html); docs: (lang, text)."""
+    counts = defaultdict(Counter)
+    for lang, t in docs:
+        counts[lang].update(grams(t))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) for x in langs}
+    read = []
+    for i, url, page in pages:
+        g = grams(main_text(page))
+        fit = {x: sum(math.log((counts[x][b] + 0.5) / (total[x] + 0.5 * 65536)) for b in g) * min(1, most / max(1, len(g))) for x in langs}
+        top = max(fit.values())
+        fit = {x: v - top for x, v in fit.items()}
+        z = sum(math.exp(v) for v in fit.values())
+        host = (re.search(r"://([^/?#]*)", url or "") or [0, ""])[1].lower()
+        said = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", page or "", re.I)
+        said = said[1].lower() if said else "none"
+        read.append((i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], said if said in (*langs, "none") else "other", fit, {x: math.exp(v) / z for x, v in fit.items()}))
+
+    def added(at):
+        out = defaultdict(lambda: [0, Counter()])
+        for r in read:
+            out[r[at]][0] += 1
+            out[r[at]][1].update(r[6])
+        return out
+
+    hosts, domain, suffix, markup = added(1), added(2), added(3), added(4)
+    all_ = Counter()
+    for r in read:
+        all_.update(r[6])
+    share = {x: (all_[x] + even) / (sum(all_.values()) + even * len(langs)) for x in langs}
+    out = {}
+    for i, h, d, s, m, fit, own in read:
+        score = {}
+        for x in langs:
+            in_domain = (domain[d][1][x] + domain_weight * share[x]) / (domain[d][0] + domain_weight)
+            prior = (max(0.0, hosts[h][1][x] - own[x]) + host_weight * in_domain) / (hosts[h][0] - 1 + host_weight) if h else share[x]
+            by_suffix = math.log((suffix[s][1][x] + even) / (all_[x] + even * len(suffix))) if h else 0.0
+            score[x] = fit[x] + math.log(prior) + by_suffix + math.log((markup[m][1][x] + even) / (all_[x] + even * (len(langs) + 2)))
+        top = max(score.values())
+        z = sum(math.exp(v - top) for v in score.values())
+        out[i] = {x: math.exp(v - top) / z for x, v in score.items()}
+    return out

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from quillspark.llm import op1_html_extraction as op1
 from quillspark.llm import op2_decontamination as op2
+from quillspark.llm import op3_language_id as op3
 from quillspark.llm import op4_bpe as op4
 from quillspark.llm import op5_quality as op5
 from quillspark.llm import op6_exact_dedup as op6
@@ -65,6 +66,7 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for df in (op1.extract(pages), op2.report(docs, bench), op4.roundtrip(docs, PATH), op5.classify(docs, labels), op6.classify(docs), op6.dedup(docs), op7.judge(pages), op8.shard(docs), op9.find(docs), op10.join(docs), op10.near_dedup(docs)):
         assert df.count() == 0
+    assert op3.identify(pages, docs).count() == 0
     full = odd(spark, "one two three")
     assert op2.report(full, bench).first().contaminated is False
     assert op5.classify(full, labels).first().kept is True
@@ -135,6 +137,21 @@ def test_longest_match_and_blocks(spark):
     assert whole == split and (whole.longest, whole.n_hit, whole["items"]) == (17, 17, ["7"])
 
 
+# 3
+
+
+def test_evidence_other_than_text_decides_where_there_is_none(spark):
+    docs = spark.createDataFrame([(i, "the house and the tree of this" if i % 2 else "das haus und der baum ist nicht", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    said = {"en": "<p>the tree and the house, of this.</p>", "de": "<p>der baum und das haus, nicht.</p>"}
+    pages = [(i, f"http://a{i % 3}.de/{i}", f"<html lang=de-AT>{said['de']}") for i in range(30)] + [(i, f"http://b{i % 3}.uk/{i}", f"<html lang='en'>{said['en']}") for i in range(30, 60)]
+    pages += [(100, "http://a1.de/x", None), (101, "http://b9.uk/y", ""), (102, None, "<html lang=de>"), (103, "http://a1.de/z", f"<html lang=de>{said['en']}"), (None, None, None), (104, "x", f"<html lang=xx>{said['en']}")]
+    df = spark.createDataFrame([(*p, "c", "d") for p in pages], "page_id long, url string, html string, host string, declared string")
+    got = {r.page_id: r for r in op3.identify(df, docs).collect()}
+    assert len(got) == len(pages) and {i: got[i].lang for i in (0, 45, 100, 101, 102, 103, 104)} == {0: "de", 45: "en", 100: "de", 101: "en", 102: "de", 103: "en", 104: "en"}
+    assert got[100].text_lang is None and got[104].declared == "other" and 0.5 < got[100].confidence < 1
+    assert op3.identify(df, docs.where("false")).first().lang is None
+
+
 # 4
 
 

@@ -32,7 +32,7 @@ def rows(df, *columns):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == [1, 2, 4, 5, 6, 7, 8, 9, 10]
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -64,6 +64,17 @@ def test_op2_equals_brute_force(spark, sf, db, texts):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(ids), plain.sha(",".join(ids)), hit > 0)
 
 
+def test_op3_equals_brute_force_and_the_path(spark, sf, db):
+    from quillspark.llm.op1_html_extraction import main_text
+
+    pages = db.execute("SELECT page_id, url, html FROM pages").fetchall()
+    want = plain.language_posteriors(pages, db.execute("SELECT lang, text FROM documents").fetchall(), main_text)
+    got = {r.page_id: r for r in QUERIES["op3_language_id"](spark, sf).collect()}
+    for i, url, _ in pages:
+        assert all(abs(got[i].posterior[x] - p) < 1e-6 for x, p in want[i].items())
+        assert got[i].lang == max(sorted(want[i]), key=want[i].get) == url.split("/")[3]
+
+
 def test_op4_equals_the_library(spark, sf, texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in QUERIES["op4_bpe"](spark, sf).collect():
