@@ -1,11 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is over UTF-8 bytes, so that it has a probability for every text of every script, one model for each language. n-grams
-of the trusted documents are counted in the tasks that read them and added up by language and n-gram. Lower orders hold
+of the trusted documents are counted block by block and added up by language and n-gram. Lower orders hold
 continuation counts, discounts come from the counts of counts, and each order is interpolated with the one below it down to a uniform
 distribution over bytes: all of it grouped sums and joins on (language, n-gram), sharded by their hash.
 
-Documents are packed into blocks of about `block_bytes`, written once as a table bucketed by block. A block asks for the probability of each
+Documents are packed into blocks of about `block_bytes`, written once as a table bucketed by block. The ids of a block's documents meet the
+labels in a join, and those that are trusted go back to the block, where their n-grams are counted. A block asks for the probability of each
 different n-gram in it; the asked n-grams meet the sharded counts in joins, and the answers go to their block, which lies in its bucket
 already, so that texts are not shuffled. There each document's perplexity is read off.
 
@@ -13,8 +14,7 @@ A tenth of the trusted documents is left out of the counts. A short text's perpl
 `prior_bytes` bytes of the median perplexity of those left out in its language. The quantile of theirs, so weighed,
 times `slack` is the language's threshold, above which documents are rejected.
 
-Bound: at most `most_trusted` labelled documents train the model (those of the least hashes of doc_id, if there are more): their ids are
-sent to the tasks, 8 bytes each. All else covers all documents.
+Counts and thresholds come from all trusted documents; nothing that grows with them is collected or sent to the tasks.
 
 Defined cases: null lang is the language `und`; a language without trusted documents has no threshold and keeps its documents; a
 document without text (null, empty) has no perplexity and is rejected; conflicting labels of a document count as not
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, fresh, text_of
@@ -38,7 +38,6 @@ ORDER = 4
 QUANTILE = 0.995
 SLACK = 1.2
 PRIOR_BYTES = 50
-MOST_TRUSTED = 500_000
 BLOCK_BYTES = 16 << 20
 CALIBRATE = 10
 
@@ -95,28 +94,28 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return u, np.bincount(at, weights=counts, minlength=len(u)).astype(np.int64)
 
 
+def by_language(batch: pa.RecordBatch, taken: np.ndarray, order: int) -> Iterator[tuple[str, tuple[np.ndarray, np.ndarray]]]:
+    """(language, (n-grams, their counts)) of the taken documents, a language once for each part of its text."""
+    langs = np.array(batch["lang"].to_pylist(), dtype=object)
+    for lang in set(langs[taken].tolist()):
+        texts = batch["text"].take(pa.array(np.flatnonzero(taken & (langs == lang))))
+        for parts in parts_of([x.encode("utf-8", "surrogatepass") for x in texts.to_pylist()], order):
+            code, real, _ = grams_of(parts, order)
+            yield lang, np.unique(code[real], return_counts=True)
+
+
 class Block:
-    """Documents on their way into a block: the batches, and by language the n-grams asked for and the counts of trusted ones."""
+    """Documents on their way into a block: the batches, and by language the n-grams asked for."""
 
     def __init__(self, order: int) -> None:
         self.order, self.batches, self.size = order, [], 0
         self.asked: dict[str, list] = {}
-        self.counted: dict[str, list] = {}
 
-    def add(self, batch: pa.RecordBatch, trusted: np.ndarray) -> None:
+    def add(self, batch: pa.RecordBatch) -> None:
         self.batches.append(batch)
         self.size += batch["text"].nbytes
-        texts = [x.encode("utf-8", "surrogatepass") for x in batch["text"].to_pylist()]
-        langs = np.array(batch["lang"].to_pylist(), dtype=object)
-        for lang in set(langs.tolist()):
-            for train in (True, False):
-                mine = [t for t, ok in zip(texts, (langs == lang) & (trusted == train)) if ok]
-                for parts in parts_of(mine, self.order):
-                    code, real, _ = grams_of(parts, self.order)
-                    u, n = np.unique(code[real], return_counts=True)
-                    self.asked.setdefault(lang, []).append((u, np.zeros(len(u))))
-                    if train:
-                        self.counted.setdefault(lang, []).append((u, n))
+        for lang, parts in by_language(batch, np.ones(batch.num_rows, dtype=bool), self.order):
+            self.asked.setdefault(lang, []).append((parts[0], np.zeros(len(parts[0]))))
 
     def rows(self) -> Iterator[dict]:
         sink = io.BytesIO()
@@ -124,14 +123,13 @@ class Block:
             for b in self.batches:
                 out.write_batch(b)
         name = uuid.uuid4().int >> 65
-        yield {"block": name, "lang": None, "docs": sink.getvalue(), "asked": None, "counted": None, "counts": None}
+        ids = np.unique(np.concatenate([b["doc_id"].drop_null().to_numpy() for b in self.batches]))
+        yield {"block": name, "lang": None, "docs": sink.getvalue(), "ids": packed(ids), "asked": None}
         for lang, parts in self.asked.items():
-            u, _ = merged(parts)
-            seen, n = merged(self.counted[lang]) if lang in self.counted else (None, None)
-            yield {"block": name, "lang": lang, "docs": None, "asked": packed(u), "counted": None if seen is None else packed(seen), "counts": None if seen is None else packed(n)}
+            yield {"block": name, "lang": lang, "docs": None, "ids": None, "asked": packed(merged(parts)[0])}
 
 
-BLOCKS = "block long, lang string, docs binary, asked binary, counted binary, counts binary"
+BLOCKS = "block long, lang string, docs binary, ids binary, asked binary"
 
 
 def arrow_of(rows: list[dict], schema: str) -> pa.RecordBatch:
@@ -139,19 +137,13 @@ def arrow_of(rows: list[dict], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]))
 
 
-def blocks(docs: DataFrame, ids: np.ndarray, order: int, block_bytes: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(ids)
-
+def blocks(docs: DataFrame, order: int, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = sent.value, Block(order)
+        block = Block(order)
         for whole in batches:
             step = max(1, int(whole.num_rows * min(1, (2 << 20) / max(1, whole["text"].nbytes))))
             for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                own = np.array([-1 if x is None else x for x in batch["doc_id"].to_pylist()], dtype=np.int64)
-                place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                trusted = (known[place] == own) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False) & (fold_of(own) > 0) if len(known) else np.zeros(len(own), dtype=bool)
-                block.add(batch, trusted)
+                block.add(whole.slice(at, step))
                 if block.size >= block_bytes:
                     yield arrow_of(list(block.rows()), BLOCKS)
                     block = Block(order)
@@ -161,6 +153,26 @@ def blocks(docs: DataFrame, ids: np.ndarray, order: int, block_bytes: int) -> Da
     return docs.mapInArrow(run, BLOCKS)
 
 
+COUNTED = "block long, lang string, grams binary, counts binary"
+
+
+def counts_of(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
+    """The n-gram counts, by language, of a block's documents whose ids are given."""
+    known, held = np.sort(right["doc_id"].to_numpy()), {}
+    for blob in left["docs"].to_pylist() if len(known) else ():
+        for batch in pa.ipc.open_stream(blob):
+            own = batch["doc_id"].fill_null(0).to_numpy()
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            taken = (known[place] == own) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+            for lang, part in by_language(batch, taken, order):
+                held.setdefault(lang, []).append(part)
+    rows = []
+    for lang, parts in held.items():
+        grams, n = merged(parts)
+        rows.append({"block": left["block"][0].as_py(), "lang": lang, "grams": packed(grams), "counts": packed(n)})
+    return pa.Table.from_batches([arrow_of(rows, COUNTED)])
+
+
 def listed(packs: DataFrame, schema: str, counts: bool) -> DataFrame:
     """One row for each n-gram of the packs."""
 
@@ -240,41 +252,68 @@ def scores_of(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
     return pa.Table.from_batches(out, schema=pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())]))
 
 
+def trusted(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents labelled good."""
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+
+
 def trusted_ids(labels: DataFrame, most: int) -> np.ndarray:
-    """Ids of the documents labelled good, at most as many as given but for ties of the hash."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    """A sample of the ids of trusted documents, at most as many as given but for ties of the hash. The classifier takes all of them instead."""
+    good = trusted(labels)
     n = good.count()
     if n > most:
         good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
     return np.sort(np.array([r[0] for r in good.collect()], dtype=np.int64))
 
 
-def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, prior_bytes: int = PRIOR_BYTES, most_trusted: int = MOST_TRUSTED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def folded(ids: DataFrame) -> DataFrame:
+    """doc_id, fold"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fold_of(batch["doc_id"].to_numpy()))], names=["doc_id", "fold"])
+
+    return ids.mapInArrow(run, "doc_id long, fold long")
+
+
+def quantile_of(rows: DataFrame, value: Column, q: float) -> DataFrame:
+    """(lang, value): the exact quantile by language, from sorted rows, which can spill."""
+    values = rows.select("lang", value.alias("value"))
+    at = q * (F.col("n") - 1)
+    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("value")) - 1).join(values.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+    ends = ranked.where((F.col("rank") >= F.floor(at)) & (F.col("rank") <= F.ceil(at))).groupBy("lang", "n").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return ends.select("lang", (F.col("low") + (at - F.floor(at)) * (F.col("high") - F.col("low"))).alias("value"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, prior_bytes: int = PRIOR_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, h (hash of the text), lang, n_bytes, perplexity, evidence (the weighed perplexity), threshold, kept for each row."""
-    spark, ids = docs.sparkSession, trusted_ids(labels, most_trusted)
+    spark, good = docs.sparkSession, durable(folded(trusted(labels)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), text_of().alias("text"))
     name = f"quill_blocks_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks(rows, ids, order, block_bytes).write.bucketBy(n, "block").option("compression", "none").saveAsTable(name)
+    blocks(rows, order, block_bytes).write.bucketBy(n, "block").option("compression", "none").saveAsTable(name)
     table = spark.table(name)
-    counts = listed(table.where("counted is not null").select("block", "lang", "counted", "counts"), "lang string, gram long, n long", True)
-    packs = table.where("asked is not null").select("block", "lang", "asked", F.lit(None).cast("binary").alias("more"))
-    asked = listed(packs, "lang string, gram long, block long", False)
+    none, full = F.lit(None).cast("binary").alias("more"), table.where("docs is not null")
+    held = listed(full.select("block", "lang", "ids", none), "lang string, gram long, block long", False).select("block", F.col("gram").alias("doc_id"))
+    # fold 0 is left out of the counts
+    train = held.join(good.where("fold > 0"), "doc_id").select("block", "doc_id")
+    full = full.select("block", "docs").groupBy("block")
+    counted = full.cogroup(train.groupBy("block")).applyInArrow(lambda a, b: counts_of(a, b, order), COUNTED)
+    # written between the two, so that a task has one Python worker at a time
+    counts = listed(durable(counted), "lang string, gram long, n long", True)
+    asked = listed(table.where("asked is not null").select("block", "lang", "asked", none), "lang string, gram long, block long", False)
     answers = probabilities(counts, durable(asked.select("lang", "gram").distinct()), order)
     sent = asked.join(answers, ["lang", "gram"]).select("block", "lang", "gram", "logp")
-    full = table.where("docs is not null").select("block", "docs").groupBy("block").cogroup(sent.groupBy("block"))
-    scored = durable(full.applyInArrow(lambda a, b: scores_of(a, b, order), SCORED))
+    scored = durable(full.cogroup(sent.groupBy("block")).applyInArrow(lambda a, b: scores_of(a, b, order), SCORED))
     spark.sql(f"DROP TABLE {name}")
-    # of the trusted documents, fold 0 was left out of the counts
-    held_out = durable(spark.createDataFrame([(int(i),) for i in ids[fold_of(ids) == 0]], "doc_id long"))
-    set_by = scored.join(held_out, "doc_id").where("perplexity is not null")
-    middle = durable(set_by.groupBy("lang").agg(F.exp(F.percentile(F.log("perplexity"), 0.5)).alias("middle")))
+    set_by = durable(scored.join(good.where("fold = 0").select("doc_id"), "doc_id").where("perplexity is not null"))
+    middle = durable(quantile_of(set_by, F.log("perplexity"), 0.5).select("lang", F.exp("value").alias("middle")))
 
     def weighed(df: DataFrame) -> DataFrame:
         n = F.col("n_bytes")
         return df.join(middle, "lang", "left").withColumn("evidence", F.exp((n * F.log("perplexity") + prior_bytes * F.log("middle")) / (n + prior_bytes)))
 
-    limits = durable(weighed(set_by).groupBy("lang").agg((slack * F.percentile("evidence", quantile)).alias("threshold")))
+    limits = durable(quantile_of(weighed(set_by), F.col("evidence"), quantile).select("lang", (slack * F.col("value")).alias("threshold")))
     kept = F.when(F.col("n_bytes") == 0, False).otherwise(F.coalesce(F.col("evidence") <= F.col("threshold"), F.lit(True)))
     return weighed(scored).join(limits, "lang", "left").withColumn("kept", kept)
 

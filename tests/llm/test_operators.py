@@ -211,6 +211,19 @@ def test_trusted_documents_are_bounded(spark):
     assert op5.trusted_ids(twice, 100).tolist() == [2]
 
 
+def test_all_trusted_documents_train_however_many_are_labelled(spark):
+    texts = [(i, f"x{i % 7}" if i < 7 else "en", f"text {i * i} of number {i}, {i % 5} and more") for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    labels = spark.range(600_000).selectExpr("id doc_id", "1 quality", "0 toxic")
+    want = plain.judgements(texts, [(i, 1) for i, _, _ in texts], lambda i: int(op5.fold_of(np.array([i]))[0]), op5.QUANTILE, op5.SLACK, op5.PRIOR_BYTES)
+    for block_bytes in (op5.BLOCK_BYTES, 1000):
+        got = {r.doc_id: (r.perplexity, r.kept) for r in op5.classify(docs, labels, block_bytes=block_bytes).collect()}
+        assert set(got) == set(want)
+        for i, (perplexity, kept) in want.items():
+            assert got[i][1] == kept and (got[i][0] is None) == (perplexity is None)
+            assert perplexity is None or abs(got[i][0] / perplexity - 1) < 1e-9
+
+
 def test_long_texts_are_cut_without_a_trace():
     texts = [b"abc", b"x" * 50, bytes(range(1, 200))]
     whole, cut = ([op5.grams_of(p, 4) for p in op5.parts_of(texts, 4, most)] for most in (1 << 20, 7))
