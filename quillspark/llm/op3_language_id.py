@@ -13,9 +13,9 @@ The last three come from grouped sums of the pages' posteriors by text alone, so
 they are read; suffix and domain hang on the host, so pages meet their evidence in one join on the host, which Spark may
 split, and a page's own posterior is taken out of its host's sum.
 
-The trigram models are trained on the documents' `lang`, on at most `most_documents` of them (those of the least hashes of doc_id), for
-the `most_languages` most frequent languages: a table of fixed size, 2^16 numbers a language, which is what is sent to the tasks.
-Declared languages count as those of the model, `other`, or none, so their table is bounded too.
+The trigram models are trained on the documents' `lang`, for every language there, on about `most_documents` of each (those of the least
+hashes; all where there are no more): 2^16 numbers a language. They are trained and sent to the tasks in blocks of `most_languages`; with more
+than one block, the pages' trigrams are written down between the blocks. Declared languages count as those of the model, `other`, or none.
 
 Defined cases: a page without text (null or empty html) has no text_lang and is judged by the other evidence; without url or host, by the shares of all pages; no
 declared language is evidence like any other value; ties go to the first language by name; no labelled documents: language null; repeated
@@ -56,51 +56,74 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint32(16)).astype(np.int64)
 
 
-def train(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities by language and bucket)"""
-    told = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", "lang", "text")
-    counts = sorted(((n, x) for x, n in told.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()), key=lambda x: x[1])
-    languages, total = [x for _, x in counts], sum(n for n, _ in counts)
-    if total > most_documents:
-        told = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_documents / total))
+def train(told: DataFrame, counts: dict[str, int], most_documents: int = MOST_DOCUMENTS) -> np.ndarray:
+    """Log-probabilities by language and bucket, for the languages with the given numbers of documents."""
+    languages = list(counts)
+    table = np.zeros((len(languages), BUCKETS))
+    if not languages:
+        return table.astype(np.float32)
+    shares = told.sparkSession.createDataFrame([(x, int((1 << 30) * min(1.0, most_documents / n))) for x, n in counts.items()], "lang string, share long")
+    taken = told.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
-                if lang in known:
-                    held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                    held[lang] += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
+                held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+                held[lang] += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
         for lang, n in held.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    known, table = set(languages), np.zeros((len(languages), BUCKETS))
-    for lang, bucket, n in told.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n")).collect():
-        table[languages.index(lang), bucket] = n
-    return languages, np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)) if languages else table
+    summed = taken.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    place = {x: i for i, x in enumerate(languages)}
+    table[[place[x] for x in summed["lang"].to_pylist()], summed["bucket"].to_numpy()] = summed["n"].to_numpy()
+    return np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
 
 
-def read_pages(pages: DataFrame, languages: list[str], logs: np.ndarray, most_grams: int) -> DataFrame:
-    """page_id, url, declared, n_grams, fit: the tempered log-likelihoods by language, the best at 0."""
-    sent = pages.sparkSession.sparkContext.broadcast((languages, logs.astype(np.float32)))
+READ = "page_id long, url string, declared string, n_grams long, grams binary, fit array<double>"
+
+
+def fitted(pages: DataFrame, known: set[str], logs: np.ndarray, most_grams: int, first: bool, last: bool) -> DataFrame:
+    """A block of languages added to the pages' tempered log-likelihoods; the last block puts the best at 0."""
+    sent = pages.sparkSession.sparkContext.broadcast(logs)
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[float]]]:
+        if not first:
+            for said, grams, fit in zip(batch["declared"].to_pylist(), batch["grams"], batch["fit"].to_pylist()):
+                yield said, np.frombuffer(grams.as_py(), dtype=np.uint16), fit
+            return
+        for x in batch["html"]:
+            page = x.as_py() or ""
+            said = DECLARED.search(page)
+            said = said[1].lower() if said else "none"
+            yield said if said in known or said == "none" else "other", trigrams(main_text(page)), []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = sent.value
+        table = sent.value
         for batch in batches:
-            declared, counts, fits = [], [], []
-            for x in batch["html"]:
-                page = x.as_py() or ""
-                said = DECLARED.search(page)
-                said = said[1].lower() if said else "none"
-                grams = trigrams(main_text(page))
-                fit = table[:, grams].sum(axis=1, dtype=np.float64) * min(1.0, most_grams / max(1, len(grams)))
-                declared.append(said if said in known or said == "none" else "other")
+            declared, counts, kept, fits = [], [], [], []
+            for said, grams, before in read(batch):
+                fit = np.concatenate([before, table[:, grams].sum(axis=1, dtype=np.float64) * min(1.0, most_grams / max(1, len(grams)))])
+                declared.append(said)
                 counts.append(len(grams))
-                fits.append((fit - fit.max()).tolist() if len(known) else [])
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(declared, pa.string()), pa.array(counts, pa.int64()), pa.array(fits, pa.list_(pa.float64()))], names=["page_id", "url", "declared", "n_grams", "fit"])
+                kept.append(None if last else grams.astype(np.uint16).tobytes())
+                fits.append((fit - fit.max() if last and len(fit) else fit).tolist())
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(declared, pa.string()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary()), pa.array(fits, pa.list_(pa.float64()))], names=["page_id", "url", "declared", "n_grams", "grams", "fit"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, declared string, n_grams long, fit array<double>")
+    return pages.mapInArrow(run, READ)
+
+
+def read_pages(pages: DataFrame, told: DataFrame, counts: dict[str, int], most_grams: int, most_documents: int, most_languages: int) -> DataFrame:
+    """page_id, url, declared, n_grams, fit: the tempered log-likelihoods by language, the best at 0."""
+    languages, df = list(counts), pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
+    starts = range(0, max(1, len(languages)), most_languages)
+    for at in starts:
+        logs = train(told, {x: counts[x] for x in languages[at : at + most_languages]}, most_documents)
+        df = fitted(df, set(languages), logs, most_grams, at == starts[0], at == starts[-1])
+        if at != starts[-1]:
+            df = durable(df)
+    return df.drop("grams")
 
 
 def normalized(weights: Column) -> Column:
@@ -120,9 +143,10 @@ def shrunk(counts: Column, size: Column, share: Column, weight: float) -> Column
 
 def identify(pages: DataFrame, docs: DataFrame, most_grams: int = MOST_GRAMS, most_documents: int = MOST_DOCUMENTS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """page_id, url, declared, text_lang (by text alone), lang, confidence, posterior (map of all languages)."""
-    languages, logs = train(docs, most_documents, most_languages)
-    n = len(languages)
-    read = read_pages(pages, languages, logs, most_grams)
+    told = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", "lang", "text")
+    counts = dict(sorted((x, k) for x, k in told.groupBy("lang").count().collect()))
+    languages, n = list(counts), len(counts)
+    read = read_pages(pages, told, counts, most_grams, most_documents, most_languages)
     if not n:
         none = F.lit(None).cast("string")
         return read.select("page_id", "url", "declared", none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,double>").alias("posterior"))
@@ -142,14 +166,14 @@ def identify(pages: DataFrame, docs: DataFrame, most_grams: int = MOST_GRAMS, mo
     likely = F.transform("of", lambda x, i: F.log((x + EVEN) / (F.get(F.array(*map(F.lit, of_all)), i) + EVEN * kinds)))
     evidence = durable(hosts.join(in_domain, "domain").join(suffixes.select("suffix", likely.alias("by_suffix")), "suffix").where("host <> ''").select("host", "pages", "counts", "domain_share", "by_suffix"))
 
-    values = [*languages, "other", "none"]
-    said = {d: [x or 0.0 for x in c] for d, c in by_text.groupBy("declared").agg(sums("p", n)).collect()}
-    by_markup = {d: [float(np.log((said.get(d, [0.0] * n)[i] + EVEN) / (of_all[i] + EVEN * len(values)))) for i in range(n)] for d in values}
-    markup = F.create_map(*(x for d in values for x in (F.lit(d), F.array(*map(F.lit, by_markup[d])))))
+    values = n + 2
+    said = by_text.groupBy("declared").agg(sums("p", n).alias("of_said"))
+    by_markup = F.transform("of_said", lambda x, i: F.log((x + EVEN) / (F.get(F.array(*map(F.lit, of_all)), i) + EVEN * values)))
+    markup = durable(said.select("declared", by_markup.alias("by_markup")))
 
     own_out = F.zip_with("counts", "p", lambda c, x: F.greatest(c - x, F.lit(0.0)))
     by_host = F.coalesce(shrunk(own_out, F.col("pages") - 1, F.col("domain_share"), HOST_WEIGHT), share)
-    fused = by_text.join(evidence, "host", "left").select("page_id", "url", "declared", "n_grams", "fit", by_host.alias("by_host"), F.coalesce("by_suffix", F.array(*[F.lit(0.0)] * n)).alias("by_suffix"), markup[F.col("declared")].alias("by_markup"))
+    fused = by_text.join(evidence, "host", "left").join(F.broadcast(markup), "declared").select("page_id", "url", "declared", "n_grams", "fit", by_host.alias("by_host"), F.coalesce("by_suffix", F.array(*[F.lit(0.0)] * n)).alias("by_suffix"), "by_markup")
     score = F.zip_with(F.zip_with("fit", F.transform("by_host", lambda x: F.log(x)), lambda a, b: a + b), F.zip_with("by_suffix", "by_markup", lambda a, b: a + b), lambda a, b: a + b)
     named = F.array(*map(F.lit, languages))
     best = lambda x: F.get(named, (F.array_position(x, F.array_max(x)) - 1).cast("int"))
