@@ -1,24 +1,28 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes its text blocks in order, each with the path of block elements from the root (an element's class is part of its name). For
-each path the text length, outside links, and the punctuation of its blocks are added up and divided by the
-number of its blocks: the tag-path ratios. A block takes its path's ratios; both series are smoothed over the page by a
-Gaussian, fused by multiplication, and blocks at or above a part of the standard deviation are content. Paths through an element whose name, role, class or id
-says menu, header, footer, sidebar, notice, advert, form or comments count as zero.
+A page becomes its text blocks in order, each with the path of block elements from the root (an element's class is part of its name).
+For each path the text outside links and the punctuation of its blocks are added up and divided by the number of its
+blocks: the tag-path ratios. Each block takes its path's ratios; both series are smoothed over the page by a Gaussian, fused
+(text times one plus punctuation), averaged over the path's blocks again and multiplied by the root of the path's share of the page's
+text: the path's score. Paths whose score reaches `part` of the page's mean score, weighed by text, are content, and their
+blocks are selected.
 
-The content blocks then name the article: the innermost element that holds four fifths of their text, or the article or main
-element around it. Its text is all its blocks but those of the zero paths, so that headings and one-word paragraphs, which no ratio
-shows, come along. Extraction needs a page's own bytes only, so nothing is shuffled.
+Names (an element, role, class or id that says menu, header, footer, sidebar, notice, advert, form or comments) are a prior and
+no more: they lower the score of the paths below them, to `PRIOR` of it, and further the less text a page has to judge by.
+
+Headings and short paragraphs, which no ratio shows, come along with what they belong to: text elements whose parent, or its
+parent, is also the parent of a selected block, and headings and weakly scored text elements that touch kept blocks in page order. Paths under
+the prior and paths of links are never taken that way. Extraction needs a page's own bytes only, so nothing is shuffled.
 
 Defined cases: null, empty and text-free pages give the empty text; unclosed, crossed and cut-off tags are read as browsers do, nearly;
-`<br>` counts as white space; very long pages take time in proportion to their length; repeated rows give a row each; other columns are ignored.
+`<br>` counts as white space; time and memory grow in proportion to the page, however deep it nests; repeated rows give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Of the standard deviation of the fused ratios.
-PART = 0.5
-#: Of the content blocks' text that the article holds at least: stray blocks elsewhere don't widen it.
-SHARE = 0.8
-RADIUS, SIGMA = 2, 1.0
+#: Of the page's mean: what a path's score needs to be content, and what the bare ratios of a text element beside content need.
+PART, WEAK = 0.5, 0.15
+#: What names leave of a score on a page of ENOUGH characters outside links; on shorter ones less, by the cube of their share of it.
+PRIOR, ENOUGH = 0.3, 500
+#: Of the Gaussian over neighbouring blocks.
+RADIUS, SIGMA = 1, 0.7
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
-PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
+PUNCTUATION = re.compile(r"[.,;:!?…](?=[\s\"'”’»)\]]|\Z)|[。，；：！？、]")
 
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
@@ -43,7 +48,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table select article section main body html div".split())
-TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr figcaption address".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = HEADING | frozenset("p li dt dd pre blockquote td th figcaption address".split())
 ASIDE = frozenset("nav footer aside form menu button select dialog head fieldset object svg audio video canvas".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices alert sidebar sidebars nav navbar navigation menu menus submenu "
@@ -54,30 +60,74 @@ ASIDE_NAMES = frozenset(
 
 
 class Element:
-    __slots__ = ("name", "path", "aside", "up")
+    __slots__ = ("name", "path", "aside", "article", "up")
 
-    def __init__(self, name: str, path: str, aside: bool, up: Element | None) -> None:
-        self.name, self.path, self.aside, self.up = name, path, aside, up
+    def __init__(self, name: str, path: int, aside: bool, article: bool, up: Element | None) -> None:
+        self.name, self.path, self.aside, self.article, self.up = name, path, aside, article, up
 
 
 class Block:
-    __slots__ = ("element", "text", "length", "points")
+    __slots__ = ("element", "text", "length", "points", "linked")
 
     def __init__(self, element: Element, text: str, linked: int) -> None:
-        self.element, self.text = element, text
-        self.length, self.points = max(0, len(text) - linked), len(PUNCTUATION.findall(text))
+        self.element, self.text, self.linked = element, text, min(linked, len(text))
+        self.length, self.points = len(text) - self.linked, len(PUNCTUATION.findall(text))
+
+
+class Open:
+    """The open elements, with the places of each name, so that no tag has to walk all of them. Paths are numbers."""
+
+    def __init__(self) -> None:
+        self.stack = [Element("", 0, False, False, None)]
+        self.places: dict[str, list[int]] = {}
+        self.scopes = [0]
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def push(self, name: str, names: str, classes: str) -> None:
+        up = self.stack[-1]
+        aside = up.aside or name in ASIDE or name == "header" and not up.article
+        if names and not aside and name not in ("html", "body", "article", "main"):
+            told = {y for x in names.split() for y in PARTS.split(x)} & ASIDE_NAMES
+            aside = bool(told - {"header"} if up.article else told)
+        path = self.paths.setdefault((up.path, f"{name}.{classes}"), len(self.paths) + 1)
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(Element(name, path, aside, up.article or name in ("article", "main"), up))
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        for e in self.stack[at:]:
+            self.places[e.name].pop()
+        del self.stack[at:]
+        while self.scopes[-1] >= at:
+            self.scopes.pop()
+
+    def close(self, name: str) -> None:
+        if held := self.places.get(name):
+            self.cut(held[-1])
+
+    def make_room(self, name: str) -> None:
+        """Close what a start tag ends: an open paragraph and its own kind, up to the next enclosing list, table or section."""
+        first = len(self.stack)
+        for x in ("p", *CLOSES.get(name, ())):
+            if held := self.places.get(x):
+                if (i := bisect_right(held, self.scopes[-1])) < len(held):
+                    first = min(first, held[i])
+        if first < len(self.stack):
+            self.cut(first)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in their order."""
-    at, found = Element("", "", False, None), []
+    open_, found = Open(), []
     run: list[str] = []
     links = linked = 0
 
     def cut() -> None:
         nonlocal linked
         if run and (text := " ".join(html.unescape("".join(run)).split())):
-            found.append(Block(at, text, linked))
+            found.append(Block(open_.stack[-1], text, linked))
         run.clear()
         linked = 0
 
@@ -98,14 +148,9 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if name == "a":
                 links = 0
-            if name in INLINE:
-                continue
-            e = at
-            while e.up and e.name != name:
-                e = e.up
-            cut()
-            if e.up:
-                at = e.up
+            if name not in INLINE:
+                cut()
+                open_.close(name)
             continue
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, place)
@@ -124,20 +169,9 @@ def blocks_of(page: str) -> list[Block]:
         cut()
         if name in VOID:
             continue
-        e = at
-        while e.up and e.name not in SCOPE:
-            if e.name == "p" or e.name in CLOSES.get(name, ()):
-                at = e.up
-            e = e.up
-        names = " ".join(x[1] or x[2] or x[3] for x in NAMED.findall(m[3])).lower() if m[3] and "=" in m[3] else ""
-        within = at
-        while within.up and within.name not in ("article", "main"):
-            within = within.up
-        aside = at.aside or name in ASIDE or name == "header" and not within.up
-        if names and not aside and name not in ("html", "body", "article", "main"):
-            told = {y for x in names.split() for y in PARTS.split(x)} & ASIDE_NAMES
-            aside = bool(told - {"header"} if within.up else told)
-        at = Element(name, f"{at.path}/{name}{'.' + names if names else ''}", aside, at)
+        open_.make_room(name)
+        said = [(k.lower(), x or y or z) for k, x, y, z in NAMED.findall(m[3])] if m[3] and "=" in m[3] else []
+        open_.push(name, " ".join(v for _, v in said).lower(), " ".join(v for k, v in said if k == "class").lower())
     cut()
     return found
 
@@ -148,61 +182,52 @@ def smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, RADIUS, mode="edge"), kernel, mode="valid")
 
 
-def ratios(blocks: list[Block]) -> np.ndarray:
-    """The fused tag-path ratio of each block."""
-    length, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in blocks:
-        key = b.element.path
-        length[key] += b.length
-        points[key] += b.points
-        count[key] += 1
-    mine = [(0.0, 0.0) if b.element.aside else (length[b.element.path] / count[b.element.path], points[b.element.path] / count[b.element.path]) for b in blocks]
-    text, marks = np.array(mine, dtype=float).T
-    fused = smooth(text) * (1 + smooth(marks))
-    return np.where([b.element.aside for b in blocks], 0.0, fused)
-
-
-def article_of(blocks: list[Block], part: float = PART, share: float = SHARE) -> Element | None:
-    """The innermost element that holds the given share of the content blocks' text, or the article or main element around it."""
-    score = ratios(blocks)
-    chosen = [b for b, s in zip(blocks, score) if s > 0 and s >= part * score.std()]
-    if not chosen:
-        return None
-
-    def line(e: Element | None) -> list[Element]:
-        up = []
-        while e:
-            up.append(e)
-            e = e.up
-        return up[::-1]
-
-    weight: dict[int, int] = defaultdict(int)
-    for b in chosen:
-        for e in line(b.element):
-            weight[id(e)] += len(b.text)
-    heaviest = line(max(chosen, key=lambda b: [weight[id(e)] for e in line(b.element)]).element)
-    path = [e for e in heaviest if weight[id(e)] >= share * weight[id(heaviest[0])]]
-    around = [e for e in path if e.name == "article"] or [e for e in path if e.name == "main"]
-    if around:
-        return around[0]
-    while len(path) > 1 and path[-1].name in TEXTUAL:
-        path.pop()
-    return path[-1]
-
-
-def main_text(page: str | None, part: float = PART) -> str:
-    """The article's blocks, joined by line ends."""
+def ratios(path: np.ndarray, length: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The fused score of each path, from the path, the text and the punctuation of each block."""
+    n, total = np.bincount(path), np.bincount(path, length)
+    text, marks = total / n, np.bincount(path, points) / n
+    fused = smooth(text[path]) * (1 + smooth(marks[path]))
+    return np.bincount(path, fused) / n * np.sqrt(total / max(1.0, total.sum()))
+
+
+def selected(blocks: list[Block], part: float = PART, score_of=ratios) -> list[Block]:
+    """The blocks that are content, in page order."""
+    names = {p: i for i, p in enumerate(dict.fromkeys(b.element.path for b in blocks))}
+    path = np.array([names[b.element.path] for b in blocks])
+    length, points, linked = (np.array([getattr(b, x) for b in blocks], dtype=float) for x in ("length", "points", "linked"))
+    score, text = score_of(path, length, points), np.bincount(path, length)
+    low = PRIOR * min(1.0, text.sum() / ENOUGH) ** 3
+    aside = np.zeros(len(names), dtype=bool)
+    aside[path] = [b.element.aside for b in blocks]
+    prior = np.where(aside, low, 1.0)
+    weight = text * prior
+    if not weight.sum():
+        return []
+    mean = (score * weight).sum() / weight.sum()
+    strong = score * prior >= part * mean
+    # what may come along: neither under the prior nor a list of links
+    free = ~aside & (2 * np.bincount(path, linked) <= np.bincount(path, linked + length))
+    keep = strong[path]
+    hosts = {id(b.element.up) for b, k in zip(blocks, keep) if k}
+    for i, b in enumerate(blocks):
+        e = b.element
+        if not keep[i] and free[path[i]] and (id(e) in hosts or e.name in TEXTUAL and (id(e.up) in hosts or e.up and id(e.up.up) in hosts)):
+            keep[i] = True
+    dense = text * (1 + np.bincount(path, points) / np.bincount(path)) / np.bincount(path)
+    weak = dense >= WEAK * (dense * weight).sum() / weight.sum()
+    loose = [b.element.name in HEADING or b.element.name in TEXTUAL and weak[p] for b, p in zip(blocks, path)]
+    loose = np.array(loose) & free[path]
+    for order in (range(1, len(blocks)), range(len(blocks) - 2, -1, -1)):
+        for i in order:
+            if loose[i] and not keep[i] and keep[i - order.step]:
+                keep[i] = order.step < 0 or blocks[i].element.name not in HEADING
+    return [b for b, k in zip(blocks, keep) if k]
+
+
+def main_text(page: str | None, part: float = PART, score_of=ratios) -> str:
+    """The content blocks, joined by line ends."""
     blocks = blocks_of(page) if page else []
-    root = article_of(blocks, part) if blocks else None
-    if root is None:
-        return ""
-
-    def inside(e: Element | None) -> bool:
-        while e and e is not root:
-            e = e.up
-        return e is root
-
-    return "\n".join(b.text for b in blocks if not b.element.aside and inside(b.element))
+    return "\n".join(b.text for b in selected(blocks, part, score_of)) if blocks else ""
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

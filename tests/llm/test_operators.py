@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -99,11 +100,29 @@ def test_page_of_many_blocks_is_read_in_time():
     assert op1.main_text('<a "' * 2000) == ""
 
 
-def test_stray_blocks_do_not_widen_the_article():
+@pytest.mark.parametrize("unit", ["<div>", "<center>", "<div><p>a", "<ul><li>", "<div></p></section>", "<table><tr><td>x"])
+def test_deep_nesting_takes_time_in_proportion(unit):
+    n = 100_000 // unit.count("<")
+
+    def took(times):
+        began = time.process_time()
+        op1.main_text("<body><p>Text, some of it. And more.</p>" + unit * times + "end")
+        return time.process_time() - began
+
+    assert took(n) < 4 and took(n) < 25 * max(took(n // 10), 0.01)
+
+
+def test_other_containers_with_content_come_along_and_strays_do_not():
     text = "".join(f"<p>Sentence {i}, with some text, long enough. It goes on, and on.</p>" for i in range(12))
-    page = f"<body><div><p>Read, this too. It is short, but dense, with marks, many.</p></div><div><h1>T</h1>{text}</div><div><p>Stray, again, a line. More, of it.</p></div></body>"
+    page = f"<body><div class=teaser><p>Read this, too.</p></div><span>x</span><div class=top><p>No</p></div><h1>Title</h1><div class=lead><p>The intro, in short, says a lot. It has marks.</p></div><div class=body>{text}<ul><li>a<li>b</ul></div><div class=end><p>Stray line</p></div></body>"
     got = op1.main_text(page).split("\n")
-    assert got[0] == "T" and len(got) == 13
+    assert got[:3] == ["Title", "The intro, in short, says a lot. It has marks.", "Sentence 0, with some text, long enough. It goes on, and on."] and got[-2:] == ["a", "b"] and len(got) == 16
+
+
+def test_unnamed_lists_of_links_are_dropped_inside_the_article():
+    text = "".join(f"<p>Sentence {i}, with some text, long enough. It goes on, and on.</p>" for i in range(8))
+    links = "".join(f"<li><a href=/{i}>Another story, number {i}</a>" for i in range(5))
+    assert "Another" not in op1.main_text(f"<body><article>{text}<ul>{links}</ul>{text}</article></body>")
 
 
 # 2

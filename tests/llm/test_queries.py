@@ -42,18 +42,36 @@ def test_sql(spark, db, sf, name):
     assert rows(QUERIES[name](spark, sf), *columns) == sorted(want.fetchall(), key=repr)
 
 
-def test_op1_finds_the_article(spark, sf, db):
+def articles(pages):
+    """page_id -> the blocks of the page's article."""
     import html
 
     want = {}
-    for i, page in db.execute("SELECT page_id, html FROM pages").fetchall():
+    for i, page in pages:
         body = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
         parts = re.split(r"</?(?:p|h1)>", re.sub(r"<br>|</?b>", " ", body))
         want[i] = "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*(>|\Z)", "", p)).split()) for p in parts) if x)
+    return want
+
+
+def test_op1_finds_the_article(spark, sf, db):
+    want = articles(db.execute("SELECT page_id, html FROM pages").fetchall())
     got = QUERIES["op1_html_extraction"](spark, sf).collect()
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_op1_rests_on_the_ratios_and_not_on_names(db):
+    from quillspark.llm.op1_html_extraction import main_text, ratios
+
+    pages = db.execute("SELECT page_id, html FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()
+    want, rnd = articles(pages), np.random.default_rng(7)
+    dealt = sum(main_text(p, score_of=lambda *x: rnd.permutation(ratios(*x))) == want[i] for i, p in pages)
+    drawn = sum(main_text(p, score_of=lambda path, *_: rnd.random(path.max() + 1)) == want[i] for i, p in pages)
+    assert dealt < 0.4 * len(pages) and drawn < 0.6 * len(pages)  # a page's ratios dealt to other paths, or drawn, change its text
+    bare = [(i, re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", p).replace(' class="ad"', "")) for i, p in pages]
+    assert sum(main_text(p) == want[i] for i, p in bare) > 0.94 * len(pages)
+
+
 def test_op2_equals_brute_force(spark, sf, db, texts):
     items = db.execute("SELECT item_id, text FROM benchmark").fetchall()
     want = {i: f for i, f in zip(texts, plain.contamination(texts.values(), items))}
@@ -65,7 +83,7 @@ def test_op2_equals_brute_force(spark, sf, db, texts):
 
 
 def test_op3_equals_brute_force_and_the_path(spark, sf, db):
-    from quillspark.llm.op1_html_extraction import main_text
+    from quillspark.llm.op1_html_extraction import main_text, ratios
 
     pages = db.execute("SELECT page_id, url, html FROM pages").fetchall()
     want = plain.language_posteriors(pages, db.execute("SELECT lang, text FROM documents").fetchall(), main_text)
