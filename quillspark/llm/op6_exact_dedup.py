@@ -2,15 +2,20 @@
 
 The key of a text is its 64-bit hash. The directory is addressed by the key's leading bits; a bucket that would hold more than
 `capacity` bytes of different texts is split by its next bit, and the directory doubles when that bit is beyond its
-depth. What the splits need is a histogram of keys by their leading bits (a copy counts once, so copies overfill nothing); its size is
-bounded by `histogram_bits`, and slots that are still overfull are counted again by their next bits.
+depth. What the splits need is a histogram of the keys by their next `bits` bits (a copy counts once, so copies overfill nothing). The
+keys are written down once; each level counts all slots that are still overfull in one grouped job and splits them where they are,
+so the number of jobs grows with the depth and not with the number of overfull slots.
+
+Buckets in the order of their prefixes are contiguous ranges of keys. Capacity is raised with the total, to 2^-15 of it, so there are at most 2^15
+overfull prefixes of each length and the directory stays small enough to send to the tasks (checked: MOST_BUCKETS), whatever the input.
 
 Building: tasks first put equal texts of a batch together, so a group of copies sends one row from each batch, then rows move to
-the owner of their bucket. An owner reads its buckets in the order of the keys, chains the texts of one key, compares them
+the owner of their bucket; owners have ranges of keys with about the same number of bytes. An owner reads its buckets in the order of the keys, chains the texts of one key, compares them
 byte for byte, and writes an entry for each different text: (bucket, key, chain, keep_id, group_size, text_sha256). Entries are
 Parquet files in the folder that all executors share; the directory lies beside them. One chain at a time is in memory.
 
-Probing: documents look their entry up by key and hash of the whole text, in a join whose large keys Spark may split.
+Probing: documents look their entry up by key and hash of the whole text, in a join whose large keys Spark may split. classify() and
+dedup() remove their index once the probe is written down; build() leaves it for later probes.
 
 Defined cases: null counts as the empty text; of equal texts the largest doc_id stays, a null doc_id only if all are null; of
 rows with equal doc_id and text one is kept; an empty table gives an empty result; other columns are ignored by classify(),
@@ -24,14 +29,18 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, shared_dir, text_of
+from .common import durable, fresh, remove, shared_dir, text_of
 
 CAPACITY = 8 << 20
 HISTOGRAM_BITS = 16
+#: Buckets that the directory may list: 64 prefix lengths of at most 2^15 overfull prefixes each, two buckets under each. Nearly always 2^16 or so.
+MOST_BUCKETS = 1 << 22
+OWNED_BYTES = 16 << 20
 
 
 @dataclass
@@ -54,7 +63,7 @@ def split_buckets(load: dict[int, tuple[int, int]], bits: int, capacity: int, pr
         if total <= capacity or keys < 2:  # one key can't be split: its chain grows instead
             done.append(here)
         elif deep == bits:
-            overfull.append(here)
+            (done if depth + deep == 64 else overfull).append(here)
         else:
             shift = bits - deep - 1
             todo += [(at << 1 | b, deep + 1, [x for x in held if x[0] >> shift & 1 == b]) for b in (1, 0)]
@@ -74,46 +83,59 @@ class Index:
         return spark.read.parquet(f"{self.path}/directory")
 
 
-def directory_of(keys: DataFrame, capacity: int, bits: int) -> tuple[list[Bucket], int]:
-    """The buckets, and the directory's depth. keys: (key, bytes), one row for each key."""
+SPLIT = "prefix long, depth int, load long, overfull boolean"
 
-    def histogram(df: DataFrame, depth: int) -> dict[int, tuple[int, int]]:
-        slot = F.shiftrightunsigned(F.shiftleft("key", depth), 64 - bits).alias("slot")
-        return {s: (n, k) for s, n, k in df.groupBy(slot).agg(F.sum("bytes"), F.count("*")).collect()}
 
-    buckets, todo = split_buckets(histogram(keys, 0), bits, capacity)
-    while todo:
-        b = todo.pop()
-        if b.depth + bits > 64:
-            buckets.append(b)
-            continue
-        inside = keys.where(F.shiftrightunsigned("key", 64 - b.depth) == b.prefix)
-        more, still = split_buckets(histogram(inside, b.depth), bits, capacity, b.prefix, b.depth)
-        buckets, todo = buckets + more, todo + still
-    return buckets, max(b.depth for b in buckets)
-
-
-def in_bucket(rows: DataFrame, buckets: list[Bucket]) -> DataFrame:
-    """Rows with the number of the bucket that owns their key. The directory is broadcast: at most a row for each bucket and depth."""
-    spark, depths = rows.sparkSession, sorted({b.depth for b in buckets})
-    known = spark.createDataFrame([(b.depth, b.prefix if b.prefix < 1 << 63 else b.prefix - (1 << 64), i) for i, b in enumerate(buckets)], "d int, prefix long, bucket int")
-    for d in depths:
-        prefix = F.shiftrightunsigned("key", 64 - d) if d else F.lit(0).cast("long")
-        level = F.broadcast(known.where(F.col("d") == d).select(F.col("prefix").alias("p"), F.col("bucket").alias(f"b{d}")))
-        rows = rows.withColumn("p", prefix).join(level, "p", "left").drop("p")
-    return rows.withColumn("bucket", F.coalesce(*(f"b{d}" for d in depths))).drop(*(f"b{d}" for d in depths))
-
-
-COMBINED = "bucket int, key long, text string, last long, n long"
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def splitter(depth: int, bits: int, capacity: int):
+    """Splits one overfull slot of the level above: a group of at most 2^bits rows."""
+
+    def split(group):
+        load = {s & (1 << bits) - 1: (b, n) for s, b, n in zip(*(group[c].to_pylist() for c in ("slot", "bytes", "n")))}
+        done, over = split_buckets(load, bits, capacity, group["parent"][0].as_py() & (1 << 64) - 1, depth)
+        rows = [(signed(b.prefix), b.depth, b.load, flag) for found, flag in ((done, False), (over, True)) for b in found]
+        types = zip(("prefix", "depth", "load", "overfull"), (pa.int64(), pa.int32(), pa.int64(), pa.bool_()))
+        return pa.table({name: pa.array(x, kind) for (name, kind), x in zip(types, zip(*rows))})
+
+    return split
+
+
+def directory_of(keys: DataFrame, capacity: int, bits: int) -> list[Bucket]:
+    """The buckets, in the order of their keys. keys: (key, bytes), one row for each key, written down."""
+
+    def leading(depth: int):
+        return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+
+    buckets, depth, open_ = [], 0, keys
+    while True:
+        step = min(bits, 64 - depth)
+        slots = open_.groupBy(leading(depth).alias("parent"), leading(depth + step).alias("slot")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+
+        found = durable(slots.groupBy("parent").applyInArrow(splitter(depth, step, capacity), SPLIT))
+        buckets += [Bucket(p & (1 << 64) - 1, d, n) for p, d, n in found.where("not overfull").select("prefix", "depth", "load").limit(MOST_BUCKETS + 1).collect()]
+        if len(buckets) > MOST_BUCKETS:
+            raise ValueError(f"more than {MOST_BUCKETS} buckets: raise the capacity")
+        if found.where("overfull").isEmpty():
+            return sorted(buckets, key=lambda b: b.prefix << 64 - b.depth) or [Bucket(0, 0, 0)]
+        depth += step
+        over = found.where("overfull").select(F.col("prefix").alias("p"))
+        open_ = open_.join(over, leading(depth) == F.col("p"), "left_semi")
+
+
+COMBINED = "owner int, bucket int, key long, text string, last long, n long"
 ENTRY = "bucket int, key long, chain int, keep_id long, group_size long, n_bytes long, text_sha256 string"
 
 
-def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal texts of a batch as one row."""
+def combine(batches: Iterator[pa.RecordBatch], first: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Equal texts of a batch as one row, with the bucket that their key lies in and its owner. first: the least key of each bucket."""
     for batch in batches:
-        t = pa.Table.from_batches([batch]).group_by(["bucket", "key", "text"]).aggregate([("doc_id", "max"), ([], "count_all")])
-        t = t.select(["bucket", "key", "text", "doc_id_max", "count_all"]).rename_columns(["bucket", "key", "text", "last", "n"])
-        yield from t.combine_chunks().to_batches()
+        t = pa.Table.from_batches([batch]).group_by(["key", "text"]).aggregate([("doc_id", "max"), ([], "count_all")])
+        at = np.searchsorted(first, t["key"].to_numpy().view(np.uint64), side="right") - 1
+        columns = [pa.array(owners[at]), pa.array(at.astype(np.int32)), *(t[c] for c in ("key", "text", "doc_id_max", "count_all"))]
+        yield from pa.table(columns, names=["owner", "bucket", "key", "text", "last", "n"]).combine_chunks().to_batches()
 
 
 def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +178,19 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 def build(docs: DataFrame, capacity: int = CAPACITY, bits: int = HISTOGRAM_BITS) -> Index:
     """The index of all texts, written to the shared folder."""
     spark, rows = docs.sparkSession, keyed(docs)
-    keys = rows.groupBy("key").agg(F.max(F.octet_length("text")).cast("long").alias("bytes"))
-    buckets, depth = directory_of(keys, capacity, bits)
-    index = Index(f"{shared_dir(spark)}/extendible-{uuid.uuid4().hex}")
-    owned = in_bucket(rows, buckets).select("bucket", "key", "text", "doc_id").mapInArrow(combine, COMBINED)
-    tasks = max(1, min(len(buckets), -(-sum(b.load for b in buckets) // (16 << 20))))
-    owned.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket", "key").mapInArrow(own, ENTRY).write.parquet(f"{index.path}/entries")
-    listed = [(i, format(b.prefix, f"0{b.depth}b") if b.depth else "", b.depth, depth, b.load) for i, b in enumerate(buckets)]
-    spark.createDataFrame(listed, "bucket int, prefix string, local_depth int, global_depth int, bytes long").coalesce(1).write.parquet(f"{index.path}/directory")
+    keys = durable(rows.groupBy("key").agg(F.max(F.octet_length("text")).cast("long").alias("bytes")))
+    total = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    buckets = directory_of(keys, max(capacity, total >> 15), bits)
+    depth, index = max(b.depth for b in buckets), Index(f"{shared_dir(spark)}/extendible-{uuid.uuid4().hex}")
+    tasks = max(1, min(len(buckets), max(-(-total // OWNED_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    before = np.cumsum([0] + [b.load for b in buckets[:-1]], dtype=np.float64)
+    owners = np.minimum(before * tasks / max(1, total), tasks - 1).astype(np.int32)
+    sent = spark.sparkContext.broadcast((np.array([b.prefix << 64 - b.depth for b in buckets], dtype=np.uint64), owners))
+    owned = rows.select("key", "text", "doc_id").mapInArrow(lambda batches: combine(batches, *sent.value), COMBINED)
+    owned.repartitionById(tasks, "owner").sortWithinPartitions("bucket", "key").drop("owner").mapInArrow(own, ENTRY).write.parquet(f"{index.path}/entries")
+    listed = [(i, format(b.prefix, f"0{b.depth}b") if b.depth else "", b.depth, depth, b.load, int(o)) for i, (b, o) in enumerate(zip(buckets, owners))]
+    schema = "bucket int, prefix string, local_depth int, global_depth int, bytes long, owner int"
+    spark.createDataFrame(listed, schema).coalesce(1).write.parquet(f"{index.path}/directory")
     return index
 
 
@@ -174,16 +201,24 @@ def looked_up(docs: DataFrame, index: Index) -> DataFrame:
     return members.join(index.entries(docs.sparkSession).select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
 
 
+def probed(docs: DataFrame, capacity: int) -> DataFrame:
+    """looked_up() by an index made for it, written down; the index is removed."""
+    index = build(docs, capacity)
+    found = durable(looked_up(docs, index))
+    remove(docs.sparkSession, index.path)
+    return found
+
+
 def classify(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row."""
-    found = looked_up(docs, build(docs, capacity)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    found = probed(docs, capacity).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows that stay, with all their columns."""
     key, sha, first = fresh(docs, "key", "sha", "first")
-    stay = looked_up(docs, build(docs, capacity)).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stay = probed(docs, capacity).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     stay = stay.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("text_sha256").alias("s"))
     rows = docs.withColumns({key: F.xxhash64(text_of()), sha: F.sha2(text_of().cast("binary"), 256)})
     same = rows["doc_id"].cast("long").eqNullSafe(stay["id"]) & (rows[key] == stay["k"]) & (rows[sha] == stay["s"])

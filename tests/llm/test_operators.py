@@ -7,6 +7,7 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import op1_html_extraction as op1
@@ -292,6 +293,35 @@ def test_small_buckets_give_the_same_result(spark):
     assert sorted(a, key=repr) == sorted(b, key=repr)
 
 
+def test_hundreds_of_overfull_slots_take_a_few_jobs(spark):
+    docs = spark.range(3000).selectExpr("id doc_id", "concat(repeat('x', int(id % 2500 % 90)), 'text ', id % 2500) text").repartition(4)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("split", "")
+    index = op6.build(docs, capacity=200, bits=4)
+    spark.sparkContext.setJobGroup("", "")
+    buckets = index.directory(spark).orderBy("bucket").collect()
+    assert len(buckets) > 700 and len(jobs("split")) < 60
+    assert buckets[0].global_depth == max(b.local_depth for b in buckets) > 8
+    # the prefixes cover all keys once, in order, and owners have ranges of them
+    assert sum(2.0**-b.local_depth for b in buckets) == 1 and [b.prefix for b in buckets] == sorted(b.prefix for b in buckets)
+    assert [b.owner for b in buckets] == sorted(b.owner for b in buckets) and len({b.owner for b in buckets}) > 2
+    entries = index.entries(spark)
+    assert entries.count() == 2500 and entries.agg({"group_size": "sum"}).first()[0] == 3000
+    loads = {r.bucket: (r.n, r.load) for r in entries.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("load")).collect()}
+    assert all(n == 1 or load <= 200 for n, load in loads.values()) and all(loads.get(b.bucket, (0, 0))[1] == b.bytes for b in buckets)
+
+
+def test_no_index_is_left_behind(spark):
+    from quillspark.llm.common import shared_dir
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark) + "/extendible-*")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = len(fs.globStatus(at) or ())
+    docs = odd(spark, "a", "a", "b")
+    assert op6.dedup(docs).count() == op6.classify(docs).where("kept").count() == 2
+    assert len(fs.globStatus(at) or ()) == before
+
+
 # 7
 
 
