@@ -6,9 +6,11 @@ words that follow, until they differ, meet a 0 or are longer than any benchmark
 then searched in that array by bisection, all of them at once: the run of suffixes that share its first `window` words
 gives each place where that window stands, and the neighbours there the longest verbatim match and where it is.
 
-Only the benchmark is sent to the tasks. Its size is counted first; if it is over `block_bytes`, it is dealt into blocks by
-a hash of the item_id, and the documents pass the blocks one after another, carrying the places hit so far. So
-neither the driver nor a task holds more than a block. Documents are never shuffled.
+Only the benchmark is sent to the tasks, repeated items once. Its size is counted first; if it is over `block_bytes`, it is dealt into blocks by
+a hash of item and text, written to the shared folder, and the documents are searched for one block after another: each block is a pass of its own
+over the documents, whose hits, a row for each document hit, are written down before the block is dropped and the next one read. So the driver and
+a task hold one block at a time (or one item, if that is longer). The last pass gives the result, to which the hits of those before are joined by document.
+Texts are never shuffled by report(); filter_clean() with more than one block joins the hit documents' ids and hashes to the documents.
 
 Words: A-Z lower-cased, runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Defined cases: null and empty texts have no words and are not hit; items
 without words have no windows; of items with equal ids either may match; items with a null id count under the id `null`; an empty benchmark hits
@@ -20,13 +22,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import repeat
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, split_words
+from .common import durable, fresh, remove, shared_dir, split_words, text_of
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -133,9 +136,14 @@ def search(text: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.n
     return at, ask[query], length
 
 
-def hits_of(texts: list[str | None], items: Items) -> list[tuple[int, np.ndarray, dict[str, int]]]:
-    """For each text its number of words, the places hit (start, end), and by item the longest match."""
-    found: list[tuple[int, np.ndarray, dict[str, int]]] = []
+def longer(a: tuple[int, int], b: tuple[int, int] | None) -> tuple[int, int]:
+    """Of two matches (words, start) the longer, of equals the first."""
+    return a if b is None or (-a[0], a[1]) < (-b[0], b[1]) else b
+
+
+def hits_of(texts: list[str | None], items: Items) -> list[tuple[int, np.ndarray, dict[str, tuple[int, int]]]]:
+    """For each text its number of words, the places hit (start, end), and by item the longest match: words, and the word where it starts (the first, of equals)."""
+    found: list[tuple[int, np.ndarray, dict[str, tuple[int, int]]]] = []
     get, batch, held = items.number.get, [], 0
 
     def shard() -> None:
@@ -150,10 +158,10 @@ def hits_of(texts: list[str | None], items: Items) -> list[tuple[int, np.ndarray
         edges = np.searchsorted(doc[by], np.arange(len(batch) + 1))
         for i, n in enumerate(lengths.tolist()):
             mine = by[edges[i] : edges[i + 1]]
-            longest: dict[str, int] = {}
-            for q, size in zip(items.item[query[mine]].tolist(), length[mine].tolist()):
-                longest[items.ids[q]] = max(size, longest.get(items.ids[q], 0))
+            longest: dict[str, tuple[int, int]] = {}
             first = at[mine] - starts[i]
+            for q, *match in zip(items.item[query[mine]].tolist(), length[mine].tolist(), first.tolist()):
+                longest[items.ids[q]] = longer(tuple(match), longest.get(items.ids[q]))
             found.append((n, np.stack([first, first + items.need[query[mine]]], axis=1), longest))
 
     for text in texts:
@@ -179,63 +187,103 @@ def covered(spans: np.ndarray) -> int:
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's (item_id, text), one bounded block after another."""
-    items = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null")
+    """The benchmark's (item_id, text), one bounded block after another. More than one are written down first, a folder for each."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // block_bytes) or 1
-    for i in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
-
-
-CARRIED = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.list_(pa.int64()))])
+    if n == 1:
+        yield [tuple(r) for r in items.collect()]
+        return
+    at = f"{shared_dir(spark)}/benchmark-{uuid4().hex}"
+    try:
+        items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).write.partitionBy("block").parquet(at)
+        dealt = spark.read.schema("item_id string, text string, block long").parquet(at)
+        for i in range(n):
+            if block := [tuple(r) for r in dealt.where(F.col("block") == i).select("item_id", "text").collect()]:
+                yield block
+    finally:
+        remove(spark, at)
+
+
+FOUND = "struct<n: bigint, spans: array<bigint>, items: array<string>, longest: array<bigint>, at: array<bigint>>"
+ARROW_FOUND = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.list_(pa.int64())), ("at", pa.list_(pa.int64()))])
+
+
+def searched(docs: DataFrame, block: list[tuple[str, str]], window: int, name: str, all_rows: bool = True):
+    """docs with a column of the given name: words, starts and ends of the windows found, items and their longest verbatim matches. Without all_rows,
+    the documents hit, without their text. Also the broadcast block."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    kept = [c for c in docs.columns if c != "text" or all_rows]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(sent.value, window)
+        for batch in batches:
+            rows = []
+            for n, spans, longest in hits_of(batch.column("text").to_pylist(), items):
+                rows.append({"n": n, "spans": spans.ravel().tolist(), "items": list(longest), "longest": [x for x, _ in longest.values()], "at": [x for _, x in longest.values()]})
+            out = pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(rows, ARROW_FOUND)], names=[*kept, name])
+            yield out if all_rows else out.filter(pa.array([len(r["spans"]) > 0 for r in rows], pa.bool_()))
 
-def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "found") -> DataFrame:
-    """docs with a column of the given name: words, starts and ends of the windows found, items and their longest verbatim matches."""
-    out = docs
-    for k, block in enumerate(blocks_of(benchmark, block_bytes)):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
+    return docs.mapInArrow(run, f"{schema}, `{name}` {FOUND}"), sent
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
-            items = Items(sent.value, window)
-            for batch in batches:
-                before = batch.column(name).to_pylist() if k else repeat(None)
-                rows = []
-                for (n, spans, longest), b in zip(hits_of(batch.column("text").to_pylist(), items), before):
-                    flat, best = spans.ravel().tolist(), dict(longest)
-                    if b:
-                        flat = b["spans"] + flat
-                        for i, size in zip(b["items"], b["longest"]):
-                            best[i] = max(size, best.get(i, 0))
-                    rows.append({"n": n, "spans": flat, "items": list(best), "longest": list(best.values())})
-                keep = [x for x in batch.schema.names if x != name]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(rows, CARRIED)], names=[*keep, name])
 
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != name)
-        out = out.mapInArrow(run, f"{kept}, `{name}` struct<n: bigint, spans: array<bigint>, items: array<string>, longest: array<bigint>>")
-    return out
+def passes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> tuple[list[tuple[str, str]], DataFrame | None]:
+    """The last block, and the hits of all blocks before it: doc_id, h (hash of the text), block, found; None if there are none."""
+    keyed = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), "text")
+    blocks, earlier = blocks_of(benchmark, block_bytes), None
+    block = next(blocks, [])
+    for i, following in enumerate(blocks):
+        hits, sent = searched(keyed, block, window, "found", all_rows=False)
+        hits = durable(hits.withColumn("block", F.lit(i)).dropDuplicates(["doc_id", "h"]))
+        sent.destroy()
+        earlier = hits if earlier is None else earlier.union(hits)
+        block = following
+    return block, earlier
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, items array<string>"
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, items array<string>, places array<struct<item_id: string, words: bigint, at: bigint>>"
+PLACES = pa.list_(pa.struct([("item_id", pa.string()), ("words", pa.int64()), ("at", pa.int64())]))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: SCHEMA. longest: the most words that match verbatim."""
+    """One row per document: SCHEMA. longest: the most words that match verbatim; places: by item the longest match and the word at which it starts."""
+    types = [*[pa.int64()] * 4, pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.string()), PLACES]
+    schema = pa.schema(list(zip("doc_id n_words n_hit n_items items_sha256 contaminated longest items places".split(), types)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, f in zip(batch["doc_id"].to_pylist(), batch["found"].to_pylist()):
-                n, ids = covered(np.array(f["spans"], dtype=np.int64).reshape(-1, 2)), sorted(f["items"])
-                rows.append({"doc_id": doc_id, "n_words": f["n"], "n_hit": n, "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest(), "contaminated": n > 0, "longest": max(f["longest"], default=0), "items": ids})
-            types = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip((x.split()[0] for x in SCHEMA.split(", ")), types))))
-
-    located = locate(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_bytes)
-    return located.drop("text").mapInArrow(run, SCHEMA)
+                best: dict[str, tuple[int, int]] = {}
+                for i, *match in zip(f["items"], f["longest"], f["at"]):
+                    best[i] = longer(tuple(match), best.get(i))
+                n, ids = covered(np.array(f["spans"], dtype=np.int64).reshape(-1, 2)), sorted(best)
+                places = [{"item_id": i, "words": best[i][0], "at": best[i][1]} for i in ids]
+                hashed = hashlib.sha256(",".join(ids).encode()).hexdigest()
+                rows.append({"doc_id": doc_id, "n_words": f["n"], "n_hit": n, "n_items": len(ids), "items_sha256": hashed, "contaminated": n > 0, "longest": max((x["words"] for x in places), default=0), "items": ids, "places": places})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    block, earlier = passes(docs, benchmark, window, block_bytes)
+    located, _ = searched(docs.withColumn("h", F.xxhash64(text_of())), block, window, "found")
+    located = located.drop("text")
+    if earlier is not None:
+        parts = ("spans", "items", "longest", "at")
+        before = earlier.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hash")).agg(*(F.flatten(F.collect_list(f"found.{x}")).alias(x) for x in parts))
+        located = located.join(before, located["doc_id"].eqNullSafe(before["id"]) & (located["h"] == before["hash"]), "left")
+        merged = [F.concat(f"found.{x}", F.coalesce(x, F.array().cast("array<string>" if x == "items" else "array<bigint>"))).alias(x) for x in parts]
+        located = located.select("doc_id", F.struct(F.col("found.n").alias("n"), *merged).alias("found"))
+    return located.select("doc_id", "found").mapInArrow(run, SCHEMA)
 
 
 def filter_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no window stands, with all their columns."""
-    (name,) = fresh(docs, "found")
-    return locate(docs, benchmark, window, block_bytes, name).where(F.size(f"{name}.spans") == 0).drop(name)
+    name, h = fresh(docs, "found", "h")
+    block, earlier = passes(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_bytes)
+    if earlier is not None:
+        gone = durable(earlier.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct())
+        rows = docs.withColumn(h, F.xxhash64(text_of()))
+        docs = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (rows[h] == gone["gone_h"]), "left_anti").select(*docs.columns)
+    return searched(docs, block, window, name)[0].where(F.size(f"{name}.spans") == 0).drop(name)

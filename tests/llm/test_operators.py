@@ -151,10 +151,19 @@ def test_suffixes_are_in_order():
 
 def test_longest_match_and_blocks(spark):
     item = " ".join(f"w{i}" for i in range(30))
-    docs = odd(spark, "x y " + " ".join(f"w{i}" for i in range(3, 20)) + " z")
-    bench = spark.createDataFrame([(i, item if i == 7 else f"q{i} r{i} s{i}") for i in range(20)], "item_id long, text string")
-    whole, split = op2.report(docs, bench).first(), op2.report(docs, bench, block_bytes=64).first()
-    assert whole == split and (whole.longest, whole.n_hit, whole["items"]) == (17, 17, ["7"])
+    docs = odd(spark, "x y " + " ".join(f"w{i}" for i in range(3, 20)) + " z", "q1 r1 s1 and q2 r2 s2", "q3 r3 s3", "q4", None, "q1 r1 s1 and q2 r2 s2")
+    docs = docs.union(docs.where("doc_id = 1"))
+    bench = spark.createDataFrame([(i, item if i == 7 else f"q{i} r{i} s{i}") for i in (*range(100), *range(9))], "item_id long, text string")
+    whole, split = op2.report(docs, bench), op2.report(docs, bench, block_bytes=20)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, split.collect()))
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the last block's search and the report: the others have run one by one
+    got = {r.doc_id: r for r in whole.collect()}
+    assert (got[0].longest, got[0].n_hit, got[0]["items"]) == (17, 17, ["7"]) and [tuple(p) for p in got[0].places] == [("7", 17, 2)]
+    assert [tuple(p) for p in got[1].places] == [("1", 3, 0), ("2", 3, 4)]
+    for block_bytes in (20, 1 << 20):
+        clean = op2.filter_clean(docs, bench, block_bytes=block_bytes)
+        assert clean.columns == docs.columns and {r.text for r in clean.collect()} == {"q4", None}
 
 
 # 3
