@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Review
@@ -12,6 +12,7 @@ from ..schema import PAGE
 
 #: Fixed value: what starts a question, in any case, with Unicode digits and spaces.
 QUESTION_PREFIX = r"(?iU)^\s*(Q\s*\d+|QN\s*\d+|Question\s*\d*\b)"
+#: Fixed value: the image formats that are taken.
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".webp")
 
 
@@ -48,10 +49,15 @@ def midpoint(y: Column, height: Column) -> Column:
     return y + height / F.lit(2.0)
 
 
-def upper_median(x: Column, by: Sequence[str] = PAGE) -> Column:
-    """The middle value over a window, the higher of the two middle ones."""
-    values = F.sort_array(F.collect_list(x).over(Window.partitionBy(*by)))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def with_upper_median(rows: DataFrame, name: str, x: Column, by: Sequence[str] = PAGE) -> DataFrame:
+    """rows with the middle value of x over each group, the higher of the two middle ones; nulls don't count.
+
+    A rank and a count, so that a group is sorted once and no row carries the group's values.
+    """
+    group = Window.partitionBy(*by)
+    rows = rows.withColumn("_x", x).withColumns({"_rank": F.row_number().over(group.orderBy(F.asc_nulls_last("_x"))), "_n": F.count("_x").over(group)})
+    middle = F.when(F.col("_rank") == F.floor(F.col("_n") / 2) + 1, F.col("_x"))
+    return rows.withColumn(name, F.max(middle).over(group)).drop("_x", "_rank", "_n")
 
 
 def union_box(x: str = "x", y: str = "y", w: str = "w", h: str = "h") -> list[Column]:

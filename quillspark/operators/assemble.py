@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.expressions import basename, ordered_text, strip
 from ..schema import PAGE
@@ -65,3 +66,13 @@ def sparse_json(rows: DataFrame, *keys: str) -> DataFrame:
             c = F.col(f.name)
             rest.append(F.when(F.size(c) > 0, c).alias(f.name) if f.dataType.typeName() == "array" else c)
     return rows.select(*keys, F.to_json(F.struct(*rest)).alias("json"))
+
+
+def from_sparse_json(rows: DataFrame, schema: StructType, *keys: str) -> DataFrame:
+    """The keys and the columns of sparse_json() again: what was left out is null, or an empty array where the schema has an array."""
+    read = rows.select(*keys, F.from_json("json", schema).alias("r"))
+    columns = []
+    for f in schema:
+        c = F.col(f"r.{f.name}")
+        columns.append((F.coalesce(c, F.array().cast(f.dataType)) if isinstance(f.dataType, ArrayType) else c).alias(f.name))
+    return read.select(*keys, *columns)

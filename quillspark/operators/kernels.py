@@ -1,186 +1,41 @@
-"""Pixel kernels in NumPy, one page at a time inside Arrow batches. What leaves them are profiles and boxes; all else is DataFrame work.
+"""Pixels to runs, and boxes back to pixels: the two places where pixels are touched. All between is DataFrame work (operators.ink).
 
-They follow the definitions of the operations, not a particular library's rounding; equality with one bit for bit is not claimed.
+Pages are dealt into strips of rows before any of their pixels reach Python, so that a tall page is many small rows.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CONFIG, HighlightRule, Preprocess, Segment
+from ..config import CONFIG, HighlightRule
 from ..schema import PAGE
 
+STRIP = 128
 
-def _windows(mask: np.ndarray, size: tuple[int, int], pad: bool) -> np.ndarray:
-    """How many set pixels the rectangle around each pixel holds; beyond the edge counts as pad."""
-    h, w = size
-    top, left = h // 2, w // 2
-    grown = np.pad(mask.astype(np.int32), ((top, h - 1 - top), (left, w - 1 - left)), constant_values=int(pad))
-    total = np.pad(grown.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    return total[h:, w:] - total[:-h, w:] - total[h:, :-w] + total[:-h, :-w]
 
+def strips(pages: DataFrame, rows: int = STRIP) -> DataFrame:
+    """page, height, width, top, bgr: pages (page, height, width, bgr) in strips of so many rows of pixels, dealt over the tasks."""
+    top = F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(rows))).alias("top")
+    row = F.col("width") * 3
+    cut = pages.where("height > 0 and width > 0").select(*PAGE, "height", "width", "bgr", top)
+    return cut.select(*PAGE, "height", "width", "top", F.substring("bgr", F.col("top") * row + 1, row * rows).alias("bgr"))
 
-def erode(mask: np.ndarray, size: tuple[int, int]) -> np.ndarray:
-    return _windows(mask, size, True) == size[0] * size[1]
 
+def dark(bgr: np.ndarray, threshold: int = 128) -> np.ndarray:
+    """Ink: pixels whose gray is under the threshold."""
+    return np.rint(bgr @ np.array([0.114, 0.587, 0.299])) < threshold
 
-def dilate(mask: np.ndarray, size: tuple[int, int]) -> np.ndarray:
-    return _windows(mask[::-1, ::-1], size, False)[::-1, ::-1] > 0
 
-
-def opened(mask: np.ndarray, size: tuple[int, int]) -> np.ndarray:
-    return dilate(erode(mask, size), size)
-
-
-def closed(mask: np.ndarray, size: tuple[int, int]) -> np.ndarray:
-    return erode(dilate(mask, size), size)
-
-
-def ruled_rows(ink: np.ndarray, rule: Segment = CONFIG.segment) -> np.ndarray:
-    """Rows that a ruled line crosses."""
-    return dilate(opened(ink, (1, rule.rule_kernel_width)), (3, 1)).any(axis=1)
-
-
-def without_rules(ink: np.ndarray, rule: Segment = CONFIG.segment) -> np.ndarray:
-    """Ink without long horizontal and vertical runs, and without the page's edges."""
-    out = ink & ~dilate(opened(ink, (1, rule.rule_kernel_width)), (3, 1))
-    out &= ~dilate(opened(out, (rule.margin_kernel_height, 1)), (1, 3))
-    h, w = out.shape
-    out[: rule.crop_top] = out[h - rule.crop_bottom :] = False
-    out[:, : rule.crop_left] = out[:, w - rule.crop_right :] = False
-    return out
-
-
-def gray(bgr: np.ndarray) -> np.ndarray:
-    return np.rint(bgr @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
-
-
-def _gauss(x: np.ndarray, size: int) -> np.ndarray:
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
-    k /= k.sum()
-    for axis in (0, 1):
-        p = np.pad(x, [(size // 2, size // 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-        n = x.shape[axis]
-        x = sum(w * (p[i : i + n] if axis == 0 else p[:, i : i + n]) for i, w in enumerate(k))
-    return x
-
-
-def equalized(x: np.ndarray, how: Preprocess = CONFIG.preprocess) -> np.ndarray:
-    """Contrast evened out over a grid of tiles with clipped histograms, interpolated between tiles."""
-    g = how.clahe_grid
-    h, w = x.shape
-    ys, xs = np.linspace(0, h, g + 1).astype(int), np.linspace(0, w, g + 1).astype(int)
-    maps = np.zeros((g, g, 256))
-    for i in range(g):
-        for j in range(g):
-            tile = x[ys[i] : max(ys[i + 1], ys[i] + 1), xs[j] : max(xs[j + 1], xs[j] + 1)]
-            n = np.bincount(tile.ravel(), minlength=256).astype(float)
-            most = max(1.0, how.clahe_clip * tile.size / 256)
-            n = np.minimum(n, most) + np.maximum(n - most, 0).sum() / 256
-            maps[i, j] = n.cumsum() * 255 / tile.size
-    fy, fx = np.clip((np.arange(h) + 0.5) * g / h - 0.5, 0, g - 1), np.clip((np.arange(w) + 0.5) * g / w - 0.5, 0, g - 1)
-    y0, x0 = fy.astype(int), fx.astype(int)
-    y1, x1 = np.minimum(y0 + 1, g - 1), np.minimum(x0 + 1, g - 1)
-    a, b = (fy - y0)[:, None], (fx - x0)[None, :]
-    at = lambda y, z: maps[y[:, None], z[None, :], x]
-    return np.clip(np.rint((1 - a) * ((1 - b) * at(y0, x0) + b * at(y0, x1)) + a * ((1 - b) * at(y1, x0) + b * at(y1, x1))), 0, 255).astype(np.uint8)
-
-
-def denoised(x: np.ndarray, how: Preprocess = CONFIG.preprocess, patch: int = 7, search: int = 21) -> np.ndarray:
-    """Each pixel as the mean of those around it, weighed by how alike their patches are."""
-    r, s = patch // 2, search // 2
-    base = np.pad(x.astype(np.float32), r + s, mode="reflect" if min(x.shape) > r + s else "edge")
-    h, w = x.shape
-    total, weight = np.zeros((h, w), np.float32), np.zeros((h, w), np.float32)
-    inner = base[s : s + h + 2 * r, s : s + w + 2 * r]
-    for dy in range(-s, s + 1):
-        for dx in range(-s, s + 1):
-            moved = base[s + dy : s + dy + h + 2 * r, s + dx : s + dx + w + 2 * r]
-            d = np.pad(((inner - moved) ** 2).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-            d = (d[patch:, patch:] - d[:-patch, patch:] - d[patch:, :-patch] + d[:-patch, :-patch]) / patch**2
-            k = np.exp(-np.maximum(d, 0) / how.denoise_h**2)
-            total += k * moved[r : r + h, r : r + w]
-            weight += k
-    return np.clip(np.rint(total / weight), 0, 255).astype(np.uint8)
-
-
-def otsu(x: np.ndarray) -> int:
-    """The gray that parts the histogram with the greatest variance between its sides."""
-    n = np.bincount(x.ravel(), minlength=256).astype(float)
-    w, m = n.cumsum(), (n * np.arange(256)).cumsum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        v = (m[-1] * w / w[-1] - m) ** 2 / (w * (w[-1] - w))
-    return int(np.nanargmax(np.where(np.isfinite(v), v, -1)))
-
-
-def _hull(points: np.ndarray) -> np.ndarray:
-    p = points[np.lexsort((points[:, 1], points[:, 0]))]
-
-    def half(seq):
-        out: list = []
-        for q in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(q)
-        return out[:-1]
-
-    return np.array(half(p.tolist()) + half(p[::-1].tolist()), dtype=float)
-
-
-def skew(ink: np.ndarray, how: Preprocess = CONFIG.preprocess) -> float:
-    """Degrees that level the page: the tilt of the least rectangle around the ink, within bounds; 0 where there is little ink."""
-    ys, xs = np.nonzero(ink)
-    if len(xs) < 200:
-        return 0.0
-    edge = np.concatenate([np.stack([xs[ys == y][[0, -1]], [y, y]], 1) for y in np.unique(ys)])
-    hull = _hull(edge)
-    if len(hull) < 3:
-        return 0.0
-    sides = np.roll(hull, -1, 0) - hull
-    angles = np.unique(np.mod(np.arctan2(sides[:, 1], sides[:, 0]), np.pi / 2))
-    c, s = np.cos(angles), np.sin(angles)
-    u, v = hull @ np.stack([c, s]), hull @ np.stack([-s, c])
-    best = float(np.degrees(angles[np.argmin(np.ptp(u, axis=0) * np.ptp(v, axis=0))]))
-    tilt = best - 90 if best > 45 else best
-    return float(np.clip(tilt, -how.max_deskew, how.max_deskew))
-
-
-def rotated(x: np.ndarray, degrees: float) -> np.ndarray:
-    """Turned around the middle, straight lines between pixels, edges repeated; tiny angles change nothing."""
-    if abs(degrees) < 0.05:
-        return x
-    h, w = x.shape
-    a = np.radians(degrees)
-    yy, xx = np.mgrid[0:h, 0:w]
-    dx, dy = xx - w / 2, yy - h / 2
-    sx, sy = np.clip(np.cos(a) * dx - np.sin(a) * dy + w / 2, 0, w - 1), np.clip(np.sin(a) * dx + np.cos(a) * dy + h / 2, 0, h - 1)
-    x0, y0 = sx.astype(int), sy.astype(int)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    fx, fy = sx - x0, sy - y0
-    f = x.astype(float)
-    return np.rint((f[y0, x0] * (1 - fx) + f[y0, x1] * fx) * (1 - fy) + (f[y1, x0] * (1 - fx) + f[y1, x1] * fx) * fy).astype(np.uint8)
-
-
-def ink_mask(bgr: np.ndarray, how: Preprocess = CONFIG.preprocess, denoise: bool = True) -> tuple[np.ndarray, float]:
-    """The page's ink and the angle it was turned by."""
-    x = gray(bgr)
-    x = equalized(denoised(x, how) if denoise else x, how)
-    angle = skew(x <= otsu(x), how)
-    x = rotated(x, angle)
-    ink = x <= _gauss(x.astype(float), how.odd()) - how.c
-    return opened(closed(ink, (how.close, how.close)), (how.open, how.open)), angle
-
-
-def highlight_mask(bgr: np.ndarray, rule: HighlightRule = CONFIG.highlight) -> np.ndarray:
-    """Pixels in the marker's range of hue (0 to 179), saturation and value, cleaned."""
+def marker(bgr: np.ndarray, rule: HighlightRule = CONFIG.highlight) -> np.ndarray:
+    """Pixels in the marker's range of hue (0 to 179), saturation and value."""
     high, low = bgr.max(-1), bgr.min(-1)
     hit = high > low
     b, g, r = bgr[hit].astype(np.float32).T
@@ -190,144 +45,24 @@ def highlight_mask(bgr: np.ndarray, rule: HighlightRule = CONFIG.highlight) -> n
     for x, (least, most) in ((np.mod(hue, 360) / 2, rule.hue), (255 * d / v, rule.saturation), (v, rule.value)):
         inside &= (np.rint(x) >= least) & (np.rint(x) <= most)
     hit[hit] = inside
-    size = (rule.cleanup, rule.cleanup)
-    return opened(closed(hit, size), size)
-
-
-def boxes(mask: np.ndarray, min_area: int) -> list[tuple[int, int, int, int, int]]:
-    """(y, x, w, h, area) of the connected parts of at least the area, by (y, x). Row runs that touch are united."""
-    runs, parent, before = [], [], []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for y in range(mask.shape[0]):
-        edges = np.flatnonzero(np.diff(np.r_[False, mask[y], False].astype(np.int8)))
-        now = []
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            i = len(runs)
-            runs.append((y, a, b))
-            parent.append(i)
-            now.append(i)
-            for j in before:
-                if runs[j][1] <= b and a <= runs[j][2]:  # corners touch, too
-                    parent[root(i)] = root(j)
-        before = now
-    found: dict[int, list[int]] = {}
-    for i, (y, a, b) in enumerate(runs):
-        e = found.setdefault(root(i), [y, y, a, b, 0])
-        e[1], e[2], e[3], e[4] = max(e[1], y), min(e[2], a), max(e[3], b), e[4] + b - a
-    return sorted((y0, x0, x1 - x0, y1 - y0 + 1, n) for y0, y1, x0, x1, n in found.values() if n >= min_area)
+    return hit
 
 
-def drawn_pages(lines: DataFrame) -> DataFrame:
-    """Pages drawn from line regions: page, height, width, marks (y, x, w, h, gray or yellow). One row for each page; pixels are made where they are needed."""
-    mark = F.struct("y", "x", F.least(F.col("w"), F.lit(900)).alias("w"), "h", (F.col("ln") % 4 == 0).alias("yellow"))
-    return lines.groupBy(*PAGE).agg((F.max(F.col("y") + F.col("h")) + 20).alias("height"), F.lit(960).alias("width"), F.sort_array(F.collect_list(mark)).alias("marks"))
+def pixel_runs(pages: DataFrame, of: Callable[[np.ndarray], np.ndarray], rows: int = STRIP) -> DataFrame:
+    """page, height, width, y, x_start, x_end of the runs of pixels that `of` picks from BGR pixels."""
+    cut = strips(pages, rows)
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*PAGE, "height", "width").schema)
 
-
-def _draw(height: int, width: int, marks) -> np.ndarray:
-    page = np.full((height, width, 3), 255, np.uint8)
-    for m in marks:
-        y, x, w, h, yellow = (m[k] for k in ("y", "x", "w", "h", "yellow"))
-        if yellow:
-            page[y : y + h, x : x + w] = (60, 230, 250)
-        page[y + 3 : y + h - 3, x : x + w : 2] = (20, 20, 20)
-    return page
-
-
-def spread(pages: DataFrame) -> DataFrame:
-    """Pages dealt over all tasks: a page is a small row and much work, which adaptive coalescing by bytes doesn't see."""
-    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
-
-
-def _pixels(row) -> np.ndarray:
-    """A page's BGR pixels: those it carries, or its marks drawn."""
-    if "bgr" in row._fields:
-        return np.frombuffer(bytes(row.bgr), np.uint8).reshape(row.height, row.width, 3)
-    return _draw(row.height, row.width, row.marks)
-
-
-def _by_page(pages: DataFrame, per_page, schema: str, *more: str) -> DataFrame:
-    """per_page(row) -> rows after the page's key, for each page. Pages reach a task a few at a time: set
-    spark.sql.execution.arrow.maxRecordsPerBatch low where pages are large."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    take = [*PAGE, "height", "width", *(c for c in ("bgr", "marks") if c in pages.columns), *more]
-    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*PAGE).schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield pd.DataFrame([(*row[:2], *x) for x in per_page(row)], columns=[*PAGE, *names])
-
-    return spread(pages.select(*take)).mapInPandas(run, f"{key}, {schema}")
-
-
-def ink_of(page: np.ndarray, threshold: int | None = None) -> np.ndarray:
-    """A page's ink: by a fixed threshold for clean drawings, else by the whole preprocessing."""
-    return gray(page) < threshold if threshold is not None else ink_mask(page)[0]
-
-
-def row_profiles(pages: DataFrame, threshold: int | None = 128, rule: Segment | None = None) -> DataFrame:
-    """page, height, y, row_ink, x_min, x_max for each row with ink; with a rule, of the ink without ruled and margin lines."""
-
-    def per_page(row):
-        ink = ink_of(_pixels(row), threshold)
-        ink = without_rules(ink, rule) if rule else ink
-        rows = np.flatnonzero(ink.any(axis=1))
-        width = ink.shape[1]
-        return zip([row.height] * len(rows), rows.tolist(), ink[rows].sum(1).tolist(), ink[rows].argmax(1).tolist(), (width - 1 - ink[rows, ::-1].argmax(1)).tolist())
-
-    return _by_page(pages, per_page, "height int, y int, row_ink int, x_min int, x_max int")
-
+            for i, (width, top, bgr) in enumerate(zip(*(batch[c].to_pylist() for c in ("width", "top", "bgr")))):
+                hit = of(np.frombuffer(bgr, np.uint8).reshape(-1, width, 3))
+                edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                (y, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+                keys = [pa.array([batch[c][i].as_py()] * len(y), batch.schema.field(c).type) for c in (*PAGE, "height", "width")]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x.astype(np.int32)) for x in (y + top, start, end))], names=[*PAGE, "height", "width", "y", "x_start", "x_end"])
 
-def rule_rows(pages: DataFrame, threshold: int | None = 128, rule: Segment = CONFIG.segment) -> DataFrame:
-    """page, start, end of the runs of rows that a ruled line crosses; broken lines are merged by merge_bands()."""
-
-    def per_page(row):
-        edges = np.flatnonzero(np.diff(np.r_[False, ruled_rows(ink_of(_pixels(row), threshold), rule), False].astype(np.int8)))
-        return zip(edges[::2].tolist(), (edges[1::2] - 1).tolist())
-
-    return _by_page(pages, per_page, "start int, end int")
-
-
-def line_columns(pages: DataFrame, lines: DataFrame, threshold: int | None = 128) -> DataFrame:
-    """page, ln, x (from the line's left edge), col_ink, y_min, y_max, width, density for each column of each line, of the raw ink.
-
-    lines: page, ln, x, y, w, h. A page's lines travel with it, so its pixels are read once.
-    """
-    boxes_ = lines.groupBy(*PAGE).agg(F.collect_list(F.struct("ln", "x", "y", "w", "h")).alias("lines"))
-
-    def per_page(row):
-        ink = ink_of(_pixels(row), threshold)
-        for m in row.lines:
-            ln, x, y, w, h = (m[k] for k in ("ln", "x", "y", "w", "h"))
-            band = ink[max(0, y) : y + h, max(0, x) : x + w]
-            inked = density(ink, x, y, w, h)
-            for c in np.flatnonzero(band.any(axis=0)).tolist():
-                at = np.flatnonzero(band[:, c])
-                yield ln, c, len(at), max(0, y) + int(at[0]), max(0, y) + int(at[-1]), band.shape[1], inked
-
-    return _by_page(pages.join(boxes_, PAGE), per_page, "ln int, x int, col_ink int, y_min int, y_max int, width int, density double", "lines")
-
-
-def density(ink: np.ndarray, x: int, y: int, w: int, h: int) -> float:
-    """Ink in a box, cut to the page, by the box's area."""
-    part = ink[max(0, y) : max(0, y + h), max(0, x) : max(0, x + w)]
-    return float(part.sum()) / max(1, part.size)
-
-
-def highlights(pages: DataFrame, rule: HighlightRule = CONFIG.highlight) -> DataFrame:
-    """page, id, x, y, w, h, area of the highlights; numbered from top to bottom."""
-
-    def per_page(row):
-        found = boxes(highlight_mask(_pixels(row), rule), rule.min_area)
-        return ((f"highlight_{i:03d}", x, y, w, h, n) for i, (y, x, w, h, n) in enumerate(found, 1))
-
-    return _by_page(pages, per_page, "id string, x int, y int, w int, h int, area int")
+    return cut.mapInArrow(run, f"{key}, y int, x_start int, x_end int")
 
 
 def png(page: np.ndarray) -> bytes:
@@ -339,15 +74,20 @@ def png(page: np.ndarray) -> bytes:
 
 
 def crop_images(pages: DataFrame, crops: DataFrame) -> DataFrame:
-    """page, type, id, x, y, w, h, image (PNG) of crops, cut to the page; empty ones are left out. crops: page, type, id, x, y, w, h."""
-    wanted = crops.groupBy(*PAGE).agg(F.collect_list(F.struct("type", "id", "x", "y", "w", "h")).alias("crops"))
+    """page, type, id, x, y, w, h, image (PNG) of crops, cut to the page; empty ones are left out. crops: page, type, id, x, y, w, h.
 
-    def per_page(row):
-        page = _pixels(row)
-        for m in row.crops:
-            x0, y0 = max(0, m["x"]), max(0, m["y"])
-            part = page[y0 : max(0, m["y"] + m["h"]), x0 : max(0, m["x"] + m["w"])]
-            if part.size:
-                yield m["type"], m["id"], x0, y0, part.shape[1], part.shape[0], png(part)
+    A crop takes its own rows of pixels from the page before they reach Python.
+    """
+    met = crops.join(pages.select(*PAGE, "height", "width", "bgr"), PAGE)
+    x0, y0 = F.greatest(F.lit(0), "x"), F.greatest(F.lit(0), "y")
+    x1, y1 = F.least("width", F.col("x") + F.col("w")), F.least("height", F.col("y") + F.col("h"))
+    met = met.withColumns({"x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0}).where("w > 0 and h > 0")
+    met = met.select(*PAGE, "type", "id", "x", "y", "w", "h", "width", F.substring("bgr", F.col("y") * F.col("width") * 3 + 1, F.col("h") * F.col("width") * 3).alias("rows"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema if f.name not in ("width", "rows"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = zip(*(batch[c] for c in ("x", "w", "width", "rows")))
+            yield batch.drop(columns=["width", "rows"]).assign(image=[png(np.frombuffer(r, np.uint8).reshape(-1, width, 3)[:, x : x + w]) for x, w, width, r in parts])
 
-    return _by_page(pages.join(wanted, PAGE), per_page, "type string, id string, x int, y int, w int, h int, image binary", "crops")
+    return met.mapInPandas(cut, f"{schema}, image binary")

@@ -1,6 +1,6 @@
 """Questions, answers and paragraphs from line regions (page, ln, x, y, w, h, ink_area, density, text).
 
-Everything is a window or a grouping on the page, so a page's lines are shuffled once.
+Everything is a window or a grouping on the page, so a page's lines are shuffled once; medians are ranks, so no row carries a page.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, AnswerRule, ParagraphRule, QuestionRule
-from ..functions.expressions import QUESTION_PREFIX, clamp, ordinal_id, union_box, upper_median
+from ..functions.expressions import QUESTION_PREFIX, clamp, ordinal_id, union_box, with_upper_median
 from ..schema import PAGE
 
 
@@ -25,10 +25,9 @@ def running():
 def paragraph_lines(lines: DataFrame, rule: ParagraphRule = CONFIG.paragraph) -> DataFrame:
     """Lines with gap, score and the order of their paragraph."""
     w = rule.weights.normalized()
-    height = F.when(upper_median(F.col("h")) == 0, 1).otherwise(upper_median(F.col("h")))
     width = F.max("w").over(Window.partitionBy(*PAGE))
-    placed = lines.withColumns({
-        "median_h": height, "left_x": F.min("x").over(Window.partitionBy(*PAGE)), "full_w": F.when(width == 0, 1).otherwise(width),
+    placed = with_upper_median(lines, "median_h", F.col("h")).withColumns({
+        "median_h": F.when(F.col("median_h") == 0, 1).otherwise(F.col("median_h")), "left_x": F.min("x").over(Window.partitionBy(*PAGE)), "full_w": F.when(width == 0, 1).otherwise(width),
         "gap": F.col("y") - F.lag(F.col("y") + F.col("h")).over(down()), "thinner": F.abs(F.lag("density").over(down()) - F.col("density")),
     })
     score = (
@@ -52,9 +51,9 @@ def mark_questions(lines: DataFrame, rule: QuestionRule = CONFIG.question, text:
     Without a text column only the page's first content line starts a question. A line with a question mark inside a
     running group belongs to it; tall header lines belong to none.
     """
-    content = lines.withColumn("median_h", upper_median(F.col("h"))).withColumn("content", (F.col("median_h") > 0) & (F.col("h") <= rule.header_factor * F.col("median_h")))
+    content = with_upper_median(lines, "median_h", F.col("h")).withColumn("content", (F.col("median_h") > 0) & (F.col("h") <= rule.header_factor * F.col("median_h")))
     before = F.last(F.when(F.col("content"), F.col("y") + F.col("h")), ignorenulls=True).over(down().rowsBetween(Window.unboundedPreceding, -1))
-    content = content.withColumns({"full_w": upper_median(F.when(F.col("content"), F.col("w"))), "before": before})
+    content = with_upper_median(content, "full_w", F.when(F.col("content"), F.col("w"))).withColumn("before", before)
     said = F.coalesce(F.col(text), F.lit("")) if text else F.lit("")
     starts = said.rlike(QUESTION_PREFIX)
     goes_on = (F.col("y") - F.col("before") <= rule.max_gap) & (F.col("w") < rule.short_ratio * F.col("full_w")) & ~starts
@@ -91,9 +90,11 @@ def mark_answers(marked: DataFrame, rule: AnswerRule = CONFIG.answer) -> DataFra
     bottom = F.max(F.when(F.col("question") == 1, F.col("y") + F.col("h"))).over(page)
     bounded = marked.withColumn("bottom", bottom).withColumn("cap", F.min(F.when(F.col("opens") & (F.col("y") > F.col("bottom")), F.col("y"))).over(page))
     below = (F.col("y") > F.col("bottom")) & (F.col("cap").isNull() | (F.col("y") < F.col("cap")))
-    bounded = bounded.withColumn("below", F.coalesce(below, F.lit(False))).withColumn("median_d", upper_median(F.when(F.col("below"), F.col("density"))))
+    bounded = bounded.withColumn("below", F.coalesce(below, F.lit(False)))
+    bounded = with_upper_median(bounded, "median_d", F.when(F.col("below"), F.col("density")))
     dense = F.col("below") & ((F.col("median_d") <= 0) | (F.col("density") >= rule.density_ratio * F.col("median_d")))
-    bounded = bounded.withColumn("dense", dense).withColumn("median_x", upper_median(F.when(F.col("dense"), F.col("x"))))
+    bounded = bounded.withColumn("dense", dense)
+    bounded = with_upper_median(bounded, "median_x", F.when(F.col("dense"), F.col("x")))
     kept = F.col("dense") & ~((F.col("x") < F.col("median_x") - rule.scribble_px) & (F.col("ink_area") < rule.min_ink))
     return bounded.withColumn("answers", F.coalesce(kept, F.lit(False))).drop("bottom", "cap", "below", "median_d", "dense", "median_x")
 

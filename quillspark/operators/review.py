@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG, Review
 from ..functions.expressions import confidence_class
-from ..schema import PAGE, states, transitions
+from ..schema import PAGE, STATES, states, transitions
+from .crops import append_new, exists, not_yet
 
 LAYERS = ("question", "answer", "paragraph", "line", "highlight")
 
@@ -60,6 +61,36 @@ def violations(log: DataFrame) -> DataFrame:
     return wrong.join(F.broadcast(allowed), "cur", "left").select("document_id", "event_id", "cur", "nxt", F.coalesce("allowed", F.lit("")).alias("allowed"))
 
 
+def judged_steps(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (document_id, ts, event_id, state) with cur, allowed (names joined by commas) and accepted.
+
+    A document's steps count in their order, the first of them from its last state in the log, or as its beginning if it has none. From the first step on that is
+    not allowed none is accepted: what came after it rests on it.
+    """
+    spark, own = log.sparkSession, Window.partitionBy("document_id").orderBy("ts", "event_id")
+    now = log.groupBy("document_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("now"))
+    steps = asked.join(now, "document_id", "left").withColumn("cur", F.coalesce(F.lag("state").over(own), "now")).drop("now")
+    edges = transitions(spark).groupBy("cur").agg(F.array_sort(F.collect_set("nxt")).alias("to"))
+    steps = steps.join(F.broadcast(edges), "cur", "left").withColumn("to", F.when(F.col("cur").isNull(), F.array(F.lit(STATES[0]))).otherwise(F.coalesce("to", F.array().cast("array<string>"))))
+    fits = F.array_contains("to", F.col("state")).cast("int")
+    accepted = F.min(fits).over(own.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    return steps.select("document_id", "ts", "event_id", "state", "cur", F.array_join("to", ",").alias("allowed"), accepted.alias("accepted"))
+
+
+def advance(asked: DataFrame, path: str) -> DataFrame:
+    """Append the steps that are allowed to the state log at path, a table that only grows, and give those that are refused: document_id, ts, event_id, state, cur, allowed.
+
+    Steps that are in the log already are neither appended nor refused, so a call may be repeated.
+    """
+    spark, keys = asked.sparkSession, ["document_id", "event_id"]
+    columns = [*keys, "ts", "state"]
+    log = spark.read.parquet(path) if exists(spark, path) else asked.select(*columns).where("false")
+    append_new(judged_steps(log, not_yet(asked.select(*columns), log, keys)).where("accepted").select(*columns), path, keys)
+    after = spark.read.parquet(path) if exists(spark, path) else log
+    # what the log lacks now was refused, and is judged by where its document stands
+    return judged_steps(after, not_yet(asked.select(*columns), after, keys)).drop("accepted")
+
+
 def current_state(log: DataFrame) -> DataFrame:
     """The last state of each document, its label and the state that follows; partial aggregates, no sort."""
     at = F.max_by("state", F.struct("ts", "event_id"))

@@ -11,22 +11,27 @@ from ..config import CONFIG, Segment
 from ..schema import PAGE
 
 
-def runs(active: DataFrame, by: Sequence[str], at: str, tolerance: int, extent: Column | None = None, sums: Sequence[Column] = ()) -> DataFrame:
-    """Islands of active positions that lie at most `tolerance` empty positions apart.
+def runs(active: DataFrame, by: Sequence[str], at: str, tolerance: int, extent: Column | None = None, sums: Sequence[Column] = (), until: str | None = None) -> DataFrame:
+    """Islands of active positions that lie at most `tolerance` empty positions apart. With until, a row stands for the positions from at to there; rows don't overlap.
 
     One window over `by`, one grouping on the same keys, so one shuffle. With an extent (positions in all), a run that is
     still open at the edge ends there. Gives by, island, first, last and the sums.
     """
     w = Window.partitionBy(*by).orderBy(at)
-    apart = F.col(at) - F.lag(at).over(w) - 1 > tolerance
+    apart = F.col(at) - F.lag(until or at).over(w) - 1 > tolerance
     marked = active.withColumn("island", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max(at)
+    last = F.max(until or at)
     if extent is not None:
         edge = F.max(extent)
         last = F.when(edge - last <= tolerance, edge - 1).otherwise(last)
     return marked.groupBy(*by, "island").agg(F.min(at).alias("first"), last.alias("last"), *sums)
 
 
+def row_profile(ink: DataFrame, *more: str) -> DataFrame:
+    """page, more, y, row_ink, x_min, x_max of each row of pixels with ink, from runs of ink (page, y, x_start, x_end), the end exclusive."""
+    return ink.groupBy(*PAGE, *more, "y").agg(F.sum(F.col("x_end") - F.col("x_start")).alias("row_ink"), F.min("x_start").alias("x_min"), (F.max("x_end") - 1).alias("x_max"))
+
+
 def segment_lines(profile: DataFrame, rule: Segment = CONFIG.segment, extent: Column | None = None, min_ink: int | None = None) -> DataFrame:
     """Lines of pages from (page, y, row_ink, x_min, x_max): page, line_no, x, y, w, h, ink_area.
 
@@ -49,8 +54,8 @@ def merge_bands(bands: DataFrame, gap: int = CONFIG.segment.rule_merge_gap) -> D
 
 
 def segment_words(columns: DataFrame, by: Sequence[str], rule: Segment = CONFIG.segment) -> DataFrame:
-    """Words of lines from (by, x, col_ink, width): by, word_no, x, w."""
+    """Words of lines from (by, x, col_ink, width), with an x_end where a row stands for several columns: by, word_no, x, w."""
     active = columns.where(F.col("col_ink") >= rule.min_col_ink)
-    found = runs(active, by, "x", rule.word_gap, F.col("width")).where(F.col("last") - F.col("first") + 1 >= rule.min_word_width)
+    found = runs(active, by, "x", rule.word_gap, F.col("width"), until="x_end" if "x_end" in columns.columns else None).where(F.col("last") - F.col("first") + 1 >= rule.min_word_width)
     number = F.row_number().over(Window.partitionBy(*by).orderBy("first"))
     return found.select(*by, number.alias("word_no"), F.col("first").alias("x"), (F.col("last") - F.col("first") + 1).alias("w"))

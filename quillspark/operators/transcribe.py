@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import base64
 import json
-import math
 import os
-import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Transcription
-from ..schema import OCR_RESULT, PAGE
+from ..functions.expressions import any_clipped, clipped_ranges
+from ..schema import OCR_RESULT, PAGE, UNCERTAINTY
 
-#: (request, image) -> response
-Transcriber = Callable[[dict, bytes], dict]
+#: (request, image) -> response: a provider's body, or an object
+Transcriber = Callable[[dict, bytes], str | dict]
+TIMEOUT = 60.0
 
+#: Fixed value: the shape that responses must have.
 RESPONSE_SCHEMA = {
     "type": "object",
     "additionalProperties": False,
@@ -69,67 +71,102 @@ def call_cap(misses: DataFrame, order: str, most: int = CONFIG.transcription.max
     return misses.withColumn("call_no", number).withColumn("capped", F.col("call_no") > most)
 
 
-def parse_object(text: str) -> dict:
-    """A JSON object, alone or with prose around it."""
-    for part in (text, text[text.find("{") : text.rfind("}") + 1]):
-        try:
-            value = json.loads(part)
-        except ValueError:
-            continue
-        if isinstance(value, dict):
-            return value
-        raise ValueError("not a JSON object")
-    raise ValueError("no JSON object")
-
-
-def message_text(body: dict) -> str:
-    """The text of a provider's envelope: the first message of `output`, or the first of `choices`."""
-    for item in body.get("output") or ():
-        parts = [item] if item.get("type") == "output_text" else item.get("content") or () if item.get("type") == "message" else ()
-        for part in parts:
-            if part.get("type") == "output_text":
-                return part["text"]
-    return body["choices"][0]["message"]["content"]
-
-
-def judged(raw: object) -> tuple:
-    """OCR_RESULT of a response. Anything malformed makes the whole response invalid."""
-    try:
-        text, confidence = raw["text"], float(raw["confidence"])
-        if not isinstance(text, str) or not 0 <= confidence <= 1:
-            raise ValueError("invalid text or confidence")
-        ranges = [(int(u["start"]), int(u["end"]), u.get("reason", "")) for u in raw.get("uncertainty", [])]
-        if any(start < 0 or end <= start for start, end, _ in ranges):
-            raise ValueError("uncertainty range outside literal text")
-    except (KeyError, TypeError, ValueError, AttributeError) as e:
-        return "", 0.0, [], "invalid", "required", f"malformed_response:{e}"
-    cut = any(end > len(text) for _, end, _ in ranges)
-    ranges = [(s, min(e, len(text)), r) for s, e, r in ranges if min(e, len(text)) > s]
-    why = "uncertainty_range_clamped" if cut else "model_uncertainty" if ranges else None
-    return text, confidence, ranges, "valid", "required" if ranges else "pending", why
-
-
-def unavailable(reason: str) -> tuple:
-    return "", 0.0, [], "unavailable", "required", reason
-
-
-@F.pandas_udf(OCR_RESULT)
-def validated(raw: pd.Series) -> pd.DataFrame:
-    """OCR_RESULT of raw responses, JSON strings that may have prose around them; null is a provider that isn't there."""
-
-    def one(x: str | None) -> tuple:
-        if x is None:
-            return unavailable("provider_unavailable")
-        try:
-            parsed = parse_object(x)
-        except ValueError as e:
-            return "", 0.0, [], "invalid", "required", f"malformed_response:{e}"
-        return judged(parsed)
-
-    rows = []
-    for text, confidence, ranges, state, review, why in map(one, raw):
-        rows.append((text, 0.0 if math.isnan(confidence) else confidence, [{"start": s, "end": e, "reason": r} for s, e, r in ranges], state, review, why))
-    return pd.DataFrame(rows, columns=OCR_RESULT.fieldNames())
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def json_object(text: Column) -> Column:
+    """Variant: the JSON object that a text is, or that stands between its first and last brace; null if there is none."""
+
+    def object_or_none(part: Column) -> Column:
+        return let(F.try_parse_json(part), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+
+    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return let(F.try_parse_json(text), lambda whole: F.when(whole.isNotNull(), F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole)).otherwise(object_or_none(inner)))
+
+
+def message_text(body: Column) -> Column:
+    """The model's text in a provider's answer (JSON): that of the first message of `output`, or of the first of `choices`; other text as it is."""
+    get = F.try_variant_get
+
+    def texts(item: Column) -> Column:
+        said = F.array(get(item, "$.text", "string"))
+        inner = F.coalesce(get(item, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+        of_message = F.transform(F.filter(inner, lambda c: get(c, "$.type", "string") == "output_text"), lambda c: get(c, "$.text", "string"))
+        kind = get(item, "$.type", "string")
+        return F.when(kind == "output_text", said).when(kind == "message", of_message).otherwise(F.array().cast("array<string>"))
+
+    def found(v: Column) -> Column:
+        output = F.get(F.flatten(F.transform(get(v, "$.output", "array<variant>"), texts)), F.lit(0))
+        return F.coalesce(output, get(v, "$.choices[0].message.content", "string"), body)
+
+    return let(F.try_parse_json(body), lambda v: F.coalesce(found(v), body))
+
+
+INTEGER, FLOAT = r"^\s*[+-]?[0-9]+\s*$", r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _number(v: Column, kind: Column, pattern: str) -> Column:
+    """A variant as double: numbers, truth values and strings of the pattern; null for all else."""
+    said = F.try_variant_get(v, "$", "string")
+    plain = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    of_text = F.when(said.rlike(pattern), F.trim(F.translate(said, "\t\n\r", "   ")).try_cast("double"))
+    return F.when(plain, F.try_variant_get(v, "$", "double")).when(kind == "BOOLEAN", F.when(said == "true", 1.0).otherwise(0.0)).when(kind == "STRING", of_text)
+
+
+def _offset(item: Column, name: str) -> Column:
+    """A whole number of a range, cut towards zero; null if there is none."""
+    cut = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+    value = let(F.try_variant_get(item, f"$.{name}", "variant"), lambda v: _number(v, F.schema_of_variant(v), INTEGER))
+    bounded = lambda x: F.least(F.greatest(cut(x), F.lit(-(1 << 31))), F.lit((1 << 31) - 1)).cast("int")
+    return let(value, lambda x: F.when(x.isNotNull(), bounded(x)))
+
+
+def _result(text, confidence, uncertainty, validation: str, review, reason) -> Column:
+    parts = (text, confidence, uncertainty, F.lit(validation), review, reason)
+    return F.struct(*(x.alias(f.name) for x, f in zip(parts, OCR_RESULT.fields))).cast(OCR_RESULT)
+
+
+def _failed(validation: str, reason: Column) -> Column:
+    return _result(F.lit(""), F.lit(0.0), F.array().cast(UNCERTAINTY), validation, F.lit("required"), reason)
+
+
+def unavailable(reason: Column) -> Column:
+    return _failed("unavailable", reason)
+
+
+def _judged(v: Column) -> Column:
+    """OCR_RESULT of a response object. Anything malformed makes the whole response invalid."""
+    get, none = F.try_variant_get, F.array().cast("array<variant>")
+    kind = lambda name: F.schema_of_variant(get(v, f"$.{name}", "variant"))
+    listed = F.when(kind("uncertainty").isNull() | kind("uncertainty").isin("OBJECT<>"), none).otherwise(get(v, "$.uncertainty", "array<variant>"))
+    ranges = F.transform(listed, lambda u: F.struct(_offset(u, "start").alias("start"), _offset(u, "end").alias("end"), F.coalesce(get(u, "$.reason", "string"), F.lit("")).alias("reason")))
+    text = F.when(kind("text") == "STRING", get(v, "$.text", "string"))
+    read = F.struct(text.alias("text"), _number(get(v, "$.confidence", "variant"), kind("confidence"), FLOAT).alias("confidence"), ranges.alias("ranges"))
+
+    def of(r: Column) -> Column:
+        said, sure, ranges = r["text"], r["confidence"], r["ranges"]
+        known = F.coalesce(sure.between(0.0, 1.0) & ~F.isnan(sure), F.lit(False)) & said.isNotNull()
+        broken = F.coalesce(F.exists(ranges, lambda u: u["start"].isNull() | u["end"].isNull()), F.lit(True))
+        outside = F.exists(ranges, lambda u: (u["start"] < 0) | (u["end"] <= u["start"]))
+        why = (
+            F.when(kind("text").isNull(), F.lit("'text'")).when(kind("confidence").isNull(), F.lit("'confidence'")).when(~known, F.lit("invalid text or confidence"))
+            .when(broken, F.lit("uncertainty is no list of ranges")).when(outside, F.lit("uncertainty range outside literal text"))
+        )
+        left = clipped_ranges(ranges, said)
+        reason = F.when(any_clipped(ranges, said), F.lit("uncertainty_range_clamped")).when(F.size(left) > 0, F.lit("model_uncertainty"))
+        good = _result(said, sure, left, "valid", F.when(F.size(left) > 0, "required").otherwise("pending"), reason)
+        return F.when(why.isNotNull(), _failed("invalid", F.concat(F.lit("malformed_response:"), why))).otherwise(good)
+
+    return let(read, of)
+
+
+def validated(raw: Column) -> Column:
+    """OCR_RESULT of raw responses, JSON strings that may have prose around them; null is a provider that isn't there. All of it stays in the JVM."""
+    malformed = _failed("invalid", F.lit("malformed_response:no JSON object"))
+    judged = let(json_object(raw), lambda v: F.when(v.isNull(), malformed).otherwise(_judged(v)))
+    return F.when(raw.isNull(), unavailable(F.lit("provider_unavailable"))).otherwise(judged)
 
 
 def transcribe(misses: DataFrame, transcriber: Transcriber | None, how: Transcription = CONFIG.transcription) -> DataFrame:
@@ -149,7 +186,8 @@ def transcribe(misses: DataFrame, transcriber: Transcriber | None, how: Transcri
                     failure = "provider_unavailable"
                 else:
                     try:
-                        raw = json.dumps(transcriber(request_for(crop_id, how), bytes(image)), ensure_ascii=False)
+                        raw = transcriber(request_for(crop_id, how), bytes(image))
+                        raw = raw if isinstance(raw, str) else json.dumps(raw, ensure_ascii=False)
                     except Exception as e:  # noqa: BLE001 - one failing line must not end the document
                         failure = f"provider_failure:{type(e).__name__}:{e}"
                 raws.append(raw)
@@ -160,37 +198,24 @@ def transcribe(misses: DataFrame, transcriber: Transcriber | None, how: Transcri
     return misses.mapInPandas(call, f"{fields}, raw string, failure string")
 
 
-def post_json(url: str, body: dict, headers: dict[str, str], timeout: float = 60.0) -> dict:
-    sent = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers}, method="POST")
-    try:
-        with urllib.request.urlopen(sent, timeout=timeout) as got:
-            answer = json.loads(got.read())
-    except urllib.error.HTTPError as e:
-        raise RuntimeError(f"HTTP {e.code}") from e
-    except urllib.error.URLError as e:
-        raise RuntimeError(f"no answer: {e.reason}") from e
-    except ValueError as e:
-        raise RuntimeError("the answer isn't JSON") from e
-    if not isinstance(answer, dict):
-        raise RuntimeError("the answer isn't a JSON object")
-    return answer
-
-
 def http_transcriber(how: Transcription, style: str) -> Transcriber:
-    """A live provider, of the `responses` or the `chat` style."""
+    """A live provider, of the `responses` or the `chat` style. It gives the answer's body as it came; message_text() finds the model's words in it."""
 
-    def call(request: dict, image: bytes) -> dict:
-        url = "data:image/png;base64," + base64.b64encode(image).decode()
+    def body_of(request: dict, image: bytes) -> dict:
+        said, url = json.dumps(request, ensure_ascii=False), "data:image/png;base64," + base64.b64encode(image).decode("ascii")
         schema = {"name": "line_transcription", "strict": True, "schema": RESPONSE_SCHEMA}
-        said = json.dumps(request, ensure_ascii=False)
         if style == "responses":
             content = [{"type": "input_text", "text": said}, {"type": "input_image", "image_url": url, "detail": "high"}]
-            body = {"model": how.model, "input": [{"role": "user", "content": content}], "text": {"format": {"type": "json_schema", **schema}}}
-        else:
-            content = [{"type": "text", "text": said}, {"type": "image_url", "image_url": {"url": url}}]
-            body = {"model": how.model, "messages": [{"role": "user", "content": content}], "response_format": {"type": "json_schema", "json_schema": schema}}
-        answer = post_json(how.endpoint, body, {"Authorization": f"Bearer {os.environ[how.api_key_env]}"})
-        return parse_object(message_text(answer)) | {"_provider": {"id": answer.get("id"), "usage": answer.get("usage")}}
+            return {"model": how.model, "input": [{"role": "user", "content": content}], "text": {"format": {"type": "json_schema", **schema}}}
+        content = [{"type": "text", "text": said}, {"type": "image_url", "image_url": {"url": url}}]
+        return {"model": how.model, "messages": [{"role": "user", "content": content}], "response_format": {"type": "json_schema", "json_schema": schema}}
+
+    def call(request: dict, image: bytes) -> str:
+        sent = urllib.request.Request(how.endpoint, data=json.dumps(body_of(request, image)).encode("utf-8"), method="POST")
+        sent.add_header("Content-Type", "application/json")
+        sent.add_header("Authorization", "Bearer " + os.environ[how.api_key_env])
+        with urllib.request.urlopen(sent, timeout=TIMEOUT) as answer:  # refusals and broken lines raise, and are written down by transcribe()
+            return answer.read().decode("utf-8")
 
     return call
 
@@ -203,21 +228,25 @@ PROVIDERS: dict[str, Callable[[Transcription], Transcriber]] = {
 }
 
 
-def run(crops: DataFrame, cache: DataFrame, how: Transcription = CONFIG.transcription, transcriber: Transcriber | None = None) -> tuple[DataFrame, DataFrame]:
+def run(crops: DataFrame, cache: DataFrame, how: Transcription = CONFIG.transcription, transcriber: Transcriber | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(results: page, crop_id, cache_key, result), (responses: cache_key, raw) for line crops (page, crop_id, image).
 
     Hits come from the cache; of equal misses the first goes out and all share its answer; misses beyond the page's calls are
-    not made. Write the responses, the new cache entries, before using either frame again.
+    not made. With a store, a folder, what the calls gave is written there before anything is made of it, so no call goes out twice. Without one,
+    write the responses, the new cache entries, before using either frame again.
     """
     make = transcriber or (PROVIDERS[how.provider](how) if how.provider in PROVIDERS else None)
     keyed = with_cache_key(crops, how=how)
     first = Window.partitionBy("cache_key").orderBy(*PAGE, "crop_id")
     misses = call_cap(cache_misses(keyed, cache).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), "crop_id", how.max_calls_per_page)
     made = transcribe(misses.where("not capped"), make, how).select("cache_key", "raw", "failure")
+    if store:
+        at = f"{store.rstrip('/')}/calls-{uuid4().hex}"
+        made.write.parquet(at)
+        made = crops.sparkSession.read.schema(made.schema).parquet(at)
     capped = misses.where("capped").select("cache_key", F.lit(None).cast("string").alias("raw"), F.lit("page_call_cap_reached").alias("failure"))
     known = cache.select("cache_key", "raw").dropDuplicates(["cache_key"]).withColumn("failure", F.lit(None).cast("string"))
     answers = known.unionByName(made).unionByName(capped)
-    said = F.col("result")
-    lost = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("confidence"), said["uncertainty"].alias("uncertainty"), F.lit("unavailable").alias("validation_state"), F.lit("required").alias("review_state"), F.col("failure").alias("review_reason"))
-    results = keyed.drop("image").join(answers, "cache_key").withColumn("result", validated("raw")).withColumn("result", F.when(F.col("failure").isNotNull(), lost).otherwise(said))
+    result = F.when(F.col("failure").isNotNull(), unavailable(F.col("failure"))).otherwise(validated(message_text(F.col("raw"))))
+    results = keyed.drop("image").join(answers, "cache_key").withColumn("result", result)
     return results.drop("raw", "failure"), made.where("raw is not null").select("cache_key", "raw")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
 from ..functions.expressions import ordinal_id
-from ..operators import assemble, crops, kernels, layout, review, segment, transcribe
+from ..operators import assemble, crops, ink, kernels, layout, review, segment, transcribe
 from ..schema import PAGE
 
 
@@ -26,32 +26,37 @@ class Layout:
     crops: DataFrame
 
 
-def find_lines(pages: DataFrame, config: Config = CONFIG, threshold: int | None = None) -> DataFrame:
-    """page, ln, x, y, w, h, ink_area, density, text (null) from pixels. The profile is small: write it if the pages are read again."""
-    profile = kernels.row_profiles(pages, threshold, config.segment)
+def ink_of(pages: DataFrame, threshold: int = 128) -> DataFrame:
+    """Runs of ink of pages (page, height, width, bgr) by gray. Binarise with other tools first where pages are unevenly lit, skewed or noisy."""
+    return kernels.pixel_runs(pages, lambda bgr: kernels.dark(bgr, threshold))
+
+
+def find_lines(pages: DataFrame, config: Config = CONFIG, threshold: int = 128) -> DataFrame:
+    """page, ln, x, y, w, h, ink_area, density, text (null) from pixels. The runs are small: write the lines if the pages are read again."""
+    raw = ink_of(pages, threshold)
+    profile = segment.row_profile(ink.without_rules(raw, config.segment), "height")
     lines = segment.segment_lines(profile, config.segment, F.col("height")).withColumn("ln", F.col("line_no") - 1).drop("line_no")
-    dense = kernels.line_columns(pages, lines, threshold).groupBy(*PAGE, "ln").agg(F.first("density").alias("density"))
-    return lines.join(dense, [*PAGE, "ln"], "left").withColumns({"density": F.coalesce("density", F.lit(0.0)), "text": F.lit(None).cast("string")})
+    return lines.join(ink.line_density(raw, lines), [*PAGE, "ln"], "left").withColumns({"density": F.coalesce("density", F.lit(0.0)), "text": F.lit(None).cast("string")})
 
 
-def word_boxes(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, threshold: int | None = None) -> DataFrame:
+def word_boxes(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, threshold: int = 128) -> DataFrame:
     """page, ln, word_no, x, y, w, h of the words of lines, tight around their ink."""
-    columns = kernels.line_columns(pages, lines, threshold)
-    keys = [*PAGE, "ln"]
+    columns, keys = ink.line_columns(ink_of(pages, threshold), lines), [*PAGE, "ln"]
     found = segment.segment_words(columns, keys, config.segment)
     inside = columns.select(*keys, F.col("x").alias("cx"), "y_min", "y_max")
-    tight = found.join(inside, keys).where((F.col("cx") >= F.col("x")) & (F.col("cx") < F.col("x") + F.col("w"))).groupBy(*keys, "word_no", "x", "w").agg(F.min("y_min").alias("y"), (F.max("y_max") - F.min("y_min") + 1).alias("h"))
+    columns_of = found.select(*keys, "word_no", "x", "w", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("cx"))
+    tight = columns_of.join(inside, [*keys, "cx"]).groupBy(*keys, "word_no", "x", "w").agg(F.min("y_min").alias("y"), (F.max("y_max") - F.min("y_min") + 1).alias("h"))
     left = lines.select(*keys, F.greatest(F.lit(0), "x").alias("line_x"))
     return tight.join(left, keys).select(*keys, "word_no", (F.col("x") + F.col("line_x")).alias("x"), "y", "w", "h")
 
 
-def find_layout(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, threshold: int | None = None, page_height: int = 1 << 30) -> Layout:
+def find_layout(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, threshold: int = 128, page_height: int = 1 << 30) -> Layout:
     """Questions, answers, paragraphs, highlights and all crops of pages, from their lines."""
     marked = layout.mark_questions(lines, config.question)  # without text, one question for a page at most
     questions, answers = layout.question_boxes(marked), layout.answers(marked, config.answer)
     inside = layout.answer_lines(marked, config.answer)
     paragraphs = layout.paragraphs(inside, config.paragraph)
-    bands = segment.merge_bands(kernels.rule_rows(pages, threshold, config.segment), config.segment.rule_merge_gap)
+    bands = segment.merge_bands(ink.rule_bands(ink_of(pages, threshold), config.segment), config.segment.rule_merge_gap)
     grown = crops.to_bands(lines, bands, page_height).select(*PAGE, "ln", *(F.col(c).alias(f"c{c}") for c in "xywh"))
     of = {"question": crops.lines_of(questions, lines), "paragraph": crops.lines_of(paragraphs, lines)}
     line_crops = of["question"].unionByName(of["paragraph"], allowMissingColumns=True).join(grown, [*PAGE, "ln"])
@@ -66,13 +71,31 @@ def find_layout(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, thr
         words.select(*PAGE, F.lit("word").alias("type"), ordinal_id(F.concat("parent_id", F.lit("_word")), F.col("word_no"), 2).alias("id"), "parent_id", *box),
     ):
         found = found.unionByName(more)
-    return Layout(lines, questions, answers, inside, paragraphs, kernels.highlights(pages, config.highlight), found)
+    return Layout(lines, questions, answers, inside, paragraphs, ink.highlights(kernels.pixel_runs(pages, lambda bgr: kernels.marker(bgr, config.highlight)), config.highlight), found)
+
+
+def line_crops(found: Layout) -> DataFrame:
+    """The crops that are transcribed: lines, and nothing else."""
+    return found.crops.where("type = 'line'")
+
+
+def read_lines(pages: DataFrame, found: Layout, cache: DataFrame, config: Config = CONFIG, transcriber=None, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, responses) of the line crops. With a store what the calls gave is written there first; without one write both before using them again."""
+    images = kernels.crop_images(pages, line_crops(found))
+    return transcribe.run(images.select(*PAGE, F.col("id").alias("crop_id"), "image"), cache, config.transcription, transcriber, store)
+
 
+def read_and_keep(pages: DataFrame, found: Layout, at: str, config: Config = CONFIG, transcriber=None) -> DataFrame:
+    """The results of the line crops, from the tables under a folder and added to them: responses (cache_key, raw, as they came) and results (page, crop_id, ...).
 
-def read_lines(pages: DataFrame, found: Layout, cache: DataFrame, config: Config = CONFIG, transcriber=None) -> tuple[DataFrame, DataFrame]:
-    """(results, responses) of the line crops; only these go to the transcriber. Write both before using them again."""
-    images = kernels.crop_images(pages, found.crops.where("type = 'line'"))
-    return transcribe.run(images.select(*PAGE, F.col("id").alias("crop_id"), "image"), cache, config.transcription, transcriber)
+    Both only grow; a run that is done again makes no call and adds nothing. Results that failed or were capped are given but not kept, so a later run tries again.
+    """
+    spark, responses, kept = pages.sparkSession, f"{at}/responses", f"{at}/results"
+    known = spark.read.parquet(responses) if crops.exists(spark, responses) else spark.createDataFrame([], "cache_key string, raw string")
+    results, fresh = read_lines(pages, found, known, config, transcriber, store=f"{at}/calls")
+    crops.append_new(fresh, responses, ["cache_key"])
+    crops.append_new(results.where("result.validation_state <> 'unavailable'"), kept, [*PAGE, "crop_id"])
+    return results
 
 
 def texts(found: Layout, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

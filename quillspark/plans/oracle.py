@@ -11,11 +11,11 @@ from ..schema import EDGES, STATES
 LINES = """
 parts AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS p FROM documents),
 split AS (SELECT document_id, CAST(unnest(range(len(p))) AS INTEGER) AS ln, unnest(p) AS text FROM parts),
-lines AS (SELECT document_id, ln, CAST((length(text) % 7) * 4 AS INTEGER) AS x, CAST(ln * 20 AS INTEGER) AS y, CAST(length(text) * 3 AS INTEGER) AS w, 12 AS h,
-          CAST(length(text) AS INTEGER) AS ink, CAST(length(replace(text, ' ', '')) AS DOUBLE) / length(text) AS density, text FROM split WHERE length(text) >= 40)"""
+lines AS (SELECT document_id, ln, CAST((length(text) % 7) * 4 AS INTEGER) AS x, CAST(ln * 30 + (length(text) % 5) * 6 AS INTEGER) AS y, CAST(length(text) * 3 AS INTEGER) AS w, 12 AS h,
+          CAST(length(text) AS INTEGER) AS ink, CAST(length(replace(text, ' ', '')) AS DOUBLE) / greatest(1, length(text)) AS density, text FROM split)"""
 
 SCORED = """
-stats AS (SELECT document_id, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY h DESC) AS DOUBLE) AS mh, min(x) AS lx, CAST(max(w) AS DOUBLE) AS fw FROM {src} GROUP BY document_id),
+stats AS (SELECT document_id, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY h DESC) AS DOUBLE) AS mh, min(x) AS lx, greatest(1, CAST(max(w) AS DOUBLE)) AS fw FROM {src} GROUP BY document_id),
 steps AS (SELECT l.*, y - lag(y + h) OVER o AS gap, abs(lag(density) OVER o - density) AS thin FROM {src} l WINDOW o AS (PARTITION BY document_id ORDER BY ln)),
 scored AS (SELECT s.*, CAST(0.55 AS DOUBLE) * least(1.0, greatest(0.0, gap / (3.0 * mh))) + CAST(0.25 AS DOUBLE) * least(1.0, greatest(0.0, (x - lx) / (0.25 * fw)))
            + CAST(0.2 AS DOUBLE) * least(1.0, thin * 4.0) AS score FROM steps s JOIN stats USING (document_id)),
@@ -61,9 +61,9 @@ PROFILE = """profile AS (SELECT user_id AS document_id, CAST(floor(epoch(ts) / 6
 ISLES = """isles AS (SELECT *, sum(CASE WHEN y - p - 1 > 240 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY y) AS island
   FROM (SELECT *, lag(y) OVER (PARTITION BY document_id ORDER BY y) AS p FROM profile))"""
 WORDS = """
-chars AS (SELECT document_id, ln, CAST(unnest(range(length(text))) AS INTEGER) AS x, unnest(string_split(text, '')) AS c FROM lines WHERE ln < 3),
+chars AS (SELECT document_id, ln, CAST(unnest(range(length(text))) AS INTEGER) AS x, unnest(string_split(text, '')) AS c FROM lines),
 wr AS (SELECT *, x - row_number() OVER (PARTITION BY document_id, ln ORDER BY x) AS g FROM chars WHERE c <> ' '),
-ws AS (SELECT document_id, ln, min(x) AS x, CAST(count(*) AS INTEGER) AS w FROM wr GROUP BY document_id, ln, g HAVING count(*) >= 4),
+ws AS (SELECT document_id, ln, min(x) AS x, CAST(count(*) AS INTEGER) AS w FROM wr GROUP BY document_id, ln, g),
 words AS (SELECT document_id, ln, row_number() OVER (PARTITION BY document_id, ln ORDER BY x) AS word_no, x, w FROM ws)"""
 INPARA = """
 inpara AS (SELECT l.document_id, p.id AS parent_id, l.ln, p.id || '_line' || printf('%03d', row_number() OVER (PARTITION BY l.document_id, p.id ORDER BY l.y)) AS id
@@ -83,11 +83,23 @@ def _key_sql() -> str:
     return f"sha256(encode(text) || '\\x00'::BLOB || encode({q(before)} || 'l' || printf('%03d', ln) || {q(after)}))"
 
 
-KEYED = f"keyed AS (SELECT document_id, ln, 'l' || printf('%03d', ln) AS crop_id, {_key_sql()} AS cache_key FROM lines)"
+KEYED = f"keyed AS (SELECT document_id, ln, 'l' || printf('%03d', ln) AS crop_id, {_key_sql()} AS cache_key FROM split)"
 RANGES = """
-u AS (SELECT document_id, ln, length(text) AS n, ln % 4 AS s1, 6 AS e1, length(text) - 2 + ln % 3 AS s2, length(text) + ln % 2 AS e2 FROM lines),
+u AS (SELECT document_id, ln, length(text) AS n, ln % 4 AS s1, 6 AS e1, length(text) - 2 + ln % 3 AS s2, length(text) + ln % 2 AS e2 FROM split),
 cut AS (SELECT document_id, ln, e1 > n OR e2 > n AS clamped, list_filter([[s1, least(e1, n)], [s2, least(e2, n)]], lambda r: r[2] > r[1]) AS r FROM u)"""
 
+INK = """
+size AS (SELECT document_id, max(y + h) + 20 AS height, max(x + w) AS pw, max(y + h) AS ph FROM lines GROUP BY document_id),
+cutat AS (SELECT *, 3 * CASE WHEN instr(text, ' ') > 1 THEN instr(text, ' ') - 1 ELSE length(text) END AS c FROM lines),
+runs AS (SELECT document_id, y + 3 + i AS y, s, e FROM (SELECT document_id, y, x AS s, x + c AS e FROM cutat UNION ALL SELECT document_id, y, x + c + 3, x + w FROM cutat), (SELECT unnest(range(6)) AS i) WHERE e > s),
+profile AS (SELECT document_id, y, sum(e - s) AS row_ink, min(s) AS x_min, max(e) - 1 AS x_max FROM runs GROUP BY document_id, y)"""
+MARKS = """
+marks AS (SELECT document_id, ln, ln % 4 AS k, x AS x0, x + CASE WHEN ln % 4 = 0 THEN w ELSE w // 2 END AS x1, ln * 30 + CASE WHEN ln % 4 = 0 THEN 0 ELSE 1 - document_id % 2 * 6 END AS y0, ln * 30 + 25 AS y1 FROM lines WHERE ln % 4 < 2 AND w > 3),
+area AS (SELECT *, (x1 - x0) * (y1 - y0) AS n FROM marks),
+pairs AS (SELECT a.document_id, a.ln AS la, b.ln AS lb, least(a.x0, b.x0) AS x0, greatest(a.x1, b.x1) AS x1, a.y0, b.y1, a.n + b.n AS n FROM area a JOIN area b ON a.document_id = b.document_id AND a.k = 0 AND b.ln = a.ln + 1 AND b.y0 <= a.y1 AND b.x0 <= a.x1 AND a.x0 <= b.x1),
+found AS (SELECT document_id, x0, x1, y0, y1, n FROM pairs UNION ALL
+  SELECT document_id, x0, x1, y0, y1, n FROM area m WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.document_id = m.document_id AND (p.la = m.ln OR p.lb = m.ln)))"""
+
 KIND = r"lower(regexp_extract(regexp_replace(url, '[?#].*$', '') || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.pdf' ELSE '' END, '[^/](\.[^./]+)$', 1))"
 SUFFIX = r"lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/](\.[^./]+)$', 1))"
 
@@ -113,29 +125,29 @@ ORACLE: dict[str, str] = {
     "word_islands": q(LINES, WORDS, "SELECT document_id, ln, word_no, x, w FROM words"),
     "line_to_paragraph": q(LINES, PARAGRAPHS, INPARA, "SELECT document_id, parent_id, id, ln FROM inpara"),
     "line_to_question": q(LINES, QUESTIONS, INPARA.replace("paragraphs", "questions"), "SELECT document_id, parent_id, id, ln FROM inpara"),
-    "enclosing_band": q(LINES, "bands AS (SELECT document_id, y - 5 AS s, y - 3 AS e FROM lines WHERE ln % 3 = 0)",
+    "enclosing_band": q(LINES, INK, "bands AS (SELECT document_id, y - 5 AS s, y - 3 AS e FROM lines WHERE ln % 3 = 0)",
         "near AS (SELECT l.*, (SELECT max(e) FROM bands b WHERE b.document_id = l.document_id AND e < l.y + l.h / 2.0) AS up, (SELECT min(s) FROM bands b WHERE b.document_id = l.document_id AND s > l.y + l.h / 2.0) AS lo FROM lines l)",
-        "grown AS (SELECT document_id, ln, x, w, greatest(0, least(coalesce(up + 1, y), y)) AS y0, least(4000, greatest(coalesce(lo, y + h), y + h)) AS y1 FROM near)",
+        "grown AS (SELECT n.document_id, ln, x, w, greatest(0, least(coalesce(up + 1, y), y)) AS y0, least(ph, greatest(coalesce(lo, y + h), y + h)) AS y1 FROM near n JOIN size USING (document_id))",
         "SELECT document_id, ln, x, y0 AS y, w, y1 - y0 AS h FROM grown"),
-    "crop_hierarchy": q(LINES, PARAGRAPHS, INPARA, WORDS, """
-        crops AS (SELECT document_id, 'paragraph' AS type, id, NULL AS parent_id FROM paragraphs UNION ALL SELECT document_id, 'line', id, parent_id FROM inpara
-          UNION ALL SELECT document_id, 'word', i.id || '_word' || printf('%02d', word_no), i.id FROM words JOIN inpara i USING (document_id, ln))""",
-        "SELECT c.document_id, c.type, c.id, c.parent_id, p.type AS parent_type, p.parent_id AS grandparent_id, g.type AS grandparent_type FROM crops c LEFT JOIN crops p ON p.document_id = c.document_id AND p.id = c.parent_id LEFT JOIN crops g ON g.document_id = c.document_id AND g.id = p.parent_id"),
-    "crop_paths": q(LINES, PARAGRAPHS, INPARA, WORDS, "named AS (SELECT w.document_id, i.id AS line_id, i.id || '_word' || printf('%02d', word_no) AS id FROM words w JOIN inpara i USING (document_id, ln))",
-        "SELECT document_id, id, 'crops/words/page_001/' || id || '.png' AS path, 'crops/lines/page_001/' || line_id || '.png' AS line_path FROM named"),
+    "crop_hierarchy": q(LINES, PARAGRAPHS, INPARA, WORDS, """SELECT document_id, 'paragraph' AS type, id, NULL AS parent_id, NULL AS parent_type, NULL AS grandparent_id, NULL AS grandparent_type FROM paragraphs
+        UNION ALL SELECT document_id, 'line', id, parent_id, 'paragraph', NULL, NULL FROM inpara
+        UNION ALL SELECT document_id, 'word', i.id || '_word' || printf('%02d', word_no), i.id, 'line', parent_id, 'paragraph' FROM words JOIN inpara i USING (document_id, ln)"""),
+    "crop_paths": q(LINES, "SELECT document_id, 'l' || printf('%03d', ln) AS id, CASE WHEN ln % 4 <> 1 THEN 'crops/lines/page_001/l' || printf('%03d', ln) || '.png' END AS path FROM lines"),
+    "crop_created": q(LINES, "SELECT document_id, 'l' || printf('%03d', ln) AS id, CASE WHEN ln % 3 = 0 THEN 1700000000 + ln ELSE 1800000000 END AS created FROM lines"),
     "new_crops": q(LINES, "SELECT document_id, 'line' AS type, 'l' || printf('%03d', ln) AS id FROM lines WHERE ln % 3 <> 0"),
-    "clamped_crops": q(LINES, "b AS (SELECT document_id, ln, greatest(0, x - 8) AS x, greatest(0, y - 10) AS y, least(300, x - 8 + w) AS x1, least(200, y - 10 + h) AS y1 FROM lines)",
+    "clamped_crops": q(LINES, INK, "b AS (SELECT document_id, ln, greatest(0, x - 8) AS x, greatest(0, y - 10) AS y, least(pw, x + w + 8) AS x1, least(ph, y + h + 10) AS y1 FROM lines JOIN size USING (document_id))",
         "SELECT document_id, ln, x, y, greatest(0, x1 - x) AS w, greatest(0, y1 - y) AS h FROM b"),
     "cache_keys": q(LINES, KEYED, "SELECT document_id, crop_id, cache_key FROM keyed"),
     "cache_hits": q(LINES, KEYED, "SELECT document_id, ln, cache_key FROM keyed WHERE cache_key IN (SELECT cache_key FROM keyed WHERE ln % 3 = 0)"),
     "cache_misses": q(LINES, KEYED, "SELECT document_id, ln, cache_key FROM keyed WHERE cache_key NOT IN (SELECT cache_key FROM keyed WHERE ln % 3 = 0)"),
-    "call_cap": q(LINES, "SELECT document_id, ln, row_number() OVER (PARTITION BY document_id ORDER BY ln) AS call_no, row_number() OVER (PARTITION BY document_id ORDER BY ln) > 5 AS capped FROM lines WHERE ln % 3 <> 0"),
+    "call_cap": q(LINES, "SELECT document_id, ln, row_number() OVER (PARTITION BY document_id ORDER BY ln) AS call_no, row_number() OVER (PARTITION BY document_id ORDER BY ln) > 5 AS capped FROM split WHERE ln % 3 <> 0"),
     "uncertainty_repair": q(LINES, RANGES, "SELECT document_id, ln, clamped, len(r) AS n_ranges, array_to_string(list_transform(r, lambda i: i[1]::VARCHAR || '-' || i[2]::VARCHAR), ',') AS ranges FROM cut"),
-    "validate_response": q(LINES, """k AS (SELECT document_id, ln, ln % 8 AS k, length(text) AS n FROM lines)""", """
-        SELECT document_id, ln, CASE WHEN k IN (0, 1, 4, 6) THEN n ELSE 0 END AS n_text, CAST([0.97, 0.5, 0, 0, 1, 0, 0.8, 0][k + 1] AS DOUBLE) AS confidence, [0, 1, 0, 0, 1, 0, 0, 0][k + 1] AS n_ranges,
-          ['valid', 'valid', 'invalid', 'invalid', 'valid', 'invalid', 'valid', 'unavailable'][k + 1] AS validation_state,
-          ['pending', 'required', 'required', 'required', 'required', 'required', 'pending', 'required'][k + 1] AS review_state,
-          [NULL, 'model_uncertainty', 'malformed_response:''confidence''', 'malformed_response:invalid text or confidence', 'uncertainty_range_clamped', 'malformed_response:uncertainty range outside literal text', 'uncertainty_range_clamped', 'provider_unavailable'][k + 1] AS review_reason FROM k"""),
+    "validate_response": q(LINES, """k AS (SELECT document_id, ln, ln % 10 AS k, length(text) AS n FROM split)""", """
+        SELECT document_id, ln, CASE WHEN k IN (0, 1, 4, 6, 8, 9) THEN n ELSE 0 END AS n_text, CAST([0.97, 0.5, 0, 0, 1, 0, 0.8, 0, 1, 1][k + 1] AS DOUBLE) AS confidence,
+          CASE WHEN k = 1 AND n > 1 OR k = 4 AND n > 2 THEN 1 ELSE 0 END AS n_ranges,
+          ['valid', 'valid', 'invalid', 'invalid', 'valid', 'invalid', 'valid', 'unavailable', 'valid', 'valid'][k + 1] AS validation_state,
+          CASE WHEN k IN (0, 6, 8, 9) OR k = 1 AND n <= 1 OR k = 4 AND n <= 2 THEN 'pending' ELSE 'required' END AS review_state,
+          [NULL, CASE WHEN n < 5 THEN 'uncertainty_range_clamped' ELSE 'model_uncertainty' END, 'malformed_response:''confidence''', 'malformed_response:invalid text or confidence', 'uncertainty_range_clamped', 'malformed_response:uncertainty range outside literal text', 'uncertainty_range_clamped', 'provider_unavailable', NULL, NULL][k + 1] AS review_reason FROM k"""),
     "confidence_class": q(LINES, OCR, "SELECT document_id, ln, confidence, review_class FROM classed"),
     "review_flags": q(LINES, OCR, "SELECT document_id, review_class, count(*) AS n_lines, string_agg(ln::VARCHAR, ',' ORDER BY ln) AS lines FROM classed GROUP BY document_id, review_class"),
     "ocr_line_join": q(LINES, OCR, "SELECT l.document_id, l.ln, CASE WHEN c.ln IS NULL THEN '' WHEN l.ln % 6 = 0 THEN c.text || '!' ELSE c.text END AS ocr_text, c.confidence, c.review_class FROM lines l LEFT JOIN (SELECT * FROM classed WHERE ln % 4 <> 1) c USING (document_id, ln)"),
@@ -160,12 +172,26 @@ ORACLE: dict[str, str] = {
     "ocr_progress": q(LINES, "SELECT document_id, ln, row_number() OVER (PARTITION BY document_id ORDER BY ln) AS completed, count(*) OVER (PARTITION BY document_id) AS total FROM lines"),
     "format_scan": f"SELECT page_id, {SUFFIX} AS suffix, CASE WHEN {KIND} = '.pdf' THEN 'pdf' WHEN {KIND} IN ('.png', '.jpg', '.jpeg', '.webp') THEN 'image' END AS kind FROM pages",
     "redacted_log": "SELECT doc_id, CASE WHEN length(text) > 300 THEN '<' || length(text) || ' chars omitted>' ELSE text END AS logged FROM documents",
-    "stripped_text": q(LINES, "SELECT document_id, ln, trim(text) AS text FROM lines"),
-    "markup_counts": q(LINES, "SELECT document_id, sum(k + (len(text) - len(replace(text, '<strikethrough>', ''))) // 15) AS strikes, sum(k + (len(text) - len(replace(text, '<caret>', ''))) // 7) AS carets, sum(k + (len(text) - len(replace(text, '[illegible]', ''))) // 11) AS illegible FROM (SELECT *, CASE WHEN ln % 3 = 0 THEN 1 ELSE 0 END AS k FROM lines) GROUP BY document_id"),
-    "new_document_ids": "SELECT source, 'doc_' || printf('%03d', row_number() OVER (ORDER BY source) + 20) AS document_id FROM (SELECT DISTINCT source FROM documents)",
-    "line_density": q(LINES, "SELECT document_id, ln, round(CAST(ink AS DOUBLE) / greatest(1, w * h), 9) AS density FROM lines"),
-    "drawn_lines": q(LINES, "drawn AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY ln) AS line_no, x, least(w, 900) AS w, y FROM lines)",
-        "SELECT document_id, line_no, x, y + 3 AS y, (w - 1) // 2 * 2 + 1 AS w, 6 AS h, 6 * ((w + 1) // 2) AS ink_area FROM drawn"),
-    "ink_profile": q(LINES, "drawn AS (SELECT *, least(w, 900) AS dw, max(y + h) OVER (PARTITION BY document_id) + 20 AS height FROM lines)",
-        "SELECT document_id, 1 AS page_number, height, y + 3 + i AS y, (dw + 1) // 2 AS row_ink, x AS x_min, x + (dw - 1) // 2 * 2 AS x_max FROM drawn, (SELECT unnest(range(6)) AS i)"),
+    "stripped_text": q(LINES, "SELECT document_id, ln, trim(text) AS text FROM split"),
+    "markup_counts": q(LINES, "SELECT document_id, sum(k + (len(text) - len(replace(text, '<strikethrough>', ''))) // 15) AS strikes, sum(k + (len(text) - len(replace(text, '<caret>', ''))) // 7) AS carets, sum(k + (len(text) - len(replace(text, '[illegible]', ''))) // 11) AS illegible FROM (SELECT *, CASE WHEN ln % 3 = 0 THEN 1 ELSE 0 END AS k FROM split) GROUP BY document_id"),
+    "new_document_ids": """WITH new AS (SELECT doc_id, 'scans/' || source || '/' || doc_id || '.png' AS path FROM documents WHERE doc_id % 10 = 3)
+        SELECT doc_id, path, 'doc_' || printf('%03d', (SELECT max(doc_id) + 5 FROM documents WHERE doc_id % 10 <> 3) + row_number() OVER (ORDER BY substr(md5(path), 1, 3), path)) AS document_id FROM new""",
+    "state_advance": q(LOG, ALLOWED, DIM, "now AS (SELECT document_id, state AS now FROM log WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) = 1)",
+        "k AS (SELECT user_id AS document_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS k FROM events WHERE event_id % 2 = 1)",
+        "asked AS (SELECT k.*, now, s.state FROM k JOIN now USING (document_id) JOIN dim n ON n.state = now JOIN dim s ON s.ordinal = (n.ordinal + k) % 11)",
+        "steps AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY document_id ORDER BY ts, event_id), now) AS cur FROM asked)",
+        "fits AS (SELECT s.*, EXISTS (SELECT 1 FROM edges e WHERE e.cur = s.cur AND e.nxt = s.state) AS fit FROM steps s)",
+        "SELECT document_id, event_id, state, cur, coalesce((SELECT string_agg(e.nxt, ',' ORDER BY e.nxt) FROM edges e WHERE e.cur = f.cur), '') AS allowed, bool_and(fit) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS accepted FROM fits f"),
+    "json_round_trip": q(LINES, OCR, "SELECT document_id, ln, nullif(text, '') AS text, CASE WHEN confidence > 0.05 THEN confidence END AS confidence, CASE WHEN ln % 5 = 0 THEN 1 ELSE 0 END AS n_ranges, CASE WHEN ln % 5 = 0 THEN 3 END AS first_end FROM ocr"),
+    "line_density": q(LINES, INK, "part AS (SELECT l.document_id, l.ln, l.w * l.h AS area, least(e, x + w) - greatest(s, x) AS n FROM lines l JOIN runs r ON r.document_id = l.document_id AND r.y >= l.y AND r.y < l.y + l.h)",
+        "SELECT document_id, ln, round(CAST(sum(n) AS DOUBLE) / area, 9) AS density FROM part WHERE n > 0 GROUP BY document_id, ln, area"),
+    "ink_profile": q(LINES, INK, "SELECT document_id, 1 AS page_number, height, y, row_ink, x_min, x_max FROM profile JOIN size USING (document_id)"),
+    "drawn_lines": q(LINES, INK, "isles AS (SELECT *, sum(CASE WHEN y - p - 1 > 3 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY y) AS line_no FROM (SELECT *, lag(y) OVER (PARTITION BY document_id ORDER BY y) AS p FROM profile))",
+        "SELECT document_id, line_no, min(x_min) AS x, min(y) AS y, max(x_max) - min(x_min) + 1 AS w, max(y) - min(y) + 1 AS h, sum(row_ink) AS ink_area FROM isles GROUP BY document_id, line_no"),
+    "ruled_bands": q(LINES, INK, "rule AS (SELECT DISTINCT document_id, y + i AS y FROM runs, (SELECT unnest([-1, 0, 1]) AS i) WHERE e - s >= 60 AND y + i >= 0)",
+        "b AS (SELECT *, sum(CASE WHEN y - p - 1 > 8 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY y) AS band FROM (SELECT *, lag(y) OVER (PARTITION BY document_id ORDER BY y) AS p FROM rule))",
+        'SELECT document_id, band, min(y) AS start, max(y) AS "end" FROM b GROUP BY document_id, band'),
+    "unruled_ink": q(LINES, INK, "cuts AS (SELECT document_id, y + unnest([-1, 0, 1]) AS y, s, e FROM runs WHERE e - s >= 60)", "px AS (SELECT document_id, y, unnest(range(s, e)) AS x FROM runs WHERE e - s < 60)",
+        "SELECT document_id, y, count(*) AS row_ink, min(x) AS x_min, max(x) AS x_max FROM px p WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.document_id = p.document_id AND c.y = p.y AND p.x >= c.s AND p.x < c.e) GROUP BY document_id, y"),
+    "highlight_boxes": q(LINES, MARKS, "SELECT document_id, 1 AS page_number, 'highlight_' || printf('%03d', row_number() OVER (PARTITION BY document_id ORDER BY y0, x0)) AS id, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, n AS area FROM found WHERE n >= 400"),
 }

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import assemble, crops, kernels, layout, review, segment, transcribe
-from ..schema import PAGE, states
-from ..sources import proxy
+from ..operators import assemble, crops, ink, layout, review, segment, transcribe
+from ..schema import PAGE, STATES, states
+from ..sources import images, proxy
 
 
 def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -61,8 +61,13 @@ def band_merge(spark, d):
     return segment.merge_bands(bands, EVENT_GAP).select("document_id", "band", "start", "end")
 
 
+def _words(spark, d):
+    """Words of all lines; a character is a column here, so one is wide enough."""
+    return segment.segment_words(proxy.inked_columns(spark, d), [*PAGE, "ln"], segment.Segment(word_gap=0, min_word_width=1))
+
+
 def word_islands(spark, d):
-    return segment.segment_words(proxy.char_columns(spark, d), [*PAGE, "ln"], segment.Segment(word_gap=0)).select("document_id", "ln", "word_no", "x", "w")
+    return _words(spark, d).select("document_id", "ln", "word_no", "x", "w")
 
 
 def line_to_paragraph(spark, d):
@@ -76,35 +81,32 @@ def line_to_question(spark, d):
 
 
 def enclosing_band(spark, d):
-    lines = proxy.line_regions(spark, d)
+    lines = crops.with_page_size(proxy.line_regions(spark, d))
     bands = lines.where("ln % 3 = 0").select(*PAGE, (F.col("y") - 5).alias("start"), (F.col("y") - 3).alias("end"))
-    return crops.to_bands(lines, bands, 4000).select("document_id", "ln", "x", "y", "w", "h")
+    return crops.to_bands(lines, bands, F.col("page_height")).select("document_id", "ln", "x", "y", "w", "h")
 
 
-def _crops(spark, d):
-    """Paragraphs, their lines and those lines' words as one table of crops."""
+def crop_hierarchy(spark, d):
+    """Paragraphs, their lines and those lines' words, each with what it is part of."""
     lines = proxy.line_regions(spark, d)
-    paragraphs, inside = layout.paragraphs(lines), crops.lines_of(layout.paragraphs(lines), lines)
-    words = segment.segment_words(proxy.char_columns(spark, d), [*PAGE, "ln"], segment.Segment(word_gap=0))
-    words = words.join(inside.select(*PAGE, "ln", F.col("id").alias("line_id")), [*PAGE, "ln"])
-    word_id = X.ordinal_id(F.concat("line_id", F.lit("_word")), F.col("word_no"), 2)
-    none = F.lit(None).cast("string")
-    return (
-        paragraphs.select(*PAGE, F.lit("paragraph").alias("type"), "id", none.alias("parent_id"))
-        .unionByName(inside.select(*PAGE, F.lit("line").alias("type"), "id", "parent_id"))
-        .unionByName(words.select(*PAGE, F.lit("word").alias("type"), word_id.alias("id"), F.col("line_id").alias("parent_id")))
-    )
+    paragraphs = layout.paragraphs(lines)
+    found = crops.family(paragraphs, crops.lines_of(paragraphs, lines), _words(spark, d))
+    return found.select("document_id", "type", "id", "parent_id", "parent_type", "grandparent_id", "grandparent_type")
 
 
-def crop_hierarchy(spark, d):
-    return crops.hierarchy(_crops(spark, d)).select("document_id", "type", "id", "parent_id", "parent_type", "grandparent_id", "grandparent_type")
+def crop_paths(spark, d):
+    """Paths of the crops of transcribed lines, looked up by the whole key in the table of the crops that there are."""
+    lines = proxy.line_regions(spark, d).select(*PAGE, F.lit("line").alias("type"), F.format_string("l%03d", "ln").alias("id"), "ln")
+    table = crops.with_paths(lines.where("ln % 4 <> 1"))
+    return crops.path_of(lines, table).select("document_id", "id", "path")
 
 
-def crop_paths(spark, d):
-    """Words with the paths of their own crop and of their line's, looked up by the whole key."""
-    placed = crops.with_paths(_crops(spark, d))
-    lines = placed.where("type = 'line'").select(*PAGE, F.col("id").alias("parent_id"), F.col("path").alias("line_path"))
-    return placed.where("type = 'word'").join(lines, [*PAGE, "parent_id"], "left").select("document_id", "id", "path", "line_path")
+def crop_created(spark, d):
+    """Crops that exist keep their time; the others have that of the run."""
+    lines = proxy.line_regions(spark, d).select(*PAGE, F.lit("line").alias("type"), F.format_string("l%03d", "ln").alias("id"), "ln")
+    then = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ln"))
+    known = lines.where("ln % 3 = 0").withColumn("created_at", then)
+    return crops.created(lines, known, F.timestamp_seconds(F.lit(1_800_000_000))).select("document_id", "id", F.unix_timestamp("created_at").alias("created"))
 
 
 def new_crops(spark, d):
@@ -114,12 +116,14 @@ def new_crops(spark, d):
 
 
 def clamped_crops(spark, d):
-    boxes = proxy.line_regions(spark, d).withColumn("x", F.col("x") - 8).withColumn("y", F.col("y") - 10)
-    return crops.clamped(boxes, 300, 200).select("document_id", "ln", "x", "y", "w", "h")
+    """Boxes grown beyond the page at all sides, cut to it."""
+    boxes = crops.with_page_size(proxy.line_regions(spark, d))
+    boxes = boxes.withColumns({"x": F.col("x") - 8, "y": F.col("y") - 10, "w": F.col("w") + 16, "h": F.col("h") + 20})
+    return crops.clamped(boxes, F.col("page_width"), F.col("page_height")).select("document_id", "ln", "x", "y", "w", "h")
 
 
 def _keyed(spark, d):
-    lines = proxy.line_regions(spark, d).withColumn("crop_id", F.format_string("l%03d", "ln"))
+    lines = proxy.text_lines(spark, d).withColumn("crop_id", F.format_string("l%03d", "ln"))
     return transcribe.with_cache_key(lines.withColumn("image", F.col("text")))
 
 
@@ -142,7 +146,7 @@ def cache_misses(spark, d):
 
 
 def call_cap(spark, d):
-    misses = proxy.line_regions(spark, d).where("ln % 3 <> 0")
+    misses = proxy.text_lines(spark, d).where("ln % 3 <> 0")
     return transcribe.call_cap(misses, "ln", 5).select("document_id", "ln", "call_no", "capped")
 
 
@@ -151,7 +155,7 @@ def uncertainty_repair(spark, d):
     n = F.length("text")
     reason = F.lit("r")
     two = F.array(F.struct((F.col("ln") % 4).alias("start"), F.lit(6).alias("end"), reason.alias("reason")), F.struct((n - 2 + F.col("ln") % 3).alias("start"), (n + F.col("ln") % 2).alias("end"), reason.alias("reason")))
-    ranges = proxy.line_regions(spark, d).withColumn("u", two)
+    ranges = proxy.text_lines(spark, d).withColumn("u", two)
     return ranges.select(
         "document_id", "ln", X.any_clipped(F.col("u"), F.col("text")).alias("clamped"),
         F.size(X.clipped_ranges(F.col("u"), F.col("text"))).alias("n_ranges"),
@@ -160,9 +164,11 @@ def uncertainty_repair(spark, d):
 
 
 def validate_response(spark, d):
-    """Responses of eight sorts, by the line's number, among them each way to be malformed."""
+    """Responses of ten sorts, by the line's number, among them each way to be malformed and both providers' envelopes."""
     t = F.to_json(F.array("text"))
     t = F.substring(t, F.lit(2), F.length(t) - 2)
+    quoted = F.to_json(F.array(F.concat(F.lit('{"text":'), t, F.lit(',"confidence":1}'))))
+    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     raws = [
         F.concat(F.lit('{"text":'), t, F.lit(',"confidence":0.97,"uncertainty":[]}')),
         F.concat(F.lit('Here it is: {"text":'), t, F.lit(',"confidence":"0.5","uncertainty":[{"start":1.7,"end":"5","reason":"x"}]} Done.')),
@@ -172,11 +178,13 @@ def validate_response(spark, d):
         F.concat(F.lit('{"text":'), t, F.lit(',"confidence":0.8,"uncertainty":[{"start":4,"end":4}]}')),
         F.concat(F.lit('{"text":'), t, F.lit(',"confidence":0.8,"uncertainty":[{"start":90000,"end":100000}]}')),
         F.lit(None).cast("string"),
+        F.concat(F.lit('{"output":[{"type":"reasoning"},{"type":"message","content":[{"type":"output_text","text":'), quoted, F.lit("}]}]}")),
+        F.concat(F.lit('{"choices":[{"message":{"content":'), quoted, F.lit("}}]}")),
     ]
     raw = F.lit(None).cast("string")
     for i, r in enumerate(raws):
-        raw = F.when(F.col("ln") % 8 == i, r).otherwise(raw)
-    judged = proxy.line_regions(spark, d).select("document_id", "ln", transcribe.validated(raw).alias("r"))
+        raw = F.when(F.col("ln") % 10 == i, r).otherwise(raw)
+    judged = proxy.text_lines(spark, d).select("document_id", "ln", transcribe.validated(transcribe.message_text(raw)).alias("r"))
     r = F.col("r")
     return judged.select("document_id", "ln", F.length(r["text"]).alias("n_text"), r["confidence"].alias("confidence"), F.size(r["uncertainty"]).alias("n_ranges"), r["validation_state"].alias("validation_state"), r["review_state"].alias("review_state"), r["review_reason"].alias("review_reason"))
 
@@ -276,51 +284,85 @@ def redacted_log(spark, d):
 
 def stripped_text(spark, d):
     padded = F.concat(F.lit("  \t"), "text", F.lit("  \n"))
-    return proxy.line_regions(spark, d).select("document_id", "ln", X.strip(padded).alias("text"))
+    return proxy.text_lines(spark, d).select("document_id", "ln", X.strip(padded).alias("text"))
 
 
 def markup_counts(spark, d):
     """Tags in transcriptions, here put around every third line; text itself passes untouched."""
     tagged = F.when(F.col("ln") % 3 == 0, F.concat(F.lit("<caret><strikethrough>"), "text", F.lit("</strikethrough></caret> [illegible]"))).otherwise(F.col("text"))
-    t = proxy.line_regions(spark, d).withColumn("tagged", tagged)
+    t = proxy.text_lines(spark, d).withColumn("tagged", tagged)
     marks = {"strikes": "<strikethrough>", "carets": "<caret>", "illegible": r"\[illegible\]"}
     return t.groupBy("document_id").agg(*(F.sum(F.regexp_count("tagged", F.lit(p))).alias(name) for name, p in marks.items()))
 
 
 def new_document_ids(spark, d):
-    """Ids for the sources that have none yet, after the highest in use. One row for each source is ordered, not each document."""
-    taken = proxy.read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    number = F.row_number().over(Window.orderBy("source"))
-    return taken.select("source", F.format_string("doc_%03d", number + 20).alias("document_id"))
+    """Ids for every tenth document, as a new one, after the highest that the others have in use."""
+    docs = proxy.read(spark, d, "documents")
+    taken = docs.where("doc_id % 10 <> 3").select(F.format_string("doc_%03d", F.col("doc_id") + 5).alias("document_id"))
+    found = docs.where("doc_id % 10 = 3").select("doc_id", F.format_string("scans/%s/%d.png", "source", "doc_id").alias("path"))
+    return images.numbered(found, taken).select("doc_id", "path", "document_id")
+
+
+def state_advance(spark, d):
+    """Steps asked for by a log's later events, the state of most being the one that follows; which are taken, which refused."""
+    log = proxy.state_log(spark, d)
+    asked = proxy.read(spark, d, "events").where("event_id % 2 = 1")
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    kinds = F.array(*map(F.lit, STATES))
+    then = log.where("event_id % 2 = 0").groupBy("document_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("now"))
+    after = F.array_position(kinds, F.col("now")) - 1 + F.col("k") + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)
+    asked = asked.select(F.col("user_id").alias("document_id"), "ts", "event_id", order.alias("k")).join(then, "document_id")
+    asked = asked.select("document_id", "ts", "event_id", F.element_at(kinds, (after % len(STATES) + 1).cast("int")).alias("state"))
+    return review.judged_steps(log.where("event_id % 2 = 0"), asked).select("document_id", "event_id", "state", "cur", "allowed", "accepted")
+
+
+def json_round_trip(spark, d):
+    """Results written as sparse JSON and read again."""
+    rows = proxy.ocr_results(spark, d).select("document_id", "ln", F.when(F.length("text") > 0, F.col("text")).alias("text"), F.when(F.col("confidence") > 0.05, F.col("confidence")).alias("confidence"), "uncertainty")
+    schema = rows.drop("document_id", "ln").schema
+    read = assemble.from_sparse_json(assemble.sparse_json(rows, "document_id", "ln"), schema, "document_id", "ln")
+    return read.select("document_id", "ln", "text", "confidence", F.size("uncertainty").alias("n_ranges"), F.get("uncertainty", F.lit(0))["end"].alias("first_end"))
 
 
 def line_density(spark, d):
-    """Ink in each line's box by the area of the box."""
+    """Ink in each line's box by the area of the box, from the runs of ink on its rows of pixels."""
     lines = proxy.line_regions(spark, d)
-    return lines.select("document_id", "ln", F.round(F.col("ink_area") / F.greatest(F.lit(1), F.col("w") * F.col("h")), 9).alias("density"))
+    found = ink.line_density(proxy.ink_runs(spark, d), lines)
+    return found.select("document_id", "ln", F.round("density", 9).alias("density"))
 
 
 def ink_profile(spark, d):
-    """Rows of ink of pages drawn from the documents' lines, through the pixel kernels."""
-    return kernels.row_profiles(kernels.drawn_pages(proxy.line_regions(spark, d)))
+    """Ink of each row of pixels, from the runs of ink on it."""
+    return segment.row_profile(proxy.ink_runs(spark, d), "height")
 
 
 def drawn_lines(spark, d):
-    """Lines found again on the drawn pages: kernels, then segmentation."""
-    profile = kernels.row_profiles(kernels.drawn_pages(proxy.line_regions(spark, d)))
-    return segment.segment_lines(profile, segment.Segment(min_row_ink=1, line_gap=3, min_line_ink=1), F.col("height")).select("document_id", "line_no", "x", "y", "w", "h", "ink_area")
+    """Lines found again in the rows of ink; those nearer than the gap are one."""
+    rule = segment.Segment(min_row_ink=1, line_gap=3, min_line_ink=1)
+    return segment.segment_lines(ink_profile(spark, d), rule, F.col("height")).select("document_id", "line_no", "x", "y", "w", "h", "ink_area")
+
+
+def ruled_bands(spark, d):
+    """Rows that long runs of ink cross, put together to bands."""
+    return segment.merge_bands(ink.rule_bands(proxy.ink_runs(spark, d)), 8).select("document_id", "band", "start", "end")
+
+
+def unruled_ink(spark, d):
+    """Ink by row of pixels without the runs that are long, and a row more on both sides."""
+    runs_ = proxy.ink_runs(spark, d).withColumn("width", F.lit(1 << 20))
+    return segment.row_profile(ink.without_rules(runs_)).select("document_id", "y", "row_ink", "x_min", "x_max")
 
 
 def highlight_boxes(spark, d):
-    """Yellow boxes drawn on every fourth line, found again."""
-    return kernels.highlights(kernels.drawn_pages(proxy.line_regions(spark, d)))
+    """Marks found again in their rows of pixels, those that touch as one."""
+    return ink.highlights(proxy.yellow_runs(spark, d))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         page_paragraphs, paragraph_scores, question_groups_spatial, question_groups_text, answer_region, answer_lines, row_islands, row_islands_tail, band_merge,
-        word_islands, line_to_paragraph, line_to_question, enclosing_band, crop_hierarchy, crop_paths, new_crops, clamped_crops, cache_keys, cache_hits, cache_misses, call_cap,
+        word_islands, line_to_paragraph, line_to_question, enclosing_band, crop_hierarchy, crop_paths, new_crops, clamped_crops, cache_keys, cache_hits, cache_misses, call_cap, crop_created, state_advance, json_round_trip, ruled_bands, unruled_ink,
         uncertainty_repair, validate_response, confidence_class, review_flags, ocr_line_join, question_orphans, paragraph_text, answer_text, question_text,
         review_export, overlay_layers, nested_documents, state_violations, current_state, stage_reached, states_seen, ocr_progress, format_scan, redacted_log,
         stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes,

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,23 @@ def with_ids(found: DataFrame) -> DataFrame:
     return found.withColumn("document_id", F.concat(F.lit("doc_"), F.substring(F.sha2("content", 256), 1, 16)))
 
 
+def numbered(found: DataFrame, taken: DataFrame, key: str = "path") -> DataFrame:
+    """found with document_id doc_001, doc_002, ..., after the highest that taken (document_id) has in use; names of another form take no number.
+
+    Rows are numbered in the order of (first digits of the key's md5, key): windows over 4,096 parts and one over their sizes, so no task sees all rows. Keys that are
+    null or repeated get a number each.
+    """
+    part = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 3)
+    own = Window.partitionBy("_part").orderBy(key)
+    rows = found.withColumn("_part", part).withColumn("_n", F.row_number().over(own))
+    sizes = found.select(part.alias("_part")).groupBy("_part").agg(F.count("*").alias("_k"))
+    before = sizes.withColumn("_before", F.sum("_k").over(Window.orderBy("_part")) - F.col("_k")).drop("_k")  # 4,096 rows at most
+    used = F.regexp_extract("document_id", r"^doc_([0-9]+)$", 1).try_cast("long")
+    highest = taken.agg(F.coalesce(F.max(used), F.lit(0)).alias("_highest"))
+    placed = rows.join(F.broadcast(before), "_part").crossJoin(F.broadcast(highest))
+    return placed.withColumn("document_id", F.format_string("doc_%03d", F.col("_highest") + F.col("_before") + F.col("_n"))).drop("_part", "_n", "_before", "_highest")
+
+
 def dpi_of(content: bytes, default: int = CONFIG.render_dpi) -> int:
     """Resolution that a PNG's pHYs or a JPEG's JFIF header states, rounded half to even; the default where it states none."""
     value = 0.0
@@ -62,11 +79,13 @@ def dpi(content: pd.Series) -> pd.Series:
 def image_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages from PNG, JPEG and the other formats that Spark's image source decodes; undecodable files are dropped.
 
-    WEBP and PDF need a decoder that Spark lacks: use decoded_pages() with one.
+    The two scans give the same file as differently written uris; both are brought to the form without an authority's empty slashes. WEBP and PDF need a
+    decoder that Spark lacks: use decoded_pages() with one.
     """
+    plain = lambda uri: F.regexp_replace(uri, "^([a-z0-9]+):/+", "$1:/")
     images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
-    heads = with_ids(files(spark, path)).select(F.regexp_replace("path", "^file:/+", "/").alias("at"), "document_id", dpi("content").alias("dpi"))
-    found = images.withColumn("at", F.regexp_replace("origin", "^file:/+", "/")).join(heads, "at")
+    heads = with_ids(files(spark, path)).select(plain("path").alias("at"), "document_id", dpi("content").alias("dpi"))
+    found = images.withColumn("at", plain("origin")).join(heads, "at")
     return found.select("document_id", F.lit(1).alias("page_number"), F.col("at").alias("path"), "width", "height", "dpi", F.col("data").alias("bgr"))
 
 

@@ -1,14 +1,14 @@
 """Page geometry derived from the supplied text and event tables, which hold no page images.
 
-A document is a page; each of its lines of 40 characters or more is a box whose size and place follow from its length and number.
+A document is a page; each of its lines is a box whose size and place follow from its length and number, so that spaces between lines differ.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import STATES
+from ..schema import PAGE, STATES
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,15 +21,34 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document_id, page_number, ln, x, y, w, h, ink_area, density, text)"""
+    """(document_id, page_number, ln, x, y, w, h, ink_area, density, text), for every line of every text."""
     n = F.length("text")
-    return text_lines(spark, sf_dir).where(n >= 40).select(
+    return text_lines(spark, sf_dir).select(
         "document_id", "page_number", "ln",
-        ((n % 7) * 4).alias("x"), (F.col("ln") * 20).alias("y"), (n * 3).alias("w"), F.lit(12).alias("h"), n.alias("ink_area"),
-        (F.length(F.replace("text", F.lit(" "), F.lit(""))).cast("double") / n).alias("density"), "text",
+        ((n % 7) * 4).alias("x"), (F.col("ln") * 30 + (n % 5) * 6).alias("y"), (n * 3).alias("w"), F.lit(12).alias("h"), n.alias("ink_area"),
+        (F.length(F.replace("text", F.lit(" "), F.lit(""))).cast("double") / F.greatest(n, F.lit(1))).alias("density"), "text",
     )
 
 
+def ink_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of ink on rows of pixels: a line's part up to its first space and the part behind it, six rows high: (document_id, page_number, height, y, x_start, x_end)."""
+    lines = line_regions(spark, sf_dir).withColumn("height", F.max(F.col("y") + F.col("h")).over(Window.partitionBy(*PAGE)) + 20)
+    cut = F.when(F.instr("text", " ") > 1, F.instr("text", " ") - 1).otherwise(F.length("text")) * 3
+    parts = F.array(F.struct(F.col("x").alias("x_start"), (F.col("x") + cut).alias("x_end")), F.struct((F.col("x") + cut + 3).alias("x_start"), (F.col("x") + F.col("w")).alias("x_end")))
+    runs = lines.select(*PAGE, "height", "y", F.explode(parts).alias("part")).where("part.x_end > part.x_start")
+    rows = F.explode(F.sequence(F.col("y") + 3, F.col("y") + 8)).alias("y")
+    return runs.select(*PAGE, "height", rows, "part.x_start", "part.x_end")
+
+
+def yellow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of marker on rows of pixels, over every fourth line and half of the next one, up to which it reaches in every other document: (document_id, page_number, y, x_start, x_end)."""
+    lines, first = line_regions(spark, sf_dir).where("ln % 4 < 2 and w > 3"), F.col("ln") % 4 == 0
+    long = F.when(first, F.col("w")).otherwise(F.floor(F.col("w") / 2).cast("int"))
+    top = F.col("ln") * 30 + F.when(first, 0).otherwise(1 - F.col("document_id") % 2 * 6).cast("int")
+    rows = F.explode(F.sequence(top, F.col("ln") * 30 + 24)).alias("y")
+    return lines.select(*PAGE, rows, F.col("x").alias("x_start"), (F.col("x") + long).alias("x_end"))
+
+
 def row_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minutes of a user's events as rows of a page: (document_id, page_number, y, row_ink, x_min, x_max)."""
     minute = F.floor(F.unix_timestamp("ts") / 60)
@@ -37,11 +56,13 @@ def row_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("document_id", "page_number", "y").agg(F.count("*").alias("row_ink"), F.min("x").alias("x_min"), F.max("x").alias("x_max"))
 
 
-def char_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of a line as its columns, spaces without ink: (document_id, page_number, ln, x, col_ink, width)."""
-    lines = line_regions(spark, sf_dir).where("ln < 3")
-    chars = lines.select("document_id", "page_number", "ln", F.length("text").alias("width"), F.posexplode(F.split("text", "")).alias("x", "c"))
-    return chars.where("x < width").select("document_id", "page_number", "ln", "x", F.when(F.col("c") == " ", 0).otherwise(5).alias("col_ink"), "width")
+def inked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of a line as its columns, spaces without ink; neighbours with the same ink as one row: (document_id, page_number, ln, x, x_end, col_ink, width)."""
+    words = line_regions(spark, sf_dir).select(*PAGE, "ln", F.length("text").alias("width"), F.posexplode(F.split("text", " ")).alias("i", "word"))
+    before = Window.partitionBy(*PAGE, "ln").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    x = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")
+    placed = words.withColumn("x", x).where("word <> ''")
+    return placed.select(*PAGE, "ln", "x", (F.col("x") + F.length("word") - 1).alias("x_end"), F.lit(5).alias("col_ink"), "width")
 
 
 def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:

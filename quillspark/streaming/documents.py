@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from queue import Empty, Queue
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,22 +37,46 @@ def ingest(spark: SparkSession, path: str, table: str, checkpoint: str, make: Ca
 
 
 def _walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now, allowed = state.get[0] if state.exists else None, set(EDGES)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out = []
-    for event_id, nxt in rows[["event_id", "state"]].itertuples(index=False):
-        if now is not None:
-            out.append((key[0], event_id, now, nxt, (now, nxt) in allowed))
-        now = nxt
-    state.update((now,))
-    yield pd.DataFrame(out, columns=["document_id", "event_id", "cur", "nxt", "allowed"])
+    cur = rows["state"].shift(1)
+    cur.iloc[0] = state.get[0] if state.exists else None
+    state.update((rows["state"].iloc[-1],))
+    out = pd.DataFrame({"document_id": key[0], "event_id": rows["event_id"], "cur": cur, "nxt": rows["state"], "allowed": pd.MultiIndex.from_arrays([cur, rows["state"]]).isin(EDGES)})
+    yield out[out["cur"].notna()]
 
 
 def steps(log: DataFrame) -> DataFrame:
-    """Each step of each document as its log streams in, and whether it is allowed. The state held is one name for each document."""
+    """Each step of each document as its log streams in, and whether it is allowed. The state held is one name for each document.
+
+    Rows are taken in the order of (ts, event_id) within a trigger and of triggers: a log is appended in the order of its steps (review.advance() refuses others). A row that
+    comes late is a step from where the document stands by then.
+    """
     return log.groupBy("document_id").applyInPandasWithState(_walk, STEPS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def progress(log: DataFrame) -> DataFrame:
     """The latest state of each document of a stream (output mode complete or update)."""
     return log.groupBy("document_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("n_steps"))
+
+
+def follow(log: DataFrame, document_id, checkpoint: str, done: Sequence[str] = ("REVIEW_REQUIRED", "APPROVED", "EXPORTED", "ERROR"), patience: float = 600.0) -> Iterator[tuple[str, int]]:
+    """(state, steps so far) of one document each time they change, until it is in one of the last states; then the query is stopped. It is stopped, too, when
+    the caller goes away or nothing has come for so many seconds."""
+    heard: Queue = Queue()
+
+    def each(batch: DataFrame, number: int) -> None:
+        for r in batch.select("state", "n_steps").collect():  # one row: one document is asked for
+            heard.put((r.state, r.n_steps))
+
+    query = progress(log.where(F.col("document_id") == document_id)).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).start()
+    try:
+        while True:
+            try:
+                found = heard.get(timeout=patience)
+            except Empty:
+                return
+            yield found
+            if found[0] in done:
+                return
+    finally:
+        query.stop()

@@ -1,6 +1,7 @@
 """Drawn pages all the way: pixels, layout, crops, transcription, texts, review, export."""
 
 import json
+from dataclasses import fields
 
 import numpy as np
 import pytest
@@ -38,7 +39,8 @@ def pages(spark):
 @pytest.fixture(scope="module")
 def found(pages):
     lines = document.find_lines(pages, threshold=128).cache()
-    return document.find_layout(pages, lines, threshold=128, page_height=HEIGHT)
+    found = document.find_layout(pages, lines, threshold=128, page_height=HEIGHT)
+    return document.Layout(**{f.name: getattr(found, f.name).cache() for f in fields(found)})
 
 
 def test_lines_without_the_rule(found):
@@ -87,6 +89,24 @@ def test_transcription_to_export(spark, pages, found):
     assert made.count() == 0 and {r.result.validation_state for r in again.collect()} == {"valid"}
 
 
+def test_calls_and_results_are_kept(spark, pages, found, tmp_path):
+    at, made = f"file://{tmp_path}/doc", spark.sparkContext.accumulator(0)
+
+    def said(request, image):
+        made.add(1)
+        if request["cropId"] == "p002_line003":
+            raise TimeoutError("late")
+        return json.dumps({"choices": [{"message": {"content": json.dumps({"text": request["cropId"], "confidence": 1})}}]})
+
+    first = document.read_and_keep(pages, found, at, transcriber=said).collect()
+    assert made.value == 7 and {r.result.review_reason for r in first if r.crop_id == "p002_line003"} == {"provider_failure:TimeoutError:late"}
+    kept = spark.read.parquet(f"{at}/results")
+    assert kept.count() == 12 and spark.read.parquet(f"{at}/responses").count() == 6
+    document.read_and_keep(pages, found, at, transcriber=said).collect()
+    assert made.value == 8 and spark.read.parquet(f"{at}/results").count() == 12  # only the one that failed was tried again
+    assert {r.crop_id: r.result.text for r in kept.collect()}["p001_line001"] == "p001_line001"
+
+
 def test_crops_reach_the_edge_only(spark, pages):
     crops = spark.createDataFrame([(1, 1, "word", "a", -5, -5, 10, 10), (1, 1, "word", "b", 9000, 0, 5, 5)], "document_id long, page_number int, type string, id string, x int, y int, w int, h int")
     got = kernels.crop_images(pages, crops).collect()

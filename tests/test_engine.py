@@ -1,6 +1,8 @@
 """Operators against plain re-derivations and hand-made cases."""
 
+import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import CONFIG, Config, QuestionRule, Segment, Weights, from_mapping
 from quillspark.functions import expressions as X
-from quillspark.operators import assemble, crops, kernels, layout, review, segment, transcribe
+from quillspark.operators import assemble, crops, ink, kernels, layout, review, segment, transcribe
 from quillspark.schema import STATES, states, transitions
 
 LINE = "document_id long, page_number int, ln int, x int, y int, w int, h int, ink_area int, density double, text string"
@@ -106,42 +108,94 @@ def test_answer_drops_specks_then_scribbles(spark):
 
 
 def test_upper_median(spark):
-    df = spark.createDataFrame([(1, 1, v) for v in (1, 2, 3, 4)] + [(2, 1, v) for v in (5, 1, 3)], "document_id long, page_number int, v int")
-    assert {r.document_id: r.m for r in df.select("document_id", X.upper_median(F.col("v")).alias("m")).distinct().collect()} == {1: 3, 2: 3}
-
-
-@pytest.mark.parametrize(
-    "raw, want",
-    [
-        ({"text": "abc", "confidence": 0.97, "uncertainty": []}, ("abc", 0.97, [], "valid", "pending", None)),
-        ({"text": "abc", "confidence": "0.5", "uncertainty": [{"start": "1", "end": 2.9}]}, ("abc", 0.5, [(1, 2, "")], "valid", "required", "model_uncertainty")),
-        ({"text": "abc", "confidence": True, "uncertainty": [{"start": 1, "end": 9, "reason": "r"}]}, ("abc", 1.0, [(1, 3, "r")], "valid", "required", "uncertainty_range_clamped")),
-        ({"text": "abc", "confidence": 1, "uncertainty": [{"start": 5, "end": 9}]}, ("abc", 1.0, [], "valid", "pending", "uncertainty_range_clamped")),
-        ({"text": "abc"}, ("", 0.0, [], "invalid", "required", "malformed_response:'confidence'")),
-        ({"text": 5, "confidence": 1}, ("", 0.0, [], "invalid", "required", "malformed_response:invalid text or confidence")),
-        ({"text": "a", "confidence": float("nan")}, ("", 0.0, [], "invalid", "required", "malformed_response:invalid text or confidence")),
-        ({"text": "abc", "confidence": 1, "uncertainty": [{"start": 2, "end": 2}]}, ("", 0.0, [], "invalid", "required", "malformed_response:uncertainty range outside literal text")),
-    ],
-)
-def test_validation(raw, want):
-    assert transcribe.judged(raw) == want
-
+    df = spark.createDataFrame([(1, 1, v) for v in (1, 2, 3, 4)] + [(2, 1, v) for v in (5, 1, None, 3, None)] + [(3, 1, None)], "document_id long, page_number int, v int")
+    assert {r.document_id: r.m for r in X.with_upper_median(df, "m", F.col("v")).collect()} == {1: 3, 2: 3, 3: None}
+
+
+def test_a_page_of_many_lines_takes_little_time(spark):
+    n = 16_000
+    lines = spark.range(n).selectExpr("1L document_id", "1 page_number", "int(id) ln", "int(id % 7 * 4) x", "int(id * 30 + id % 5 * 6) y", "int(id % 90 * 3 + 3) w", "int(10 + id % 3) h", "int(id % 900) ink_area", "0.5D density", "'t' text")
+    for made in (lambda: layout.answers(layout.mark_questions(lines)), lambda: layout.paragraphs(lines), lambda: crops.lines_of(layout.paragraphs(lines), lines), lambda: crops.to_bands(lines, lines.selectExpr("document_id", "page_number", "y - 5 start", "y - 3 end"), n * 40)):
+        began = time.time()
+        assert made().count() >= 1
+        assert time.time() - began < 12  # with all it takes to start; values carried in each row took minutes
+
+
+RESPONSES = [
+    ('{"text": "abc", "confidence": 0.97, "uncertainty": []}', ("abc", 0.97, [], "valid", "pending", None)),
+    ('{"text": "abc", "confidence": 0.5, "uncertainty": [{"start": 1, "end": 2, "reason": "faint"}]}', ("abc", 0.5, [(1, 2, "faint")], "valid", "required", "model_uncertainty")),
+    ('{"text": "abc", "confidence": "0.5", "uncertainty": [{"start": "1", "end": 2.9}]}', ("abc", 0.5, [(1, 2, "")], "valid", "required", "model_uncertainty")),
+    ('{"text": "abc", "confidence": true, "uncertainty": [{"start": 1, "end": 9, "reason": "r"}]}', ("abc", 1.0, [(1, 3, "r")], "valid", "required", "uncertainty_range_clamped")),
+    ('{"text": "abc", "confidence": 1, "uncertainty": [{"start": 5, "end": 9}]}', ("abc", 1.0, [], "valid", "pending", "uncertainty_range_clamped")),
+    ('{"text": "", "confidence": 1e-1, "uncertainty": {}}', ("", 0.1, [], "valid", "pending", None)),
+    ('{"text": "é😀b", "confidence": 1, "uncertainty": [{"start": 0, "end": 3}, {"start": true, "end": 2e30}]}', ("é😀b", 1.0, [(0, 3, ""), (1, 3, "")], "valid", "required", "uncertainty_range_clamped")),
+    ('So: {"text": "a", "confidence": 1} there.', ("a", 1.0, [], "valid", "pending", None)),
+    ('{"confidence": 1}', "'text'"),
+    ('{"text": "abc"}', "'confidence'"),
+    ('{"text": 5, "confidence": 1}', "invalid text or confidence"),
+    ('{"text": null, "confidence": 1}', "invalid text or confidence"),
+    ('{"text": "a", "confidence": null}', "invalid text or confidence"),
+    ('{"text": "a", "confidence": "nan"}', "invalid text or confidence"),
+    ('{"text": "a", "confidence": 1.01}', "invalid text or confidence"),
+    ('{"text": "a", "confidence": -0.1}', "invalid text or confidence"),
+    ('{"text": "a", "confidence": [1]}', "invalid text or confidence"),
+    ('{"text": "a", "confidence": 1, "uncertainty": null}', "uncertainty is no list of ranges"),
+    ('{"text": "a", "confidence": 1, "uncertainty": 3}', "uncertainty is no list of ranges"),
+    ('{"text": "a", "confidence": 1, "uncertainty": [{"start": "1.5", "end": 2}]}', "uncertainty is no list of ranges"),
+    ('{"text": "a", "confidence": 1, "uncertainty": [{"end": 2}]}', "uncertainty is no list of ranges"),
+    ('{"text": "a", "confidence": 1, "uncertainty": [1]}', "uncertainty is no list of ranges"),
+    ('{"text": "abc", "confidence": 1, "uncertainty": [{"start": 2, "end": 2}]}', "uncertainty range outside literal text"),
+    ('{"text": "abc", "confidence": 1, "uncertainty": [{"start": -1, "end": 2}]}', "uncertainty range outside literal text"),
+    ("[1]", "no JSON object"),
+    ("no", "no JSON object"),
+    ("{broken", "no JSON object"),
+    ("", "no JSON object"),
+    (None, ("", 0.0, [], "unavailable", "required", "provider_unavailable")),
+]
+
+
+def test_validation(spark):
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(RESPONSES)], "i int, raw string").repartition(1)
+    for r in df.select("i", transcribe.validated(F.col("raw")).alias("r")).collect():
+        want = RESPONSES[r.i][1]
+        want = ("", 0.0, [], "invalid", "required", f"malformed_response:{want}") if isinstance(want, str) else want
+        got = (r.r.text, r.r.confidence, [tuple(u) for u in r.r.uncertainty], r.r.validation_state, r.r.review_state, r.r.review_reason)
+        assert got == want, RESPONSES[r.i][0]
+
+
+def test_message_of_an_envelope(spark):
+    bodies = {
+        '{"output": [{"type": "reasoning"}, {"type": "message", "content": [{"type": "refusal"}, {"type": "output_text", "text": "x"}]}], "id": "1"}': "x",
+        '{"output": [{"type": "output_text", "text": "z"}]}': "z",
+        '{"choices": [{"message": {"content": "y"}}]}': "y",
+        '{"text": "a"}': '{"text": "a"}',
+        "no": "no",
+    }
+    df = spark.createDataFrame([(b,) for b in bodies], "b string")
+    assert {r.b: r.m for r in df.select("b", transcribe.message_text(F.col("b")).alias("m")).collect()} == bodies
+
+
+def test_live_provider_sends_and_gives_the_body(monkeypatch):
+    import io
+    from dataclasses import replace
 
-def test_null_uncertainty_is_invalid():
-    assert transcribe.judged({"text": "a", "confidence": 1, "uncertainty": None})[3] == "invalid"
+    seen = []
 
+    def answer(request, timeout):
+        seen.append((request.full_url, request.get_header("Authorization"), json.loads(request.data), timeout))
+        return io.BytesIO(b'{"output": []}')
 
-def test_objects_in_prose():
-    assert transcribe.parse_object('So: {"a": 1} there.') == {"a": 1}
-    with pytest.raises(ValueError):
-        transcribe.parse_object("[1]")
-    assert transcribe.message_text({"output": [{"type": "reasoning"}, {"type": "message", "content": [{"type": "output_text", "text": "x"}]}]}) == "x"
-    assert transcribe.message_text({"choices": [{"message": {"content": "y"}}]}) == "y"
+    monkeypatch.setattr(transcribe.urllib.request, "urlopen", answer)
+    monkeypatch.setenv("SOME_KEY", "k")
+    how = replace(CONFIG.transcription, endpoint="http://x.example/v1", api_key_env="SOME_KEY", model="m")
+    for style, where in (("responses", "input"), ("chat", "messages")):
+        assert transcribe.PROVIDERS[style](how)({"cropId": "c"}, b"img") == '{"output": []}'
+        url, key, body, timeout = seen.pop()
+        assert (url, key, timeout, body["model"]) == ("http://x.example/v1", "Bearer k", 60.0, "m") and "data:image/png;base64,aW1n" in json.dumps(body[where])
 
 
 def test_cache_key_equals_hashlib(spark):
     import hashlib
-    import json
 
     df = transcribe.with_cache_key(spark.createDataFrame([("é\"x", bytearray(b"\x00img"))], "crop_id string, image binary"))
     canonical = json.dumps(transcribe.request_for("é\"x", CONFIG.transcription), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -179,8 +233,6 @@ def test_texts_keep_tags_and_drop_blank_lines(spark):
 
 def test_export_and_sparse_json(spark):
     df = spark.createDataFrame([(1, "f.png", "q", "r")], "document_id long, filename string, question string, response string")
-    import json
-
     assert json.loads(assemble.export_json(df).first().json) == {"results": [{"filename": "f.png", "responses": [{"question": "q", "response": "r"}]}]}
     odd = spark.createDataFrame([(1, None, [])], "document_id long, a string, b array<int>")
     assert assemble.sparse_json(odd, "document_id").first().json == "{}"
@@ -199,7 +251,68 @@ def test_crops_are_written_once(spark, tmp_path):
     assert crops.append_new(df.limit(3), at) == 3
     assert crops.append_new(df, at) == 2
     assert crops.append_new(df, at) == 0
-    assert spark.read.parquet(at).count() == 5
+    assert spark.read.parquet(at).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["crops"]
+
+
+def test_lines_in_regions_that_overlap_and_reach_over_bins(spark):
+    rnd = random.Random(9)
+    lines = [(0, rnd.randrange(0, 2000), 10, rnd.randrange(1, 40), 1, 0.5, "t") for _ in range(200)]
+    regions = [(0, 1, f"r{i}", rnd.randrange(0, 1900), rnd.choice([0, 10, 300, 1000])) for i in range(30)]
+    df = spark.createDataFrame(regions, "document_id long, page_number int, id string, y int, h int")
+    got = sorted((r.parent_id, r.ln) for r in crops.lines_of(df, lines_frame(spark, [lines])).collect())
+    assert got == sorted((i, ln) for _, _, i, y, h in regions for ln, (_, ly, _, lh, *_) in enumerate(lines) if y <= ly + lh / 2 <= y + h)
+
+
+def test_bands_equal_a_search(spark):
+    rnd = random.Random(10)
+    lines = [(0, rnd.randrange(0, 400) * 2, 10, rnd.choice([8, 12]), 1, 0.5, "t") for _ in range(150)]
+    bands = sorted((a, a + rnd.randrange(6)) for a in rnd.sample(range(900), 40))
+    df = spark.createDataFrame([(0, 1, a, b) for a, b in bands], "document_id long, page_number int, start int, end int")
+    for r in crops.to_bands(lines_frame(spark, [lines]), df, 850).collect():
+        _, y, _, h, *_ = lines[r.ln]
+        up, low = max((b for _, b in bands if b < y + h / 2), default=y - 1), min((a for a, _ in bands if a > y + h / 2), default=y + h)
+        top, end = max(0, min(up + 1, y)), min(850, max(low, y + h))
+        assert (r.y, r.h) == (top, end - top)
+
+
+def test_family_equals_the_hierarchy_of_the_table(spark, sf):
+    from quillspark.sources import proxy
+
+    lines = proxy.line_regions(spark, sf).where("document_id < 20")
+    words = lines.select("document_id", "page_number", "ln", F.explode(F.array(F.lit(1), F.lit(2))).alias("word_no"))
+    paragraphs = layout.paragraphs(lines)
+    found = crops.family(paragraphs, crops.lines_of(paragraphs, lines), words)
+    again = crops.hierarchy(found.select("document_id", "page_number", "type", "id", "parent_id")).select(*found.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, again.collect()))
+
+
+def test_states_are_appended_only_where_allowed(spark, tmp_path):
+    at = f"file://{tmp_path}/log"
+    rows = [(1, 0, 1, STATES[0]), (1, 1, 2, STATES[1]), (1, 2, 3, STATES[3]), (1, 3, 4, STATES[2]), (2, 0, 5, STATES[4]), (3, 0, 6, STATES[0])]
+    asked = spark.createDataFrame(rows, "document_id long, ts long, event_id long, state string")
+    refused = review.advance(asked, at)
+    assert sorted((r.event_id, r.cur, r.allowed) for r in refused.collect()) == [(3, "NORMALIZED", "QUESTION_DETECTED"), (4, "ANSWER_DETECTED", "PARAGRAPHS_DETECTED"), (5, None, "UPLOADED")]
+    assert {r.document_id: r.state for r in review.current_state(spark.read.parquet(at)).collect()} == {1: STATES[1], 3: STATES[0]}
+    assert review.advance(asked.where("event_id in (1, 2, 6)"), at).count() == 0 and spark.read.parquet(at).count() == 3
+    loop = spark.createDataFrame([(9, i, 100 + i, s) for i, s in enumerate([*STATES[:9], STATES[8], *STATES[9:]])], asked.schema)
+    assert review.advance(loop, at).count() == 0 and review.violations(spark.read.parquet(at)).count() == 0
+
+
+def test_ids_go_on_after_the_highest(spark):
+    from quillspark.sources import images
+
+    found = spark.createDataFrame([(f"p{i}",) for i in range(300)] + [(None,), ("p1",)], "path string")
+    taken = spark.createDataFrame([("doc_007",), ("doc_1041",), ("other_9999",), (None,)], "document_id string")
+    got = [r.document_id for r in images.numbered(found, taken).collect()]
+    assert sorted(got) == sorted(f"doc_{i:03d}" for i in range(1042, 1042 + 302))
+    assert sorted(r.document_id for r in images.numbered(found.limit(2), taken.where("false")).collect()) == ["doc_001", "doc_002"]
+    assert images.numbered(found.where("false"), taken).count() == 0
+
+
+def test_sparse_json_is_read_again(spark):
+    df = spark.createDataFrame([(1, "x", [1, 2], None), (2, None, [], 0.5)], "document_id long, a string, b array<int>, c double")
+    again = assemble.from_sparse_json(assemble.sparse_json(df, "document_id"), df.drop("document_id").schema, "document_id")
+    assert sorted(again.collect()) == sorted(df.collect())
 
 
 def test_boxes_only_grow(spark):
@@ -229,50 +342,101 @@ def test_strip_suffix_redaction(spark):
     assert [tuple(r) for r in got] == [("x", "pdf", "<301 chars omitted>", "b.PDF"), ("z", None, "y" * 300, ".png")]
 
 
-def test_morphology_and_boxes():
-    m = np.zeros((40, 80), bool)
-    m[10:15, 20:45] = m[10:15, 60:75] = True
-    assert kernels.boxes(m, 50) == [(10, 20, 25, 5, 125), (10, 60, 15, 5, 75)]
-    assert kernels.boxes(m, 100) == [(10, 20, 25, 5, 125)]
-    m[30, 5] = True
-    assert not kernels.opened(m, (3, 3))[30, 5] and (kernels.opened(m, (3, 3))[10:15, 20:45]).all()
-    gap = m.copy()
-    gap[12, 30] = False
-    assert kernels.closed(gap, (3, 3))[12, 30]
-    moved = np.roll(m, 3, axis=1)
-    assert [b[1] - 3 for b in kernels.boxes(moved, 50)] == [b[1] for b in kernels.boxes(m, 50)]
-
-
-def test_rules_are_removed():
-    ink = np.zeros((60, 200), bool)
-    ink[30, :] = True
-    ink[10:20, 50:60] = True
-    clean = kernels.without_rules(ink)
-    assert not clean[30].any() and clean[10:20, 50:60].all()
-    assert kernels.ruled_rows(ink)[30] and not kernels.ruled_rows(ink)[12]
-    assert kernels.without_rules(ink, Segment(crop_left=55))[12].sum() == 5
-
-
-def test_skew_and_ink():
-    page = np.full((120, 300), 255, np.uint8)
-    page[50:60, 40:260] = 0
-    turned = kernels.rotated(page, 6.0)
-    assert abs(abs(kernels.skew(turned < 128)) - 6.0) < 0.7
-    assert abs(kernels.skew(kernels.rotated(turned, kernels.skew(turned < 128)) < 128)) < 1.0
-    assert kernels.skew(np.zeros((10, 10), bool)) == 0.0
-    ink, angle = kernels.ink_mask(np.repeat(page[..., None], 3, 2), denoise=False)
-    assert angle == 0.0 and ink[51, 40:260].mean() > 0.9 and not ink[5].any()
-
-
-def test_denoising_keeps_flat_areas():
-    page = np.full((30, 30), 200, np.uint8)
-    page[15, 15] = 190
-    out = kernels.denoised(page)
-    assert abs(int(out[5, 5]) - 200) <= 1 and out[15, 15] > 190
+def runs_of(spark, mask, **more):
+    """A mask as runs of page 1, row by row."""
+    rows = []
+    for y, row in enumerate(mask):
+        edge = np.flatnonzero(np.diff(np.r_[False, row, False].astype(np.int8)))
+        rows += [(1, 1, *mask.shape, y, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2])]
+    return spark.createDataFrame(rows, "document_id long, page_number int, height int, width int, y int, x_start int, x_end int")
+
+
+def mask_of(runs, shape):
+    out = np.zeros(shape, bool)
+    for r in runs.collect():
+        assert not out[r.y, r.x_start : r.x_end].any()
+        out[r.y, r.x_start : r.x_end] = True
+    return out
+
+
+def test_pixels_become_runs_whatever_the_strips(spark):
+    rnd = np.random.default_rng(2)
+    page = np.where(rnd.random((50, 40, 1)) < 0.4, 0, 255).astype(np.uint8).repeat(3, axis=2)
+    df = spark.createDataFrame([(d, 1, 50, 40, bytearray(page.tobytes())) for d in (1, 2)] + [(3, 1, 0, 0, bytearray())], "document_id long, page_number int, height int, width int, bgr binary")
+    for rows in (7, 50, 128):
+        found = kernels.pixel_runs(df, kernels.dark, rows)
+        assert (mask_of(found.where("document_id = 2"), (50, 40)) == (page[..., 0] == 0)).all() and found.where("document_id = 3").count() == 0
+
+
+def test_rules_are_removed(spark):
+    mask = np.zeros((150, 200), bool)
+    mask[30, :] = mask[31, 5:190] = True
+    mask[29, 100:110] = mask[28, 100:110] = True
+    mask[10:20, 50:60] = True
+    mask[40:140, 20] = True
+    mask[80, 15:40] = True
+    runs = runs_of(spark, mask)
+    want = mask.copy()
+    want[29:33] = False
+    want[40:140, 19:22] = False
+    assert (mask_of(ink.without_rules(runs), mask.shape) == want).all()
+    assert [(r.start, r.end) for r in ink.rule_bands(runs).collect()] == [(29, 32)]
+    assert mask_of(ink.without_rules(runs, Segment(crop_left=55, crop_top=12, crop_bottom=133)), mask.shape).sum() == 5 * 5
+
+
+def test_columns_and_density_of_lines(spark):
+    rnd = np.random.default_rng(4)
+    mask = rnd.random((40, 60)) < 0.5
+    lines = spark.createDataFrame([(1, 1, 0, 5, 3, 30, 12), (1, 1, 1, -4, 20, 20, 10), (1, 1, 2, 50, 35, 30, 30)], "document_id long, page_number int, ln int, x int, y int, w int, h int")
+    runs = runs_of(spark, mask)
+    got = {(r.ln, r.x): (r.col_ink, r.y_min, r.y_max) for r in ink.line_columns(runs, lines).collect()}
+    want = {}
+    for ln, x, y, w, h in ((0, 5, 3, 30, 12), (1, 0, 20, 16, 10), (2, 50, 35, 30, 30)):
+        part = mask[y : y + h, x : x + w]
+        for c in np.flatnonzero(part.any(axis=0)):
+            at = np.flatnonzero(part[:, c])
+            want[ln, int(c)] = (len(at), y + int(at[0]), y + int(at[-1]))
+    assert got == want
+    assert {r.ln: round(r.density, 9) for r in ink.line_density(runs, lines.where("ln < 2")).collect()} == {0: round(mask[3:15, 5:35].mean(), 9), 1: round(mask[20:30, :16].mean(), 9)}
+
+
+def plain_boxes(mask):
+    seen, out = np.zeros(mask.shape, bool), []
+    for y, x in zip(*np.nonzero(mask)):
+        if seen[y, x]:
+            continue
+        todo, part = [(y, x)], []
+        seen[y, x] = True
+        while todo:
+            a, b = todo.pop()
+            part.append((a, b))
+            for c in range(max(0, a - 1), min(mask.shape[0], a + 2)):
+                for d in range(max(0, b - 1), min(mask.shape[1], b + 2)):
+                    if mask[c, d] and not seen[c, d]:
+                        seen[c, d] = True
+                        todo.append((c, d))
+        ys, xs = zip(*part)
+        out.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(part)))
+    return sorted(tuple(map(int, b)) for b in out)
+
+
+def test_connected_marks_equal_a_flood(spark):
+    from quillspark.config import HighlightRule
+
+    rnd = np.random.default_rng(5)
+    for share in (0.1, 0.35, 0.6):
+        mask = rnd.random((40, 50)) < share
+        mask[5:20, 5:30] = True
+        got = ink.highlights(runs_of(spark, mask), HighlightRule(min_area=1)).collect()
+        assert sorted((r.x, r.y, r.w, r.h, r.area) for r in got) == plain_boxes(mask)
+        assert [r.id for r in sorted(got, key=lambda r: (r.y, r.x))] == [f"highlight_{i:03d}" for i in range(1, len(got) + 1)]
+    assert ink.highlights(runs_of(spark, mask).where("false")).count() == 0
 
 
 def test_highlight_mask():
     page = np.full((60, 60, 3), 255, np.uint8)
     page[10:40, 10:40] = (60, 230, 250)
     page[45:55, 45:55] = (250, 60, 60)
-    assert kernels.boxes(kernels.highlight_mask(page), 400) == [(10, 10, 30, 30, 900)]
+    want = np.zeros((60, 60), bool)
+    want[10:40, 10:40] = True
+    assert (kernels.marker(page) == want).all()

@@ -57,3 +57,13 @@ def test_streamed_steps_equal_the_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     got = {(r.document_id, r.event_id) for r in spark.table("steps").where("not allowed").collect()}
     assert got == {(r.document_id, r.event_id) for r in review.violations(log).collect()}
+
+
+def test_progress_ends_at_a_last_state(spark, tmp_path):
+    schema, at = "document_id long, ts long, event_id long, state string", f"{tmp_path}/log"
+    for i, s in enumerate(("UPLOADED", "NORMALIZED", "REVIEW_REQUIRED", "APPROVED")):
+        spark.createDataFrame([(1, i, i, s), (2, i, i + 10, "UPLOADED")], schema).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+    seen = list(documents.follow(stream, 1, f"{tmp_path}/check", patience=60))
+    assert seen[-1][0] in ("REVIEW_REQUIRED", "APPROVED") and not [s for s, _ in seen[:-1] if s in ("REVIEW_REQUIRED", "APPROVED")]
+    assert not spark.streams.active
