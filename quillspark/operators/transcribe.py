@@ -101,7 +101,8 @@ def message_text(body: Column) -> Column:
         output = F.get(F.flatten(F.transform(get(v, "$.output", "array<variant>"), texts)), F.lit(0))
         return F.coalesce(output, get(v, "$.choices[0].message.content", "string"), body)
 
-    return let(F.try_parse_json(body), lambda v: F.coalesce(found(v), body))
+    enveloped = body.contains('"output"') | body.contains('"choices"')  # other text need not be parsed here
+    return let(body, lambda b: F.when(enveloped, let(F.try_parse_json(b), found)).otherwise(b))
 
 
 INTEGER, FLOAT = r"^\s*[+-]?[0-9]+\s*$", r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -139,34 +140,49 @@ def unavailable(reason: Column) -> Column:
 def _judged(v: Column) -> Column:
     """OCR_RESULT of a response object. Anything malformed makes the whole response invalid."""
     get, none = F.try_variant_get, F.array().cast("array<variant>")
-    kind = lambda name: F.schema_of_variant(get(v, f"$.{name}", "variant"))
-    listed = F.when(kind("uncertainty").isNull() | kind("uncertainty").isin("OBJECT<>"), none).otherwise(get(v, "$.uncertainty", "array<variant>"))
-    ranges = F.transform(listed, lambda u: F.struct(_offset(u, "start").alias("start"), _offset(u, "end").alias("end"), F.coalesce(get(u, "$.reason", "string"), F.lit("")).alias("reason")))
-    text = F.when(kind("text") == "STRING", get(v, "$.text", "string"))
-    read = F.struct(text.alias("text"), _number(get(v, "$.confidence", "variant"), kind("confidence"), FLOAT).alias("confidence"), ranges.alias("ranges"))
+    names = ("text", "confidence", "uncertainty")
+    parts = F.struct(*(get(v, f"$.{x}", "variant").alias(x) for x in names))
 
-    def of(r: Column) -> Column:
+    def typed(p: Column) -> Column:
+        return F.struct(*(p[x].alias(x) for x in names), *(F.schema_of_variant(p[x]).alias(f"{x}_kind") for x in names))
+
+    def ranges_of(p: Column) -> Column:
+        listed = F.when(p["uncertainty_kind"].isNull() | (p["uncertainty_kind"] == "OBJECT<>"), none).otherwise(get(p["uncertainty"], "$", "array<variant>"))
+        return F.transform(listed, lambda u: F.struct(_offset(u, "start").alias("start"), _offset(u, "end").alias("end"), F.coalesce(get(u, "$.reason", "string"), F.lit("")).alias("reason")))
+
+    def read(p: Column) -> Column:
+        said = F.when(p["text_kind"] == "STRING", get(p["text"], "$", "string"))
+        missing = F.when(p["text_kind"].isNull(), "'text'").when(p["confidence_kind"].isNull(), "'confidence'")
+        return F.struct(said.alias("text"), _number(p["confidence"], p["confidence_kind"], FLOAT).alias("confidence"), ranges_of(p).alias("ranges"), missing.alias("missing"))
+
+    def judge(r: Column) -> Column:
         said, sure, ranges = r["text"], r["confidence"], r["ranges"]
-        known = F.coalesce(sure.between(0.0, 1.0) & ~F.isnan(sure), F.lit(False)) & said.isNotNull()
+        known = F.coalesce(sure.between(0.0, 1.0), F.lit(False)) & said.isNotNull()
         broken = F.coalesce(F.exists(ranges, lambda u: u["start"].isNull() | u["end"].isNull()), F.lit(True))
         outside = F.exists(ranges, lambda u: (u["start"] < 0) | (u["end"] <= u["start"]))
         why = (
-            F.when(kind("text").isNull(), F.lit("'text'")).when(kind("confidence").isNull(), F.lit("'confidence'")).when(~known, F.lit("invalid text or confidence"))
+            F.when(r["missing"].isNotNull(), r["missing"]).when(~known, F.lit("invalid text or confidence"))
             .when(broken, F.lit("uncertainty is no list of ranges")).when(outside, F.lit("uncertainty range outside literal text"))
         )
-        left = clipped_ranges(ranges, said)
-        reason = F.when(any_clipped(ranges, said), F.lit("uncertainty_range_clamped")).when(F.size(left) > 0, F.lit("model_uncertainty"))
-        good = _result(said, sure, left, "valid", F.when(F.size(left) > 0, "required").otherwise("pending"), reason)
-        return F.when(why.isNotNull(), _failed("invalid", F.concat(F.lit("malformed_response:"), why))).otherwise(good)
 
-    return let(read, of)
+        def good(left: Column) -> Column:
+            reason = F.when(any_clipped(ranges, said), F.lit("uncertainty_range_clamped")).when(F.size(left) > 0, F.lit("model_uncertainty"))
+            return _result(said, sure, left, "valid", F.when(F.size(left) > 0, "required").otherwise("pending"), reason)
+
+        return let(why, lambda w: F.when(w.isNotNull(), _failed("invalid", F.concat(F.lit("malformed_response:"), w))).otherwise(let(clipped_ranges(ranges, said), good)))
+
+    return let(let(let(parts, typed), read), judge)
 
 
 def validated(raw: Column) -> Column:
     """OCR_RESULT of raw responses, JSON strings that may have prose around them; null is a provider that isn't there. All of it stays in the JVM."""
     malformed = _failed("invalid", F.lit("malformed_response:no JSON object"))
-    judged = let(json_object(raw), lambda v: F.when(v.isNull(), malformed).otherwise(_judged(v)))
-    return F.when(raw.isNull(), unavailable(F.lit("provider_unavailable"))).otherwise(judged)
+
+    def of(text: Column) -> Column:
+        judged = let(json_object(text), lambda v: F.when(v.isNull(), malformed).otherwise(_judged(v)))
+        return F.when(text.isNull(), unavailable(F.lit("provider_unavailable"))).otherwise(judged)
+
+    return let(raw, of)
 
 
 def transcribe(misses: DataFrame, transcriber: Transcriber | None, how: Transcription = CONFIG.transcription) -> DataFrame:

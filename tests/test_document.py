@@ -36,11 +36,17 @@ def pages(spark):
     return spark.createDataFrame([(d, 1, HEIGHT, WIDTH, bytearray(drawn().tobytes())) for d in (1, 2)], schema)
 
 
+def written(df, at):
+    """df as a table, as the parts of a document are on a cluster."""
+    df.write.parquet(f"file://{at}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"file://{at}")
+
+
 @pytest.fixture(scope="module")
-def found(pages):
-    lines = document.find_lines(pages, threshold=128).cache()
-    found = document.find_layout(pages, lines, threshold=128, page_height=HEIGHT)
-    return document.Layout(**{f.name: getattr(found, f.name).cache() for f in fields(found)})
+def found(pages, tmp_path_factory):
+    at = tmp_path_factory.mktemp("layout")
+    found = document.find_layout(pages, written(document.find_lines(pages, threshold=128), at / "found"), threshold=128, page_height=HEIGHT)
+    return document.Layout(**{f.name: written(getattr(found, f.name), at / f.name) for f in fields(found)})
 
 
 def test_lines_without_the_rule(found):
@@ -62,7 +68,7 @@ def test_regions_and_crops(found):
     assert found.highlights.where("document_id = 1").count() == 1
 
 
-def test_transcription_to_export(spark, pages, found):
+def test_transcription_to_export(spark, pages, found, tmp_path):
     def said(request, image):
         assert image[:4] == b"\x89PNG"
         unsure = request["cropId"] == "p001_line002"
@@ -70,7 +76,7 @@ def test_transcription_to_export(spark, pages, found):
 
     none = spark.createDataFrame([], "cache_key string, raw string")
     results, fresh = document.read_lines(pages, found, none, transcriber=said)
-    results, fresh = results.cache(), fresh.cache()
+    results, fresh = written(results, tmp_path / "results"), written(fresh, tmp_path / "fresh")
     assert results.count() == 14 and fresh.count() == 7  # both documents have the same lines
     questions, paragraphs, answers = document.texts(found, results)
     assert {r.text for r in questions.collect()} == {"q001_line001 <caret>x</caret>"}
