@@ -35,7 +35,7 @@ LEVELS = ("host", "domain", "suffix")
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host and path of a url."""
-    rest = F.when(url.contains("://"), F.expr("substr({0}, instr({0}, '://') + 3)".replace("{0}", "url")))
+    rest = F.when(url.contains("://"), F.substr(url, F.instr(url, "://") + 3))
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
