@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_of
+from .common import durable, fresh, text_of
 
 PRIME = 2_147_483_647
 ROUND_KEYS = (1_812_433_253, 374_761_393, 668_265_263, 974_711, 1_181_783_497, 2_118_042_229, 52_711, 1_640_531_527)
@@ -66,9 +66,12 @@ def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, dict[int,
     What reaches the driver is one count for each partition. The rows are written down before they are counted, so
     that a rerun can't number them in another way.
     """
+    (tie,) = fresh(rows, "tie")  # rows equal in all are one as good as another, and may be many
     placed = durable(
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        rows.withColumn(tie, F.monotonically_increasing_id())
+        .repartitionByRange(*order, tie)
+        .sortWithinPartitions(*order, tie)
+        .drop(tie)
         .withColumn("part", F.spark_partition_id())
         .withColumn("idx", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
