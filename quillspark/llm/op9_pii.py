@@ -40,7 +40,7 @@ FOUR = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"[^\s\"'<>]+")
-USER = re.compile(r"[^/@\s]+@[^/\s]+")
+USER = re.compile(r"[^/@\s\"'<>]++@[^/\s\"'<>]")
 SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_+/=.-]{8,})")
 IBAN = re.compile(r"[\s:]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30})")
 
@@ -50,9 +50,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97(account: str) -> bool:
-    turned = account[4:] + account[:4]
-    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+def account_end(text: str) -> int:
+    """Where the longest account of 15 characters or more ends that text begins with and whose remainder of 97 fits; 0 if none. Spaces don't count."""
+    head = "".join(str(int(c, 36)) for c in text[:4])
+    scale, tail, rest, n, end = 10 ** len(head), int(head), 0, 4, 0
+    for i, c in enumerate(text[4:], 5):
+        if c != " ":
+            v = int(c, 36)
+            rest, n = (rest * (100 if v > 9 else 10) + v) % 97, n + 1
+            if n >= 15 and (rest * scale + tail) % 97 == 1:
+                end = i
+    return end
 
 
 def automaton():
@@ -108,18 +116,14 @@ def spans(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
             start, least = at, after["url"]
             while start > least and at - start < 32 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-")):
                 start -= 1
-            if start < at and (m := URL_REST.match(text, last + 1)) and USER.match(text, last + 1, m.end()):
-                keep("url", start, m.end())
+            if start < at and USER.match(text, last + 1):  # which reads to the next slash at most
+                keep("url", start, URL_REST.match(text, last + 1).end())
         elif what == "cue":
             if at >= after["secret"] and (m := SECRET.match(text, last + 1)):
                 keep("secret", *m.span(1))
         elif m := IBAN.match(text, last + 1):
-            account, (start, end) = m[1], m.span(1)
-            while len(account.replace(" ", "")) >= 15:  # a word in capitals may follow
-                if mod97(account.replace(" ", "")):
-                    keep("iban", start, start + len(account))
-                    break
-                account = account[:-1].rstrip()
+            if end := account_end(m[1]):  # a word in capitals may follow
+                keep("iban", m.start(1), m.start(1) + end)
     return found
 
 
@@ -127,11 +131,12 @@ def joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
     return ",".join(f"{k}:{s}:{e}" for k in kinds for s, e in found[k])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: SCHEMA."""
+    """One row per document: SCHEMA. n_spans counts the spans of all kinds."""
+    names, types = [*(x.split()[0] for x in SCHEMA.split(", "))], [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
@@ -139,8 +144,8 @@ def find(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 found = spans(text.as_py() or "", anchors)
-                rows.append((doc_id, *(len(found[k]) for k in BASE), hashlib.sha256(joined(found, BASE).encode()).hexdigest(), joined(found, KINDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.string()] * 2)] if rows else [pa.array([], t) for t in [pa.int64()] * 5 + [pa.string()] * 2], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+                rows.append((doc_id, *(len(found[k]) for k in BASE), hashlib.sha256(joined(found, BASE).encode()).hexdigest(), joined(found, KINDS), sum(map(len, found.values()))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(names), types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
