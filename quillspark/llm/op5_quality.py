@@ -5,14 +5,15 @@ of the trusted documents are counted block by block and added up by language and
 continuation counts, discounts come from the counts of counts, and each order is interpolated with the one below it down to a uniform
 distribution over bytes: all of it grouped sums and joins on (language, n-gram), sharded by their hash.
 
-Documents are packed into blocks of about `block_bytes`, written once as a table bucketed by block. The ids of a block's documents meet the
+Documents are packed into blocks of about `block_bytes`, written once into the shared folder as a table bucketed by block, with some buckets for each block
+that the text makes, so that few hold two. The ids of a block's documents meet the
 labels in a join, and those that are trusted go back to the block, where their n-grams are counted. A block asks for the probability of each
 different n-gram in it; the asked n-grams meet the sharded counts in joins, and the answers go to their block, which lies in its bucket
 already, so that texts are not shuffled. There each document's perplexity is read off.
 
-A tenth of the trusted documents is left out of the counts. A short text's perplexity says little, so each is weighed against
+Trusted documents are those labelled good and not toxic. A tenth of them is left out of the counts. A short text's perplexity says little, so each is weighed against
 `prior_bytes` bytes of the median perplexity of those left out in its language. The quantile of theirs, so weighed,
-times `slack` is the language's threshold, above which documents are rejected.
+is the language's threshold, above which documents are rejected. Both quantiles are exact, from ranks in rows sorted over all tasks.
 
 Counts and thresholds come from all trusted documents; nothing that grows with them is collected or sent to the tasks.
 
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, text_of
+from .common import durable, fresh, remove, shared_dir, text_of
 
 ORDER = 4
-QUANTILE = 0.995
-SLACK = 1.2
+QUANTILE = 0.999
 PRIOR_BYTES = 50
 BLOCK_BYTES = 16 << 20
+#: Buckets for each block, and what Spark allows in all.
+SPREAD, MOST_BUCKETS = 4, 100_000
 CALIBRATE = 10
 
 
@@ -253,17 +255,10 @@ def scores_of(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
 
 
 def trusted(labels: DataFrame) -> DataFrame:
-    """doc_id of the documents labelled good."""
-    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-
-
-def trusted_ids(labels: DataFrame, most: int) -> np.ndarray:
-    """A sample of the ids of trusted documents, at most as many as given but for ties of the hash. The classifier takes all of them instead."""
-    good = trusted(labels)
-    n = good.count()
-    if n > most:
-        good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    return np.sort(np.array([r[0] for r in good.collect()], dtype=np.int64))
+    """doc_id of the documents labelled good and, where the labels say so, not toxic."""
+    clean = F.max(F.coalesce("toxic", F.lit(0))) if "toxic" in labels.columns else F.lit(0)
+    marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), clean.alias("toxic"))
+    return marked.where("quality = 1 and toxic = 0").select("doc_id")
 
 
 def folded(ids: DataFrame) -> DataFrame:
@@ -277,45 +272,65 @@ def folded(ids: DataFrame) -> DataFrame:
 
 
 def quantile_of(rows: DataFrame, value: Column, q: float) -> DataFrame:
-    """(lang, value): the exact quantile by language, from sorted rows, which can spill."""
-    values = rows.select("lang", value.alias("value"))
+    """(lang, value): the exact quantile by language. Rows (doc_id, lang, ...) are sorted over all tasks; a row's rank is its place in its task's
+    part and what lies in the parts before, of which there are few rows: one for each part and language in it."""
+    order = ["lang", "value", "doc_id"]
+    placed = durable(
+        rows.select("lang", value.alias("value"), "doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumns({"part": F.spark_partition_id(), "idx": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    )
+    parts = placed.groupBy("lang", "part").agg(F.count("*").alias("k"), F.min("idx").alias("first"))
+    whole = Window.partitionBy("lang")
+    parts = durable(parts.withColumns({"n": F.sum("k").over(whole), "before": F.sum("k").over(whole.orderBy("part")) - F.col("k")}))
     at = q * (F.col("n") - 1)
-    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("value")) - 1).join(values.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+    ranked = placed.join(parts, ["lang", "part"]).withColumn("rank", F.col("before") + F.col("idx") - F.col("first"))
     ends = ranked.where((F.col("rank") >= F.floor(at)) & (F.col("rank") <= F.ceil(at))).groupBy("lang", "n").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     return ends.select("lang", (F.col("low") + (at - F.floor(at)) * (F.col("high") - F.col("low"))).alias("value"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, prior_bytes: int = PRIOR_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, h (hash of the text), lang, n_bytes, perplexity, evidence (the weighed perplexity), threshold, kept for each row."""
-    spark, good = docs.sparkSession, durable(folded(trusted(labels)))
+def scored(docs: DataFrame, good: DataFrame, order: int, block_bytes: int) -> DataFrame:
+    """SCORED for each row, under the models of the good documents (doc_id, fold) in the other folds than 0; written down."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), text_of().alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # no fewer than other shuffles have, or Spark would deal the blocks anew
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, SPREAD * size // block_bytes))
     name = f"quill_blocks_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks(rows, order, block_bytes).write.bucketBy(n, "block").option("compression", "none").saveAsTable(name)
-    table = spark.table(name)
-    none, full = F.lit(None).cast("binary").alias("more"), table.where("docs is not null")
-    held = listed(full.select("block", "lang", "ids", none), "lang string, gram long, block long", False).select("block", F.col("gram").alias("doc_id"))
-    # fold 0 is left out of the counts
-    train = held.join(good.where("fold > 0"), "doc_id").select("block", "doc_id")
-    full = full.select("block", "docs").groupBy("block")
-    counted = full.cogroup(train.groupBy("block")).applyInArrow(lambda a, b: counts_of(a, b, order), COUNTED)
-    # written between the two, so that a task has one Python worker at a time
-    counts = listed(durable(counted), "lang string, gram long, n long", True)
-    asked = listed(table.where("asked is not null").select("block", "lang", "asked", none), "lang string, gram long, block long", False)
-    answers = probabilities(counts, durable(asked.select("lang", "gram").distinct()), order)
-    sent = asked.join(answers, ["lang", "gram"]).select("block", "lang", "gram", "logp")
-    scored = durable(full.cogroup(sent.groupBy("block")).applyInArrow(lambda a, b: scores_of(a, b, order), SCORED))
-    spark.sql(f"DROP TABLE {name}")
-    set_by = durable(scored.join(good.where("fold = 0").select("doc_id"), "doc_id").where("perplexity is not null"))
+    path = f"{shared_dir(spark)}/{name}"
+    try:
+        blocks(rows, order, block_bytes).write.bucketBy(n, "block").option("compression", "none").option("path", path).saveAsTable(name)
+        table = spark.table(name)
+        none, full = F.lit(None).cast("binary").alias("more"), table.where("docs is not null")
+        held = listed(full.select("block", "lang", "ids", none), "lang string, gram long, block long", False).select("block", F.col("gram").alias("doc_id"))
+        # fold 0 is left out of the counts
+        train = held.join(good.where("fold > 0"), "doc_id").select("block", "doc_id")
+        full = full.select("block", "docs").groupBy("block")
+        counted = full.cogroup(train.groupBy("block")).applyInArrow(lambda a, b: counts_of(a, b, order), COUNTED)
+        # written between the two, so that a task has one Python worker at a time
+        counts = listed(durable(counted), "lang string, gram long, n long", True)
+        asked = listed(table.where("asked is not null").select("block", "lang", "asked", none), "lang string, gram long, block long", False)
+        answers = probabilities(counts, durable(asked.select("lang", "gram").distinct()), order)
+        sent = asked.join(answers, ["lang", "gram"]).select("block", "lang", "gram", "logp")
+        return durable(full.cogroup(sent.groupBy("block")).applyInArrow(lambda a, b: scores_of(a, b, order), SCORED))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
+def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, prior_bytes: int = PRIOR_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, h (hash of the text), lang, n_bytes, perplexity, evidence (the weighed perplexity), threshold, kept for each row."""
+    good = durable(folded(trusted(labels)))
+    found = scored(docs, good, order, block_bytes)
+    set_by = durable(found.join(good.where("fold = 0").select("doc_id"), "doc_id").where("perplexity is not null"))
     middle = durable(quantile_of(set_by, F.log("perplexity"), 0.5).select("lang", F.exp("value").alias("middle")))
 
     def weighed(df: DataFrame) -> DataFrame:
         n = F.col("n_bytes")
         return df.join(middle, "lang", "left").withColumn("evidence", F.exp((n * F.log("perplexity") + prior_bytes * F.log("middle")) / (n + prior_bytes)))
 
-    limits = durable(quantile_of(weighed(set_by), F.col("evidence"), quantile).select("lang", (slack * F.col("value")).alias("threshold")))
+    limits = durable(quantile_of(weighed(set_by), F.col("evidence"), quantile).withColumnRenamed("value", "threshold"))
     kept = F.when(F.col("n_bytes") == 0, False).otherwise(F.coalesce(F.col("evidence") <= F.col("threshold"), F.lit(True)))
-    return weighed(scored).join(limits, "lang", "left").withColumn("kept", kept)
+    return weighed(found).join(limits, "lang", "left").withColumn("kept", kept)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
