@@ -4,8 +4,10 @@ Documents are sets of word five-grams. Those with the same set form a class and
 MinHash signature cut into bands; the number of rows in a band and of bands follow from the recall wanted at the threshold. Classes
 that share a band's hash meet in its bucket, after a shuffle on that hash, and each pair is verified on the full sets.
 
-A pair is verified once, in the first band that it shares. Buckets of more than `tile` classes are dealt into tiles, and
-each pair of tiles is a task of its own, so no task holds more than two tiles. Pairs never become rows: a bucket gives
+A pair is verified once, in the first band that it shares. A bucket of more than `tile` classes or TILE_BYTES of sets is dealt into tiles: first by
+level, the logarithm of the set's size to the base of one over the threshold, since sets can only be near if their levels differ by one at most; then, within a level, into as many tiles
+as its classes and bytes need. Only tiles of neighbouring levels are paired, and each pair of tiles is a group of its own, so a task holds no more than two tiles
+(or two sets, if these are longer), however large the bucket. Pairs never become rows: a bucket gives
 for each member the number of its links and one edge to the least member it is linked with, so what is written grows with the members.
 Connected components of those edges (contraction of the graph to its components, each round written to the
 shared folder) are the groups of near duplicates.
@@ -31,7 +33,7 @@ from .common import durable, fresh, split_words, text_of
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-TILE = 200
+TILE, TILE_BYTES = 500, 8 << 20
 REMEMBERED = 300_000
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -94,77 +96,95 @@ def signature(grams: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """doc_id, h (hash of the text), cid (class: hash of the set; null if empty), bands."""
+    """doc_id, h (hash of the text), cid (class: hash of the set; null if empty), n_grams, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            cids, keys = [], []
+            cids, sizes, keys = [], [], []
             for text in batch["text"]:
                 grams = shingles(text.as_py(), hashes, n)
+                sizes.append(len(grams))
                 cids.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                 keys.append(signature(grams, bands, rows) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(cids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "cid", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "cid", "n_grams", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, cid binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, h long, cid binary, n_grams long, bands array<long>")
+
+
+GROUP = ["key", "low", "high"]
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (key, tile), which come together."""
+    """The rows of each pair of tiles, which come together."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, tile = batch["key"].to_numpy(), batch["tile"].to_numpy()
-        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1).tolist(), len(key)]
+        group = np.stack([batch[x].to_numpy() for x in GROUP])
+        edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:]):
-            if held and (key[start], tile[start]) != last:
+            if held and tuple(group[:, start]) != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(start, end - start))
-            last = (key[start], tile[start])
+            last = tuple(group[:, start])
     if held:
         yield pa.Table.from_batches(held)
 
 
-def own_pairs(group: pa.Table) -> np.ndarray:
-    """Which pairs of members this bucket verifies: they share no earlier band, and lie in its two tiles."""
+def own_pairs(group: pa.Table, threshold: float) -> np.ndarray:
+    """Which pairs of members this group verifies: they share no earlier band, lie in its two tiles, and have sizes that can reach the threshold."""
     bands = np.array(group["bands"].to_pylist(), dtype=np.int64)
-    key, tile, mine = group["key"][0].as_py(), group["tile"][0].as_py(), group["mine"].to_numpy()
+    key, low, high = (group[x][0].as_py() for x in GROUP)
+    mine, n = group["mine"].to_numpy(), group["n_grams"].to_numpy()
     band = int(np.flatnonzero(bands[0] == key)[0])
     own = np.triu(np.ones((len(bands), len(bands)), dtype=bool), 1)
-    if tile >> 32 != tile & 0xFFFFFFFF:
+    if low != high:
         own &= mine[:, None] != mine[None, :]
+    own &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
     for k in range(band):
         own &= bands[:, None, k] != bands[None, :, k]
     return own
 
 
-def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members that have a pair to be verified in their bucket."""
+def needed(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The members that have a pair to be verified in their group."""
     for group in grouped(batches):
-        own = own_pairs(group)
+        own = own_pairs(group, threshold)
         yield from group.filter(pa.array(own.any(axis=0) | own.any(axis=1))).combine_chunks().to_batches()
 
 
+#: Grams of more members than this are counted by matrix products, the others pair by pair.
+RARE = 16
+
+
 def overlaps(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the pairs."""
-    out = np.zeros(own.shape, dtype=np.int64)
+    size = len(sets)
+    out = np.zeros((size, size), dtype=np.int64)
     if own.sum() <= 48:
         for i, j in zip(*np.nonzero(own)):
             out[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         return out
-    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, gram = np.unique(np.concatenate(sets), return_inverse=True)
-    by = np.argsort(gram, kind="stable")
-    member, gram = member[by], gram[by]
-    for at in range(0, int(gram[-1]) + 1, 4096):
-        lo, hi = np.searchsorted(gram, [at, at + 4096])
-        x = np.zeros((len(sets), 4096), dtype=np.float32)
-        x[member[lo:hi], gram[lo:hi] - at] = 1
+    member = np.repeat(np.arange(size), [len(s) for s in sets])
+    grams = np.concatenate(sets)
+    by = np.argsort(grams, kind="stable")  # members of a gram stay in order
+    member, grams = member[by], grams[by]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    count = np.diff(np.r_[first, len(grams)])
+    for k in range(2, RARE + 1):
+        at = first[count == k]
+        for i in range(k if len(at) else 0):
+            for j in range(i + 1, k):
+                np.add.at(out, (member[at + i], member[at + j]), 1)
+    common = np.flatnonzero(count > RARE)
+    for part in np.array_split(common, -(-len(common) // 4096)) if len(common) else ():
+        x = np.zeros((size, len(part)), dtype=np.float32)
+        x[member[np.concatenate([np.arange(first[g], first[g] + count[g]) for g in part])], np.repeat(np.arange(len(part)), count[part])] = 1
         out += (x @ x.T).astype(np.int64)
-    return out
+    return np.triu(out, 1)
 
 
 LINKS = "cid binary, links long, link_docs long, least binary"
@@ -173,19 +193,15 @@ LINKS = "cid binary, links long, link_docs long, least binary"
 def verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each member of a bucket with links: their number, the documents behind them, and the least member reached."""
     for group in grouped(batches):
-        own, cids, sizes = own_pairs(group), group["cid"].to_pylist(), group["size"].to_numpy()
+        own, cids, sizes, n = own_pairs(group, threshold), group["cid"].to_pylist(), group["size"].to_numpy(), group["n_grams"].to_numpy()
         sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group["grams"]]
-        n = np.array([len(s) for s in sets])
-        own &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
-        if not own.any():
-            continue
         both = overlaps(sets, own)
         linked = own & (both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9)
         linked |= linked.T
         near = np.flatnonzero(linked.any(axis=1))
         least = np.array(sorted(range(len(cids)), key=cids.__getitem__)).argsort()  # ranks
         while True:  # least rank reached, over the links until nothing changes
-            reached = np.array([min(least[i], least[linked[i]].min()) if linked[i].any() else least[i] for i in range(len(cids))])
+            reached = np.minimum(least, np.where(linked, least[None, :], len(cids)).min(axis=1))
             if (reached == least).all():
                 break
             least = reached
@@ -218,21 +234,37 @@ def components(edges: DataFrame) -> DataFrame:
             return names
 
 
-def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+def tiled(met: DataFrame, threshold: float, tile: int, tile_bytes: int) -> DataFrame:
+    """(cid, key, mine, low, high): for each class that meets another in a bucket its tile, and the pairs of tiles it takes part in. met: cid, n_grams, key."""
+    buckets = met.groupBy("key").agg(F.count("*").alias("m"), (8 * F.sum("n_grams")).alias("bytes")).where("m > 1")
+    placed = durable(met.join(buckets, "key").withColumn("large", (F.col("m") > tile) | (F.col("bytes") > tile_bytes)).select("cid", "n_grams", "key", "large"))
+    zero = F.lit(0).cast("long")
+    small = placed.where("not large").select("cid", "key", zero.alias("mine"), zero.alias("low"), zero.alias("high"))
+    # a little over one over the threshold, so that rounding can't part levels by two
+    large = placed.where("large").withColumn("level", F.floor(F.log("n_grams") / math.log(1.001 / threshold)))
+    need = F.greatest(F.lit(1.0), F.count("*") / tile, 8 * F.sum("n_grams") / tile_bytes)
+    levels = durable(large.groupBy("key", "level").agg(F.ceil(need).alias("k")))
+    others = levels.select("key", F.col("level").alias("other_level"), F.col("k").alias("other_k"))
+    near = levels.join(others, "key").where(F.abs(F.col("level") - F.col("other_level")) <= 1)
+    near = near.groupBy("key", "level", "k").agg(F.collect_list(F.struct("other_level", "other_k")).alias("others"))  # three at most
+    dealt = large.join(near, ["key", "level"]).withColumn("mine", F.shiftleft("level", 32) + F.pmod(F.xxhash64("cid"), F.col("k")))
+    dealt = dealt.withColumn("o", F.explode("others")).select("cid", "key", "mine", "o.*")
+    other = F.shiftleft("other_level", 32) + F.col("tile")
+    dealt = dealt.withColumn("tile", F.explode(F.sequence(zero, F.col("other_k") - 1)))
+    return small.union(dealt.select("cid", "key", "mine", F.least("mine", other).alias("low"), F.greatest("mine", other).alias("high")))
+
+
+def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, h, cid), (classes: cid, rep, size, links, link_docs, group_rep, group_size); rep: struct of doc_id and h."""
     bands, rows = banding(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_of()).alias("h"))
     members = durable(signed(texts, bands, rows, n))
     named = members.where("cid is not null")
-    classes = durable(named.groupBy("cid").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands")))
-    met = classes.select("cid", F.explode("bands").alias("key"))
-    shared = durable(met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    tiles = F.ceil(F.col("m") / tile).cast("long")
-    at = met.join(shared, "key").withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("tiles")))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    at = at.select("cid", "key", "mine", (F.shiftleft(F.least("mine", "other"), 32) + F.greatest("mine", "other")).alias("tile"))
-    bucket = at.join(classes.select("cid", "bands"), "cid").select("key", "tile", "mine", "cid", "bands")
-    asked = durable(bucket.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(needed, "key long, tile long, mine long, cid binary, bands array<long>"))
+    classes = durable(named.groupBy("cid").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
+    met = tiled(classes.select("cid", "n_grams", F.explode("bands").alias("key")), threshold, tile, tile_bytes)
+    bucket = met.join(classes.select("cid", "n_grams", "bands"), "cid").select(*GROUP, "mine", "cid", "n_grams", "bands")
+    schema = "key long, low long, high long, mine long, cid binary, n_grams long, bands array<long>"
+    asked = durable(bucket.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: needed(b, threshold), schema))
 
     wanted = asked.select("cid").distinct().join(classes, "cid").select("cid", "size", "rep")
     same = texts["doc_id"].eqNullSafe(wanted["rep.doc_id"]) & (texts["h"] == wanted["rep.h"])
@@ -243,8 +275,8 @@ def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["cid"], batch["size"], pa.array([shingles(t.as_py(), hashes, n).tobytes() for t in batch["text"]], pa.binary())], names=["cid", "size", "grams"])
 
-    full = asked.join(whole.mapInArrow(sets, "cid binary, size long, grams binary"), "cid").select("key", "tile", "mine", "cid", "bands", "size", "grams")
-    links = durable(full.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lambda b: verified(b, threshold), LINKS))
+    full = asked.join(whole.mapInArrow(sets, "cid binary, size long, grams binary"), "cid").select(*GROUP, "mine", "cid", "n_grams", "bands", "size", "grams")
+    links = durable(full.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: verified(b, threshold), LINKS))
 
     roots = components(links.select(F.col("cid").alias("a"), F.col("least").alias("b")))
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"))
@@ -258,11 +290,11 @@ def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     )
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, tile: int = TILE) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """For each row: doc_id; class_id, the least doc_id of its group of near duplicates; group_size; copy_of, the least
     doc_id with the same set; n_copies, rows with that set; n_links, other rows at or over the threshold, copies included;
     n_text_links, different sets at or over the threshold."""
-    members, classes = grouping(docs, threshold, recall, n, tile)
+    members, classes = grouping(docs, threshold, recall, n, tile, tile_bytes)
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     return members.join(classes, "cid", "left").select(
         "doc_id",

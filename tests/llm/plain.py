@@ -109,7 +109,7 @@ def percentile(values, q):
     return v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low])
 
 
-def judgements(docs, labels, fold_of, quantile, slack, prior):
+def judgements(docs, labels, fold_of, quantile, prior):
     """doc_id -> (perplexity, kept). docs: (doc_id, lang, text)."""
     quality = defaultdict(lambda: 1)
     for i, q in labels:
@@ -126,7 +126,7 @@ def judgements(docs, labels, fold_of, quantile, slack, prior):
         held = [i for i, t in own if t and i in trusted and fold_of(i) == 0 and model]
         middle = percentile([math.log(score[i]) for i in held], 0.5) if held else None
         evidence = {i: math.exp((len(t.encode()) * math.log(score[i]) + prior * middle) / (len(t.encode()) + prior)) for i, t in own if t and held}
-        limit = slack * percentile([evidence[i] for i in held], quantile) if held else None
+        limit = percentile([evidence[i] for i in held], quantile) if held else None
         for i, t in own:
             out[i] = (score.get(i), bool(t) and (limit is None or evidence[i] <= limit))
     return out

@@ -102,9 +102,9 @@ def test_op4_equals_the_library(spark, sf, texts):
 
 def test_op5_equals_the_definition_and_tells_held_out_text(spark, sf, db):
     docs = db.execute("SELECT doc_id, lang, text FROM documents").fetchall()
-    labels = db.execute("SELECT doc_id, quality FROM labels").fetchall()
+    labels = db.execute("SELECT doc_id, quality * (1 - toxic) FROM labels").fetchall()
     fold = lambda i: int(op5_quality.fold_of(np.array([i]))[0])
-    want = plain.judgements(docs, labels, fold, op5_quality.QUANTILE, op5_quality.SLACK, op5_quality.PRIOR_BYTES)
+    want = plain.judgements(docs, labels, fold, op5_quality.QUANTILE, op5_quality.PRIOR_BYTES)
     got = {r.doc_id: r for r in QUERIES["op5_quality"](spark, sf).collect()}
     assert set(got) == set(want)
     for i, (perplexity, kept) in want.items():
@@ -151,9 +151,9 @@ def test_pipeline_equals_brute_force(spark, sf, db):
     import corpus_pipeline
 
     docs = db.execute("SELECT doc_id, lang, text FROM documents").fetchall()
-    labels = db.execute("SELECT doc_id, quality FROM labels").fetchall()
+    labels = db.execute("SELECT doc_id, quality * (1 - toxic) FROM labels").fetchall()
     fold = lambda i: int(op5_quality.fold_of(np.array([i]))[0])
-    good = plain.judgements(docs, labels, fold, op5_quality.QUANTILE, op5_quality.SLACK, op5_quality.PRIOR_BYTES)
+    good = plain.judgements(docs, labels, fold, op5_quality.QUANTILE, op5_quality.PRIOR_BYTES)
     unique = {}
     for i, _, t in sorted(docs):
         if good[i][1]:
