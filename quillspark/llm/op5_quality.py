@@ -272,7 +272,7 @@ def folded(ids: DataFrame) -> DataFrame:
 
 
 def quantile_of(rows: DataFrame, value: Column, q: float) -> DataFrame:
-    """(lang, value): the exact quantile by language. Rows (doc_id, lang, ...) are sorted over all tasks; a row's rank is its place in its task's
+    """(lang, value): by language the least value that a share q of the values doesn't exceed. Rows (doc_id, lang, ...) are sorted over all tasks; a row's rank is its place in its task's
     part and what lies in the parts before, of which there are few rows: one for each part and language in it."""
     order = ["lang", "value", "doc_id"]
     placed = durable(
@@ -282,10 +282,9 @@ def quantile_of(rows: DataFrame, value: Column, q: float) -> DataFrame:
     parts = placed.groupBy("lang", "part").agg(F.count("*").alias("k"), F.min("idx").alias("first"))
     whole = Window.partitionBy("lang")
     parts = durable(parts.withColumns({"n": F.sum("k").over(whole), "before": F.sum("k").over(whole.orderBy("part")) - F.col("k")}))
-    at = q * (F.col("n") - 1)
-    ranked = placed.join(parts, ["lang", "part"]).withColumn("rank", F.col("before") + F.col("idx") - F.col("first"))
-    ends = ranked.where((F.col("rank") >= F.floor(at)) & (F.col("rank") <= F.ceil(at))).groupBy("lang", "n").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return ends.select("lang", (F.col("low") + (at - F.floor(at)) * (F.col("high") - F.col("low"))).alias("value"))
+    rank = F.col("before") + F.col("idx") - F.col("first")
+    at = F.greatest(F.lit(1), F.ceil(q * F.col("n") - 1e-9)) - 1
+    return placed.join(parts, ["lang", "part"]).where(rank == at).select("lang", "value")
 
 
 def scored(docs: DataFrame, good: DataFrame, order: int, block_bytes: int) -> DataFrame:

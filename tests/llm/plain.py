@@ -103,10 +103,9 @@ class KneserNey:
 
 
 def percentile(values, q):
+    """The least value that a share q of the values doesn't exceed."""
     v = sorted(values)
-    at = q * (len(v) - 1)
-    low = int(at)
-    return v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low])
+    return v[max(1, math.ceil(q * len(v) - 1e-9)) - 1]
 
 
 def judgements(docs, labels, fold_of, quantile, prior):
