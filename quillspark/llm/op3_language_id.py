@@ -4,14 +4,14 @@ Four kinds of evidence are combined for each page and language:
 
     text      log-likelihood of the main text's hashed byte trigrams under each language's model, tempered to at most
               `most_grams` of them, as neighbouring trigrams repeat each other's evidence
-    markup    how often pages of the language declare what this page's `lang` attribute says
+    markup    how often pages of the language declare what this page's `lang` attribute says; some pages of each language are taken to declare it beforehand
     suffix    how often pages of the language stand under this address suffix
     host      the share of the language among the host's other pages, shrunk towards the share in its domain, and that
               towards the share among all pages
 
 The last three come from grouped sums of the pages' posteriors by text alone, so no page is labelled. Pages are counted where
 they are read; suffix and domain hang on the host, so pages meet their evidence in one join on the host, which Spark may
-split, and a page's own posterior is taken out of its host's sum.
+split, and a page's own posterior is taken out of every sum that judges it, so that a page is never evidence for itself.
 
 The trigram models are trained on the documents' `lang`, for every language there, on about `most_documents` of each (those of the least
 hashes; all where there are no more): 2^16 numbers a language. They are trained and sent to the tasks in blocks of `most_languages`; with more
@@ -44,6 +44,8 @@ MOST_GRAMS = 100
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
 #: Pages that an even spread counts for, in the tables of suffixes and declared languages.
 EVEN = 1.0
+#: Pages of a language that are taken to declare it, before any is seen.
+AGREE = 20.0
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 
 
@@ -158,22 +160,28 @@ def identify(pages: DataFrame, docs: DataFrame, most_grams: int = MOST_GRAMS, mo
     hosts = durable(hosts.withColumns({"domain": domain, "suffix": suffix}))
     of_all = hosts.agg(sums("counts", n)).first()[0]
     of_all = [0.0 if x is None else x for x in of_all]
-    everyone = [(x + EVEN) / (sum(of_all) + EVEN * n) for x in of_all]
-    share = F.array(*map(F.lit, everyone))
-    in_domain = hosts.groupBy("domain").agg(shrunk(sums("counts", n), F.sum("pages"), share, DOMAIN_WEIGHT).alias("domain_share"))
-    suffixes = hosts.groupBy("suffix").agg(sums("counts", n).alias("of"))
+    in_domain = hosts.groupBy("domain").agg(F.sum("pages").alias("d_pages"), sums("counts", n).alias("d_counts"))
+    suffixes = hosts.groupBy("suffix").agg(sums("counts", n).alias("s_counts"))
     kinds = hosts.select("suffix").distinct().count()
-    likely = F.transform("of", lambda x, i: F.log((x + EVEN) / (F.get(F.array(*map(F.lit, of_all)), i) + EVEN * kinds)))
-    evidence = durable(hosts.join(in_domain, "domain").join(suffixes.select("suffix", likely.alias("by_suffix")), "suffix").where("host <> ''").select("host", "pages", "counts", "domain_share", "by_suffix"))
+    evidence = durable(hosts.join(in_domain, "domain").join(suffixes, "suffix").where("host <> ''").select("host", "pages", "counts", "d_pages", "d_counts", "s_counts"))
+    # as many rows as languages, and two
+    markup = durable(by_text.groupBy("declared").agg(sums("p", n).alias("m_counts")))
 
-    values = n + 2
-    said = by_text.groupBy("declared").agg(sums("p", n).alias("of_said"))
-    by_markup = F.transform("of_said", lambda x, i: F.log((x + EVEN) / (F.get(F.array(*map(F.lit, of_all)), i) + EVEN * values)))
-    markup = durable(said.select("declared", by_markup.alias("by_markup")))
+    joined = by_text.join(evidence, "host", "left").join(F.broadcast(markup), "declared")
+    others = {c: F.zip_with(c, "p", lambda x, own: F.greatest(x - own, F.lit(0.0))) for c in ("counts", "d_counts", "s_counts", "m_counts")}
+    joined = joined.withColumns({**others, "a_counts": F.zip_with(F.array(*map(F.lit, of_all)), "p", lambda x, own: F.greatest(x - own, F.lit(0.0)))})
+    share = F.transform("a_counts", lambda x: (x + EVEN) / (sum(of_all) - 1 + EVEN * n))
+    by_domain = shrunk(F.col("d_counts"), F.col("d_pages") - 1, F.col("share"), DOMAIN_WEIGHT)
+    by_host = F.coalesce(shrunk(F.col("counts"), F.col("pages") - 1, F.col("by_domain"), HOST_WEIGHT), F.col("share"))
 
-    own_out = F.zip_with("counts", "p", lambda c, x: F.greatest(c - x, F.lit(0.0)))
-    by_host = F.coalesce(shrunk(own_out, F.col("pages") - 1, F.col("domain_share"), HOST_WEIGHT), share)
-    fused = by_text.join(evidence, "host", "left").join(F.broadcast(markup), "declared").select("page_id", "url", "declared", "n_grams", "fit", by_host.alias("by_host"), F.coalesce("by_suffix", F.array(*[F.lit(0.0)] * n)).alias("by_suffix"), "by_markup")
+    def likely(counts: str | Column, values: int, more: float = 0.0) -> Column:
+        """How likely the page's value of a kind is by language, among so many values and, with more, so many pages taken as seen."""
+        return F.zip_with(counts, "a_counts", lambda x, a: F.log((x + EVEN) / (a + EVEN * values + more)))
+
+    meant = F.transform("m_counts", lambda x, i: x + F.when(F.get(F.array(*map(F.lit, languages)), i) == F.col("declared"), AGREE).otherwise(0.0))
+
+    joined = joined.withColumn("share", share).withColumn("by_domain", by_domain).withColumn("by_host", by_host)
+    fused = joined.select("page_id", "url", "declared", "n_grams", "fit", "by_host", F.coalesce(likely("s_counts", kinds), F.array(*[F.lit(0.0)] * n)).alias("by_suffix"), likely(meant, n + 2, AGREE).alias("by_markup"))
     score = F.zip_with(F.zip_with("fit", F.transform("by_host", lambda x: F.log(x)), lambda a, b: a + b), F.zip_with("by_suffix", "by_markup", lambda a, b: a + b), lambda a, b: a + b)
     named = F.array(*map(F.lit, languages))
     best = lambda x: F.get(named, (F.array_position(x, F.array_max(x)) - 1).cast("int"))

@@ -140,7 +140,7 @@ def grams(text):
     return [bucket(*b[i : i + 3]) for i in range(len(b) - 2)]
 
 
-def language_posteriors(pages, docs, main_text, most=100, host_weight=5.0, domain_weight=20.0, even=1.0):
+def language_posteriors(pages, docs, main_text, most=100, host_weight=5.0, domain_weight=20.0, even=1.0, agree=20.0):
     """page_id -> language -> probability. pages: (page_id, url, html); docs: (lang, text)."""
     counts = defaultdict(Counter)
     for lang, t in docs:
@@ -170,15 +170,17 @@ def language_posteriors(pages, docs, main_text, most=100, host_weight=5.0, domai
     all_ = Counter()
     for r in read:
         all_.update(r[6])
-    share = {x: (all_[x] + even) / (sum(all_.values()) + even * len(langs)) for x in langs}
+    pages_ = sum(all_.values())
     out = {}
     for i, h, d, s, m, fit, own in read:
         score = {}
+        less = lambda counts, x: max(0.0, counts[x] - own[x])  # noqa: B023, E731 - a page is no evidence for itself
         for x in langs:
-            in_domain = (domain[d][1][x] + domain_weight * share[x]) / (domain[d][0] + domain_weight)
-            prior = (max(0.0, hosts[h][1][x] - own[x]) + host_weight * in_domain) / (hosts[h][0] - 1 + host_weight) if h else share[x]
-            by_suffix = math.log((suffix[s][1][x] + even) / (all_[x] + even * len(suffix))) if h else 0.0
-            score[x] = fit[x] + math.log(prior) + by_suffix + math.log((markup[m][1][x] + even) / (all_[x] + even * (len(langs) + 2)))
+            share = (less(all_, x) + even) / (pages_ - 1 + even * len(langs))
+            in_domain = (less(domain[d][1], x) + domain_weight * share) / (domain[d][0] - 1 + domain_weight)
+            prior = (less(hosts[h][1], x) + host_weight * in_domain) / (hosts[h][0] - 1 + host_weight) if h else share
+            by_suffix = math.log((less(suffix[s][1], x) + even) / (less(all_, x) + even * len(suffix))) if h else 0.0
+            score[x] = fit[x] + math.log(prior) + by_suffix + math.log((less(markup[m][1], x) + even + agree * (m == x)) / (less(all_, x) + even * (len(langs) + 2) + agree))
         top = max(score.values())
         z = sum(math.exp(v - top) for v in score.values())
         out[i] = {x: math.exp(v - top) / z for x, v in score.items()}
