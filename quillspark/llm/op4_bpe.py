@@ -8,7 +8,7 @@ merges a window of one token and the lookahead, emits what is stable and slides
 of any length. Words shorter than the window, nearly all, are merged at once and remembered in a bounded table.
 
 Texts are cut into words by the vocabulary's pattern, in slices cut before a white space that follows something
-else, where a word always ends. Decoding feeds the bytes of the tokens to an incremental UTF-8 state machine that
+else, where a word always ends; a stretch of text without white space is one slice, so memory is bounded by the longest such stretch. Decoding feeds the bytes of the tokens to an incremental UTF-8 state machine that
 keeps the bytes of an unfinished character between tokens and gives U+FFFD for what can't become one.
 
 The vocabulary is read on the driver and broadcast: its size is fixed by the file, not by the data. Nothing is shuffled.

@@ -114,12 +114,12 @@ def test_op5_equals_the_definition_and_tells_held_out_text(spark, sf, db):
 
 def test_op5_tells_held_out_text(spark, db):
     at = "/root/testdata/sf0.01"
-    labels = dict(db.execute(f"SELECT doc_id, quality FROM '{at}/labels.parquet'").fetchall())
+    labels = dict(db.execute(f"SELECT doc_id, quality FROM '{at}/labels.parquet' WHERE quality = 0 OR toxic = 0").fetchall())
     got = {r.doc_id: r.kept for r in QUERIES["op5_quality"](spark, at).collect()}
     fold = op5_quality.fold_of(np.array(sorted(labels)))
     held = {i for i, f in zip(sorted(labels), fold) if f == 0}
     poor, good = [got[i] for i, q in labels.items() if q == 0], [got[i] for i, q in labels.items() if q == 1 and i in held]
-    assert sum(poor) <= 0.25 * len(poor) and sum(good) >= 0.95 * len(good)
+    assert sum(poor) <= 0.15 * len(poor) and sum(good) >= 0.95 * len(good)
 
 
 def test_op8_equals_sql_and_is_one_permutation(spark, sf, db, texts):
@@ -168,3 +168,31 @@ def test_pipeline_equals_brute_force(spark, sf, db):
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == {i: len(t.encode(text[i], add_special_tokens=False).ids) for i in ids}
     assert len(got) > 100
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None, "word here, and a few more of it", "en", "s"), (1, None, None, None), (2, "", "en", "s"), (3, "x" * 300_000, "en", "s"), (3, "x" * 300_000, "en", "s"), (4, "a b c d e f g", "en", "s"), (5, "a b c d e f g", "de", "s"), (6, "p q r s t", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) n_chars", "'k' _key", "'h' h", "'f' found", "'c' cid")
+    spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "q r s")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for given, want in ((docs, [None, 3, 5]), (docs.where("false"), [])):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"file://{tmp_path}/{len(want)}-{name}"
+            stage(spark, now, f"file://{tmp_path}").write.parquet(path)
+            now = spark.read.parquet(path)
+            assert name == "encode" or now.columns == docs.columns
+        assert sorted((r.doc_id for r in now.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_pipeline_leaves_its_last_stage_alone(spark, sf):
+    import corpus_pipeline
+    from quillspark.llm.common import shared_dir
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark) + "/corpus-*/*")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = {str(f.getPath()) for f in fs.globStatus(at) or ()}
+    assert corpus_pipeline.run(spark, sf).count() > 100
+    assert [p.rsplit("/", 1)[1] for p in {str(f.getPath()) for f in fs.globStatus(at)} - before] == ["4-encode"]
