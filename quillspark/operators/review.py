@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Review
@@ -51,11 +51,22 @@ def overlay(layers: dict[str, DataFrame], shown: tuple[str, ...] = LAYERS) -> Da
     return out
 
 
-def violations(log: DataFrame) -> DataFrame:
-    """Steps of documents that are not allowed: document_id, event_id, cur, nxt, allowed. log: document_id, ts, event_id, state."""
+def with_state_before(log: DataFrame, span: Column | None = None) -> DataFrame:
+    """log with cur, the state before each step (null for a document's first). With a span, such as the day of ts, a document's log may be too long for one task: steps look back
+    within their span, and the first of a span takes the last state of the span before."""
+    if span is None:
+        return log.withColumn("cur", F.lag("state").over(Window.partitionBy("document_id").orderBy("ts", "event_id")))
+    log = log.withColumn("_span", span)
+    own = F.lag("state").over(Window.partitionBy("document_id", "_span").orderBy("ts", "event_id"))
+    lasts = log.groupBy("document_id", "_span").agg(F.max_by("state", F.struct("ts", "event_id")).alias("_last"))
+    before = lasts.select("document_id", "_span", F.lag("_last").over(Window.partitionBy("document_id").orderBy("_span")).alias("_before"))
+    return log.withColumn("_own", own).join(before, ["document_id", "_span"]).withColumn("cur", F.coalesce("_own", "_before")).drop("_span", "_own", "_before")
+
+
+def violations(log: DataFrame, span: Column | None = None) -> DataFrame:
+    """Steps of documents that are not allowed: document_id, event_id, cur, nxt, allowed. log: document_id, ts, event_id, state. span as in with_state_before()."""
     spark = log.sparkSession
-    w = Window.partitionBy("document_id").orderBy("ts", "event_id")
-    steps = log.select("document_id", "event_id", F.lag("state").over(w).alias("cur"), F.col("state").alias("nxt")).where("cur is not null")
+    steps = with_state_before(log, span).where("cur is not null").select("document_id", "event_id", "cur", F.col("state").alias("nxt"))
     allowed = transitions(spark).groupBy("cur").agg(F.array_join(F.sort_array(F.collect_list("nxt")), ",").alias("allowed"))
     wrong = steps.join(F.broadcast(transitions(spark)), ["cur", "nxt"], "left_anti")
     return wrong.join(F.broadcast(allowed), "cur", "left").select("document_id", "event_id", "cur", "nxt", F.coalesce("allowed", F.lit("")).alias("allowed"))

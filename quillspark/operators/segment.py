@@ -11,16 +11,34 @@ from ..config import CONFIG, Segment
 from ..schema import PAGE
 
 
-def runs(active: DataFrame, by: Sequence[str], at: str, tolerance: int, extent: Column | None = None, sums: Sequence[Column] = (), until: str | None = None) -> DataFrame:
+def _numbered(active: DataFrame, by: Sequence[str], at: str, until: str, tolerance: int) -> DataFrame:
+    """active with the number of its island within `by`."""
+    w = Window.partitionBy(*by).orderBy(at)
+    apart = F.col(at) - F.lag(until).over(w) - 1 > tolerance
+    return active.withColumn("island", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _numbered_by_chunks(active: DataFrame, by: Sequence[str], at: str, until: str, tolerance: int, chunk: int) -> DataFrame:
+    """The same, for groups without a bound: islands are numbered within chunks of positions, and a window over a group's chunks, one row each, tells
+    how many islands lie before each and whether its first one goes on from the chunk before."""
+    local = _numbered(active.withColumn("_chunk", F.floor(F.col(at) / chunk)), [*by, "_chunk"], at, until, tolerance)
+    chunks = local.groupBy(*by, "_chunk").agg(F.max("island").alias("_n"), F.min(at).alias("_first"), F.max(until).alias("_last"))
+    w = Window.partitionBy(*by).orderBy("_chunk")
+    goes_on = F.coalesce((F.col("_first") - F.lag("_last").over(w) - 1 <= tolerance).cast("int"), F.lit(0))
+    chunks = chunks.withColumn("_goes_on", goes_on).withColumn("_before", F.sum(F.col("_n") - F.col("_goes_on")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    placed = local.join(chunks.select(*by, "_chunk", "_before"), [*by, "_chunk"])
+    return placed.withColumn("island", F.col("island") + F.col("_before")).drop("_chunk", "_before")
+
+
+def runs(active: DataFrame, by: Sequence[str], at: str, tolerance: int, extent: Column | None = None, sums: Sequence[Column] = (), until: str | None = None, chunk: int | None = None) -> DataFrame:
     """Islands of active positions that lie at most `tolerance` empty positions apart. With until, a row stands for the positions from at to there; rows don't overlap.
 
-    One window over `by`, one grouping on the same keys, so one shuffle. With an extent (positions in all), a run that is
+    One window over `by`, one grouping on the same keys, so one shuffle; with a chunk, a number of positions, a group may be too large for one task. With an extent (positions in all), a run that is
     still open at the edge ends there. Gives by, island, first, last and the sums.
     """
-    w = Window.partitionBy(*by).orderBy(at)
-    apart = F.col(at) - F.lag(until or at).over(w) - 1 > tolerance
-    marked = active.withColumn("island", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max(until or at)
+    end = until or at
+    marked = _numbered_by_chunks(active, by, at, end, tolerance, chunk) if chunk else _numbered(active, by, at, end, tolerance)
+    last = F.max(end)
     if extent is not None:
         edge = F.max(extent)
         last = F.when(edge - last <= tolerance, edge - 1).otherwise(last)

@@ -41,18 +41,20 @@ def answer_lines(spark, d):
     return layout.answer_lines(layout.mark_questions(proxy.line_regions(spark, d))).select("document_id", "ln", "y")
 
 
-EVENT_GAP = 240
+#: Minutes; a user's events have no bound, so they are taken a week at a time.
+EVENT_GAP, WEEK = 240, 7 * 24 * 60
 
 
 def row_islands(spark, d):
     sums = (F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.sum("row_ink").alias("ink_area"))
-    found = segment.runs(proxy.row_profile(spark, d), PAGE, "y", EVENT_GAP, None, sums)
+    found = segment.runs(proxy.row_profile(spark, d), PAGE, "y", EVENT_GAP, None, sums, chunk=WEEK)
     return found.select("document_id", "island", "first", "last", "x_min", "x_max", "ink_area")
 
 
 def row_islands_tail(spark, d):
-    tall = proxy.row_profile(spark, d).withColumn("edge", F.max("y").over(Window.partitionBy(*PAGE)) + F.col("document_id") % 3 * 200 + 1)
-    found = segment.runs(tall, PAGE, "y", EVENT_GAP, F.col("edge"), (F.sum("row_ink").alias("ink_area"),)).where("ink_area >= 2")
+    profile = proxy.row_profile(spark, d)
+    tall = profile.join(profile.groupBy(*PAGE).agg((F.max("y") + F.col("document_id") % 3 * 200 + 1).alias("edge")), PAGE)
+    found = segment.runs(tall, PAGE, "y", EVENT_GAP, F.col("edge"), (F.sum("row_ink").alias("ink_area"),), chunk=WEEK).where("ink_area >= 2")
     return found.select("document_id", "first", "last", "ink_area")
 
 
@@ -251,7 +253,7 @@ def nested_documents(spark, d):
 
 
 def state_violations(spark, d):
-    return review.violations(proxy.state_log(spark, d))
+    return review.violations(proxy.state_log(spark, d), F.to_date("ts"))
 
 
 def current_state(spark, d):

@@ -45,6 +45,15 @@ def test_runs_equal_a_scan(spark):
         assert sorted(got.get(d, [])) == plain_runs(s, 3, 60)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_runs_by_chunks_equal_runs(spark, chunk):
+    rnd = random.Random(12)
+    rows = [(d, p, p + n) for d in range(20) for p, n in ((p, rnd.randrange(3)) for p in range(-40, 200, 5) if rnd.random() < 0.6)]
+    df = spark.createDataFrame(rows, "document_id long, y int, e int")
+    plain, chunked = (segment.runs(df, ["document_id"], "y", 4, F.lit(200), (F.count("*").alias("n"),), until="e", chunk=c) for c in (None, chunk))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, chunked.collect()))
+
+
 def plain_questions(page, rule, text):
     mid = lambda v: sorted(v)[len(v) // 2]
     med = mid([r[3] for r in page])
@@ -245,6 +254,14 @@ def test_states(spark):
     assert [(r.document_id, r.cur, r.nxt, r.allowed) for r in bad] == [(2, "UPLOADED", "EXPORTED", "NORMALIZED")]
 
 
+def test_violations_by_spans_equal_those_of_the_whole_log(spark, sf):
+    from quillspark.sources import proxy
+
+    log = proxy.state_log(spark, sf)
+    whole = sorted(map(repr, review.violations(log).collect()))
+    assert len(whole) > 100 and all(whole == sorted(map(repr, review.violations(log, span).collect())) for span in (F.to_date("ts"), F.lit(1), F.col("event_id")))
+
+
 def test_crops_are_written_once(spark, tmp_path):
     at = f"file://{tmp_path}/crops"
     df = spark.createDataFrame([(1, 1, "line", f"l{i}") for i in range(5)], "document_id long, page_number int, type string, id string")
