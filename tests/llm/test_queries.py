@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quillspark.llm import op5_quality, op8_sharding
+from quillspark.llm.common import shared_dir
 from quillspark.llm.queries import ORACLE_SQL, QUERIES
 
 from . import plain
@@ -165,7 +166,10 @@ def test_pipeline_equals_brute_force(spark, sf, db):
     hit = plain.contamination([text[i] for i in ids], db.execute("SELECT item_id, text FROM benchmark").fetchall())
     ids = [i for i, h in zip(ids, hit) if not h[1]]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark) + "/corpus-*/*")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
+    assert [f.getPath().getName() for f in fs.globStatus(at)] == ["4-encode"]  # the files of the other stages are gone
     assert got == {i: len(t.encode(text[i], add_special_tokens=False).ids) for i in ids}
     assert len(got) > 100
 
@@ -185,14 +189,3 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
             now = spark.read.parquet(path)
             assert name == "encode" or now.columns == docs.columns
         assert sorted((r.doc_id for r in now.collect()), key=repr) == sorted(want, key=repr)
-
-
-def test_pipeline_leaves_its_last_stage_alone(spark, sf):
-    import corpus_pipeline
-    from quillspark.llm.common import shared_dir
-
-    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark) + "/corpus-*/*")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    before = {str(f.getPath()) for f in fs.globStatus(at) or ()}
-    assert corpus_pipeline.run(spark, sf).count() > 100
-    assert [p.rsplit("/", 1)[1] for p in {str(f.getPath()) for f in fs.globStatus(at)} - before] == ["4-encode"]
