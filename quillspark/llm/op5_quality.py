@@ -50,7 +50,7 @@ def fold_of(ids: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(CALIBRATE)).astype(np.int64)
 
 
-def parts_of(texts: list[bytes], order: int, most: int = 4 << 20) -> Iterator[list[tuple[int, bytes, bytes]]]:
+def parts_of(texts: list[bytes], order: int, most: int = 1 << 20) -> Iterator[list[tuple[int, bytes, bytes]]]:
     """(text's place, the bytes before, bytes) of texts, long ones cut, in lists of about `most` bytes."""
     held, size, zeros = [], 0, b"\0" * (order - 1)
     for i, text in enumerate(texts):
@@ -96,6 +96,14 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return u, np.bincount(at, weights=counts, minlength=len(u)).astype(np.int64)
 
 
+def gather(held: dict[str, list], lang: str, part: tuple[np.ndarray, np.ndarray], most: int = 4) -> None:
+    """Keep a part of a language's counts; a few at a time are added up, so that no more than these are held."""
+    parts = held.setdefault(lang, [])
+    parts.append(part)
+    if len(parts) >= most:
+        parts[:] = [merged(parts)]
+
+
 def by_language(batch: pa.RecordBatch, taken: np.ndarray, order: int) -> Iterator[tuple[str, tuple[np.ndarray, np.ndarray]]]:
     """(language, (n-grams, their counts)) of the taken documents, a language once for each part of its text."""
     langs = np.array(batch["lang"].to_pylist(), dtype=object)
@@ -117,7 +125,7 @@ class Block:
         self.batches.append(batch)
         self.size += batch["text"].nbytes
         for lang, parts in by_language(batch, np.ones(batch.num_rows, dtype=bool), self.order):
-            self.asked.setdefault(lang, []).append((parts[0], np.zeros(len(parts[0]))))
+            gather(self.asked, lang, parts)
 
     def rows(self) -> Iterator[dict]:
         sink = io.BytesIO()
@@ -143,7 +151,7 @@ def blocks(docs: DataFrame, order: int, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(order)
         for whole in batches:
-            step = max(1, int(whole.num_rows * min(1, (2 << 20) / max(1, whole["text"].nbytes))))
+            step = max(1, int(whole.num_rows * min(1, (1 << 20) / max(1, whole["text"].nbytes))))
             for at in range(0, whole.num_rows, step):
                 block.add(whole.slice(at, step))
                 if block.size >= block_bytes:
@@ -167,7 +175,7 @@ def counts_of(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
             place = np.minimum(np.searchsorted(known, own), len(known) - 1)
             taken = (known[place] == own) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             for lang, part in by_language(batch, taken, order):
-                held.setdefault(lang, []).append(part)
+                gather(held, lang, part)
     rows = []
     for lang, parts in held.items():
         grams, n = merged(parts)
