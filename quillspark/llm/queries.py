@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_html_extraction, op2_decontamination, op3_language_id, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join
+from . import op1_html_extraction, op2_decontamination, op3_language_id, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join, op11_simhash
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_jaccard_join_query(spark, sf_dir):
     return op10_jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_query(spark, sf_dir):
+    return op11_simhash.near(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction_query,
     "op2_decontamination": op2_decontamination_query,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_sharding": op8_sharding_query,
     "op9_pii": op9_pii_query,
     "op10_jaccard_join": op10_jaccard_join_query,
+    "op11_simhash": op11_simhash_query,
 }
 
 #: op8's crc32 has no counterpart in DuckDB, so its SQL leaves text_crc32 out and is used by the tests alone.
