@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_html_extraction, op2_decontamination, op3_language_id, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join, op11_simhash
+from . import op1_html_extraction, op2_decontamination, op3_language_id, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join, op11_simhash, op12_whitening
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op11_simhash_query(spark, sf_dir):
     return op11_simhash.near(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening_query(spark, sf_dir):
+    return op12_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction_query,
     "op2_decontamination": op2_decontamination_query,
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_pii": op9_pii_query,
     "op10_jaccard_join": op10_jaccard_join_query,
     "op11_simhash": op11_simhash_query,
+    "op12_whitening": op12_whitening_query,
 }
 
 #: op8's crc32 has no counterpart in DuckDB, so its SQL leaves text_crc32 out and is used by the tests alone.
