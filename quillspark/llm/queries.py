@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_html_extraction, op2_decontamination, op3_language_id, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join, op11_simhash, op12_whitening
+from . import op1_html_extraction, op2_decontamination, op3_language_id, op4_bpe, op5_quality, op6_exact_dedup, op7_url_filter, op8_sharding, op9_pii, op10_jaccard_join, op11_simhash, op12_whitening, op13_spelling
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op12_whitening_query(spark, sf_dir):
     return op12_whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling_query(spark, sf_dir):
+    return op13_spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction_query,
     "op2_decontamination": op2_decontamination_query,
@@ -74,6 +78,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join_query,
     "op11_simhash": op11_simhash_query,
     "op12_whitening": op12_whitening_query,
+    "op13_spelling": op13_spelling_query,
 }
 
 #: op8's crc32 has no counterpart in DuckDB, so its SQL leaves text_crc32 out and is used by the tests alone.
