@@ -15,7 +15,7 @@ The first four are the base kinds and equal the leftmost non-overlapping matches
 text: a match of a kind lies in one maximal run of the characters which that kind's pattern takes, and starts at an anchor
 (email: is bounded by one). The other kinds only add spans. Nothing is shuffled.
 
-Defined cases: null and empty texts have no spans; very long texts take time in proportion to their length; every input
+Defined cases: null and empty texts have no spans; very long texts and numbers take time in proportion to their length; an empty table gives no rows; every input
 row, repeated or not, gives one row; other columns are ignored. Offsets are code points, the end exclusive.
 """
 
@@ -92,7 +92,7 @@ def spans(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
                 after["dotted"] = end = DOTTED.match(text, at).end()
                 if text.count(".", at, end) > 2:
                     for m in FOUR.finditer(text[at:end]):
-                        if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m.groups()):
+                        if all(len(y := x.lstrip("0")) < 4 and int(y or "0") < 256 for x in m.groups()):
                             found["ip"].append((at + m.start(), at + m.end()))
             if at >= after["card"]:
                 m = SPACED.match(text, at)
