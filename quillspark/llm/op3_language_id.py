@@ -19,7 +19,7 @@ than one block, the pages' trigrams are written down between the blocks. Declare
 
 Defined cases: a page without text (null or empty html) has no text_lang and is judged by the other evidence; without url or host, by the shares of all pages; no
 declared language is evidence like any other value; ties go to the first language by name; no labelled documents: language null; repeated
-rows count each; an empty table gives no rows; other columns are ignored.
+rows count each; very long pages take time in proportion to their length and are held whole by their task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +46,13 @@ HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
 EVEN = 1.0
 #: Pages of a language that are taken to declare it, before any is seen.
 AGREE = 20.0
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
+ROOT = re.compile(r"<html\b([^>]*)", re.I)
+DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
+
+
+def declared_in(page: str) -> str:
+    """What the page's first `html` tag with a lang attribute says, or none. Each tag is read once, up to its end."""
+    return next((m[1].lower() for tag in ROOT.finditer(page) if (m := DECLARED.search(tag[1]))), "none")
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -97,8 +103,7 @@ def fitted(pages: DataFrame, known: set[str], logs: np.ndarray, most_grams: int,
             return
         for x in batch["html"]:
             page = x.as_py() or ""
-            said = DECLARED.search(page)
-            said = said[1].lower() if said else "none"
+            said = declared_in(page)
             yield said if said in known or said == "none" else "other", trigrams(main_text(page)), []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
