@@ -1,10 +1,11 @@
 """Benchmark decontamination with suffix arrays of the training shards.
 
 A shard is a batch of whole documents. Its words become the numbers that the benchmark gives its own words, 0 for all others, and
-the suffixes that start with a benchmark word are sorted: first by as many words as fit one 64-bit key, then the ties by the
-words that follow, until they differ, meet a 0 or are longer than any benchmark item. Every benchmark suffix is
-then searched in that array by bisection, all of them at once: the run of suffixes that share its first `window` words
-gives each place where that window stands, and the neighbours there the longest verbatim match and where it is.
+the suffixes that start with a benchmark word are sorted: first by as many words as fit one 64-bit key, then the ties by twice as many
+words each round, until they differ, meet a 0 or are longer than any benchmark item. The benchmark's windows are then searched in that
+array by bisection, each distinct one once: the run of suffixes that share its words gives each place where it stands. Within a document's part of that run every
+benchmark suffix that starts with the window is bisected to its neighbours, which have the longest verbatim match and say where it is. Work and memory grow with the words of the
+shard, the benchmark and the pairs of document and item found, not with the product of repeats on both sides.
 
 Only the benchmark is sent to the tasks, repeated items once. Its size is counted first; if it is over `block_bytes`, it is dealt into blocks by
 a hash of item and text, written to the shared folder, and the documents are searched for one block after another: each block is a pass of its own
@@ -43,97 +44,161 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of the benchmark: the numbers of its words and its suffixes, each with its window."""
+    """A block of the benchmark: the numbers of its words, its suffixes, and the distinct windows with the suffixes that start with each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
         split = [(str(k) if k is not None else "null", w) for k, t in items if (w := words_of(t))]
         self.number = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for _, words in split for w in words))}
         self.ids = [k for k, _ in split]
         lengths = np.array([len(w) for _, w in split], dtype=np.int64)
-        flat = np.array([self.number[w] for _, words in split for w in words], dtype=np.int32)
         self.deepest = int(lengths.max(initial=0))
-        self.item = np.repeat(np.arange(len(split)), lengths)
-        starts = np.cumsum(lengths) - lengths
-        self.rest = np.repeat(starts + lengths, lengths) - np.arange(len(flat))
-        self.flat = np.concatenate([flat, np.zeros(max(self.deepest, 1), dtype=np.int32)])
-        self.start = np.arange(len(flat))
+        # a 0 stands behind each item
+        starts = np.cumsum(lengths + 1) - (lengths + 1)
+        self.flat = np.zeros(int(lengths.sum()) + len(split) + max(self.deepest, 1), dtype=np.int32)
+        for s, (_, words) in zip(starts.tolist(), split):
+            self.flat[s : s + len(words)] = [self.number[w] for w in words]
+        self.item = np.repeat(np.arange(len(split)), lengths + 1)
+        self.rest = np.repeat(starts + lengths, lengths + 1) - np.arange(len(self.item))
         #: Words that a suffix has to share for its window to stand there; 0 for those that start no window.
-        self.need = np.where((self.rest >= window) | (self.start == starts[self.item]), np.minimum(self.rest, window), 0)
+        need = np.where((self.rest >= window) | (np.arange(len(self.item)) == starts[self.item]), np.minimum(self.rest, window), 0)
+        order = sorted_suffixes(self.flat, len(self.number), window)
+        #: The suffixes that start a window, those of equal windows together.
+        self.suffix = order[need[order] > 0]
+        need = need[self.suffix]
+        new = np.ones(len(self.suffix), dtype=bool)
+        if len(new):
+            new[1:] = need[1:] != need[:-1]
+            for j in range(int(need.max())):
+                new[1:] |= (self.flat[self.suffix[1:] + j] != self.flat[self.suffix[:-1] + j]) & (j < need[1:])
+        first = np.flatnonzero(new)
+        #: Of each distinct window: where it starts, its words, its first suffix and their number.
+        self.start, self.need, self.first = self.suffix[first], need[first], first
+        self.count = np.diff(np.r_[first, len(self.suffix)])
 
 
 def sorted_suffixes(text: np.ndarray, top: int, depth: int) -> np.ndarray:
-    """Where the suffixes of text start that don't start with 0, in the order of their first `depth` words up to a 0.
+    """Where the suffixes of text start that don't start with 0, in the order of their first `depth` words (or more) up to a 0; of equals the first comes first.
 
-    text: numbers up to top, with `depth` zeros or more at its end.
+    text: numbers up to top, with a 0 at its end. Sorted by as many words as fit one key; then ties by twice as many each round, from the
+    places of what stands behind.
     """
     bits = max(1, int(top).bit_length())
     each = max(1, min(62 // bits, depth, len(text)))
-    key = np.zeros(len(text), dtype=np.int64)
+    key, open_ = np.zeros(len(text), dtype=np.int64), text > 0
     for j in range(each):
         key <<= bits
-        key[: len(text) - j] |= text[j:]
+        open_[: len(text) - j] &= text[j:] > 0
+        open_[len(text) - j :] = False
+        key[: len(text) - j] |= np.where(open_[: len(text) - j], text[j:], 0)
     order = np.flatnonzero(text)
     order = order[np.argsort(key[order], kind="stable")]
-    seen, tied = each, np.arange(len(order))
-    group = np.cumsum(np.r_[True, key[order][1:] != key[order][:-1]]) if len(order) else tied
-    live = np.zeros(len(order), dtype=bool)
+    own = key[order]
+    new = np.r_[True, own[1:] != own[:-1]][: len(order)]
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    rank = np.zeros(len(text), dtype=np.int64)
+    rank[order] = begin + 1
+    # a suffix that has met a 0 ends there: nothing behind it can match
+    tied = np.flatnonzero((~new | np.r_[~new[1:], False][: len(order)]) & (own & (1 << bits) - 1 > 0))
+    del key, own
+    seen = each
     while seen < depth and len(tied):
-        same = np.r_[False, group[1:] == group[:-1]]
-        live = same | np.r_[same[1:], False]
-        # a suffix that has met a 0 ends there: nothing behind it can match
-        last = key[order[tied] + seen - each]
-        ended = np.zeros(len(tied), dtype=bool)
-        for j in range(each):
-            ended |= (last >> (bits * j)) & ((1 << bits) - 1) == 0
-        live &= ~ended
-        tied, group = tied[live], group[live]
-        if not len(tied):
-            break
-        behind = np.minimum(order[tied] + seen, len(text) - 1)
-        within = np.lexsort((key[behind], group))
-        order[tied] = order[tied][within]
-        fresh = key[np.minimum(order[tied] + seen, len(text) - 1)]
-        group = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (fresh[1:] != fresh[:-1])])
-        seen += each
+        at, group = order[tied], begin[tied]
+        behind = rank[np.minimum(at + seen, len(text) - 1)]
+        by = np.lexsort((behind, group))
+        at, behind = at[by], behind[by]
+        new = np.r_[True, (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])]
+        order[tied], begin[tied] = at, np.maximum.accumulate(np.where(new, tied, 0))
+        rank[at] = begin[tied] + 1
+        tied = tied[(~new | np.r_[~new[1:], False]) & (behind > 0)]
+        seen *= 2
     return order
 
 
-def bisect(text: np.ndarray, order: np.ndarray, flat: np.ndarray, start: np.ndarray, need: np.ndarray, right: bool) -> np.ndarray:
-    """For each query, the words flat[start : start + need], the first place in order that isn't below it (right: that is above)."""
-    low, high = np.zeros(len(start), dtype=np.int64), np.full(len(start), len(order), dtype=np.int64)
-    most = int(need.max(initial=0))
-    while (open_ := low < high).any():
-        mid = (low + high) // 2
-        at = order[np.minimum(mid, len(order) - 1)]
-        sign = np.zeros(len(start), dtype=np.int8)
-        for j in range(most):
-            live = np.flatnonzero((sign == 0) & (j < need))
-            if not len(live):
-                break
-            a, b = text[at[live] + j], flat[start[live] + j]
-            sign[live] = np.where(a < b, -1, np.where(a > b, 1, 0))
-        below = open_ & ((sign <= 0) if right else (sign < 0))
-        low, high = np.where(below, mid + 1, low), np.where(open_ & ~below, mid, high)
+def bisect(text: np.ndarray, order: np.ndarray, flat: np.ndarray, start: np.ndarray, need: np.ndarray, right: bool, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """For each query, the words flat[start : start + need], the first place in order, or from low up to high, that isn't below it (right: that is above)."""
+    low = np.zeros(len(start), dtype=np.int64) if low is None else low.copy()
+    high = np.full(len(start), len(order), dtype=np.int64) if high is None else high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        mid = (low[live] + high[live]) // 2
+        at, s, n = order[mid], start[live], need[live]
+        sign = np.zeros(len(live), dtype=np.int8)
+        same, j = np.flatnonzero(n > 0), 0
+        while len(same):
+            a, b = text[at[same] + j], flat[s[same] + j]
+            sign[same] = np.sign(a - b)
+            j += 1
+            same = same[(a == b) & (n[same] > j)]
+        below = (sign <= 0) if right else (sign < 0)
+        low[live], high[live] = np.where(below, mid + 1, low[live]), np.where(below, high[live], mid)
+        live = live[low[live] < high[live]]
     return low
 
 
-def search(text: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each place of each window in text: the place, the query, and how many words match there in all."""
+def common(text: np.ndarray, at: np.ndarray, flat: np.ndarray, start: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """How many words text at each place shares with flat at each start, up to rest."""
+    length = np.zeros(len(at), dtype=np.int64)
+    live, j = np.flatnonzero(rest > 0), 0
+    while len(live):
+        live = live[text[at[live] + j] == flat[start[live] + j]]
+        j += 1
+        length[live] = j
+        live = live[rest[live] > j]
+    return length
+
+
+#: Benchmark suffixes whose longest matches are looked for together.
+ASKED = 1 << 20
+
+
+def search(text: np.ndarray, starts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, matches) of a shard whose documents start at starts. spans: start and end of each stretch of text that is inside windows. matches: a row for each document and item
+    of which a window stands there: document, item, the words of the longest match and where it starts; of equally long ones that which is first in the item, at its first place.
+
+    Each distinct window is searched once. Its places in one document are a run of the suffix array, and each benchmark suffix that starts with it is put into that run:
+    its longest match is with a neighbour there. So repeats on one side are never multiplied with those on the other.
+    """
     order = sorted_suffixes(text, len(items.number), items.deepest)
-    ask = np.flatnonzero(items.need)
-    if not len(order) or not len(ask):
-        return (np.zeros(0, dtype=np.int64),) * 3
-    start, need = items.start[ask], items.need[ask]
-    low = bisect(text, order, items.flat, start, need, False)
-    n = bisect(text, order, items.flat, start, need, True) - low
-    query = np.repeat(np.arange(len(ask)), n)
-    at = order[np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n) + low[query]]
-    length = need[query].copy()
-    grow, rest = np.arange(len(query)), items.rest[ask][query]
-    while len(grow := grow[length[grow] < rest[grow]]):
-        grow = grow[text[at[grow] + length[grow]] == items.flat[start[query[grow]] + length[grow]]]
-        length[grow] += 1
-    return at, ask[query], length
+    low = bisect(text, order, items.flat, items.start, items.need, False)
+    n = bisect(text, order, items.flat, items.start, items.need, True) - low
+    window = np.repeat(np.arange(len(n)), n)
+    if not len(window):
+        return np.zeros((0, 2), dtype=np.int64), np.zeros((0, 4), dtype=np.int64)
+    at = order[np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + low[window]]
+    by = np.argsort(at, kind="stable")
+    end = np.maximum.accumulate(at[by] + items.need[window[by]])
+    new = np.flatnonzero(np.r_[True, at[by][1:] > end[:-1]])
+    spans = np.stack([at[by][new], np.r_[end[new[1:] - 1], end[-1]]], axis=1)
+
+    doc = np.searchsorted(starts, at, side="right") - 1
+    by = np.lexsort((doc, window))  # places stay in the order of their suffixes
+    at, doc, window = at[by], doc[by], window[by]
+    first = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (doc[1:] != doc[:-1])])
+    last = np.r_[first[1:], len(at)]
+    found = []
+    asked = np.cumsum(items.count[window[first]])
+    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(asked // ASKED)) + 1):
+        n = items.count[window[first[part]]]
+        run = np.repeat(part, n)
+        q = items.suffix[np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + items.first[window[first[run]]]]
+        rest = items.rest[q]
+        place = bisect(text, at, items.flat, q, rest, False, first[run], last[run])
+        before, behind = np.maximum(place - 1, first[run]), np.minimum(place, last[run] - 1)
+        length = np.maximum(common(text, at[before], items.flat, q, rest), common(text, at[behind], items.flat, q, rest))
+        best = np.stack([doc[first[run]], items.item[q], length, q, run], axis=1)
+        found.append(best_of(best))
+    best = best_of(np.concatenate(found))
+    q, length, run = best[:, 3], best[:, 2], best[:, 4]
+    low = bisect(text, at, items.flat, q, length, False, first[run], last[run]).tolist()
+    high = bisect(text, at, items.flat, q, length, True, first[run], last[run]).tolist()
+    where = {(a, b): int(at[a:b].min()) for a, b in set(zip(low, high))}
+    return spans, np.column_stack([best[:, :3], [where[p] for p in zip(low, high)]])
+
+
+def best_of(rows: np.ndarray) -> np.ndarray:
+    """Of rows (document, item, words, suffix, run) for each document and item that of the most words, of equals the first suffix."""
+    rows = rows[np.lexsort((rows[:, 3], -rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
 
 
 def longer(a: tuple[int, int], b: tuple[int, int] | None) -> tuple[int, int]:
@@ -142,7 +207,7 @@ def longer(a: tuple[int, int], b: tuple[int, int] | None) -> tuple[int, int]:
 
 
 def hits_of(texts: list[str | None], items: Items) -> list[tuple[int, np.ndarray, dict[str, tuple[int, int]]]]:
-    """For each text its number of words, the places hit (start, end), and by item the longest match: words, and the word where it starts (the first, of equals)."""
+    """For each text its number of words, the stretches hit (start, end), and by item the longest match: words, and the word where it starts."""
     found: list[tuple[int, np.ndarray, dict[str, tuple[int, int]]]] = []
     get, batch, held = items.number.get, [], 0
 
@@ -152,17 +217,14 @@ def hits_of(texts: list[str | None], items: Items) -> list[tuple[int, np.ndarray
         starts = np.cumsum(lengths + 1) - (lengths + 1)
         for s, x in zip(starts.tolist(), batch):
             text[s : s + len(x)] = x
-        at, query, length = search(text, items)
-        doc = np.searchsorted(starts, at, side="right") - 1
-        by = np.argsort(doc, kind="stable")
-        edges = np.searchsorted(doc[by], np.arange(len(batch) + 1))
+        spans, matches = search(text, starts, items)
+        of_span = np.searchsorted(np.searchsorted(starts, spans[:, 0], side="right") - 1, np.arange(len(batch) + 1))
+        of_match = np.searchsorted(matches[:, 0], np.arange(len(batch) + 1))
         for i, n in enumerate(lengths.tolist()):
-            mine = by[edges[i] : edges[i + 1]]
             longest: dict[str, tuple[int, int]] = {}
-            first = at[mine] - starts[i]
-            for q, *match in zip(items.item[query[mine]].tolist(), length[mine].tolist(), first.tolist()):
-                longest[items.ids[q]] = longer(tuple(match), longest.get(items.ids[q]))
-            found.append((n, np.stack([first, first + items.need[query[mine]]], axis=1), longest))
+            for item, words, at in matches[of_match[i] : of_match[i + 1], 1:].tolist():
+                longest[items.ids[item]] = longer((words, at - int(starts[i])), longest.get(items.ids[item]))
+            found.append((n, spans[of_span[i] : of_span[i + 1]] - starts[i], longest))
 
     for text in texts:
         folded = (text or "").encode().translate(FOLD)
