@@ -7,11 +7,13 @@ blocks: the tag-path ratios. Each block takes its path's ratios; both series are
 text: the path's score. Paths whose score reaches `part` of the page's mean score, weighed by text, are content, and their
 blocks are selected.
 
-Names (an element, role, class or id that says menu, header, footer, sidebar, notice, advert, form or comments) are a prior and
-no more: they lower the score of the paths below them, to `PRIOR` of it, and further the less text a page has to judge by.
+Names (an element, role, class or id that says menu, header, footer, sidebar, notice, advert, form or comments) are a prior: where other paths
+hold a sentence or some text (`TOLD`), these are judged by their ratios alone, whatever stands around them under names. Where they don't, names lower the
+score of the paths below them, to `PRIOR` of it, and further the less text a page has to judge by; paths under comments are judged only where there is nothing else.
 
 Headings and short paragraphs, which no ratio shows, come along with what they belong to: text elements whose parent, or its
-parent, is also the parent of a selected block, and headings and weakly scored text elements that touch kept blocks in page order. Paths under
+parent, is also the parent of a selected block, headings and weakly scored text elements that touch kept blocks in page order, and then all that stands in the
+container of the kept blocks, tables, lists and short blocks included (`whole`). Paths under
 the prior and paths of links are never taken that way. Extraction needs a page's own bytes only, so nothing is shuffled.
 
 Defined cases: null, empty and text-free pages give the empty text; unclosed, crossed and cut-off tags are read as browsers do, nearly;
@@ -34,6 +36,10 @@ from pyspark.sql import functions as F
 PART, WEAK = 0.5, 0.15
 #: What names leave of a score on a page of ENOUGH characters outside links; on shorter ones less, by the cube of their share of it.
 PRIOR, ENOUGH = 0.3, 500
+#: Characters of text under no name that tell enough to leave what stands under names out, if there is no sentence among them.
+TOLD = 80
+#: The share of the kept text that a container holds.
+NEARLY = 0.9
 #: Of the Gaussian over neighbouring blocks.
 RADIUS, SIGMA = 1, 0.7
 
@@ -50,6 +56,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("ul ol dl table select article section main body html div".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = HEADING | frozenset("p li dt dd pre blockquote td th figcaption address".split())
+PARTIAL = frozenset("ul ol dl table thead tbody tfoot tr".split())
 ASIDE = frozenset("nav footer aside form menu button select dialog head fieldset object svg audio video canvas".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices alert sidebar sidebars nav navbar navigation menu menus submenu "
@@ -57,13 +64,15 @@ ASIDE_NAMES = frozenset(
     "sponsor sponsored social share sharing newsletter subscribe subscription signup login signin search popup modal overlay widget widgets toolbar pagination pager "
     "complementary contentinfo form paywall skip".split()
 )
+REMARK_NAMES = frozenset("comment comments commentlist discussion respond reply replies disqus".split())
 
 
 class Element:
-    __slots__ = ("name", "path", "aside", "article", "up")
+    __slots__ = ("name", "path", "aside", "remark", "article", "up", "depth")
 
-    def __init__(self, name: str, path: int, aside: bool, article: bool, up: Element | None) -> None:
-        self.name, self.path, self.aside, self.article, self.up = name, path, aside, article, up
+    def __init__(self, name: str, path: int, aside: bool, remark: bool, article: bool, up: Element | None) -> None:
+        self.name, self.path, self.aside, self.remark, self.article, self.up = name, path, aside, remark, article, up
+        self.depth = up.depth + 1 if up else 0
 
 
 class Block:
@@ -78,22 +87,23 @@ class Open:
     """The open elements, with the places of each name, so that no tag has to walk all of them. Paths are numbers."""
 
     def __init__(self) -> None:
-        self.stack = [Element("", 0, False, False, None)]
+        self.stack = [Element("", 0, False, False, False, None)]
         self.places: dict[str, list[int]] = {}
         self.scopes = [0]
         self.paths: dict[tuple[int, str], int] = {}
 
     def push(self, name: str, names: str, classes: str) -> None:
         up = self.stack[-1]
-        aside = up.aside or name in ASIDE or name == "header" and not up.article
-        if names and not aside and name not in ("html", "body", "article", "main"):
+        aside, remark = up.aside or name in ASIDE or name == "header" and not up.article, up.remark
+        if names and not remark and name not in ("html", "body", "main"):
             told = {y for x in names.split() for y in PARTS.split(x)} & ASIDE_NAMES
-            aside = bool(told - {"header"} if up.article else told)
+            remark = bool(told & REMARK_NAMES)
+            aside = aside or remark or name != "article" and bool(told - {"header"} if up.article else told)
         path = self.paths.setdefault((up.path, f"{name}.{classes}"), len(self.paths) + 1)
         self.places.setdefault(name, []).append(len(self.stack))
         if name in SCOPE:
             self.scopes.append(len(self.stack))
-        self.stack.append(Element(name, path, aside, up.article or name in ("article", "main"), up))
+        self.stack.append(Element(name, path, aside, remark, up.article or name in ("article", "main"), up))
 
     def cut(self, at: int) -> None:
         """Close the element at a place and all inside it."""
@@ -190,8 +200,76 @@ def ratios(path: np.ndarray, length: np.ndarray, points: np.ndarray) -> np.ndarr
     return np.bincount(path, fused) / n * np.sqrt(total / max(1.0, total.sum()))
 
 
+def judged(blocks: list[Block]) -> list[Block]:
+    """The blocks that the ratios judge: those under no name if they tell enough, else those under none for comments, else all."""
+    free = [b for b in blocks if not b.element.aside]
+    if any(b.length and (b.points or b.element.article) for b in free) or sum(b.length for b in free) >= TOLD:
+        return free
+    own = [b for b in blocks if not b.element.remark]
+    return own if any(b.length for b in own) else blocks
+
+
+def whole(blocks: list[Block], keep: np.ndarray, free: np.ndarray) -> None:
+    """Lets in what stands in the container of the kept blocks, if most of its text is kept: short blocks, cells and lists that no ratio shows.
+
+    The container is the innermost element that holds nearly all that is kept, an `<article>` or `<main>` around it before others. Where it is the whole page, only
+    text elements that stand between two kept siblings come along.
+    """
+    seen: dict[int, Element] = {}
+    held: dict[int, list[float]] = {}
+    for b, k in zip(blocks, keep):
+        e, n = b.element, len(b.text)
+        sums = held.setdefault(id(e), [0.0, 0.0])
+        sums[0] += n
+        sums[1] += n * bool(k)
+        while e and id(e) not in seen:
+            seen[id(e)] = e
+            held.setdefault(id(e), [0.0, 0.0])
+            e = e.up
+    best: dict[int, Element] = {}
+    for e in sorted(seen.values(), key=lambda x: -x.depth):
+        if e.up:
+            up = held[id(e.up)]
+            up[0] += held[id(e)][0]
+            up[1] += held[id(e)][1]
+            if id(e.up) not in best or held[id(best[id(e.up)])][1] < held[id(e)][1]:
+                best[id(e.up)] = e
+    at = next(e for e in seen.values() if not e.up)
+    kept = held[id(at)][1]
+    while (below := best.get(id(at))) and held[id(below)][1] >= NEARLY * kept:
+        at = below
+    around = at
+    while around and around.name not in ("article", "main"):
+        around = around.up
+    while at.up and (at.name in TEXTUAL or at.name in PARTIAL):
+        at = at.up
+    at = around or at
+    total, chosen = held[id(at)]
+    if at.name not in ("", "html", "body") and 2 * chosen >= total:
+        inside = {id(at)}
+        for e in sorted(seen.values(), key=lambda x: x.depth):
+            if e.up and id(e.up) in inside:
+                inside.add(id(e))
+        for i, b in enumerate(blocks):
+            keep[i] |= id(b.element) in inside and bool(free[i])
+        return
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        if keep[i]:
+            last[id(b.element.up)] = i
+    reach = -1  # up to where a kept sibling of a kept block before follows
+    for i, b in enumerate(blocks):
+        if keep[i]:
+            reach = max(reach, last[id(b.element.up)])
+        elif i < reach and free[i] and b.element.name in TEXTUAL:
+            keep[i] = True
+
+
 def selected(blocks: list[Block], part: float = PART, score_of=ratios) -> list[Block]:
     """The blocks that are content, in page order."""
+    blocks = judged(blocks)
+    if not blocks:
+        return []
     names = {p: i for i, p in enumerate(dict.fromkeys(b.element.path for b in blocks))}
     path = np.array([names[b.element.path] for b in blocks])
     length, points, linked = (np.array([getattr(b, x) for b in blocks], dtype=float) for x in ("length", "points", "linked"))
@@ -221,6 +299,8 @@ def selected(blocks: list[Block], part: float = PART, score_of=ratios) -> list[B
         for i in order:
             if loose[i] and not keep[i] and keep[i - order.step]:
                 keep[i] = order.step < 0 or blocks[i].element.name not in HEADING
+    if not aside.any():
+        whole(blocks, keep, free[path])
     return [b for b, k in zip(blocks, keep) if k]
 
 
