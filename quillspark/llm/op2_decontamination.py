@@ -114,6 +114,33 @@ def sorted_suffixes(text: np.ndarray, top: int, depth: int) -> np.ndarray:
     return order
 
 
+#: Words that are compared one by one, then at once.
+SINGLY, ATONCE = 4, 64
+
+
+def common(text: np.ndarray, at: np.ndarray, flat: np.ndarray, start: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """How many words text at each place shares with flat at each start, up to rest."""
+    length = np.zeros(len(at), dtype=np.int64)
+    live, j = np.flatnonzero(rest > 0), 0
+    while len(live):
+        if j < SINGLY:
+            live = live[text[at[live] + j] == flat[start[live] + j]]
+            j += 1
+            length[live] = j
+        else:
+            further = []
+            for part in np.array_split(live, -(-len(live) // 8192)):
+                k = np.arange(j, j + ATONCE)
+                same = text.take(at[part, None] + k, mode="clip") == flat.take(start[part, None] + k, mode="clip")
+                same &= k < rest[part, None]
+                n = np.where(same.all(axis=1), ATONCE, same.argmin(axis=1))
+                length[part] += n
+                further.append(part[n == ATONCE])
+            live, j = np.concatenate(further), j + ATONCE
+        live = live[rest[live] > j]
+    return length
+
+
 def bisect(text: np.ndarray, order: np.ndarray, flat: np.ndarray, start: np.ndarray, need: np.ndarray, right: bool, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
     """For each query, the words flat[start : start + need], the first place in order, or from low up to high, that isn't below it (right: that is above)."""
     low = np.zeros(len(start), dtype=np.int64) if low is None else low.copy()
@@ -122,31 +149,14 @@ def bisect(text: np.ndarray, order: np.ndarray, flat: np.ndarray, start: np.ndar
     while len(live):
         mid = (low[live] + high[live]) // 2
         at, s, n = order[mid], start[live], need[live]
-        sign = np.zeros(len(live), dtype=np.int8)
-        same, j = np.flatnonzero(n > 0), 0
-        while len(same):
-            a, b = text[at[same] + j], flat[s[same] + j]
-            sign[same] = np.sign(a - b)
-            j += 1
-            same = same[(a == b) & (n[same] > j)]
+        same = common(text, at, flat, s, n)
+        sign = np.where(same == n, 0, np.sign(text.take(at + same, mode="clip") - flat.take(s + same, mode="clip")))
         below = (sign <= 0) if right else (sign < 0)
         low[live], high[live] = np.where(below, mid + 1, low[live]), np.where(below, high[live], mid)
         live = live[low[live] < high[live]]
     return low
 
 
-def common(text: np.ndarray, at: np.ndarray, flat: np.ndarray, start: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """How many words text at each place shares with flat at each start, up to rest."""
-    length = np.zeros(len(at), dtype=np.int64)
-    live, j = np.flatnonzero(rest > 0), 0
-    while len(live):
-        live = live[text[at[live] + j] == flat[start[live] + j]]
-        j += 1
-        length[live] = j
-        live = live[rest[live] > j]
-    return length
-
-
 #: Benchmark suffixes whose longest matches are looked for together.
 ASKED = 1 << 20
 
