@@ -19,7 +19,7 @@ Counts and thresholds come from all trusted documents; nothing that grows with t
 
 Defined cases: null lang is the language `und`; a language without trusted documents has no threshold and keeps its documents; a
 document without text (null, empty) has no perplexity and is rejected; conflicting labels of a document count as not
-trusted; repeated rows are judged each; an empty table gives no rows; other columns are ignored by classify(), and keep_good() keeps them.
+trusted; very long texts are held whole by their block's task and worked through in slices of 1 MB; repeated rows are judged each; an empty table gives no rows; other columns are ignored by classify(), and keep_good() keeps them.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ BLOCK_BYTES = 16 << 20
 #: Buckets for each block, and what Spark allows in all.
 SPREAD, MOST_BUCKETS = 4, 100_000
 CALIBRATE = 10
+#: Rows, one a language, that are sent to all tasks.
+MOST_LANGUAGES = 100_000
 
 
 def fold_of(ids: np.ndarray) -> np.ndarray:
@@ -196,6 +198,12 @@ def listed(packs: DataFrame, schema: str, counts: bool) -> DataFrame:
     return packs.mapInArrow(run, schema)
 
 
+def each_language(df: DataFrame) -> DataFrame:
+    """df, which has a row for each language at most, written down; sent to all tasks if it has no more than MOST_LANGUAGES rows, so that joins on the language don't shuffle what they meet."""
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= MOST_LANGUAGES else df
+
+
 def probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
     """(lang, gram, logp) for the asked (lang, gram), from the counts (lang, gram, n) of the highest order."""
     levels = {order: durable(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))}
@@ -213,7 +221,7 @@ def probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
             d = i - (i + 1) * y * F.try_divide(F.col(f"m{i + 1}"), F.col(f"m{i}"))
             return F.least(F.greatest(F.coalesce(d, F.lit(i / 2)), F.lit(0.05 * i)), F.lit(float(i))).alias(f"d{i}")
 
-        discounts = c.groupBy("lang").agg(*of).where("m1 + m2 > 0").select("lang", *(discount(i) for i in (1, 2, 3)))
+        discounts = each_language(c.groupBy("lang").agg(*of).where("m1 + m2 > 0").select("lang", *(discount(i) for i in (1, 2, 3))))
         contexts = c.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(
             F.sum("n").alias("total"), *(F.sum((F.col("n") == i).cast("double")).alias(f"k{i}") for i in (1, 2)), F.sum((F.col("n") > 2).cast("double")).alias("k3")
         )
@@ -329,13 +337,13 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: flo
     good = durable(folded(trusted(labels)))
     found = scored(docs, good, order, block_bytes)
     set_by = durable(found.join(good.where("fold = 0").select("doc_id"), "doc_id").where("perplexity is not null"))
-    middle = durable(quantile_of(set_by, F.log("perplexity"), 0.5).select("lang", F.exp("value").alias("middle")))
+    middle = each_language(quantile_of(set_by, F.log("perplexity"), 0.5).select("lang", F.exp("value").alias("middle")))
 
     def weighed(df: DataFrame) -> DataFrame:
         n = F.col("n_bytes")
         return df.join(middle, "lang", "left").withColumn("evidence", F.exp((n * F.log("perplexity") + prior_bytes * F.log("middle")) / (n + prior_bytes)))
 
-    limits = durable(quantile_of(weighed(set_by), F.col("evidence"), quantile).withColumnRenamed("value", "threshold"))
+    limits = each_language(quantile_of(weighed(set_by), F.col("evidence"), quantile).withColumnRenamed("value", "threshold"))
     kept = F.when(F.col("n_bytes") == 0, False).otherwise(F.coalesce(F.col("evidence") <= F.col("threshold"), F.lit(True)))
     return weighed(found).join(limits, "lang", "left").withColumn("kept", kept)
 
