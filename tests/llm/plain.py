@@ -185,3 +185,92 @@ def language_posteriors(pages, docs, main_text, most=100, host_weight=5.0, domai
         z = sum(math.exp(v - top) for v in score.values())
         out[i] = {x: math.exp(v - top) / z for x, v in score.items()}
     return out
+
+
+def longest_match(text, item, window=10):
+    """(words, start) of the longest stretch of the item, starting with a window, in the text; of equals the first in the item, then in the text."""
+    w, own, best = words(text), words(item), None
+    for j in range(len(own)):
+        need = min(window, len(own) - j)
+        if need < window and j:
+            continue
+        for p in range(len(w)):
+            k = 0
+            while p + k < len(w) and j + k < len(own) and w[p + k] == own[j + k]:
+                k += 1
+            if k >= need and (best is None or (-k, j, p) < best):
+                best = (-k, j, p)
+    return best and (-best[0], best[2])
+
+
+def simhash(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    n, counts, total = min(4, len(w)), [0] * 64, 0
+    for i in range(len(w) - n + 1 if n else 0):
+        h, total = xxhash.xxh64_intdigest(" ".join(w[i : i + n]).encode(), seed=42), total + 1
+        for b in range(64):
+            counts[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * counts[b] > total)
+
+
+def bit_components(fps, radius=4):
+    """For each fingerprint the place of the first that it hangs together with."""
+    up = list(range(len(fps)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, f in enumerate(fps):
+        for j in range(i + 1, len(fps)):
+            if (f ^ fps[j]).bit_count() <= radius:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [root(i) for i in range(len(fps))]
+
+
+def whitening(rows, components=4):
+    """vec_id -> (deviation, [whitened by component]), n, shares of the trace; signs as they come. rows: (vec_id, vector)"""
+    import numpy as np
+
+    kept = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    fit = np.array(sorted({tuple(x) for _, x in kept}))
+    n, s = len(fit), fit.sum(axis=0)
+    e, axes = np.linalg.eigh((fit - s / n).T @ (fit - s / n) / n)
+    e, axes = e[::-1], axes[:, ::-1][:, :components]
+    out = [(i, sum((n * int(a) - int(b)) ** 2 for a, b in zip(x, s)), (np.array(x) - s / n) @ axes / np.sqrt(e[:components])) for i, x in kept]
+    return out, n, e[:components] / e.sum()
+
+
+def spelling(docs, least=5, times=5):
+    """word -> (form, root, n, n_near, form_n). docs: (doc_id, text)"""
+    import zlib
+
+    counts = Counter()
+    for i, t in docs:
+        for run in re.findall(r"[A-Za-z\u00C0-\u00FF]+", t or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'null' if i is None else i}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    n = {w: k for w, k in counts.items() if len(w) >= 6 and k >= least}
+    near, gaps = {w: set() for w in n}, defaultdict(list)
+    for w in n:
+        for i in range(len(w)):
+            gaps[i, w[:i] + w[i + 1 :]].append(w)
+            if (short := w[:i] + w[i + 1 :]) in n:
+                near[w].add(short)
+                near[short].add(w)
+    for same in gaps.values():
+        for w in same:
+            near[w].update(x for x in same if x != w)
+    form = {w: f for w in n if near[w] and n[f := min(near[w], key=lambda x: (-n[x], x))] >= times * n[w]}
+    out = {}
+    for w in n:
+        r = w
+        while r in form:
+            r = form[r]
+        out[w] = (form.get(w), r, n[w], len(near[w]), n.get(form.get(w)))
+    return out

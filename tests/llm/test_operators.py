@@ -20,6 +20,9 @@ from quillspark.llm import op7_url_filter as op7
 from quillspark.llm import op8_sharding as op8
 from quillspark.llm import op9_pii as op9
 from quillspark.llm import op10_jaccard_join as op10
+from quillspark.llm import op11_simhash as op11
+from quillspark.llm import op12_whitening as op12
+from quillspark.llm import op13_spelling as op13
 
 from . import plain
 
@@ -60,13 +63,19 @@ def test_nothing_breaks_on_odd_rows(spark):
     near = {r.doc_id: (r.class_id, r.n_links) for r in op10.join(docs).collect()}
     assert near[4] == (4, 2) and near[5] == (4, 2) and near[2] == (None, 1) and near[0] == (0, 0) and near[6] == (6, 0)
     assert op10.near_dedup(docs).columns == docs.columns
+    alike = op11.near(docs).collect()
+    assert len(alike) == n and {r.fingerprint for r in alike if r.doc_id in (0, 1)} == {"0" * 16} and {r.component_id for r in alike if r.doc_id in (0, 1)} == {0}
+    assert {r.component_id for r in alike if r.doc_id in (None, 2)} == {2} and {r.component_id for r in alike if r.doc_id in (4, 5)} == {4}
+    words = docs.union(docs.select(F.lit(9).cast("long"), F.lit("wordes " * 5 + "straße " * 30 + "strase " * 6), *docs.columns[2:]))
+    got = {r.word: (r.form, r.root, r.n_near) for r in op13.variants(words).collect()}
+    assert got["strase"] == ("straße", "straße", 1) and got["wordes"] == (None, "wordes", 0)
 
 
 def test_empty_tables(spark):
     docs, bench = odd(spark, "x").where("false"), spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    for df in (op1.extract(pages), op2.report(docs, bench), op4.roundtrip(docs, PATH), op5.classify(docs, labels), op6.classify(docs), op6.dedup(docs), op7.judge(pages), op8.shard(docs), op9.find(docs), op10.join(docs), op10.near_dedup(docs)):
+    for df in (op1.extract(pages), op2.report(docs, bench), op4.roundtrip(docs, PATH), op5.classify(docs, labels), op6.classify(docs), op6.dedup(docs), op7.judge(pages), op8.shard(docs), op9.find(docs), op10.join(docs), op10.near_dedup(docs), op11.near(docs), op13.variants(docs), op12.whiten(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
         assert df.count() == 0
     assert op3.identify(pages, docs).count() == 0
     full = odd(spark, "one two three")
@@ -120,6 +129,28 @@ def test_other_containers_with_content_come_along_and_strays_do_not():
     assert got[:3] == ["Title", "The intro, in short, says a lot. It has marks.", "Sentence 0, with some text, long enough. It goes on, and on."] and got[-2:] == ["a", "b"] and len(got) == 16
 
 
+@pytest.mark.parametrize("around", ["article", "div class=post", "div"])
+@pytest.mark.parametrize("comments", ["div class=comments", "section id=comments", "ol class=commentlist"])
+def test_the_article_stays_whole_whatever_stands_around_it(around, comments):
+    said = [f"This is paragraph {i}, which tells of things. It has three sentences, all told. And it ends here, at last." for i in range(10)]
+    for k in range(1, 11):
+        for m in (0, 1, 2, 5, 10, 20, 30, 50, 100):
+            told = "".join(f"<div class=c><p>I liked this, number {i} says so. Really, it is good.</p></div>" for i in range(m))
+            page = f"<body><nav><a href=/>home</a></nav><{around}><h1>Title here</h1>{''.join(f'<p>{x}</p>' for x in said[:k])}</{around.split()[0]}><{comments}>{told}</{comments.split()[0]}><footer>Foot, of it.</footer>"
+            assert op1.main_text(page) == "\n".join(["Title here", *said[:k]]), (k, m)
+
+
+@pytest.mark.parametrize("around", ["article", "div class=post", "div class=x"])
+def test_tables_lists_and_short_blocks_of_the_article_come_along(around):
+    p, end = "<p>This is a paragraph, which tells of things. It has some sentences, all told.</p>", f"</{around.split()[0]}><div class=ad>Buy, now. Now, or never.</div><footer>f</footer>"
+    table = "<table><tr><td>A</td><td>12</td></tr><tr><td>B</td><td>13</td></tr></table>"
+    assert op1.main_text(f"<body><nav><a href=x>m</a></nav><{around}><h1>T</h1>{p}{table}{p}<ul><li>x<li>y</ul>{end}").split("\n")[2:6] == ["A", "12", "B", "13"]
+    got = op1.main_text(f"<body><{around}><div>Intro</div><pre>{'code line; x = 1, y = 2. ' * 40}</pre><div>After</div>{end}")
+    assert got.startswith("Intro\ncode") and got.endswith("2.\nAfter")
+    plainly = op1.main_text(f"<body><ul><li><a href=x>menu</a></ul><h1>T</h1>{p}{table}{p}<footer>f</footer>").split("\n")
+    assert plainly[0] == "T" and plainly[2:6] == ["A", "12", "B", "13"] and len(plainly) == 7
+
+
 def test_unnamed_lists_of_links_are_dropped_inside_the_article():
     text = "".join(f"<p>Sentence {i}, with some text, long enough. It goes on, and on.</p>" for i in range(8))
     links = "".join(f"<li><a href=/{i}>Another story, number {i}</a>" for i in range(5))
@@ -140,6 +171,33 @@ def test_windows_equal_brute_force_on_small_alphabets():
         assert got == plain.contamination(docs, items)
 
 
+def test_longest_matches_equal_brute_force(monkeypatch):
+    rnd = random.Random(6)
+    for _ in range(150):
+        v = rnd.choice(["a", "ab", "abcd"])
+        mk = lambda n: " ".join(rnd.choice(v) for _ in range(n))  # noqa: B023, E731
+        items = [(j, mk(rnd.choice([1, 3, 9, 10, 14, 45]))) for j in range(rnd.randrange(4))]
+        docs = [mk(rnd.randrange(50)) for _ in range(rnd.randrange(4))]
+        monkeypatch.setattr(op2, "ASKED", rnd.choice([1, 5, 1 << 20]))
+        for d, (_, _, longest) in zip(docs, op2.hits_of(docs, op2.Items(items))):
+            assert [longest.get(str(i)) for i, _ in items] == [plain.longest_match(d, t) for _, t in items]
+
+
+def test_repeats_on_both_sides_are_not_multiplied():
+    import tracemalloc
+
+    rnd = random.Random(1)
+    items = op2.Items([("x", "a " * 1000), *((str(i), " ".join(f"w{rnd.randrange(9999)}" for _ in range(50))) for i in range(100))])
+    began = time.process_time()
+    ((n, spans, longest),) = op2.hits_of(["a " * 100_000], items)
+    assert time.process_time() - began < 2
+    assert (n, spans.tolist(), longest) == (100_000, [[0, 100_000]], {"x": (1000, 0)})
+    tracemalloc.start()
+    op2.hits_of(["a " * 100_000], items)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_suffixes_are_in_order():
     rnd = np.random.default_rng(1)
     text = np.concatenate([rnd.integers(0, 4, 400), np.zeros(41, dtype=int)]).astype(np.int32)
@@ -193,6 +251,12 @@ def test_every_language_is_modelled_however_rare(spark):
     assert set(op3.identify(pages, docs).first().posterior) == set(said)
 
 
+def test_many_html_tags_are_read_in_time():
+    began = time.process_time()
+    assert op3.declared_in("<html " * 100_000 + ">") == "none" and op3.declared_in("<html " * 100_000 + 'lang="de">') == "de"
+    assert op3.declared_in("<html><html class=x lang=en-GB>") == "en" and time.process_time() - began < 1
+
+
 # 4
 
 
@@ -533,3 +597,150 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)] + [(bytes([100]), bytes([101]))], "a binary, b binary")
     got = {bytes(r.node)[0]: bytes(r.root)[0] for r in op10.components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_long_numbers_are_no_trouble():
+    found = op9.spans("0" * 100_000 + "1.1.1.1 " + "9" * 100_000 + ".1.1.1 0.00.000.0255", op9.automaton())
+    assert found["ip"] == [(0, 100_007), (200_015, 200_028)]
+
+
+def test_op5_joins_on_the_language_alone_without_an_exchange(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    plans = []
+    real = op5.durable
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    op5.durable = seen
+    try:
+        plans.append(op5.classify(docs, labels)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        op5.durable = real
+    joined = [x for p in plans for x in re.findall(r"(?:SortMergeJoin|ShuffledHashJoin) \[lang#\d+\],", p)]
+    assert len(plans) > 8 and not joined
+
+
+# 11
+
+
+def signed(x):
+    return int(np.array([x], dtype=np.uint64).view(np.int64)[0])
+
+
+@pytest.mark.parametrize("tile, shard", [(1024, 1024), (16, 1024), (16, 1)])
+def test_trees_tiles_and_shards_find_all_links(spark, tile, shard):
+    rnd = np.random.default_rng(1)
+    fps = {int(x) for x in rnd.integers(0, 1 << 63, 200, dtype=np.uint64)}
+    for x in list(fps)[:4]:  # groups of near copies, in which links lead on
+        for _ in range(120):
+            for b in rnd.integers(0, 64, rnd.integers(0, 9)):
+                x ^= 1 << int(b) if rnd.random() < 0.7 else 0
+            fps.add(x)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    root = {r.node: r.root for r in op11.linked(df, tile=tile, shard=shard).collect()}
+    got = [root.get(signed(x), signed(x)) for x in fps]
+    want = plain.bit_components(fps)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) < len(fps)
+
+
+def test_search_follows_only_edges_within_the_radius():
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base ^ np.uint64(1 << int(b)) for b in rnd.integers(0, 63, 20)]))
+    tree, group = op11.BKTree(fps), np.arange(len(fps)) % 3
+    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+    assert {(int(a), int(b)) for q, n in tree.search(fps, 4) for a, b in zip(q, n)} == want
+    named = op11.BKTree(fps, group)
+    assert {(int(a), int(b)) for q, n in named.search(fps, 4, group) for a, b in zip(q, n)} == {(i, j) for i, j in want if group[i] != group[j]}
+    assert list(op11.BKTree(fps[:0]).search(fps, 4)) == []
+
+
+def test_tables_cover_all_pairs_within_the_radius():
+    for n in (10, 1 << 30, 1 << 40):
+        masks = [m % (1 << 64) for m in op11.masks(n, 4)]
+        rnd = random.Random(n)
+        for _ in range(200):
+            apart = sum(1 << b for b in rnd.sample(range(64), 4))
+            assert any(not apart & m for m in masks)
+
+
+def test_fingerprint_of_odd_texts():
+    for t in (None, "", " \t\n", "One", "one TWO\x0bthree", "a b c d e", "a b c d " * 5000, "x\xa0y z", "É é É é É é"):
+        assert op11.fingerprint(t) == plain.simhash(t)
+    long = " ".join(f"w{i % 977}" for i in range(900_000))  # over one slice
+    assert op11.fingerprint(long) == plain.simhash(long)
+
+
+# 12
+
+
+def test_whitening_of_odd_vectors(spark):
+    kind = "vec_id long, embedding array<double>, x string, d int, n long"
+    odd_rows = [(1, None), (2, []), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1e300, 1.0]), (7, [1.0])]
+    rows = [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (None, [1.5, -2.0]), (12, [3.0, 2.25]), (12, [3.0, 2.25])]
+    mk = lambda rows: spark.createDataFrame([(*r, "x", 1, 1) for r in rows], kind)
+    got = op12.whiten(mk(odd_rows + rows)).collect()
+    assert len(got) == 2 * len(rows) and {r.n for r in got} == {3} and max(r.identity_error for r in got) < 1e-12
+    assert [r.whitened for r in got if r.vec_id == 10] == [r.whitened for r in got if r.vec_id == 11]
+    assert op12.whiten(mk(rows[:2])).count() == op12.whiten(mk(odd_rows)).count() == 0  # nothing spreads
+
+
+def test_whitening_of_dependent_dimensions_and_far_scales(spark):
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(300, 3)) @ rnd.normal(size=(3, 8)) * 50
+    v = np.c_[v, v[:, 0], np.full(300, 7.5), rnd.normal(size=300) * 1e5]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    want, n, shares = plain.whitening(rows)
+    got = {(r.vec_id, r.component): r for r in op12.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 4 * n and all(abs(got[0, c].explained / shares[c - 1] - 1) < 1e-6 and got[0, c].identity_error < 1e-8 for c in range(1, 5))
+    assert all(abs(abs(got[i, c].whitened) - abs(w[c - 1])) < 1e-6 for i, _, w in want for c in range(1, 5))
+    two = [(i, [float(i % 5), float(i % 5) * 2, 1.0]) for i in range(20)]  # one direction only
+    assert {r.component for r in op12.whiten(spark.createDataFrame(two, "vec_id long, embedding array<double>")).collect()} == {1}
+
+
+# 13
+
+
+def one_edit(a, b):
+    a, b = sorted((a, b), key=len)
+    return sum(x != y for x, y in zip(a, b)) == 1 if len(a) == len(b) else len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_composition_accepts_the_pairs_of_one_edit_once():
+    rnd = random.Random(4)
+    for k in range(200):
+        words = sorted({"".join(rnd.choice("ab" if k % 2 else "abcé") for _ in range(rnd.randint(0, 7))) for _ in range(rnd.randint(1, 50))})
+        got = [tuple(sorted((words[i], words[j]))) for i, j in op13.near_pairs(words)]
+        assert len(set(got)) == len(got) and set(got) == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if one_edit(a, b)}
+
+
+def test_acceptor_is_minimal():
+    words = sorted(a + b + c for a in "abc" for b in "xyz" for c in ("", "ing", "ed"))
+    a = op13.Acceptor(words)
+    reached, todo = set(), [0]
+    while todo:
+        s = todo.pop()
+        if s not in reached:
+            reached.add(s)
+            todo += a.arcs[s].values()
+    assert a.size[0] == len(words) and len(reached) == 7  # the endings are shared
+
+
+def test_long_words_take_time_in_proportion():
+    n = 50_000
+    words = sorted({"a" * n, "a" * (n + 1), "ab" * (n // 2), "ab" * (n // 2) + "a"})
+    began = time.process_time()
+    assert sorted(op13.near_pairs(words)) == [(0, 1), (2, 3)] and time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("most", [2000, 3])
+def test_variants_of_full_partitions_are_found(spark, most):
+    rnd = random.Random(9)
+    base = ["abcdefghij", "abcdefgxyz", "étébcdefgh", "aaaaaaaaaa"]
+    words = [b[:i] + rnd.choice("abxé") * rnd.randint(0, 2) + b[i + rnd.randint(0, 1) :] for b in base for i in range(10) for _ in range(3)] + base * 30
+    docs = [(i, " ".join(rnd.choices(words, k=60)).upper() if i % 7 == 0 else " ".join(rnd.choices(words, k=60))) for i in range(60)] + [(None, " ".join(words)), (3, None), (4, "")]
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in op13.variants(spark.createDataFrame(docs, "doc_id long, text string"), most=most).collect()}
+    assert got == plain.spelling(docs)
