@@ -76,17 +76,26 @@ def dpi(content: pd.Series) -> pd.Series:
     return content.map(lambda x: dpi_of(bytes(x)))
 
 
-def image_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages from PNG, JPEG and the other formats that Spark's image source decodes; undecodable files are dropped.
+def scanned(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, refused: path, reason) of the files under a path: pages of PNG, JPEG and the other formats that Spark's image source decodes. Refused are files of other formats
+    and those that can't be decoded, so that each file is in one of the two or, a PDF, in sources.paged.
 
-    The two scans give the same file as differently written uris; both are brought to the form without an authority's empty slashes. WEBP and PDF need a
-    decoder that Spark lacks: use decoded_pages() with one.
+    The two scans give the same file as differently written uris; both are brought to the form without an authority's empty slashes. WEBP needs a
+    decoder that Spark lacks: it is refused here, use decoded_pages() with one.
     """
     plain = lambda uri: F.regexp_replace(uri, "^([a-z0-9]+):/+", "$1:/")
-    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
-    heads = with_ids(files(spark, path)).select(plain("path").alias("at"), "document_id", dpi("content").alias("dpi"))
-    found = images.withColumn("at", plain("origin")).join(heads, "at")
-    return found.select("document_id", F.lit(1).alias("page_number"), F.col("at").alias("path"), "width", "height", "dpi", F.col("data").alias("bgr"))
+    taken, other = classified(files(spark, path))
+    heads = with_ids(taken.where("kind = 'image'")).select(plain("path").alias("at"), "document_id", dpi("content").alias("dpi"))
+    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path).select("image.*")
+    found = heads.join(images.withColumn("at", plain("origin")).where("width > 0 and height > 0"), "at", "left")
+    pages = found.where("width is not null").select("document_id", F.lit(1).alias("page_number"), F.col("at").alias("path"), "width", "height", "dpi", F.col("data").alias("bgr"))
+    broken = found.where("width is null").select(F.col("at").alias("path"), F.lit("image that can't be decoded").alias("reason"))
+    return pages, other.select(plain("path").alias("path"), "reason").unionByName(broken)
+
+
+def image_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of scanned(); ask that for what is refused, too."""
+    return scanned(spark, path)[0]
 
 
 def decoded_pages(found: DataFrame, decode) -> DataFrame:
@@ -99,24 +108,3 @@ def decoded_pages(found: DataFrame, decode) -> DataFrame:
                 yield pd.DataFrame(pages, columns=["document_id", "page_number", "path", "width", "height", "dpi", "bgr"])
 
     return with_ids(found).mapInPandas(run, PAGES)
-
-
-def pdf_decoder(dpi: int = CONFIG.render_dpi):
-    """A decoder for PDF, where PyMuPDF is installed; encrypted and empty files are refused."""
-    try:
-        import pymupdf
-    except ImportError as e:
-        raise RuntimeError("PDF pages need PyMuPDF") from e
-
-    def decode(content: bytes):
-        with pymupdf.open(stream=content, filetype="pdf") as pdf:
-            if pdf.needs_pass or not len(pdf):
-                raise ValueError("encrypted or empty PDF")
-            for page in pdf:
-                pix = page.get_pixmap(dpi=dpi)
-                rgb = memoryview(pix.samples).cast("B")
-                bgr = bytearray(rgb)
-                bgr[0::3], bgr[2::3] = rgb[2::3], rgb[0::3]
-                yield pix.width, pix.height, dpi, bytes(bgr)
-
-    return decode
