@@ -62,6 +62,7 @@ class HighlightRule:
     value: tuple[int, int] = (120, 255)
     cleanup: int = 5
     min_area: int = 400
+    polygon_off: float = 4.0
 
 
 @dataclass(frozen=True)

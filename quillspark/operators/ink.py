@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..config import CONFIG, HighlightRule, Segment
 from ..schema import PAGE
+from .graph import least_of, written
 from .segment import runs
 
 ROW = [*PAGE, "y"]
@@ -29,10 +32,39 @@ def rule_bands(ink: DataFrame, rule: Segment = CONFIG.segment) -> DataFrame:
     return runs(rows, PAGE, "y", 0).select(*PAGE, F.col("first").alias("start"), F.col("last").alias("end"))
 
 
+def _depths(marks: DataFrame, by: list[str]) -> DataFrame:
+    """by, x, x_end, n: stretches between neighbouring edges and how many of the intervals (by, x_start, x_end) cover them, by a running sum of starts less ends."""
+    edge = F.explode(F.array(F.struct(F.col("x_start").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x_end").alias("x"), F.lit(-1).alias("d")))).alias("edge")
+    turns = marks.select(*by, edge).groupBy(*by, "edge.x").agg(F.sum("edge.d").alias("d")).where("d <> 0")
+    w = Window.partitionBy(*by).orderBy("x")
+    return turns.select(*by, "x", F.lead("x").over(w).alias("x_end"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n")).where("n > 0")
+
+
 def tall_runs(ink: DataFrame, rule: Segment = CONFIG.segment) -> DataFrame:
-    """page, x, first, last of the columns of pixels that are pieces of a margin line."""
-    columns = ink.select(*PAGE, "y", F.explode(F.sequence(F.col("x_start"), F.col("x_end") - 1)).alias("x"))
-    return runs(columns, [*PAGE, "x"], "y", 0).where(F.col("last") - F.col("first") + 1 >= rule.margin_kernel_height)
+    """page, x, x_end, first, last of the columns of pixels that are pieces of a margin line, the end exclusive; columns that start and end in the same rows are one where they are met together.
+
+    A run of so many rows covers a whole block of half as many. So a sweep over each block's edges finds the columns that are inked in all of its rows,
+    which are few; only ink in those columns is followed from row to row, cut where one of its edges lies in them. No pixel has a row of its own.
+    """
+    least = rule.margin_kernel_height
+    height = (least + 1) // 2
+    blocks = ink.withColumn("_block", F.floor(F.col("y") / height))
+    full = _depths(blocks, [*PAGE, "_block"]).where(F.col("n") == height).select(*PAGE, "x", "x_end").distinct()
+    w = Window.partitionBy(*PAGE).orderBy("x", "x_end")
+    apart = F.col("x") > F.max("x_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    strips = full.withColumn("strip", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    strips = strips.groupBy(*PAGE, "strip").agg(F.min("x").alias("s"), F.max("x_end").alias("e"))
+    # as many as a page is wide at most, mostly a few
+    listed = strips.groupBy(*PAGE).agg(F.collect_list(F.struct("strip", "s", "e")).alias("strips"))
+    met = F.filter("strips", lambda t: (t["s"] < F.col("x_end")) & (t["e"] > F.col("x_start")))
+    inside = ink.join(listed, PAGE).select(*ROW, "x_start", "x_end", F.explode(met).alias("t"))
+    inside = inside.select(*ROW, "t.strip", F.greatest("x_start", "t.s").alias("s"), F.least("x_end", "t.e").alias("e"))
+    edges = inside.select(*PAGE, "strip", F.explode(F.array("s", "e")).alias("x")).distinct()
+    cells = edges.select(*PAGE, "strip", "x", F.lead("x").over(Window.partitionBy(*PAGE, "strip").orderBy("x")).alias("until")).where("until is not null")
+    cells = cells.groupBy(*PAGE, "strip").agg(F.collect_list(F.struct("x", "until")).alias("cells"))
+    own = F.filter("cells", lambda c: (c["x"] >= F.col("s")) & (c["until"] <= F.col("e")))
+    rows = inside.join(cells, [*PAGE, "strip"]).select(*ROW, F.explode(own).alias("c")).select(*ROW, F.col("c.x").alias("x"), F.col("c.until").alias("x_end"))
+    return runs(rows, [*PAGE, "x", "x_end"], "y", 0).where(F.col("last") - F.col("first") + 1 >= least).drop("island")
 
 
 def less(ink: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -55,7 +87,7 @@ def without_rules(ink: DataFrame, rule: Segment = CONFIG.segment) -> DataFrame:
     y = F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y")
     flat = long_runs(ink, rule).select(*PAGE, y, F.col("x_start").alias("cut_start"), F.col("x_end").alias("cut_end"))
     ink = less(ink, flat)
-    tall = tall_runs(ink, rule).select(*PAGE, F.explode(F.sequence("first", "last")).alias("y"), (F.col("x") - 1).alias("cut_start"), (F.col("x") + 2).alias("cut_end"))
+    tall = tall_runs(ink, rule).select(*PAGE, F.explode(F.sequence("first", "last")).alias("y"), (F.col("x") - 1).alias("cut_start"), (F.col("x_end") + 1).alias("cut_end"))
     ink = less(ink, tall)
     inside = (F.col("y") >= rule.crop_top) & (F.col("y") < F.col("height") - rule.crop_bottom)
     edges = {"x_start": F.greatest("x_start", F.lit(rule.crop_left)), "x_end": F.least("x_end", F.col("width") - rule.crop_right)}
@@ -73,9 +105,17 @@ def in_lines(ink: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def line_columns(ink: DataFrame, lines: DataFrame) -> DataFrame:
-    """page, ln, x (from the line's left edge), col_ink, y_min, y_max, width for each column of each line that has ink."""
-    columns = in_lines(ink, lines).select(*PAGE, "ln", "width", "y", F.explode(F.sequence(F.col("x_start") - F.col("lx"), F.col("x_end") - 1 - F.col("lx"))).alias("x"))
-    return columns.groupBy(*PAGE, "ln", "x", "width").agg(F.count("*").alias("col_ink"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    """page, ln, x, x_end, col_ink, width: the columns of each line that have ink, from the line's left edge; neighbours of the same ink are one row, the end inclusive."""
+    inside = in_lines(ink, lines).withColumns({"x_start": F.col("x_start") - F.col("lx"), "x_end": F.col("x_end") - F.col("lx")})
+    return _depths(inside, [*PAGE, "ln", "width"]).select(*PAGE, "ln", "x", (F.col("x_end") - 1).alias("x_end"), F.col("n").alias("col_ink"), "width")
+
+
+def tight(words: DataFrame, ink: DataFrame, lines: DataFrame) -> DataFrame:
+    """words (page, ln, word_no, x from the line's left edge, w) with y and h of the ink in their columns, x from the page's left edge."""
+    inside = in_lines(ink, lines).select(*PAGE, "ln", "lx", "y", (F.col("x_start") - F.col("lx")).alias("s"), (F.col("x_end") - F.col("lx")).alias("e"))
+    met = words.join(inside, [*PAGE, "ln"]).where((F.col("s") < F.col("x") + F.col("w")) & (F.col("e") > F.col("x")))
+    found = met.groupBy(*PAGE, "ln", "lx", "word_no", "x", "w").agg(F.min("y").alias("y"), (F.max("y") - F.min("y") + 1).alias("h"))
+    return found.select(*PAGE, "ln", "word_no", (F.col("x") + F.col("lx")).alias("x"), "y", "w", "h")
 
 
 def line_density(ink: DataFrame, lines: DataFrame) -> DataFrame:
@@ -90,34 +130,184 @@ def pieces(marked: DataFrame) -> DataFrame:
     return runs(marked.select(*same, "y").distinct(), same, "y", 0).select(*same, F.col("first").alias("y0"), F.col("last").alias("y1"))
 
 
-def _joined(page):
-    """The boxes of a page's pieces that touch, corners too: a sweep from top to bottom over the pieces that are still open."""
-    at = sorted(zip(*(page[c].to_pylist() for c in ("y0", "y1", "x_start", "x_end"))))
-    parent, open_ = list(range(len(at))), []
+#: Rows and columns of pixels of a tile, and columns of a bin at a border.
+TILE_HEIGHT, TILE_WIDTH, BIN = 64, 4096, 64
+LABELED = "x_start int, x_end int, y0 int, y1 int, label long"
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
 
-    for i, (y0, _, x0, x1) in enumerate(at):
-        open_ = [j for j in open_ if at[j][1] >= y0 - 1]
-        for j in open_:
-            if at[j][2] <= x1 and x0 <= at[j][3]:
-                parent[root(i)] = root(j)
-        open_.append(i)
-    of, a = np.array([root(i) for i in range(len(at))]), np.array(at)
-    found = []
-    for k in np.unique(of):
-        y0, y1, x0, x1 = (a[of == k, c] for c in range(4))
-        found.append((int(x0.min()), int(y0.min()), int(x1.max() - x0.min()), int(y1.max() + 1 - y0.min()), int(((x1 - x0) * (y1 + 1 - y0)).sum())))
-    keys = [pa.array([page[c][0].as_py()] * len(found), page.schema.field(c).type) for c in PAGE]
-    return pa.table([*keys, *(pa.array(c, pa.int32()) for c in zip(*found))], names=[*PAGE, "x", "y", "w", "h", "area"])
+def _labels(tile: pa.Table) -> pa.Table:
+    """A tile's pieces with a label: the same for those that touch within it, corners too."""
+    y0, y1, s, e = (tile[c].to_numpy() for c in ("y0", "y1", "x_start", "x_end"))
+    by = np.lexsort((s, y0))
+    y0, y1, s, e = y0[by], y1[by], s[by], e[by]
+    up = np.arange(len(by))
+    for y in np.unique(y0):
+        own = np.flatnonzero(y0 == y)
+        open_ = np.flatnonzero((y0 < y) & (y1 >= y - 1))  # in the row above, so apart from each other
+        open_ = open_[np.argsort(s[open_], kind="stable")]
+        low = np.searchsorted(e[open_], s[own])
+        n = np.searchsorted(s[open_], e[own], side="right") - low
+        a = np.repeat(own, n)
+        b = open_[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        while len(a):  # hang the greater of two roots on the less until they are one
+            x, z = up[a], up[b]
+            apart = x != z
+            a, b = a[apart], b[apart]
+            np.minimum.at(up, np.maximum(x, z)[apart], np.minimum(x, z)[apart])
+            while not (up[up] == up).all():
+                up = up[up]
+    place = (tile["ty"][0].as_py() << 42) | (tile["tx"][0].as_py() << 21)
+    keys = [tile[c].take(pa.array(by)) for c in PAGE]
+    return pa.table([*keys, *(pa.array(v, pa.int32()) for v in (s, e, y0, y1)), pa.array(up + place)], names=[*PAGE, "x_start", "x_end", "y0", "y1", "label"])
 
 
-def highlights(marked: DataFrame, rule: HighlightRule = CONFIG.highlight) -> DataFrame:
-    """page, id, x, y, w, h, area of the connected parts of runs of marker, of the least area on; numbered from top to bottom. A page's pieces, a few for each mark, are one group."""
+def labeled(marked: DataFrame) -> DataFrame:
+    """page, x_start, x_end, y0, y1, label: the runs, those of the same place below each other as one and cut at tiles' borders, with the label of the connected mark they are part of.
+
+    A tile is a group of its own, so a page is as many tasks as it has tiles. What touches across their borders becomes edges between labels (bins of a border's
+    columns meet by equality), and rounds of joins bring the labels of a mark down to the least of them.
+    """
     key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.select(*PAGE).schema)
-    found = pieces(marked).groupBy(*PAGE).applyInArrow(_joined, f"{key}, x int, y int, w int, h int, area int").where(F.col("area") >= rule.min_area)
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y", "x"))
-    return found.select(*PAGE, F.format_string("highlight_%03d", number).alias("id"), "x", "y", "w", "h", "area")
+    rows = F.explode(F.sequence(F.floor(F.col("y0") / TILE_HEIGHT), F.floor(F.col("y1") / TILE_HEIGHT))).alias("ty")
+    cut = pieces(marked).select("*", rows)
+    cut = cut.withColumn("tx", F.explode(F.sequence(F.floor(F.col("x_start") / TILE_WIDTH), F.floor((F.col("x_end") - 1) / TILE_WIDTH))))
+    top, left = F.col("ty") * TILE_HEIGHT, F.col("tx") * TILE_WIDTH
+    sides = {"y0": F.greatest("y0", top), "y1": F.least("y1", top + TILE_HEIGHT - 1), "x_start": F.greatest("x_start", left), "x_end": F.least("x_end", left + TILE_WIDTH)}
+    cut = cut.withColumns({k: v.cast("int") for k, v in sides.items()})
+    found = written(cut.groupBy(*PAGE, "ty", "tx").applyInArrow(_labels, f"{key}, {LABELED}"))
+
+    bins = F.explode(F.sequence(F.floor(F.col("x_start") / BIN), F.floor(F.col("x_end") / BIN))).alias("bin")
+    above = found.where((F.col("y1") + 1) % TILE_HEIGHT == 0).select(*PAGE, (F.col("y1") + 1).alias("border"), bins, F.col("x_start").alias("s"), F.col("x_end").alias("e"), F.col("label").alias("a"))
+    below = found.where(F.col("y0") % TILE_HEIGHT == 0).select(*PAGE, F.col("y0").alias("border"), bins, "x_start", "x_end", F.col("label").alias("b"))
+    stacked = above.join(below, [*PAGE, "border", "bin"]).where("s <= x_end and x_start <= e").select(*PAGE, "a", "b")
+    row = F.floor(F.col("y0") / TILE_HEIGHT).alias("ty")
+    before = found.where(F.col("x_end") % TILE_WIDTH == 0).select(*PAGE, row, F.col("x_end").alias("border"), F.col("y0").alias("s"), F.col("y1").alias("e"), F.col("label").alias("a"))
+    behind = found.where(F.col("x_start") % TILE_WIDTH == 0).select(*PAGE, row, F.col("x_start").alias("border"), "y0", "y1", F.col("label").alias("b"))
+    beside = before.join(behind, [*PAGE, "ty", "border"]).where("s <= y1 + 1 and y0 <= e + 1").select(*PAGE, "a", "b")
+    roots = least_of(stacked.unionByName(beside), PAGE).withColumnRenamed("node", "label")
+    return found.join(roots, [*PAGE, "label"], "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+
+
+def _numbered(found: DataFrame, rule: HighlightRule) -> DataFrame:
+    """page, id, label and the box of marks of the least area on, numbered from top to bottom."""
+    size = F.sum((F.col("x_end") - F.col("x_start")) * (F.col("y1") - F.col("y0") + 1))
+    x, y = F.min("x_start"), F.min("y0")
+    boxes = found.groupBy(*PAGE, "label").agg(x.alias("x"), y.alias("y"), (F.max("x_end") - x).alias("w"), (F.max("y1") + 1 - y).alias("h"), size.cast("int").alias("area"))
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y", "x", "label"))
+    return boxes.where(F.col("area") >= rule.min_area).select(*PAGE, F.format_string("highlight_%03d", number).alias("id"), "label", "x", "y", "w", "h", "area")
+
+
+def highlights(marked: DataFrame, rule: HighlightRule = CONFIG.highlight) -> DataFrame:
+    """page, id, x, y, w, h, area of the connected parts of runs of marker, of the least area on."""
+    return _numbered(labeled(marked), rule).drop("label")
+
+
+def _loop(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The corners of the outer edge of connected pixels, given as their runs (y, x_start, x_end): clockwise from the top left. Pixels that touch at a corner hang together there."""
+    by_row: dict[int, list[tuple[int, int]]] = {}
+    for y, s, e in rows:
+        by_row.setdefault(y, []).append((s, e))
+    turns: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def bare(own: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """What of a row has none of the other row's ink beside it."""
+        out, k = [], 0
+        for s, e in own:
+            while k < len(other) and other[k][1] <= s:
+                k += 1
+            at, j = s, k
+            while j < len(other) and other[j][0] < e:
+                if other[j][0] > at:
+                    out.append((at, other[j][0]))
+                at = max(at, other[j][1])
+                j += 1
+            if at < e:
+                out.append((at, e))
+        return out
+
+    for own in by_row.values():
+        own.sort()
+    for y, own in by_row.items():
+        for s, e in own:
+            turns.setdefault((s, y + 1), []).append((s, y))
+            turns.setdefault((e, y), []).append((e, y + 1))
+        for s, e in bare(own, by_row.get(y - 1, [])):
+            turns.setdefault((s, y), []).append((e, y))
+        for s, e in bare(own, by_row.get(y + 1, [])):
+            turns.setdefault((e, y + 1), []).append((s, y + 1))
+    first = (min(by_row[min(by_row)])[0], min(by_row))
+    loop, at, back = [first], first, (first[0], first[1] + 1)
+    while True:
+        ways = turns[at]
+        go = (at[0] - back[0], at[1] - back[1])
+        # where two ways lead on, the left one keeps to pixels that touch at this corner
+        to = ways[0] if len(ways) == 1 else min(ways, key=lambda w: go[0] * (w[1] - at[1]) - go[1] * (w[0] - at[0]))
+        back, at = at, to
+        if at == first:
+            return loop
+        loop.append(at)
+
+
+def _fewer(points: np.ndarray, most: float) -> np.ndarray:
+    """Which corners of a closed outline stay so that no other is further than `most` from it (Douglas and Peucker's rule)."""
+    n = len(points)
+    far = int(((points - points[0]) ** 2).sum(axis=1).argmax())
+    ring = np.vstack([points, points[:1]]).astype(float)
+    keep = np.zeros(n + 1, dtype=bool)
+    keep[[0, far]] = True
+    todo = [(0, far), (far, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        line, off = ring[b] - ring[a], ring[a + 1 : b] - ring[a]
+        length = float(np.hypot(*line))
+        # from the stretch, not from the line through it
+        along = np.clip(off @ line / length**2, 0, 1) if length else np.zeros(len(off))
+        apart = np.hypot(*(off - along[:, None] * line).T)
+        i = int(apart.argmax())
+        if apart[i] > most:
+            keep[a + 1 + i] = True
+            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+    return np.flatnonzero(keep[:n])
+
+
+@F.udtf
+class Outline:
+    """page, id, point, x, y: the corners of a mark's outline, from its runs (page, id, y0, y1, x_start, x_end): one partition for each mark."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, int]] = []
+
+    @staticmethod
+    def analyze(row: AnalyzeArgument, most: AnalyzeArgument) -> AnalyzeResult:
+        keys = [f for f in row.dataType if f.name in (*PAGE, "id")]
+        return AnalyzeResult(T.StructType([*keys, *(T.StructField(n, T.IntegerType()) for n in ("point", "x", "y"))]))
+
+    def eval(self, row, most: float):
+        self.key, self.most = tuple(row[c] for c in (*PAGE, "id")), most
+        self.rows += [(y, row["x_start"], row["x_end"]) for y in range(row["y0"], row["y1"] + 1)]
+
+    def terminate(self):
+        if self.rows:
+            points = np.array(_loop(_whole(self.rows)))
+            for i, k in enumerate(_fewer(points, self.most)):
+                yield *self.key, i, int(points[k, 0]), int(points[k, 1])
+
+
+def _whole(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs that were cut at a tile's border, in one again."""
+    out: list[tuple[int, int, int]] = []
+    for y, s, e in sorted(rows):
+        if out and out[-1][0] == y and out[-1][2] == s:
+            out[-1] = (y, out[-1][1], e)
+        else:
+            out.append((y, s, e))
+    return out
+
+
+def outlines(marked: DataFrame, rule: HighlightRule = CONFIG.highlight) -> DataFrame:
+    """page, id, point, x, y: the corners of each mark's outer outline in their order, clockwise, with `polygon_off` pixels at most left out beside it; corners lie between pixels."""
+    found = written(labeled(marked))
+    named = found.join(_numbered(found, rule).select(*PAGE, "label", "id"), [*PAGE, "label"]).select(*PAGE, "id", "y0", "y1", "x_start", "x_end")
+    return Outline(named.asTable().partitionBy(*PAGE, "id"), F.lit(float(rule.polygon_off)))

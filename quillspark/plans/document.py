@@ -41,13 +41,8 @@ def find_lines(pages: DataFrame, config: Config = CONFIG, threshold: int = 128)
 
 def word_boxes(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, threshold: int = 128) -> DataFrame:
     """page, ln, word_no, x, y, w, h of the words of lines, tight around their ink."""
-    columns, keys = ink.line_columns(ink_of(pages, threshold), lines), [*PAGE, "ln"]
-    found = segment.segment_words(columns, keys, config.segment)
-    inside = columns.select(*keys, F.col("x").alias("cx"), "y_min", "y_max")
-    columns_of = found.select(*keys, "word_no", "x", "w", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("cx"))
-    tight = columns_of.join(inside, [*keys, "cx"]).groupBy(*keys, "word_no", "x", "w").agg(F.min("y_min").alias("y"), (F.max("y_max") - F.min("y_min") + 1).alias("h"))
-    left = lines.select(*keys, F.greatest(F.lit(0), "x").alias("line_x"))
-    return tight.join(left, keys).select(*keys, "word_no", (F.col("x") + F.col("line_x")).alias("x"), "y", "w", "h")
+    found = segment.segment_words(ink.line_columns(runs := ink_of(pages, threshold), lines), [*PAGE, "ln"], config.segment)
+    return ink.tight(found, runs, lines)
 
 
 def find_layout(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, threshold: int = 128, page_height: int = 1 << 30) -> Layout:

@@ -194,4 +194,14 @@ ORACLE: dict[str, str] = {
     "unruled_ink": q(LINES, INK, "cuts AS (SELECT document_id, y + unnest([-1, 0, 1]) AS y, s, e FROM runs WHERE e - s >= 60)", "px AS (SELECT document_id, y, unnest(range(s, e)) AS x FROM runs WHERE e - s < 60)",
         "SELECT document_id, y, count(*) AS row_ink, min(x) AS x_min, max(x) AS x_max FROM px p WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.document_id = p.document_id AND c.y = p.y AND p.x >= c.s AND p.x < c.e) GROUP BY document_id, y"),
     "highlight_boxes": q(LINES, MARKS, "SELECT document_id, 1 AS page_number, 'highlight_' || printf('%03d', row_number() OVER (PARTITION BY document_id ORDER BY y0, x0)) AS id, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, n AS area FROM found WHERE n >= 400"),
+    "margin_lines": q(LINES, INK, """bars AS (SELECT document_id, ln * 30 + i AS y, pw + 10 AS s, pw + 12 + (ln // 3) % 3 AS e FROM lines JOIN size USING (document_id), (SELECT unnest(range(30)) AS i) WHERE ln % 6 < 5
+  UNION ALL SELECT document_id, ln * 30 + i, pw + 30, pw + 33 FROM lines JOIN size USING (document_id), (SELECT unnest(range(30)) AS i) WHERE ln % 2 = 0)""",
+        "px AS (SELECT document_id, y, unnest(range(s, e)) AS x FROM (SELECT document_id, y, s, e FROM runs UNION ALL SELECT document_id, y, s, e FROM bars))",
+        "isle AS (SELECT *, y - row_number() OVER (PARTITION BY document_id, x ORDER BY y) AS g FROM px)",
+        'tall AS (SELECT document_id, x, min(y) AS "first", max(y) AS "last" FROM isle GROUP BY document_id, x, g HAVING count(*) >= 60)',
+        'SELECT document_id, "first", "last", count(*) AS n_columns, min(x) AS x_min, max(x) AS x_max FROM tall GROUP BY ALL'),
+    "line_columns": q(LINES, INK, "part AS (SELECT l.document_id, l.ln, greatest(s, x) - x AS a, least(e, x + w) - x AS b, count(*) AS c FROM lines l JOIN runs r ON r.document_id = l.document_id AND r.y >= l.y AND r.y < l.y + l.h WHERE least(e, x + w) > greatest(s, x) GROUP BY ALL)",
+        "px AS (SELECT document_id, ln, unnest(range(a, b)) AS p, c FROM part)", "col AS (SELECT document_id, ln, p, sum(c) AS n FROM px GROUP BY ALL)",
+        "isle AS (SELECT *, p - row_number() OVER (PARTITION BY document_id, ln, n ORDER BY p) AS g FROM col)",
+        "SELECT document_id, ln, min(p) AS x, max(p) AS x_end, n AS col_ink FROM isle GROUP BY document_id, ln, n, g"),
 }

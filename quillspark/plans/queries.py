@@ -360,6 +360,17 @@ def highlight_boxes(spark, d):
     return ink.highlights(proxy.yellow_runs(spark, d))
 
 
+def margin_lines(spark, d):
+    """Tall columns of ink, which are no writing, by where they start and end: how many columns, and the first and last of them."""
+    found = ink.tall_runs(proxy.margin_runs(spark, d)).groupBy("document_id", "first", "last")
+    return found.agg(F.sum(F.col("x_end") - F.col("x")).alias("n_columns"), F.min("x").alias("x_min"), F.max(F.col("x_end") - 1).alias("x_max"))
+
+
+def line_columns(spark, d):
+    """Ink of each line by columns of pixels, neighbours of the same ink as one row."""
+    return ink.line_columns(proxy.ink_runs(spark, d), proxy.line_regions(spark, d)).select("document_id", "ln", "x", "x_end", "col_ink")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -367,6 +378,6 @@ QUERIES = {
         word_islands, line_to_paragraph, line_to_question, enclosing_band, crop_hierarchy, crop_paths, new_crops, clamped_crops, cache_keys, cache_hits, cache_misses, call_cap, crop_created, state_advance, json_round_trip, ruled_bands, unruled_ink,
         uncertainty_repair, validate_response, confidence_class, review_flags, ocr_line_join, question_orphans, paragraph_text, answer_text, question_text,
         review_export, overlay_layers, nested_documents, state_violations, current_state, stage_reached, states_seen, ocr_progress, format_scan, redacted_log,
-        stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes,
+        stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes, margin_lines, line_columns,
     )
 }

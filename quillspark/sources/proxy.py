@@ -40,6 +40,16 @@ def ink_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(*PAGE, "height", rows, "part.x_start", "part.x_end")
 
 
+def margin_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ink_runs() and, right of a page's widest line, two bars: one of two to four columns that stops at every sixth line, and one at every other line, which is no line of its own: (document_id, page_number, y, x_start, x_end)."""
+    lines = line_regions(spark, sf_dir)
+    right = F.max(F.col("x") + F.col("w")).over(Window.partitionBy(*PAGE))
+    lines = lines.withColumn("right", right).withColumn("y", F.explode(F.sequence(F.col("ln") * 30, F.col("ln") * 30 + 29)))
+    at = lambda x, w: ((F.col("right") + x).alias("x_start"), (F.col("right") + x + w).cast("int").alias("x_end"))
+    bars = lines.where("ln % 6 < 5").select(*PAGE, "y", *at(10, 2 + F.floor(F.col("ln") / 3) % 3)).unionByName(lines.where("ln % 2 = 0").select(*PAGE, "y", *at(30, 3)))
+    return ink_runs(spark, sf_dir).select(*PAGE, "y", "x_start", "x_end").unionByName(bars)
+
+
 def yellow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of marker on rows of pixels, over every fourth line and half of the next one, up to which it reaches in every other document: (document_id, page_number, y, x_start, x_end)."""
     lines, first = line_regions(spark, sf_dir).where("ln % 4 < 2 and w > 3"), F.col("ln") % 4 == 0

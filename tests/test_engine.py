@@ -406,17 +406,52 @@ def test_columns_and_density_of_lines(spark):
     mask = rnd.random((40, 60)) < 0.5
     lines = spark.createDataFrame([(1, 1, 0, 5, 3, 30, 12), (1, 1, 1, -4, 20, 20, 10), (1, 1, 2, 50, 35, 30, 30)], "document_id long, page_number int, ln int, x int, y int, w int, h int")
     runs = runs_of(spark, mask)
-    got = {(r.ln, r.x): (r.col_ink, r.y_min, r.y_max) for r in ink.line_columns(runs, lines).collect()}
+    ranges = ink.line_columns(runs, lines).collect()
+    got = {(r.ln, x): r.col_ink for r in ranges for x in range(r.x, r.x_end + 1)}
+    assert len(got) == sum(r.x_end - r.x + 1 for r in ranges) > len(ranges)
     want = {}
     for ln, x, y, w, h in ((0, 5, 3, 30, 12), (1, 0, 20, 16, 10), (2, 50, 35, 30, 30)):
         part = mask[y : y + h, x : x + w]
         for c in np.flatnonzero(part.any(axis=0)):
             at = np.flatnonzero(part[:, c])
-            want[ln, int(c)] = (len(at), y + int(at[0]), y + int(at[-1]))
+            want[ln, int(c)] = len(at)
     assert got == want
+    words = spark.createDataFrame([(1, 1, 0, 1, 3, 4), (1, 1, 0, 2, 10, 9), (1, 1, 1, 1, 0, 5), (1, 1, 2, 1, 2, 6)], "document_id long, page_number int, ln int, word_no int, x int, w int")
+    box = {(r.ln, r.word_no): (r.x, r.y, r.w, r.h) for r in ink.tight(words, runs, lines).collect()}
+    for (ln, k), (x, w) in {(0, 1): (8, 4), (0, 2): (15, 9), (1, 1): (0, 5), (2, 1): (52, 6)}.items():
+        top, low = {0: (3, 15), 1: (20, 30), 2: (35, 40)}[ln]
+        rows = top + np.flatnonzero(mask[top:low, x : x + w].any(axis=1))
+        assert box[ln, k] == (x, rows[0], w, rows[-1] - rows[0] + 1)
     assert {r.ln: round(r.density, 9) for r in ink.line_density(runs, lines.where("ln < 2")).collect()} == {0: round(mask[3:15, 5:35].mean(), 9), 1: round(mask[20:30, :16].mean(), 9)}
 
 
+def plain_tall(mask, least):
+    """(x, first, last) of each run of so many pixels in a column."""
+    out = []
+    for x in range(mask.shape[1]):
+        edge = np.flatnonzero(np.diff(np.r_[0, mask[:, x].astype(int), 0]))
+        out += [(x, int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [1, 2, 7, 8, 60])
+def test_tall_runs_equal_those_of_pixels(spark, least):
+    from quillspark.config import Segment
+
+    rnd = np.random.default_rng(least)
+    mask = rnd.random((150, 60)) < 0.55
+    mask[20:110, 10:13] = mask[40:101, 30:50] = mask[0:150, 58:60] = True
+    for k in range(70):  # a slant
+        mask[60 + k, 14 + k // 12 : 18 + k // 12] = True
+    mask[70:75, 20:28] = False
+    found = ink.tall_runs(runs_of(spark, mask), Segment(margin_kernel_height=least))
+    got = sorted((x, r.first, r.last) for r in found.collect() for x in range(r.x, r.x_end))
+    assert got == plain_tall(mask, least) and len(got) > 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan  # no row for each pixel
+    assert ink.tall_runs(runs_of(spark, mask).where("false"), Segment(margin_kernel_height=least)).count() == 0
+
+
 def plain_boxes(mask):
     seen, out = np.zeros(mask.shape, bool), []
     for y, x in zip(*np.nonzero(mask)):
@@ -450,6 +485,82 @@ def test_connected_marks_equal_a_flood(spark):
     assert ink.highlights(runs_of(spark, mask).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("height, width, bins", [(8, 16, 4), (5, 7, 64), (64, 4096, 64)])
+def test_marks_over_tiles_equal_a_flood(spark, monkeypatch, height, width, bins):
+    from quillspark.config import HighlightRule
+
+    for name, value in (("TILE_HEIGHT", height), ("TILE_WIDTH", width), ("BIN", bins)):
+        monkeypatch.setattr(ink, name, value)
+    rnd = np.random.default_rng(height)
+    mask = rnd.random((45, 70)) < 0.3
+    mask[8:30, 14:17] = mask[7, 20:60] = mask[16:25, 31:33] = True
+    for i in range(40):  # a staircase of corners that touch
+        mask[i, i + 20] = True
+    got = ink.highlights(runs_of(spark, mask), HighlightRule(min_area=1)).collect()
+    assert sorted((r.x, r.y, r.w, r.h, r.area) for r in got) == plain_boxes(mask)
+
+
+def test_a_page_of_many_marks_side_by_side_is_many_tasks(spark):
+    from quillspark.config import HighlightRule
+
+    n = 100_000
+    marks = spark.range(n).selectExpr("1L document_id", "1 page_number", "cast(id * 6 as int) x_start", "cast(id * 6 + 4 as int) x_end", "explode(sequence(0, 7)) y")
+    marks = marks.unionByName(spark.range(n // 100).selectExpr("1L document_id", "1 page_number", "cast(id * 600 as int) x_start", "cast(id * 600 + 600 - 2 as int) x_end", "8 y"))
+    began = time.time()
+    found = ink.highlights(marks, HighlightRule(min_area=1))
+    assert found.groupBy("h").count().collect() == [(9, n // 100)]
+    assert time.time() - began < 60
+    tiles = ink.labeled(marks).select((F.col("label") / (1 << 21)).cast("long").alias("tile")).distinct().count()
+    assert tiles > 100
+
+
+def test_outlines_are_near_the_marks_edges(spark):
+    from quillspark.config import HighlightRule
+
+    mask = np.zeros((160, 220), bool)
+    mask[10:40, 10:90] = True  # a rectangle
+    yy, xx = np.mgrid[:160, :220]
+    mask |= (yy - 90) ** 2 + (xx - 60) ** 2 <= 35**2
+    mask &= ~((yy - 90) ** 2 + (xx - 60) ** 2 <= 10**2)  # with a hole
+    mask |= (np.abs(yy - 80 - (xx - 150) * 0.5) < 9) & (xx > 130) & (xx < 200)
+    mask[150:155, 100:110] = mask[155:159, 110:120] = True  # touching at a corner
+    rows = ink.outlines(runs_of(spark, mask), HighlightRule(min_area=50)).orderBy("id", "point").collect()
+    shapes = {}
+    for r in rows:
+        shapes.setdefault(r.id, []).append((r.x, r.y))
+    boxes = {r.id: r for r in ink.highlights(runs_of(spark, mask), HighlightRule(min_area=50)).collect()}
+    assert set(shapes) == set(boxes) and len(shapes) == 4
+    assert sorted(shapes["highlight_001"]) == [(10, 10), (10, 40), (90, 10), (90, 40)]
+    for i, corners in shapes.items():
+        b, ring = boxes[i], np.array(corners + corners[:1], float)
+        part = mask[b.y : b.y + b.h, b.x : b.x + b.w]
+        assert len(corners) < 20
+        # each edge pixel is at most 4 pixels (and the half of its own size) from the outline, and each corner lies on the mark's edge
+        pad = np.pad(part, 1)
+        filled = ~flooded(~pad)
+        edge = filled & ~(np.roll(filled, 1, 0) & np.roll(filled, -1, 0) & np.roll(filled, 1, 1) & np.roll(filled, -1, 1))
+        for y, x in zip(*np.nonzero(edge)):
+            p = np.array([x - 1 + b.x + 0.5, y - 1 + b.y + 0.5])
+            a, d = ring[:-1], np.diff(ring, axis=0)
+            t = np.clip(((p - a) * d).sum(axis=1) / np.maximum((d**2).sum(axis=1), 1e-9), 0, 1)
+            assert np.hypot(*(p - a - t[:, None] * d).T).min() <= 4.8
+
+
+def flooded(free):
+    """The free pixels that hang together with the corner."""
+    out = np.zeros(free.shape, bool)
+    out[0, 0] = True
+    while True:
+        grown = out.copy()
+        for axis in (0, 1):
+            for step in (1, -1):
+                grown |= np.roll(out, step, axis)
+        grown &= free
+        if (grown == out).all():
+            return out
+        out = grown
+
+
 def test_highlight_mask():
     page = np.full((60, 60, 3), 255, np.uint8)
     page[10:40, 10:40] = (60, 230, 250)
