@@ -94,6 +94,11 @@ class Transcription:
     endpoint: str = ""
     api_key_env: str = ""
     max_calls_per_page: int = 100
+    in_flight: int = 4
+    per_second: float = 0.0
+    retries: int = 2
+    first_pause: float = 0.5
+    longest_pause: float = 30.0
     cache: bool = True
     schema_version: str = "line-transcription-v1"
     prompt: str = "Transcribe the handwritten line as it is written. Keep spelling, strike-throughs and insertions; mark what can't be read. Reply in JSON."

@@ -5,8 +5,12 @@ from __future__ import annotations
 import base64
 import json
 import os
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from uuid import uuid4
 
 import pandas as pd
@@ -185,30 +189,69 @@ def validated(raw: Column) -> Column:
     return let(raw, of)
 
 
+class Bucket:
+    """Lets so many calls through a second, and up to `burst` at once after a pause; 0 lets all through. Safe for threads."""
+
+    def __init__(self, per_second: float, burst: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.per_second, self.burst, self.clock, self.sleep = per_second, max(1, burst), clock, sleep
+        self.lock, self.held, self.at = Lock(), float(self.burst), clock()
+
+    def take(self) -> None:
+        if self.per_second <= 0:
+            return
+        with self.lock:  # a call takes its place even if it has to wait for it
+            now = self.clock()
+            self.held = min(self.burst, self.held + (now - self.at) * self.per_second) - 1
+            self.at = now
+            wait = max(0.0, -self.held / self.per_second)
+        if wait:
+            self.sleep(wait)
+
+
+def patient(call: Transcriber, how: Transcription, bucket: Bucket, sleep: Callable[[float], None] = time.sleep) -> Transcriber:
+    """call, with its place in the bucket each time, and tried again where the other side says that it is busy (429) or broken (5xx): `retries` times at most, after a
+    pause that doubles or as long as the answer says, no longer than `longest_pause`. For the cap of a page a line counts once, however often it is tried."""
+
+    def tried(request: dict, image: bytes) -> str | dict:
+        for k in range(how.retries + 1):
+            bucket.take()
+            try:
+                return call(request, image)
+            except urllib.error.HTTPError as e:
+                if k == how.retries or not (e.code == 429 or e.code >= 500):
+                    raise
+                said = (e.headers or {}).get("Retry-After", "")
+                sleep(min(how.longest_pause, float(said) if said.isdigit() else how.first_pause * 2**k))
+        raise AssertionError("not reached")
+
+    return tried
+
+
 def transcribe(misses: DataFrame, transcriber: Transcriber | None, how: Transcription = CONFIG.transcription) -> DataFrame:
     """raw (JSON) and failure for each crop (page, crop_id, cache_key, image).
 
-    The call goes out once for each row of the input and can't be undone: write the result before using it twice, and keep
-    speculation off.
+    A task has `in_flight` calls out at most and starts `per_second` at most; their answers come back in the order of the crops. In all there are as many
+    as tasks run at once, so set these by the cluster's cores. A call goes out once for each row of the input (and again as patient() says) and can't be undone: write the result
+    before using it twice, and keep speculation off.
     """
     keep = [c for c in misses.columns if c != "image"]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raws, failures = [], []
-            for crop_id, image in zip(batch["crop_id"], batch["image"]):
-                raw = failure = None
-                if transcriber is None:
-                    failure = "provider_unavailable"
-                else:
-                    try:
-                        raw = transcriber(request_for(crop_id, how), bytes(image))
-                        raw = raw if isinstance(raw, str) else json.dumps(raw, ensure_ascii=False)
-                    except Exception as e:  # noqa: BLE001 - one failing line must not end the document
-                        failure = f"provider_failure:{type(e).__name__}:{e}"
-                raws.append(raw)
-                failures.append(failure)
-            yield batch[keep].assign(raw=raws, failure=failures)
+        ask = patient(transcriber, how, Bucket(how.per_second, how.in_flight)) if transcriber else None
+
+        def one(crop_id: str, image: bytes) -> tuple[str | None, str | None]:
+            if ask is None:
+                return None, "provider_unavailable"
+            try:
+                raw = ask(request_for(crop_id, how), bytes(image))
+                return raw if isinstance(raw, str) else json.dumps(raw, ensure_ascii=False), None
+            except Exception as e:  # noqa: BLE001 - one failing line must not end the document
+                return None, f"provider_failure:{type(e).__name__}:{e}"
+
+        with ThreadPoolExecutor(max(1, how.in_flight)) as pool:
+            for batch in batches:
+                made = list(pool.map(one, batch["crop_id"], batch["image"]))
+                yield batch[keep].assign(raw=[r for r, _ in made], failure=[f for _, f in made])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in misses.schema if f.name in keep)
     return misses.mapInPandas(call, f"{fields}, raw string, failure string")
@@ -244,25 +287,41 @@ PROVIDERS: dict[str, Callable[[Transcription], Transcriber]] = {
 }
 
 
+def keep_cache(responses: DataFrame, table: str, buckets: int) -> None:
+    """Appends responses (cache_key, raw) to a table that lies in buckets by the key: a lookup moves the keys asked for and leaves the table where it is.
+
+    Pass its frame, `spark.table(table)`, to run(). Entries that are there already are left out.
+    """
+    spark = responses.sparkSession
+    new = responses.select("cache_key", "raw").dropDuplicates(["cache_key"])
+    if spark.catalog.tableExists(table):
+        new = new.join(spark.table(table).select("cache_key"), "cache_key", "left_anti")
+    new.repartition(buckets, "cache_key").write.bucketBy(buckets, "cache_key").sortBy("cache_key").format("parquet").mode("append").saveAsTable(table)
+
+
 def run(crops: DataFrame, cache: DataFrame, how: Transcription = CONFIG.transcription, transcriber: Transcriber | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results: page, crop_id, cache_key, result), (responses: cache_key, raw) for line crops (page, crop_id, image).
+    """(results: page, crop_id, cache_key, result), (responses: cache_key, raw) for line crops (page, crop_id, image), one for each (page, crop_id).
 
     Hits come from the cache; of equal misses the first goes out and all share its answer; misses beyond the page's calls are
-    not made. With a store, a folder, what the calls gave is written there before anything is made of it, so no call goes out twice. Without one,
-    write the responses, the new cache entries, before using either frame again.
+    not made. All of that is decided on keys; only the images of calls that are made move, once. With a store, a folder, what the calls gave is written there before anything is made of it,
+    so no call goes out twice. Without one, write the responses, the new cache entries, before using either frame again.
     """
     make = transcriber or (PROVIDERS[how.provider](how) if how.provider in PROVIDERS else None)
-    keyed = with_cache_key(crops, how=how)
+    others = [c for c in crops.columns if c not in (*PAGE, "crop_id", "image")]
+    keyed = with_cache_key(crops, how=how).select(*PAGE, "crop_id", *others, "cache_key")
     first = Window.partitionBy("cache_key").orderBy(*PAGE, "crop_id")
-    misses = call_cap(cache_misses(keyed, cache).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), "crop_id", how.max_calls_per_page)
-    made = transcribe(misses.where("not capped"), make, how).select("cache_key", "raw", "failure")
+    missed = cache_misses(keyed.select(*PAGE, "crop_id", "cache_key"), cache)
+    misses = call_cap(missed.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), "crop_id", how.max_calls_per_page)
+    asked = misses.where("not capped").select(*PAGE, "crop_id", "cache_key")
+    called = crops.select(*PAGE, "crop_id", "image").join(asked, [*PAGE, "crop_id"])
+    made = transcribe(called, make, how).select("cache_key", "raw", "failure")
     if store:
         at = f"{store.rstrip('/')}/calls-{uuid4().hex}"
         made.write.parquet(at)
         made = crops.sparkSession.read.schema(made.schema).parquet(at)
     capped = misses.where("capped").select("cache_key", F.lit(None).cast("string").alias("raw"), F.lit("page_call_cap_reached").alias("failure"))
     known = cache.select("cache_key", "raw").dropDuplicates(["cache_key"]).withColumn("failure", F.lit(None).cast("string"))
-    answers = known.unionByName(made).unionByName(capped)
     result = F.when(F.col("failure").isNotNull(), unavailable(F.col("failure"))).otherwise(validated(message_text(F.col("raw"))))
-    results = keyed.drop("image").join(answers, "cache_key").withColumn("result", result)
+    # the cache is met apart from what is new, so that its buckets stay as they are
+    results = keyed.join(known, "cache_key").unionByName(keyed.join(made.unionByName(capped), "cache_key")).withColumn("result", result)
     return results.drop("raw", "failure"), made.where("raw is not null").select("cache_key", "raw")

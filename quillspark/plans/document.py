@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
 from ..functions.expressions import ordinal_id
-from ..operators import assemble, crops, ink, kernels, layout, review, segment, transcribe
+from ..operators import assemble, crops, ink, kernels, layout, once, review, segment, transcribe
 from ..schema import PAGE
 
 
@@ -83,13 +83,15 @@ def read_lines(pages: DataFrame, found: Layout, cache: DataFrame, config: Config
 def read_and_keep(pages: DataFrame, found: Layout, at: str, config: Config = CONFIG, transcriber=None) -> DataFrame:
     """The results of the line crops, from the tables under a folder and added to them: responses (cache_key, raw, as they came) and results (page, crop_id, ...).
 
-    Both only grow; a run that is done again makes no call and adds nothing. Results that failed or were capped are given but not kept, so a later run tries again.
+    Both only grow, by one commit each, so runs may write side by side; a run that is done again makes no call and adds nothing. Results that failed or were capped are given but not kept, so a later run tries again.
     """
     spark, responses, kept = pages.sparkSession, f"{at}/responses", f"{at}/results"
-    known = spark.read.parquet(responses) if crops.exists(spark, responses) else spark.createDataFrame([], "cache_key string, raw string")
+    known = once.table(spark, responses)
+    if known is None:
+        known = spark.createDataFrame([], "cache_key string, raw string")
     results, fresh = read_lines(pages, found, known, config, transcriber, store=f"{at}/calls")
-    crops.append_new(fresh, responses, ["cache_key"])
-    crops.append_new(results.where("result.validation_state <> 'unavailable'"), kept, [*PAGE, "crop_id"])
+    once.append_once(fresh, responses, ["cache_key"])
+    once.append_once(results.where("result.validation_state <> 'unavailable'"), kept, [*PAGE, "crop_id"])
     return results
 
 

@@ -204,4 +204,9 @@ ORACLE: dict[str, str] = {
         "px AS (SELECT document_id, ln, unnest(range(a, b)) AS p, c FROM part)", "col AS (SELECT document_id, ln, p, sum(c) AS n FROM px GROUP BY ALL)",
         "isle AS (SELECT *, p - row_number() OVER (PARTITION BY document_id, ln, n ORDER BY p) AS g FROM col)",
         "SELECT document_id, ln, min(p) AS x, max(p) AS x_end, n AS col_ink FROM isle GROUP BY document_id, ln, n, g"),
+    "document_trees": q(LINES, """SELECT document_id, CASE WHEN document_id % 5 = 0 THEN 'APPROVED' ELSE 'UPLOADED' END AS state, 1 AS n_pages, 0 AS n_reviews_of_all, '' AS final_answer,
+  CASE WHEN document_id % 3 = 0 THEN '' END AS question_text, CASE WHEN document_id % 3 = 0 THEN 0 END AS question_lines, CASE WHEN document_id % 2 = 0 THEN 'highlight' END AS mark_type, 0 AS n_crops,
+  count(*) AS n_ocr, count(*) FILTER (ln % 4 <> 1) AS n_valid, count(*) AS n_pending, count(*) FILTER (ln % 5 = 0) AS n_unsure, count(*) FILTER (ln % 10 = 5) AS n_without_reason,
+  count(*) FILTER (ln % 7 = 0) AS n_reviews, count(*) FILTER (ln % 7 = 0) AS n_plain_reviews, coalesce(sum(ln) FILTER (ln % 7 = 0), 0) AS latency,
+  count(*) FILTER (ln % 3 = 0 OR text = '') AS n_without_text, TRUE AS same FROM lines GROUP BY document_id"""),
 }

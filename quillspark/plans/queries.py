@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import assemble, crops, ink, layout, review, segment, transcribe
+from ..operators import assemble, crops, ink, layout, review, segment, transcribe, tree
 from ..schema import PAGE, STATES, states
 from ..sources import images, proxy
 
@@ -371,6 +371,47 @@ def line_columns(spark, d):
     return ink.line_columns(proxy.ink_runs(spark, d), proxy.line_regions(spark, d)).select("document_id", "ln", "x", "x_end", "col_ink")
 
 
+def _sparse_documents(spark, d):
+    """Documents of one page as JSON in which much is left out, as an earlier version may have written them: document_id, json."""
+    lines = proxy.line_regions(spark, d)
+    name, box = F.format_string("l%03d", "ln"), F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height"))
+    review_ = F.when(F.col("ln") % 7 == 0, F.struct(name.alias("id"), F.lit("t").alias("targetId"), F.lit("low_confidence").alias("trigger"), F.col("ln").alias("latencyMs")))
+    unsure = F.when(F.col("ln") % 5 == 0, F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.when(F.col("ln") % 2 == 0, "faint").alias("reason"))))
+    state = F.when(F.col("ln") % 4 == 1, "repaired")
+    ocr = F.struct("ln", F.struct(name.alias("cropId"), "text", F.lit(0.5).alias("confidence"), F.lit("m").alias("model"), review_.alias("llmReview"), unsure.alias("uncertainty"), state.alias("validationState")).alias("r"))
+    own = F.struct("ln", F.struct(name.alias("id"), box.alias("bbox"), name.alias("cropId"), F.when(F.col("ln") % 3 > 0, F.col("text")).alias("text")).alias("r"))
+    listed = lines.groupBy("document_id").agg(F.sort_array(F.collect_list(ocr)).alias("ocr"), F.sort_array(F.collect_list(own)).alias("own"))
+    plain = lambda c: F.transform(c, lambda x: x["r"])
+    none = F.struct(*(F.lit(0).alias(c) for c in ("x", "y", "width", "height")))
+    paragraph = F.struct(F.lit("p001").alias("id"), F.lit(1).alias("pageNumber"), F.lit(1).alias("order"), none.alias("bbox"), F.lit("c").alias("cropPath"), plain("own").alias("lines"))
+    question = F.when(F.col("document_id") % 3 == 0, F.struct(F.lit("q001").alias("id"), none.alias("bbox"), F.lit("c").alias("cropPath")))
+    marks = F.when(F.col("document_id") % 2 == 0, F.array(F.struct(F.lit("highlight_001").alias("id"))))
+    image = F.struct(F.lit(1).alias("pageNumber"), F.lit("p.png").alias("path"), F.lit(100).alias("width"), F.lit(200).alias("height"), F.lit(150).alias("dpi"))
+    page = F.struct(F.lit(1).alias("pageNumber"), image.alias("image"), question.alias("question"), F.struct(none.alias("bbox"), F.array(paragraph).alias("paragraphs")).alias("answer"), marks.alias("highlights"), plain("ocr").alias("ocr"))
+    source = F.struct(F.lit("image").alias("type"), F.lit("a.png").alias("originalPath"))
+    whole = F.struct(F.col("document_id").cast("string").alias("documentId"), source.alias("source"), F.when(F.col("document_id") % 5 == 0, "APPROVED").alias("state"), F.array(page).alias("pages"))
+    return listed.select("document_id", F.to_json(whole).alias("json"))
+
+
+def document_trees(spark, d):
+    """Documents read from JSON that leaves much out, with the defaults of every depth, written, and read again."""
+    found, _ = tree.documents(_sparse_documents(spark, d))
+    again = found.select("document_id", F.col("document").alias("first"), tree.written(F.col("document")).alias("json"))
+    t, page = F.col("document"), F.col("document.pages")[0]
+    said = page["ocr"]
+    unsure = F.flatten(F.transform(said, lambda r: r["uncertainty"]))
+    reviews = F.filter(F.transform(said, lambda r: r["llmReview"]), lambda r: r.isNotNull())
+    lines = page["answer"]["paragraphs"][0]["lines"]
+    return tree.documents(again)[0].select(
+        "document_id", t["state"].alias("state"), F.size("document.pages").alias("n_pages"), F.size("document.llmReviews").alias("n_reviews_of_all"), t["final"]["answer"].alias("final_answer"),
+        page["question"]["text"].alias("question_text"), F.size(page["question"]["lines"]).alias("question_lines"), F.get(page["highlights"]["type"], F.lit(0)).alias("mark_type"), F.size(page["crops"]).alias("n_crops"),
+        F.size(said).alias("n_ocr"), F.size(F.filter(said, lambda r: r["validationState"] == "valid")).alias("n_valid"), F.size(F.filter(said, lambda r: r["reviewState"] == "pending")).alias("n_pending"),
+        F.size(unsure).alias("n_unsure"), F.size(F.filter(unsure, lambda r: r["reason"] == "")).alias("n_without_reason"),
+        F.size(reviews).alias("n_reviews"), F.size(F.filter(reviews, lambda r: (r["model"] == "") & ~r["applied"])).alias("n_plain_reviews"), F.aggregate(reviews, F.lit(0), lambda a, r: a + r["latencyMs"]).alias("latency"),
+        F.size(F.filter(lines, lambda x: x["text"] == "")).alias("n_without_text"), (tree.written(F.col("first")) == tree.written(t)).alias("same"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -378,6 +419,6 @@ QUERIES = {
         word_islands, line_to_paragraph, line_to_question, enclosing_band, crop_hierarchy, crop_paths, new_crops, clamped_crops, cache_keys, cache_hits, cache_misses, call_cap, crop_created, state_advance, json_round_trip, ruled_bands, unruled_ink,
         uncertainty_repair, validate_response, confidence_class, review_flags, ocr_line_join, question_orphans, paragraph_text, answer_text, question_text,
         review_export, overlay_layers, nested_documents, state_violations, current_state, stage_reached, states_seen, ocr_progress, format_scan, redacted_log,
-        stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes, margin_lines, line_columns,
+        stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes, margin_lines, line_columns, document_trees,
     )
 }
