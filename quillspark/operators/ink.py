@@ -124,6 +124,43 @@ def line_density(ink: DataFrame, lines: DataFrame) -> DataFrame:
     return found.select(*PAGE, "ln", (F.col("n") / F.greatest(F.lit(1), "area")).alias("density"))
 
 
+def _edge(marked: DataFrame, name: str) -> Column:
+    """The page's height or width; far away where the runs don't say."""
+    return F.col(name) if name in marked.columns else F.lit(1 << 30)
+
+
+def _grown(marked: DataFrame, r: int, kept: list[str]) -> DataFrame:
+    """Runs of all pixels that are r pixels or fewer from ink, in rows and columns."""
+    y = F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - r), F.least(_edge(marked, "height") - 1, F.col("y") + r))).alias("y")
+    sides = F.greatest(F.lit(0), F.col("x_start") - r).alias("x_start"), F.least(_edge(marked, "width"), F.col("x_end") + r).alias("x_end")
+    wide = marked.select(*PAGE, *kept, y, *sides)
+    w = Window.partitionBy(*ROW).orderBy("x_start", "x_end")
+    apart = F.col("x_start") > F.max("x_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = wide.withColumn("island", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*PAGE, *kept, "y", "island").agg(F.min("x_start").alias("x_start"), F.max("x_end").alias("x_end")).drop("island")
+
+
+def _shrunk(marked: DataFrame, r: int, kept: list[str]) -> DataFrame:
+    """Runs of all pixels that have nothing but ink r pixels around them; what lies beyond the page doesn't count. A pixel stays if all the rows around it cover it, which is
+    a running sum over the edges of their runs."""
+    height, width = _edge(marked, "height"), _edge(marked, "width")
+    sides = F.when(F.col("x_start") > 0, F.col("x_start") + r).otherwise(0).alias("x_start"), F.when(F.col("x_end") < width, F.col("x_end") - r).otherwise(F.col("x_end")).alias("x_end")
+    thin = marked.select(*PAGE, *kept, "y", *sides).where("x_end > x_start")
+    around = thin.select(*PAGE, *kept, "x_start", "x_end", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - r), F.least(height - 1, F.col("y") + r))).alias("y"))
+    rows = F.least(height - 1, F.col("y") + r) - F.greatest(F.lit(0), F.col("y") - r) + 1
+    return _depths(around, [*PAGE, *kept, "y"]).where(F.col("n") == rows).select(*PAGE, *kept, "y", F.col("x").alias("x_start"), "x_end")
+
+
+def cleaned(marked: DataFrame, size: int = CONFIG.highlight.cleanup) -> DataFrame:
+    """Runs closed and then opened by a square of so many (an odd number of) pixels: small gaps are filled, then small specks go. On runs, a row of pixels at a time, with height and width where
+    the runs have them."""
+    kept, r = [c for c in ("height", "width") if c in marked.columns], size // 2
+    if r == 0:
+        return marked
+    closed = _shrunk(_grown(marked, r, kept), r, kept)
+    return _grown(_shrunk(closed, r, kept), r, kept)
+
+
 def pieces(marked: DataFrame) -> DataFrame:
     """page, x_start, x_end, y0, y1: runs of the same place in rows below each other as one."""
     same = [*PAGE, "x_start", "x_end"]

@@ -31,6 +31,11 @@ def ink_of(pages: DataFrame, threshold: int = 128) -> DataFrame:
     return kernels.pixel_runs(pages, lambda bgr: kernels.dark(bgr, threshold))
 
 
+def marks_of(pages: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Runs of marker, cleaned."""
+    return ink.cleaned(kernels.pixel_runs(pages, lambda bgr: kernels.marker(bgr, config.highlight)), config.highlight.cleanup)
+
+
 def find_lines(pages: DataFrame, config: Config = CONFIG, threshold: int = 128) -> DataFrame:
     """page, ln, x, y, w, h, ink_area, density, text (null) from pixels. The runs are small: write the lines if the pages are read again."""
     raw = ink_of(pages, threshold)
@@ -66,7 +71,7 @@ def find_layout(pages: DataFrame, lines: DataFrame, config: Config = CONFIG, thr
         words.select(*PAGE, F.lit("word").alias("type"), ordinal_id(F.concat("parent_id", F.lit("_word")), F.col("word_no"), 2).alias("id"), "parent_id", *box),
     ):
         found = found.unionByName(more)
-    return Layout(lines, questions, answers, inside, paragraphs, ink.highlights(kernels.pixel_runs(pages, lambda bgr: kernels.marker(bgr, config.highlight)), config.highlight), found)
+    return Layout(lines, questions, answers, inside, paragraphs, ink.highlights(marks_of(pages, config), config.highlight), found)
 
 
 def line_crops(found: Layout) -> DataFrame:

@@ -209,4 +209,14 @@ ORACLE: dict[str, str] = {
   count(*) AS n_ocr, count(*) FILTER (ln % 4 <> 1) AS n_valid, count(*) AS n_pending, count(*) FILTER (ln % 5 = 0) AS n_unsure, count(*) FILTER (ln % 10 = 5) AS n_without_reason,
   count(*) FILTER (ln % 7 = 0) AS n_reviews, count(*) FILTER (ln % 7 = 0) AS n_plain_reviews, coalesce(sum(ln) FILTER (ln % 7 = 0), 0) AS latency,
   count(*) FILTER (ln % 3 = 0 OR text = '') AS n_without_text, TRUE AS same FROM lines GROUP BY document_id"""),
+    "cleaned_marks": q(LINES, """blot AS (SELECT document_id, ln * 8 AS y0, 3 + length(text) % 3 AS h, length(text) % 11 AS a, length(text) % 11 + 3 + length(text) % 6 AS b, length(text) % 11 + 4 + length(text) % 6 + length(text) % 5 AS c FROM lines),
+row AS (SELECT document_id, a, b, c, y0 + unnest(range(h)) AS y FROM blot),
+px AS (SELECT document_id, y, unnest(range(a, b)) AS x FROM row UNION SELECT document_id, y, unnest(range(c, c + 4)) FROM row),
+o AS (SELECT i, j FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)),
+grown AS (SELECT DISTINCT document_id, y + i AS y, x + j AS x FROM px, o WHERE y + i >= 0 AND x + j >= 0),
+closed AS (SELECT document_id, y, x FROM (SELECT document_id, y - i AS y, x - j AS x FROM grown, o WHERE y - i >= 0 AND x - j >= 0) GROUP BY document_id, y, x HAVING count(*) = (3 + least(2, y)) * (3 + least(2, x))),
+left_ AS (SELECT document_id, y, x FROM (SELECT document_id, y - i AS y, x - j AS x FROM closed, o WHERE y - i >= 0 AND x - j >= 0) GROUP BY document_id, y, x HAVING count(*) = (3 + least(2, y)) * (3 + least(2, x))),
+opened AS (SELECT DISTINCT document_id, y + i AS y, x + j AS x FROM left_, o WHERE y + i >= 0 AND x + j >= 0),
+isle AS (SELECT *, x - row_number() OVER (PARTITION BY document_id, y ORDER BY x) AS g FROM opened)""",
+        "SELECT document_id, y, min(x) AS x_start, max(x) + 1 AS x_end FROM isle GROUP BY document_id, y, g"),
 }

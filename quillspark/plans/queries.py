@@ -371,6 +371,11 @@ def line_columns(spark, d):
     return ink.line_columns(proxy.ink_runs(spark, d), proxy.line_regions(spark, d)).select("document_id", "ln", "x", "x_end", "col_ink")
 
 
+def cleaned_marks(spark, d):
+    """Blots after small gaps are filled and small specks are gone, as runs."""
+    return ink.cleaned(proxy.specks(spark, d), 5).select("document_id", "y", "x_start", "x_end")
+
+
 def _sparse_documents(spark, d):
     """Documents of one page as JSON in which much is left out, as an earlier version may have written them: document_id, json."""
     lines = proxy.line_regions(spark, d)
@@ -419,6 +424,6 @@ QUERIES = {
         word_islands, line_to_paragraph, line_to_question, enclosing_band, crop_hierarchy, crop_paths, new_crops, clamped_crops, cache_keys, cache_hits, cache_misses, call_cap, crop_created, state_advance, json_round_trip, ruled_bands, unruled_ink,
         uncertainty_repair, validate_response, confidence_class, review_flags, ocr_line_join, question_orphans, paragraph_text, answer_text, question_text,
         review_export, overlay_layers, nested_documents, state_violations, current_state, stage_reached, states_seen, ocr_progress, format_scan, redacted_log,
-        stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes, margin_lines, line_columns, document_trees,
+        stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes, margin_lines, line_columns, cleaned_marks, document_trees,
     )
 }

@@ -50,6 +50,14 @@ def margin_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ink_runs(spark, sf_dir).select(*PAGE, "y", "x_start", "x_end").unionByName(bars)
 
 
+def specks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two small blots for each line, one to five pixels apart and three to five rows high: (document_id, page_number, y, x_start, x_end)."""
+    n = F.length("text")
+    first = n % 11 + 3 + n % 6
+    lines = line_regions(spark, sf_dir).select(*PAGE, F.explode(F.sequence(F.col("ln") * 8, F.col("ln") * 8 + 2 + n % 3)).alias("y"), (n % 11).alias("a"), first.alias("b"), (first + 1 + n % 5).alias("c"))
+    return lines.select(*PAGE, "y", F.col("a").alias("x_start"), F.col("b").alias("x_end")).unionByName(lines.select(*PAGE, "y", F.col("c").alias("x_start"), (F.col("c") + 4).alias("x_end")))
+
+
 def yellow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of marker on rows of pixels, over every fourth line and half of the next one, up to which it reaches in every other document: (document_id, page_number, y, x_start, x_end)."""
     lines, first = line_regions(spark, sf_dir).where("ln % 4 < 2 and w > 3"), F.col("ln") % 4 == 0

@@ -485,6 +485,28 @@ def test_connected_marks_equal_a_flood(spark):
     assert ink.highlights(runs_of(spark, mask).where("false")).count() == 0
 
 
+def plain_cleaned(mask, r):
+    """Closed and opened by a square, pixel by pixel; beyond the page nothing counts."""
+
+    def window(m, beyond, best):
+        padded = np.pad(m, r, constant_values=beyond)
+        return best([padded[i : i + m.shape[0], j : j + m.shape[1]] for i in range(2 * r + 1) for j in range(2 * r + 1)], axis=0)
+
+    grown, shrunk = lambda m: window(m, False, np.any), lambda m: window(m, True, np.all)
+    return grown(shrunk(shrunk(grown(mask))))
+
+
+@pytest.mark.parametrize("share, size", [(0.05, 5), (0.2, 5), (0.55, 3), (0.9, 5), (0.3, 1)])
+def test_cleaned_marks_equal_those_of_pixels(spark, share, size):
+    rnd = np.random.default_rng(int(100 * share))
+    mask = rnd.random((37, 53)) < share
+    mask[5:15, :9] = mask[30:37, 40:53] = True
+    got = mask_of(ink.cleaned(runs_of(spark, mask), size), mask.shape)
+    assert (got == plain_cleaned(mask, size // 2)).all()
+    rows = ink.cleaned(runs_of(spark, mask), size).groupBy("y", "x_end").count().where("count > 1")
+    assert rows.count() == 0 and ink.cleaned(runs_of(spark, mask).where("false"), size).count() == 0
+
+
 @pytest.mark.parametrize("height, width, bins", [(8, 16, 4), (5, 7, 64), (64, 4096, 64)])
 def test_marks_over_tiles_equal_a_flood(spark, monkeypatch, height, width, bins):
     from quillspark.config import HighlightRule
