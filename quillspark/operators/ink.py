@@ -303,7 +303,7 @@ def _fewer(points: np.ndarray, most: float) -> np.ndarray:
         along = np.clip(off @ line / length**2, 0, 1) if length else np.zeros(len(off))
         apart = np.hypot(*(off - along[:, None] * line).T)
         i = int(apart.argmax())
-        if apart[i] > most:
+        if apart[i] > most + 1e-9:
             keep[a + 1 + i] = True
             todo += [(a, a + 1 + i), (a + 1 + i, b)]
     return np.flatnonzero(keep[:n])

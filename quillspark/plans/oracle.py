@@ -96,9 +96,9 @@ profile AS (SELECT document_id, y, sum(e - s) AS row_ink, min(s) AS x_min, max(e
 MARKS = """
 marks AS (SELECT document_id, ln, ln % 4 AS k, x AS x0, x + CASE WHEN ln % 4 = 0 THEN w ELSE w // 2 END AS x1, ln * 30 + CASE WHEN ln % 4 = 0 THEN 0 ELSE 1 - document_id % 2 * 6 END AS y0, ln * 30 + 25 AS y1 FROM lines WHERE ln % 4 < 2 AND w > 3),
 area AS (SELECT *, (x1 - x0) * (y1 - y0) AS n FROM marks),
-pairs AS (SELECT a.document_id, a.ln AS la, b.ln AS lb, least(a.x0, b.x0) AS x0, greatest(a.x1, b.x1) AS x1, a.y0, b.y1, a.n + b.n AS n FROM area a JOIN area b ON a.document_id = b.document_id AND a.k = 0 AND b.ln = a.ln + 1 AND b.y0 <= a.y1 AND b.x0 <= a.x1 AND a.x0 <= b.x1),
-found AS (SELECT document_id, x0, x1, y0, y1, n FROM pairs UNION ALL
-  SELECT document_id, x0, x1, y0, y1, n FROM area m WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.document_id = m.document_id AND (p.la = m.ln OR p.lb = m.ln)))"""
+pairs AS (SELECT a.document_id, a.ln AS la, b.ln AS lb, 8 - 2 * CAST(a.x0 = b.x0 AS INTEGER) - 2 * CAST(a.x1 = b.x1 AS INTEGER) AS corners, least(a.x0, b.x0) AS x0, greatest(a.x1, b.x1) AS x1, a.y0, b.y1, a.n + b.n AS n FROM area a JOIN area b ON a.document_id = b.document_id AND a.k = 0 AND b.ln = a.ln + 1 AND b.y0 <= a.y1 AND b.x0 <= a.x1 AND a.x0 <= b.x1),
+found AS (SELECT document_id, x0, x1, y0, y1, n, corners FROM pairs UNION ALL
+  SELECT document_id, x0, x1, y0, y1, n, 4 AS corners FROM area m WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.document_id = m.document_id AND (p.la = m.ln OR p.lb = m.ln)))"""
 
 KIND = r"lower(regexp_extract(regexp_replace(url, '[?#].*$', '') || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.pdf' ELSE '' END, '[^/](\.[^./]+)$', 1))"
 SUFFIX = r"lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/](\.[^./]+)$', 1))"
@@ -219,4 +219,5 @@ left_ AS (SELECT document_id, y, x FROM (SELECT document_id, y - i AS y, x - j A
 opened AS (SELECT DISTINCT document_id, y + i AS y, x + j AS x FROM left_, o WHERE y + i >= 0 AND x + j >= 0),
 isle AS (SELECT *, x - row_number() OVER (PARTITION BY document_id, y ORDER BY x) AS g FROM opened)""",
         "SELECT document_id, y, min(x) AS x_start, max(x) + 1 AS x_end FROM isle GROUP BY document_id, y, g"),
+    "highlight_outlines": q(LINES, MARKS, "SELECT document_id, 'highlight_' || printf('%03d', row_number() OVER (PARTITION BY document_id ORDER BY y0, x0)) AS id, corners AS n_corners, n AS area FROM found WHERE n >= 400"),
 }

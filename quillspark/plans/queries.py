@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import HighlightRule
 from ..functions import expressions as X
 from ..operators import assemble, crops, ink, layout, review, segment, transcribe, tree
 from ..schema import PAGE, STATES, states
@@ -376,6 +377,15 @@ def cleaned_marks(spark, d):
     return ink.cleaned(proxy.specks(spark, d), 5).select("document_id", "y", "x_start", "x_end")
 
 
+def highlight_outlines(spark, d):
+    """Corners of each mark's outline, and the area that they enclose."""
+    corners = ink.outlines(proxy.yellow_runs(spark, d), HighlightRule(polygon_off=0.0))
+    ring = F.sort_array(F.collect_list(F.struct("point", "x", "y")))
+    rings = corners.groupBy("document_id", "id").agg(ring.alias("ring")).withColumn("next", F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)))
+    twice = F.aggregate(F.zip_with("ring", "next", lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0), lambda a, b: a + b)
+    return rings.select("document_id", "id", F.size("ring").alias("n_corners"), (F.abs(twice) / 2).cast("long").alias("area"))
+
+
 def _sparse_documents(spark, d):
     """Documents of one page as JSON in which much is left out, as an earlier version may have written them: document_id, json."""
     lines = proxy.line_regions(spark, d)
@@ -424,6 +434,6 @@ QUERIES = {
         word_islands, line_to_paragraph, line_to_question, enclosing_band, crop_hierarchy, crop_paths, new_crops, clamped_crops, cache_keys, cache_hits, cache_misses, call_cap, crop_created, state_advance, json_round_trip, ruled_bands, unruled_ink,
         uncertainty_repair, validate_response, confidence_class, review_flags, ocr_line_join, question_orphans, paragraph_text, answer_text, question_text,
         review_export, overlay_layers, nested_documents, state_violations, current_state, stage_reached, states_seen, ocr_progress, format_scan, redacted_log,
-        stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes, margin_lines, line_columns, cleaned_marks, document_trees,
+        stripped_text, markup_counts, new_document_ids, line_density, ink_profile, drawn_lines, highlight_boxes, margin_lines, line_columns, cleaned_marks, highlight_outlines, document_trees,
     )
 }
