@@ -14,7 +14,7 @@ keeps the bytes of an unfinished character between tokens and gives U+FFFD for w
 The vocabulary is read on the driver and broadcast: its size is fixed by the file, not by the data. Nothing is shuffled.
 
 Defined cases: null counts as the empty text, which has no tokens (hash of the empty string); a special token's own
-text gives the special token, as in the library; repeated rows give a row each; other columns are ignored.
+text gives the special token, as in the library; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
 """
 
 import codecs

@@ -18,7 +18,7 @@ Probing: documents look their entry up by key and hash of the whole text, in a j
 dedup() remove their index once the probe is written down; build() leaves it for later probes.
 
 Defined cases: null counts as the empty text; of equal texts the largest doc_id stays, a null doc_id only if all are null; of
-rows with equal doc_id and text one is kept; an empty table gives an empty result; other columns are ignored by classify(),
+rows with equal doc_id and text one is kept; a very long text is one row of its owner's task and has to fit it; an empty table gives an empty result; other columns are ignored by classify(),
 and dedup() keeps them (of rows with equal doc_id and text, any one).
 """
 
@@ -204,9 +204,10 @@ def looked_up(docs: DataFrame, index: Index) -> DataFrame:
 def probed(docs: DataFrame, capacity: int) -> DataFrame:
     """looked_up() by an index made for it, written down; the index is removed."""
     index = build(docs, capacity)
-    found = durable(looked_up(docs, index))
-    remove(docs.sparkSession, index.path)
-    return found
+    try:
+        return durable(looked_up(docs, index))
+    finally:
+        remove(docs.sparkSession, index.path)
 
 
 def classify(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

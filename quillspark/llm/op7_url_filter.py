@@ -13,7 +13,7 @@ go back to the pages by a join that Spark may split (adaptive skew join).
 
 Defined cases: null url or one without `://` has an empty host and path, no rule, verdict allow. Empty host:
 allow. Hosts without labelled pages take their domain's shrunk rate, unknown domains their suffix's, and so on. No
-labelled pages at all: allow. Repeated rows count each. Other columns are ignored.
+labelled pages at all: allow. Very long urls are split like others. Repeated rows count each. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ so the counts differ by one at most and both can be computed from the row number
 Only (doc_id, size, crc) are shuffled, never texts; the permutation itself needs no shuffle.
 
 Defined cases: null text has size 1 and crc32 0, as the empty one but for nothing; null and repeated doc_ids keep
-a row each; an empty table gives no rows; other columns of the input are ignored.
+a row each; very long texts only count with their size; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

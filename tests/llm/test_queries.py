@@ -218,3 +218,18 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
             now = spark.read.parquet(path)
             assert name == "encode" or now.columns == docs.columns
         assert sorted((r.doc_id for r in now.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_stage_that_fails_leaves_no_files(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    def broken(spark, docs, sf_dir):
+        raise RuntimeError("no")
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark) + "/corpus-*/*")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = len(fs.globStatus(at) or ())
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", lambda spark, docs, sf_dir: docs), ("broken", broken)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf)
+    assert len(fs.globStatus(at) or ()) == before
