@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() writes each result as
 Parquet into the folder that all executors share, and the next stage reads it from there. A stage's files are removed once the
-next stage's are whole; those of the last stay, since the result reads them. All but the last return the columns of documents.
+next stage's are whole, and all of them if a stage fails; those of the last stay, since the result reads them. All but the last return the columns of documents.
 
 Odd input: each stage has the operator's own defined cases (null and empty texts are rejected by quality(), rows with a null doc_id or repeated rows go through, an empty
 table gives an empty result, further columns stay until encode()).
@@ -53,11 +53,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table."""
     docs, at, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", None
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{at}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
-        before = path
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            path = f"{at}/{i}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
+    except BaseException:
+        remove(spark, at)
+        raise
     return docs
