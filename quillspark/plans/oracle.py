@@ -100,8 +100,7 @@ pairs AS (SELECT a.document_id, a.ln AS la, b.ln AS lb, 8 - 2 * CAST(a.x0 = b.x0
 found AS (SELECT document_id, x0, x1, y0, y1, n, corners FROM pairs UNION ALL
   SELECT document_id, x0, x1, y0, y1, n, 4 AS corners FROM area m WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.document_id = m.document_id AND (p.la = m.ln OR p.lb = m.ln)))"""
 
-KIND = r"lower(regexp_extract(regexp_replace(url, '[?#].*$', '') || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.pdf' ELSE '' END, '[^/](\.[^./]+)$', 1))"
-SUFFIX = r"lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/](\.[^./]+)$', 1))"
+PATHS = r"""paths AS (SELECT path, lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) AS suffix FROM (SELECT regexp_replace(url, '[?#].*$', '') AS path FROM pages))"""
 
 
 def q(*ctes: str) -> str:
@@ -170,7 +169,8 @@ ORACLE: dict[str, str] = {
         "SELECT l.document_id, s.ordinal, s.label, s.ordinal <= n.ordinal AS reached FROM last l JOIN dim n USING (state), dim s"),
     "states_seen": q(LOG, DIM, "SELECT ordinal, state, label, next_state, (SELECT count(*) FROM log WHERE log.state = dim.state) AS n FROM dim"),
     "ocr_progress": q(LINES, "SELECT document_id, ln, row_number() OVER (PARTITION BY document_id ORDER BY ln) AS completed, count(*) OVER (PARTITION BY document_id) AS total FROM lines"),
-    "format_scan": f"SELECT page_id, {SUFFIX} AS suffix, CASE WHEN {KIND} = '.pdf' THEN 'pdf' WHEN {KIND} IN ('.png', '.jpg', '.jpeg', '.webp') THEN 'image' END AS kind FROM pages",
+    "format_scan": q(PATHS, "kinds AS (SELECT path, suffix, CASE WHEN suffix = '.pdf' THEN 'pdf' WHEN suffix IN ('.png', '.jpg', '.jpeg', '.webp') THEN 'image' END AS kind FROM paths)",
+        "SELECT path, kind, CASE WHEN kind IS NULL THEN 'unsupported format ' || CASE WHEN suffix = '' THEN '(no extension)' ELSE suffix END END AS reason FROM kinds"),
     "redacted_log": "SELECT doc_id, CASE WHEN length(text) > 300 THEN '<' || length(text) || ' chars omitted>' ELSE text END AS logged FROM documents",
     "stripped_text": q(LINES, "SELECT document_id, ln, trim(text) AS text FROM split"),
     "markup_counts": q(LINES, "SELECT document_id, sum(k + (len(text) - len(replace(text, '<strikethrough>', ''))) // 15) AS strikes, sum(k + (len(text) - len(replace(text, '<caret>', ''))) // 7) AS carets, sum(k + (len(text) - len(replace(text, '[illegible]', ''))) // 11) AS illegible FROM (SELECT *, CASE WHEN ln % 3 = 0 THEN 1 ELSE 0 END AS k FROM split) GROUP BY document_id"),

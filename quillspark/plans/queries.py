@@ -276,9 +276,11 @@ def ocr_progress(spark, d):
 
 
 def format_scan(spark, d):
-    """Pages by the kind of file that their url names; those of no taken kind are set apart."""
-    path = F.regexp_replace(F.col("url"), r"[?#].*$", "")
-    return proxy.read(spark, d, "pages").select("page_id", X.suffix(path).alias("suffix"), X.input_kind(F.concat(path, F.when(F.col("page_id") % 3 == 0, ".PNG").when(F.col("page_id") % 3 == 1, ".pdf").otherwise(""))).alias("kind"))
+    """The given pages' addresses as paths of files: those of a format that is taken with its kind, the others with the reason why they aren't."""
+    path = F.regexp_replace(F.col("url"), r"[?#].*$", "").alias("path")
+    taken, refused = images.classified(proxy.read(spark, d, "pages").select(path))
+    none = F.lit(None).cast("string")
+    return taken.select("path", "kind", none.alias("reason")).unionByName(refused.select("path", none.alias("kind"), "reason"))
 
 
 def redacted_log(spark, d):
