@@ -23,6 +23,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _unsettled(edges: DataFrame, key: list[str]) -> bool:
+    """Does any node hang on two others, or on one that hangs on another itself?"""
+    ends = edges.select(*key, F.col("a").alias("v"), F.lit(0).alias("below")).unionByName(edges.select(*key, F.col("b").alias("v"), F.lit(1).alias("below")))
+    return bool(ends.groupBy(*key, "v").agg(F.sum("below").alias("n"), F.max(1 - F.col("below")).alias("up")).where("n > 1 or n = 1 and up = 1").limit(1).count())
+
+
 def least_of(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, node, root: for each node of the edges (by, a, b) the least node that it hangs together with, within the same `by`.
 
@@ -31,16 +37,13 @@ def least_of(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     key = list(by)
     now = written(edges.where("a <> b").select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    while True:
-        before = now
+    while _unsettled(now, key):
         both = now.unionByName(now.select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(*key, "a").agg(F.least("a", F.min("b")).alias("m"))
         above = both.where("b > a").join(least, [*key, "a"]).select(*key, F.col("m").alias("a"), "b").where("a <> b").distinct()
         lower = above.groupBy(*key, "b").agg(F.min("a").alias("m"))
         hung = above.join(lower, [*key, "b"])
-        moved = hung.select(*key, F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionByName(hung.select(*key, F.col("m").alias("a"), "b")).distinct()
-        now = written(moved)
-        if not now.exceptAll(before).limit(1).count() and not before.exceptAll(now).limit(1).count():
-            break
+        moved = hung.select(*key, F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionByName(hung.select(*key, F.col("m").alias("a"), "b"))
+        now = written(moved.distinct())
     roots = now.select(*key, F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(now.select(*key, F.col("a").alias("node"), F.col("a").alias("root")).distinct())

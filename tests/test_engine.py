@@ -485,6 +485,30 @@ def test_connected_marks_equal_a_flood(spark):
     assert ink.highlights(runs_of(spark, mask).where("false")).count() == 0
 
 
+def test_components_equal_a_search(spark):
+    from quillspark.operators.graph import least_of
+
+    rnd = random.Random(8)
+    edges = [(p, *rnd.sample(range(60), 2)) for p in (1, 2) for _ in range(35)] + [(3, i, i + 1) for i in range(40)] + [(4, 5, 5), (5, 9, 2), (5, 9, 2)]
+    found = {}
+    for p in {p for p, _, _ in edges}:
+        up = {v: v for q, *ends in edges if q == p for v in ends}
+
+        def root(v):
+            while up[v] != v:
+                v = up[v]
+            return v
+
+        for q, a, b in edges:
+            if q == p:
+                a, b = sorted((root(a), root(b)))
+                up[b] = a
+        found |= {(p, v): root(v) for v in up if any(q == p and v in (a, b) and a != b for q, a, b in edges)}
+    got = least_of(spark.createDataFrame(edges, "p int, a int, b int"), ["p"]).collect()
+    assert {(r.p, r.node): r.root for r in got} == found and len(got) == len(found)
+    assert least_of(spark.createDataFrame([], "p int, a int, b int"), ["p"]).count() == 0
+
+
 def plain_cleaned(mask, r):
     """Closed and opened by a square, pixel by pixel; beyond the page nothing counts."""
 
