@@ -5,7 +5,7 @@ are the pairs that A o E o A accepts, A being the minimised acceptor of the voca
 for exactly one edit. The composition is enumerated by partitions of its initial states. Before the edit both sides stand in the same state of A,
 so a partition is what lies behind one prefix of `KEY` code points in A, the edit coming later; pairs whose edit lies within the prefix
 agree in their last code points and are found from the initial states of the reversed words in the same way. A partition of more than `most` words is
-parted again by the next code points on either side, as often as needed, so that a task holds some thousand words at a time however many share a prefix.
+parted again by the next code points on either side, as often as needed, so that a task holds some hundred words at a time however many share a prefix.
 
 In a partition the acceptor is built from the sorted words and is minimal. It numbers its words, so that a path of the composition is two
 numbers and no strings are built. Behind the edit, two states go on only if they accept a common ending, which is remembered for each pair of states. So time
@@ -38,7 +38,7 @@ LEAST_LENGTH, LEAST_COUNT, TIMES, SLIPS = 6, 5, 5, 199
 #: Code points of a partition's prefix or suffix; twice as many are at most what a word must have to be near another.
 KEY = 3
 #: Words of a partition.
-MOST = 2000
+MOST = 600
 #: Different words that a task holds while it counts.
 HELD = 200_000
 RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
