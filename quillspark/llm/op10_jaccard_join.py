@@ -7,7 +7,13 @@ that share a band's hash meet in its bucket, after a shuffle on that hash, and e
 A pair is verified once, in the first band that it shares. A bucket of more than `tile` classes or TILE_BYTES of sets is dealt into tiles: first by
 level, the logarithm of the set's size to the base of one over the threshold, since sets can only be near if their levels differ by one at most; then, within a level, into as many tiles
 as its classes and bytes need. Only tiles of neighbouring levels are paired, and each pair of tiles is a group of its own, so a task holds no more than two tiles
-(or two sets, if these are longer), however large the bucket. Pairs never become rows: a bucket gives
+(or two sets, if these are longer), however large the bucket.
+
+What makes buckets large is many variants of one text, and most of their pairs need no set of their own: one minus the similarity is a metric, so two classes whose distances to a third add up to no more
+than one minus the threshold are near. Each class of a large bucket is compared, on full sets, with one pivot, the member of its buckets that meets most others; pairs that this proves are
+counted from the distances alone, and a bucket's tiles that hold only such pairs aren't paired. So what is sent for a tight cluster grows with its members, not with their square; pairs farther from their pivot are verified as before.
+
+Pairs never become rows: a bucket gives
 for each member the number of its links and one edge to the least member it is linked with, so what is written grows with the members.
 Connected components of those edges (contraction of the graph to its components, each round written to the
 shared folder) are the groups of near duplicates.
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 TILE, TILE_BYTES = 500, 8 << 20
 REMEMBERED = 300_000
+STEPS = 10_000  # distances to pivots are rounded up to one part in so many
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -134,8 +141,13 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def limit(threshold: float) -> int:
+    """The greatest distance of near classes, in STEPS."""
+    return math.floor((1 - threshold) * STEPS + 1e-6)
+
+
 def own_pairs(group: pa.Table, threshold: float) -> np.ndarray:
-    """Which pairs of members this group verifies: they share no earlier band, lie in its two tiles, and have sizes that can reach the threshold."""
+    """Which pairs of members this group verifies: they share no earlier band, lie in its two tiles, have sizes that can reach the threshold, and aren't proven by their pivot."""
     bands = np.array(group["bands"].to_pylist(), dtype=np.int64)
     key, low, high = (group[x][0].as_py() for x in GROUP)
     mine, n = group["mine"].to_numpy(), group["n_grams"].to_numpy()
@@ -146,6 +158,12 @@ def own_pairs(group: pa.Table, threshold: float) -> np.ndarray:
     own &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
     for k in range(band):
         own &= bands[:, None, k] != bands[None, :, k]
+    pivots = group["pivot"].to_pylist()
+    if any(p is not None for p in pivots):
+        names: dict[bytes, int] = {}
+        star = np.array([-1 - i if p is None else names.setdefault(p, len(names)) for i, p in enumerate(pivots)])
+        far = group["far"].to_numpy()
+        own &= (star[:, None] != star[None, :]) | (far[:, None] + far[None, :] > limit(threshold))
     return own
 
 
@@ -234,26 +252,86 @@ def components(edges: DataFrame) -> DataFrame:
             return names
 
 
-def tiled(met: DataFrame, threshold: float, tile: int, tile_bytes: int) -> DataFrame:
-    """(cid, key, mine, low, high): for each class that meets another in a bucket its tile, and the pairs of tiles it takes part in. met: cid, n_grams, key."""
+def placed(met: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
+    """(cid, n_grams, key, m, large) for each class that meets another in a bucket: the bucket's classes, and whether they need tiles."""
     buckets = met.groupBy("key").agg(F.count("*").alias("m"), (8 * F.sum("n_grams")).alias("bytes")).where("m > 1")
-    placed = durable(met.join(buckets, "key").withColumn("large", (F.col("m") > tile) | (F.col("bytes") > tile_bytes)).select("cid", "n_grams", "key", "large"))
+    return met.join(buckets, "key").select("cid", "n_grams", "key", "m", ((F.col("m") > tile) | (F.col("bytes") > tile_bytes)).alias("large"))
+
+
+def tiled(met: DataFrame, threshold: float, tile: int, tile_bytes: int) -> DataFrame:
+    """(cid, key, mine, low, high): for each class that meets another in a bucket its tile, and the pairs of tiles it takes part in.
+
+    met: cid, n_grams, key; with large, as placed() gives it, and core, true for those of a large bucket whose pairs with each other are proven, such pairs are left out.
+    """
+    if "large" not in met.columns:
+        met = durable(placed(met, tile, tile_bytes).withColumn("core", F.lit(False)))
     zero = F.lit(0).cast("long")
-    small = placed.where("not large").select("cid", "key", zero.alias("mine"), zero.alias("low"), zero.alias("high"))
+    small = met.where("not large").select("cid", "key", zero.alias("mine"), zero.alias("low"), zero.alias("high"))
     # a little over one over the threshold, so that rounding can't part levels by two
-    large = placed.where("large").withColumn("level", F.floor(F.log("n_grams") / math.log(1.001 / threshold)))
+    large = met.where("large").withColumn("level", F.floor(F.log("n_grams") / math.log(1.001 / threshold)))
     need = F.greatest(F.lit(1.0), F.count("*") / tile, 8 * F.sum("n_grams") / tile_bytes)
-    levels = durable(large.groupBy("key", "level").agg(F.ceil(need).alias("k")))
-    others = levels.select("key", F.col("level").alias("other_level"), F.col("k").alias("other_k"))
-    near = levels.join(others, "key").where(F.abs(F.col("level") - F.col("other_level")) <= 1)
-    near = near.groupBy("key", "level", "k").agg(F.collect_list(F.struct("other_level", "other_k")).alias("others"))  # three at most
-    dealt = large.join(near, ["key", "level"]).withColumn("mine", F.shiftleft("level", 32) + F.pmod(F.xxhash64("cid"), F.col("k")))
+    levels = durable(large.groupBy("key", "level", "core").agg(F.ceil(need).alias("k")))
+    others = levels.select("key", F.col("level").alias("other_level"), F.col("core").alias("other_core"), F.col("k").alias("other_k"))
+    near = levels.join(others, "key").where((F.abs(F.col("level") - F.col("other_level")) <= 1) & ~(F.col("core") & F.col("other_core")))
+    near = near.groupBy("key", "level", "core", "k").agg(F.collect_list(F.struct("other_level", "other_core", "other_k")).alias("others"))  # six at most
+    of = lambda level, core, at: F.shiftleft(level, 32) + F.shiftleft(F.col(core).cast("long"), 31) + at
+    dealt = large.join(near, ["key", "level", "core"]).withColumn("mine", of("level", "core", F.pmod(F.xxhash64("cid"), F.col("k"))))
     dealt = dealt.withColumn("o", F.explode("others")).select("cid", "key", "mine", "o.*")
-    other = F.shiftleft("other_level", 32) + F.col("tile")
+    other = of("other_level", "other_core", F.col("tile"))
     dealt = dealt.withColumn("tile", F.explode(F.sequence(zero, F.col("other_k") - 1)))
     return small.union(dealt.select("cid", "key", "mine", F.least("mine", other).alias("low"), F.greatest("mine", other).alias("high")))
 
 
+def distances(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """far, the distance in STEPS, of members whose similarity to their pivot reaches the threshold. A pivot's set (kind 0) comes before its members."""
+    most, pivot = limit(threshold), np.empty(0, dtype=np.uint64)
+    for batch in batches:
+        fars: list[int | None] = []
+        for kind, grams in zip(batch["kind"].to_pylist(), batch["grams"]):
+            mine = np.frombuffer(grams.as_py(), dtype=np.uint64)
+            if not kind:
+                pivot = mine
+                fars.append(None)
+                continue
+            both = len(np.intersect1d(mine, pivot, assume_unique=True))
+            all_ = len(mine) + len(pivot) - both
+            far = -(-STEPS * (all_ - both) // all_)  # whole numbers, rounded up
+            fars.append(far if far <= most else None)
+        out = pa.RecordBatch.from_arrays([batch["cid"], batch["pivot"], pa.array(fars, pa.int64()), batch["k"]], names=["cid", "pivot", "far", "k"])
+        yield out.filter(out["far"].is_valid())
+
+
+def stars(large: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(pivots: key, own; near: cid, pivot, far, k) of large buckets (cid, key, m). own is a bucket's pivot; near has each class that is near its own pivot, with the number k of parts that the pivot's members are dealt into.
+
+    A bucket's pivot is the member that meets most classes in all; a class's pivot is the first, by the same order, of its buckets' pivots. A pivot's set is sent once for each `tile` members.
+    """
+    meets = large.groupBy("cid").agg(F.sum("m").alias("meets"))
+    pivots = durable(large.join(meets, "cid").groupBy("key").agg(F.max(F.struct("meets", "cid")).alias("best")))
+    chosen = durable(large.join(pivots, "key").groupBy("cid").agg(F.max("best").alias("best")).select("cid", F.col("best.cid").alias("pivot")))
+    parts = chosen.groupBy("pivot").agg(F.ceil(F.count("*") / tile).alias("k"))
+    zero, members = F.lit(0), chosen.join(parts, "pivot").select("cid", "pivot", "k", F.pmod(F.xxhash64("cid"), F.col("k")).alias("part"), F.lit(1).alias("kind"))
+    heads = parts.select(F.col("pivot").alias("cid"), "pivot", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"), zero.alias("kind"))
+    asked = members.unionByName(heads).join(sets_of(chosen.select("cid")), "cid").select("cid", "pivot", "k", "part", "kind", "grams")
+    dealt = asked.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "kind")
+    near = durable(dealt.mapInArrow(lambda b: distances(b, threshold), "cid binary, pivot binary, far long, k long"))
+    return pivots.select("key", F.col("best.cid").alias("own")), near
+
+
+def proven(near: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """LINKS of the pairs that their pivot proves near: for each class, those of its star whose distance and its own add up to no more than the limit."""
+    most, sized = limit(threshold), near.join(classes.select("cid", "size"), "cid")
+    counted = sized.groupBy("pivot", "far").agg(F.count("*").alias("c"), F.sum("size").alias("s"), F.max("k").alias("k"))
+    others = counted.select("pivot", F.col("far").alias("other_far"), F.col("c").alias("other_c"), F.col("s").alias("other_s"))
+    within = counted.join(others, "pivot").where(F.col("far") + F.col("other_far") <= most)  # a star has `most` distances at most
+    totals = within.groupBy("pivot", "far", "k").agg(F.sum("other_c").alias("c"), F.sum("other_s").alias("s"))
+    totals = totals.select("pivot", "far", "c", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("k"))).select("cid", "pivot", "far", "size", "part")
+    oneself = 2 * F.col("far") <= most
+    links, docs = F.col("c") - F.when(oneself, 1).otherwise(0), F.col("s") - F.when(oneself, F.col("size")).otherwise(0)
+    return dealt.join(totals, ["pivot", "far", "part"]).select("cid", links.alias("links"), docs.alias("link_docs"), F.col("pivot").alias("least"))
+
+
 def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, h, cid), (classes: cid, rep, size, links, link_docs, group_rep, group_size); rep: struct of doc_id and h."""
     bands, rows = banding(threshold, recall)
@@ -261,22 +339,29 @@ def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     members = durable(signed(texts, bands, rows, n))
     named = members.where("cid is not null")
     classes = durable(named.groupBy("cid").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
-    met = tiled(classes.select("cid", "n_grams", F.explode("bands").alias("key")), threshold, tile, tile_bytes)
-    bucket = met.join(classes.select("cid", "n_grams", "bands"), "cid").select(*GROUP, "mine", "cid", "n_grams", "bands")
-    schema = "key long, low long, high long, mine long, cid binary, n_grams long, bands array<long>"
-    asked = durable(bucket.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: needed(b, threshold), schema))
-
-    wanted = asked.select("cid").distinct().join(classes, "cid").select("cid", "size", "rep")
-    same = texts["doc_id"].eqNullSafe(wanted["rep.doc_id"]) & (texts["h"] == wanted["rep.h"])
-    whole = texts.join(wanted, same).select("cid", "size", "text").dropDuplicates(["cid"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["cid"], batch["size"], pa.array([shingles(t.as_py(), hashes, n).tobytes() for t in batch["text"]], pa.binary())], names=["cid", "size", "grams"])
 
-    full = asked.join(whole.mapInArrow(sets, "cid binary, size long, grams binary"), "cid").select(*GROUP, "mine", "cid", "n_grams", "bands", "size", "grams")
-    links = durable(full.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: verified(b, threshold), LINKS))
+    def sets_of(asked: DataFrame) -> DataFrame:
+        wanted = asked.select("cid").distinct().join(classes, "cid").select("cid", "size", "rep")
+        same = texts["doc_id"].eqNullSafe(wanted["rep.doc_id"]) & (texts["h"] == wanted["rep.h"])
+        return texts.join(wanted, same).select("cid", "size", "text").dropDuplicates(["cid"]).mapInArrow(sets, "cid binary, size long, grams binary")
+
+    met = durable(placed(classes.select("cid", "n_grams", F.explode("bands").alias("key")), tile, tile_bytes))
+    pivots, near = stars(met.where("large").select("cid", "key", "m"), sets_of, threshold, tile)
+    central = near.where(2 * F.col("far") <= limit(threshold)).select("cid", F.col("pivot").alias("own"), F.lit(True).alias("central"))
+    core = central.join(met.where("large").join(pivots, "key").select("cid", "key", "own"), ["cid", "own"]).select("cid", "key", "central")
+    met = tiled(met.join(core, ["cid", "key"], "left").withColumn("core", F.coalesce("central", F.lit(False))), threshold, tile, tile_bytes)
+    known = classes.select("cid", "n_grams", "bands").join(near.select("cid", "pivot", "far"), "cid", "left")
+    bucket = met.join(known, "cid").select(*GROUP, "mine", "cid", "n_grams", "bands", "pivot", F.coalesce("far", F.lit(0).cast("long")).alias("far"))
+    schema = "key long, low long, high long, mine long, cid binary, n_grams long, bands array<long>, pivot binary, far long"
+    asked = durable(bucket.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: needed(b, threshold), schema))
+    full = asked.join(sets_of(asked), "cid").select(*GROUP, "mine", "cid", "n_grams", "bands", "pivot", "far", "size", "grams")
+    verified_ = full.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: verified(b, threshold), LINKS)
+    links = durable(verified_.unionByName(proven(near, classes, threshold)))
 
     roots = components(links.select(F.col("cid").alias("a"), F.col("least").alias("b")))
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"))

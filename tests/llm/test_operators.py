@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -558,6 +559,53 @@ def test_large_bucket_in_tiles_equals_brute_force(spark):
         assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
 
 
+def variants(n, edits, seed=9, words=150):
+    """n different texts, each a base text with up to so many words replaced."""
+    rnd, found = random.Random(seed), {}
+    while len(found) < n:
+        w = [f"w{i}" for i in range(words)]
+        for _ in range(rnd.randrange(edits + 1)):
+            w[rnd.randrange(words)] = f"z{rnd.randrange(100_000)}"
+        found[" ".join(w)] = None
+    return list(found)
+
+
+def test_pairs_proven_by_pivots_are_counted_once_and_whole(spark):
+    texts = variants(90, 5) + [f"other {t}" for t in variants(60, 2, seed=10, words=40)]  # near and far from their pivots, two groups
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:25])], "doc_id long, text string")
+    first, links = plain.near_groups([r.text for r in docs.orderBy("doc_id").collect()])
+    for tile in (10, 40):  # proven pairs need no shared band, so nothing but chance is missed, and nothing is counted twice
+        got = {r.doc_id: (r.class_id, r.n_links) for r in op10.join(docs, tile=tile).collect()}
+        assert [got[i][0] for i in range(len(first))] == first
+        assert all(got[i][1] <= n for i, n in enumerate(links)) and sum(links) - sum(n for _, n in got.values()) <= 0.001 * sum(links)
+
+
+def test_distances_round_up_and_keep_the_limit():
+    of = lambda *x: np.array(x, dtype=np.uint64).tobytes()
+    rows = [(0, of(*range(10))), (1, of(*range(10))), (1, of(*range(8))), (1, of(*range(7))), (1, of(*range(9)))]
+    batch = pa.RecordBatch.from_pylist([{"cid": bytes([i]), "pivot": b"p", "k": 1, "kind": kind, "grams": g} for i, (kind, g) in enumerate(rows)])
+    (out,) = op10.distances(iter([batch]), 0.8)
+    assert out.select(["cid", "far"]).to_pylist() == [{"cid": b"\x01", "far": 0}, {"cid": b"\x02", "far": 2000}, {"cid": b"\x04", "far": 1000}]
+    third = pa.RecordBatch.from_pylist([{"cid": b"a", "pivot": b"p", "k": 1, "kind": 0, "grams": of(*range(7))}, {"cid": b"b", "pivot": b"p", "k": 1, "kind": 1, "grams": of(*range(6))}])
+    assert [r["far"] for b in op10.distances(iter([third]), 0.8) for r in b.to_pylist()] == [1429]  # a seventh
+    assert op10.limit(0.8) == 2000
+
+
+def test_bytes_shuffled_for_a_tight_bucket_grow_in_proportion(spark):
+    """A bucket of near-equal classes: four times the members, in tiles of the same size, shuffle about four times the bytes; all pairs of tiles would be sixteen times."""
+
+    def shuffled(n):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(variants(n, 1))], "doc_id long, text string").repartition(4)
+        total = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+        before = total()
+        got = op10.join(docs, tile=50).agg({"n_links": "sum", "class_id": "max"}).first()
+        assert got["sum(n_links)"] == n * (n - 1) and got["max(class_id)"] == 0
+        return total() - before
+
+    few, many = shuffled(750), shuffled(3000)
+    assert many < 6 * few
+
+
 def test_overlaps_equal_the_intersections():
     rnd = np.random.default_rng(3)
     sets = [np.unique(rnd.integers(0, rnd.choice([30, 3000]), rnd.integers(1, 200))).astype(np.uint64) for _ in range(60)]
