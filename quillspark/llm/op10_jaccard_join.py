@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, split_words, text_of
+from .common import durable, fresh, release, split_words, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -241,15 +241,17 @@ def components(edges: DataFrame) -> DataFrame:
             over = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
             moved = durable(up.join(over, "root", "left").select("node", F.coalesce("further", "root").alias("root"), (F.col("further") < F.col("root")).alias("moved")))
             up = moved.select("node", "root")
-            if not moved.where("moved").limit(1).count():
+            if moved.where("moved").isEmpty():
                 break
         found = up if names is None else names.join(up.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
         names = durable(found)
         a, b = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         edges = edges.join(a, "a").join(b, "b").where("ra <> rb")
         edges = durable(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        if not edges.limit(1).count():
+        if edges.isEmpty():
             return names
+        del both, up, over, moved, found, a, b
+        release(edges.sparkSession)
 
 
 def placed(met: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
@@ -332,13 +334,8 @@ def proven(near: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return dealt.join(totals, ["pivot", "far", "part"]).select("cid", links.alias("links"), docs.alias("link_docs"), F.col("pivot").alias("least"))
 
 
-def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, h, cid), (classes: cid, rep, size, links, link_docs, group_rep, group_size); rep: struct of doc_id and h."""
-    bands, rows = banding(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_of()).alias("h"))
-    members = durable(signed(texts, bands, rows, n))
-    named = members.where("cid is not null")
-    classes = durable(named.groupBy("cid").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
+def links_of(texts: DataFrame, classes: DataFrame, threshold: float, n: int, tile: int, tile_bytes: int) -> DataFrame:
+    """LINKS of the classes (cid, size, rep, n_grams, bands), written down; texts: doc_id, text, h."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -351,7 +348,9 @@ def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         return texts.join(wanted, same).select("cid", "size", "text").dropDuplicates(["cid"]).mapInArrow(sets, "cid binary, size long, grams binary")
 
     met = durable(placed(classes.select("cid", "n_grams", F.explode("bands").alias("key")), tile, tile_bytes))
+    release(classes.sparkSession)
     pivots, near = stars(met.where("large").select("cid", "key", "m"), sets_of, threshold, tile)
+    release(classes.sparkSession)
     central = near.where(2 * F.col("far") <= limit(threshold)).select("cid", F.col("pivot").alias("own"), F.lit(True).alias("central"))
     core = central.join(met.where("large").join(pivots, "key").select("cid", "key", "own"), ["cid", "own"]).select("cid", "key", "central")
     met = tiled(met.join(core, ["cid", "key"], "left").withColumn("core", F.coalesce("central", F.lit(False))), threshold, tile, tile_bytes)
@@ -359,10 +358,23 @@ def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     bucket = met.join(known, "cid").select(*GROUP, "mine", "cid", "n_grams", "bands", "pivot", F.coalesce("far", F.lit(0).cast("long")).alias("far"))
     schema = "key long, low long, high long, mine long, cid binary, n_grams long, bands array<long>, pivot binary, far long"
     asked = durable(bucket.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: needed(b, threshold), schema))
+    del bucket, met, core, central
+    release(classes.sparkSession)
     full = asked.join(sets_of(asked), "cid").select(*GROUP, "mine", "cid", "n_grams", "bands", "pivot", "far", "size", "grams")
     verified_ = full.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda b: verified(b, threshold), LINKS)
-    links = durable(verified_.unionByName(proven(near, classes, threshold)))
+    return durable(verified_.unionByName(proven(near, classes, threshold)))
+
+
+def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id, h, cid), (classes: cid, rep, size, links, link_docs, group_rep, group_size); rep: struct of doc_id and h."""
+    bands, rows = banding(threshold, recall)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_of()).alias("h"))
+    members = durable(signed(texts, bands, rows, n))
+    named = members.where("cid is not null")
+    classes = durable(named.groupBy("cid").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
 
+    links = links_of(texts, classes, threshold, n, tile, tile_bytes)
+    release(docs.sparkSession)
     roots = components(links.select(F.col("cid").alias("a"), F.col("least").alias("b")))
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"))
     linked = durable(counts.join(classes.select("cid", "rep", "size"), "cid").join(roots.withColumnRenamed("node", "cid"), "cid").select("cid", "links", "link_docs", "rep", "size", "root"))
@@ -370,9 +382,12 @@ def grouping(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     linked = linked.join(groups, "root").select("cid", "links", "link_docs", "group_rep", "group_size")
     all_ = classes.select("cid", "rep", "size").join(linked, "cid", "left")
     zero = F.lit(0).cast("long")
-    return members.select("doc_id", "h", "cid"), durable(
+    judged = durable(
         all_.select("cid", "rep", "size", F.coalesce("links", zero).alias("links"), F.coalesce("link_docs", zero).alias("link_docs"), F.coalesce("group_rep", "rep").alias("group_rep"), F.coalesce("group_size", "size").alias("group_size"))
     )
+    del named, classes, links, counts, roots, linked, groups, all_
+    release(docs.sparkSession)
+    return members.select("doc_id", "h", "cid"), judged
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:

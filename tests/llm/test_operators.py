@@ -685,6 +685,15 @@ def test_op5_joins_on_the_language_alone_without_an_exchange(spark, sf):
     assert len(plans) > 8 and not joined
 
 
+def test_components_ask_for_the_end_without_a_shuffle(spark):
+    """Nine nodes in a row: one component, by 13 shuffles; whether anything moved or is left is asked of the rows where they lie."""
+    edges = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(8)], "a string, b string")
+    before = spark.sparkContext._jsc.sc().newShuffleId()
+    roots = op10.components(edges)
+    assert spark.sparkContext._jsc.sc().newShuffleId() - before - 1 <= 13
+    assert sorted(map(tuple, roots.collect())) == [(f"{i:02d}", "00") for i in range(9)]
+
+
 # 11
 
 
