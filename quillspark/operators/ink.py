@@ -6,8 +6,11 @@ windows on them, keyed by the page and mostly by the row of pixels, so that a la
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,14 +172,28 @@ def pieces(marked: DataFrame) -> DataFrame:
 
 #: Rows and columns of pixels of a tile, and columns of a bin at a border.
 TILE_HEIGHT, TILE_WIDTH, BIN = 64, 4096, 64
+TILE = [*PAGE, "ty", "tx"]
 LABELED = "x_start int, x_end int, y0 int, y1 int, label long"
 
 
-def _labels(tile: pa.Table) -> pa.Table:
-    """A tile's pieces with a label: the same for those that touch within it, corners too."""
-    y0, y1, s, e = (tile[c].to_numpy() for c in ("y0", "y1", "x_start", "x_end"))
-    by = np.lexsort((s, y0))
-    y0, y1, s, e = y0[by], y1[by], s[by], e[by]
+def _differ(tiles: pa.Table, others: pa.Table) -> np.ndarray:
+    """Which rows are of another tile than that of the other table's same row, or of its only one; nulls are equal."""
+    out = np.zeros(len(tiles), bool)
+    for k in TILE:
+        a, b = tiles[k].combine_chunks(), others[k].combine_chunks()
+        b = b[0] if len(b) == 1 else b
+        out |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _labels(tiles: pa.Table) -> pa.Table:
+    """The pieces of whole tiles (page, ty, tx, sorted by them) with a label: the same for those that touch within a tile, corners too. The tiles are laid side by side, apart from each other, so that
+    one pass over a tile's rows of pixels does for all of them."""
+    tile = np.cumsum(np.append(False, _differ(tiles.slice(1), tiles.slice(0, len(tiles) - 1))))
+    y0, y1, s, e, ty, tx = (tiles[c].to_numpy().astype(np.int64) for c in ("y0", "y1", "x_start", "x_end", "ty", "tx"))
+    by = np.lexsort((s, y0, tile))
+    shift, top = tile * (TILE_WIDTH + 2) - tx * TILE_WIDTH, ty * TILE_HEIGHT
+    y0, y1, s, e, tile = ((y0 - top)[by], (y1 - top)[by], (s + shift)[by], (e + shift)[by], tile[by])
     up = np.arange(len(by))
     for y in np.unique(y0):
         own = np.flatnonzero(y0 == y)
@@ -193,15 +210,33 @@ def _labels(tile: pa.Table) -> pa.Table:
             np.minimum.at(up, np.maximum(x, z)[apart], np.minimum(x, z)[apart])
             while not (up[up] == up).all():
                 up = up[up]
-    place = (tile["ty"][0].as_py() << 42) | (tile["tx"][0].as_py() << 21)
-    keys = [tile[c].take(pa.array(by)) for c in PAGE]
-    return pa.table([*keys, *(pa.array(v, pa.int32()) for v in (s, e, y0, y1)), pa.array(up + place)], names=[*PAGE, "x_start", "x_end", "y0", "y1", "label"])
+    found = tiles.take(pa.array(by))
+    place = (ty[by] << 42) | (tx[by] << 21)
+    label = up - np.searchsorted(tile, tile) + place
+    return pa.table([*(found[c] for c in (*PAGE, "x_start", "x_end", "y0", "y1")), pa.array(label)], names=[*PAGE, "x_start", "x_end", "y0", "y1", "label"])
+
+
+def _labels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_labels() for a task's tiles, which come sorted. The last tile of a batch may go on in the next one, so it waits for it."""
+    waits: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        tiles = pa.Table.from_batches([batch])
+        done = np.flatnonzero(_differ(tiles, tiles.slice(len(tiles) - 1)))
+        cut = int(done[-1]) + 1 if len(done) else 0
+        if cut:
+            yield from _labels(pa.concat_tables([*waits, tiles.slice(0, cut)])).to_batches()
+            waits = []
+        waits.append(tiles.slice(cut))
+    if waits:
+        yield from _labels(pa.concat_tables(waits)).to_batches()
 
 
 def labeled(marked: DataFrame) -> DataFrame:
     """page, x_start, x_end, y0, y1, label: the runs, those of the same place below each other as one and cut at tiles' borders, with the label of the connected mark they are part of.
 
-    A tile is a group of its own, so a page is as many tasks as it has tiles. What touches across their borders becomes edges between labels (bins of a border's
+    Tiles are dealt out by their place, so a page is spread over as many tasks as it has tiles; a task labels its small tiles together. What touches across their borders becomes edges between labels (bins of a border's
     columns meet by equality), and rounds of joins bring the labels of a mark down to the least of them.
     """
     key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.select(*PAGE).schema)
@@ -211,7 +246,9 @@ def labeled(marked: DataFrame) -> DataFrame:
     top, left = F.col("ty") * TILE_HEIGHT, F.col("tx") * TILE_WIDTH
     sides = {"y0": F.greatest("y0", top), "y1": F.least("y1", top + TILE_HEIGHT - 1), "x_start": F.greatest("x_start", left), "x_end": F.least("x_end", left + TILE_WIDTH)}
     cut = cut.withColumns({k: v.cast("int") for k, v in sides.items()})
-    found = written(cut.groupBy(*PAGE, "ty", "tx").applyInArrow(_labels, f"{key}, {LABELED}"))
+    # by number, or a few MB of small tiles, which are much work, would be put into one task
+    n = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(cut.repartition(n, *TILE).sortWithinPartitions(*TILE).mapInArrow(_labels_of, f"{key}, {LABELED}"))
 
     bins = F.explode(F.sequence(F.floor(F.col("x_start") / BIN), F.floor(F.col("x_end") / BIN))).alias("bin")
     above = found.where((F.col("y1") + 1) % TILE_HEIGHT == 0).select(*PAGE, (F.col("y1") + 1).alias("border"), bins, F.col("x_start").alias("s"), F.col("x_end").alias("e"), F.col("label").alias("a"))

@@ -384,7 +384,9 @@ def highlight_outlines(spark, d):
     corners = ink.outlines(proxy.yellow_runs(spark, d), HighlightRule(polygon_off=0.0))
     ring = F.sort_array(F.collect_list(F.struct("point", "x", "y")))
     rings = corners.groupBy("document_id", "id").agg(ring.alias("ring")).withColumn("next", F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)))
-    twice = F.aggregate(F.zip_with("ring", "next", lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0), lambda a, b: a + b)
+    # products of a long line's end and a low line's place go beyond an int
+    cross = F.zip_with("ring", "next", lambda a, b: a["x"].cast("long") * b["y"] - b["x"].cast("long") * a["y"])
+    twice = F.aggregate(cross, F.lit(0).cast("long"), lambda a, b: a + b)
     return rings.select("document_id", "id", F.size("ring").alias("n_corners"), (F.abs(twice) / 2).cast("long").alias("area"))
 
 

@@ -592,6 +592,29 @@ def test_outlines_are_near_the_marks_edges(spark):
             assert np.hypot(*(p - a - t[:, None] * d).T).min() <= 4.8
 
 
+def test_outlines_of_long_lines_far_down_have_their_area(spark, tmp_path):
+    from quillspark.plans import queries
+
+    # a line of 60,000 characters below 400 others: its corners' products go beyond an int
+    spark.createDataFrame([(7, "\n" * 400 + "a" * 60_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = queries.highlight_outlines(spark, str(tmp_path)).collect()
+    assert (row.id, row.n_corners, row.area) == ("highlight_001", 4, 180_000 * 25)
+
+
+def test_tiles_of_a_task_are_labelled_together_whatever_the_batches(spark):
+    from quillspark.config import HighlightRule
+
+    rnd = np.random.default_rng(12)
+    mask = rnd.random((200, 90)) < 0.3
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ink.highlights(runs_of(spark, mask), HighlightRule(min_area=1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.x, r.y, r.w, r.h, r.area) for r in got) == plain_boxes(mask)
+
+
 def flooded(free):
     """The free pixels that hang together with the corner."""
     out = np.zeros(free.shape, bool)
