@@ -137,7 +137,7 @@ def _grown(marked: DataFrame, r: int, kept: list[str]) -> DataFrame:
     y = F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - r), F.least(_edge(marked, "height") - 1, F.col("y") + r))).alias("y")
     sides = F.greatest(F.lit(0), F.col("x_start") - r).alias("x_start"), F.least(_edge(marked, "width"), F.col("x_end") + r).alias("x_end")
     wide = marked.select(*PAGE, *kept, y, *sides)
-    w = Window.partitionBy(*ROW).orderBy("x_start", "x_end")
+    w = Window.partitionBy(*PAGE, *kept, "y").orderBy("x_start", "x_end")
     apart = F.col("x_start") > F.max("x_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = wide.withColumn("island", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*PAGE, *kept, "y", "island").agg(F.min("x_start").alias("x_start"), F.max("x_end").alias("x_end")).drop("island")
@@ -154,14 +154,29 @@ def _shrunk(marked: DataFrame, r: int, kept: list[str]) -> DataFrame:
     return _depths(around, [*PAGE, *kept, "y"]).where(F.col("n") == rows).select(*PAGE, *kept, "y", F.col("x").alias("x_start"), "x_end")
 
 
+#: Rows of pixels of a band that is cleaned by itself.
+CLEAN_ROWS = 128
+
+
 def cleaned(marked: DataFrame, size: int = CONFIG.highlight.cleanup) -> DataFrame:
     """Runs closed and then opened by a square of so many (an odd number of) pixels: small gaps are filled, then small specks go. On runs, a row of pixels at a time, with height and width where
-    the runs have them."""
+    the runs have them.
+
+    A pixel depends on the rows up to four times half the square from it, so each band of a page's rows, with that many more on both sides, is cleaned by itself: the given runs are shuffled once,
+    and none of what they grow to.
+    """
     kept, r = [c for c in ("height", "width") if c in marked.columns], size // 2
     if r == 0:
         return marked
-    closed = _shrunk(_grown(marked, r, kept), r, kept)
-    return _grown(_shrunk(closed, r, kept), r, kept)
+    own = F.floor(F.col("y") / CLEAN_ROWS)
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("y") - 4 * r) / CLEAN_ROWS)), F.floor((F.col("y") + 4 * r) / CLEAN_ROWS))
+    bands = marked.select(*ROW, *kept, "x_start", "x_end", F.explode(near).alias("band"))
+    # one column to deal out by, as Spark leaves a key that is a constant, like the page's number may be, out of the windows' keys; by number, or partitions are put together by their size before they grow
+    n = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = bands.withColumn("part", F.xxhash64(*PAGE, "band")).repartition(n, "part")
+    by = [*kept, "band", "part"]
+    closed = _shrunk(_grown(bands, r, by), r, by)
+    return _grown(_shrunk(closed, r, by), r, by).where(F.col("band") == own).drop("band", "part")
 
 
 def pieces(marked: DataFrame) -> DataFrame:

@@ -531,6 +531,21 @@ def test_cleaned_marks_equal_those_of_pixels(spark, share, size):
     assert rows.count() == 0 and ink.cleaned(runs_of(spark, mask).where("false"), size).count() == 0
 
 
+@pytest.mark.parametrize("rows, size", [(7, 5), (1, 3)])
+def test_marks_cleaned_in_bands_equal_those_of_pixels(spark, monkeypatch, rows, size):
+    monkeypatch.setattr(ink, "CLEAN_ROWS", rows)
+    mask = np.random.default_rng(rows).random((41, 33)) < 0.4
+    mask[5:19, :9] = mask[30:41, 20:33] = True
+    assert (mask_of(ink.cleaned(runs_of(spark, mask), size), mask.shape) == plain_cleaned(mask, size // 2)).all()
+
+
+def test_marks_are_cleaned_with_one_shuffle(spark, sf):
+    from quillspark.plans import queries
+
+    plan = queries.cleaned_marks(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("height, width, bins", [(8, 16, 4), (5, 7, 64), (64, 4096, 64)])
 def test_marks_over_tiles_equal_a_flood(spark, monkeypatch, height, width, bins):
     from quillspark.config import HighlightRule
