@@ -72,8 +72,17 @@ def merge_bands(bands: DataFrame, gap: int = CONFIG.segment.rule_merge_gap) -> D
 
 
 def segment_words(columns: DataFrame, by: Sequence[str], rule: Segment = CONFIG.segment) -> DataFrame:
-    """Words of lines from (by, x, col_ink, width), with an x_end where a row stands for several columns: by, word_no, x, w."""
-    active = columns.where(F.col("col_ink") >= rule.min_col_ink)
-    found = runs(active, by, "x", rule.word_gap, F.col("width"), until="x_end" if "x_end" in columns.columns else None).where(F.col("last") - F.col("first") + 1 >= rule.min_word_width)
-    number = F.row_number().over(Window.partitionBy(*by).orderBy("first"))
-    return found.select(*by, number.alias("word_no"), F.col("first").alias("x"), (F.col("last") - F.col("first") + 1).alias("w"))
+    """Words of lines from (by, x, col_ink, width), with an x_end where a row stands for several columns: by, word_no, x, w.
+
+    The runs of runs(), but told from the last row of each, which carries where its run began: all are windows in one order of a line's rows, and no table of words is
+    kept in memory for a grouping. Columns that are dealt out by the line already aren't shuffled.
+    """
+    end, w = "x_end" if "x_end" in columns.columns else "x", Window.partitionBy(*by).orderBy("x")
+    apart = lambda before, next_: F.coalesce(next_ - before - 1 > rule.word_gap, F.lit(True))
+    active = columns.where(F.col("col_ink") >= rule.min_col_ink).select(*by, "x", F.col(end).alias("_end"), "width")
+    active = active.withColumns({"_starts": apart(F.lag("_end").over(w), F.col("x")), "_ends": apart(F.col("_end"), F.lead("x").over(w))})
+    first = F.max(F.when(F.col("_starts"), F.col("x"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # a run that is still open at the line's edge ends there
+    last = F.when(F.col("width") - F.col("_end") <= rule.word_gap, F.col("width") - 1).otherwise(F.col("_end"))
+    found = active.withColumn("_first", first).withColumn("_w", last - F.col("_first") + 1).where(F.col("_ends") & (F.col("_w") >= rule.min_word_width))
+    return found.withColumn("word_no", F.row_number().over(w)).select(*by, "word_no", F.col("_first").alias("x"), F.col("_w").alias("w"))

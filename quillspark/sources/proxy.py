@@ -76,11 +76,14 @@ def row_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of a line as its columns, spaces without ink; neighbours with the same ink as one row: (document_id, page_number, ln, x, x_end, col_ink, width)."""
-    words = line_regions(spark, sf_dir).select(*PAGE, "ln", F.length("text").alias("width"), F.posexplode(F.split("text", " ")).alias("i", "word"))
+    # lines are shuffled, not their words; the page's number is one for all, and Spark leaves it out of the windows' keys; by number, so that partitions aren't put together by the size of lines alone
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = line_regions(spark, sf_dir).select(*PAGE, "ln", "text").repartition(n, "document_id", "ln")
+    words = lines.select(*PAGE, "ln", F.length("text").alias("width"), F.posexplode(F.split("text", " ")).alias("i", "word")).withColumn("n", F.length("word")).drop("word")
     before = Window.partitionBy(*PAGE, "ln").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    x = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")
-    placed = words.withColumn("x", x).where("word <> ''")
-    return placed.select(*PAGE, "ln", "x", (F.col("x") + F.length("word") - 1).alias("x_end"), F.lit(5).alias("col_ink"), "width")
+    x = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("int")
+    placed = words.withColumn("x", x).where("n > 0")
+    return placed.select(*PAGE, "ln", "x", (F.col("x") + F.col("n") - 1).alias("x_end"), F.lit(5).alias("col_ink"), "width")
 
 
 def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -546,6 +546,42 @@ def test_marks_are_cleaned_with_one_shuffle(spark, sf):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_words_are_found_without_a_shuffle_or_grouping_of_words(spark, sf):
+    from quillspark.plans import queries
+
+    plan = queries.word_islands(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Aggregate" not in plan
+    assert plan.index("Exchange ") > plan.index("posexplode(split(text")  # below the words, in a plan that is printed from the top
+
+
+@pytest.mark.parametrize("gap, least", [(0, 1), (2, 1), (1, 4)])
+def test_words_of_random_columns_equal_a_walk(spark, gap, least):
+    from quillspark.config import Segment
+
+    rnd = random.Random(gap * 10 + least)
+    rows, want = [], []
+    for line in range(12):
+        width, x, cols = rnd.randint(20, 60), 0, []
+        while (x := x + rnd.randint(0, 5)) < width:
+            end = min(width - 1, x + rnd.randint(0, 4))
+            cols.append((x, end))
+            x = end + 1
+        found = []
+        for a, b in cols:
+            if found and a - found[-1][1] - 1 <= gap:
+                found[-1][1] = b
+            else:
+                found.append([a, b])
+        if found and width - found[-1][1] <= gap:
+            found[-1][1] = width - 1
+        want += [(line, i, a, b - a + 1) for i, (a, b) in enumerate(((a, b) for a, b in found if b - a + 1 >= least), 1)]
+        rows += [(1, 1, line, a, b, 5, width) for a, b in cols]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "document_id long, page_number int, ln int, x int, x_end int, col_ink int, width int")
+    got = segment.segment_words(df, ["document_id", "page_number", "ln"], Segment(word_gap=gap, min_word_width=least)).collect()
+    assert sorted((r.ln, r.word_no, r.x, r.w) for r in got) == want
+
+
 @pytest.mark.parametrize("height, width, bins", [(8, 16, 4), (5, 7, 64), (64, 4096, 64)])
 def test_marks_over_tiles_equal_a_flood(spark, monkeypatch, height, width, bins):
     from quillspark.config import HighlightRule
